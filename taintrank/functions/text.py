@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The character classes must equal Python's ``[^\w\s]`` on
-# Unicode text. Java's ``\w`` is ASCII-only, so letters and digits are spelled
-# out as Unicode properties.
-NON_WORD_NON_SPACE = r"[^\p{L}\p{N}_\s]"
+# Unicode text. Java's ``\w`` and ``\s`` are ASCII-only, so letters, digits
+# and Python's extra whitespace (separators, \x1c-\x1f, \x85) are spelled out.
+PY_SPACE = r" \t\n\x0B\f\r\x1C-\x1F\x85\p{Z}"
+NON_WORD_NON_SPACE = r"[^\p{L}\p{N}_" + PY_SPACE + "]"
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
-WHITESPACE = r"\s+"
+WHITESPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def _c(col) -> Column:

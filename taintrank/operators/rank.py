@@ -64,3 +64,39 @@ def ideal_positions(qrels: DataFrame) -> DataFrame:
 def running_count(flag: Column, order: Window) -> Column:
     """Running count of ``flag`` up to the current row."""
     return F.sum(flag.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def ordered_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column],
+                      weight: str | None = None, out: str = "pos") -> DataFrame:
+    """Skew-safe running count (or running sum of ``weight``) inside ``by``.
+
+    Equivalent to ``row_number()`` / ``sum(weight)`` over
+    ``partitionBy(by).orderBy(order)`` with an unbounded-preceding frame,
+    but a group holding a third of all rows is not sorted in one task:
+    the rows are range-partitioned on (by, order) so a hot group spans
+    several partitions; each partition numbers its slice, and a small
+    table of per-(partition, group) totals gives every slice its offset.
+    ``order`` must be a total order (end it with a unique key).
+    """
+    w_val = F.lit(1).cast("long") if weight is None else F.col(weight)
+    parts = (df.repartitionByRange(*[F.col(b) for b in by], *order)
+             .withColumn("_pid", F.spark_partition_id())
+             .withColumn("_w", w_val))
+    local = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("_local", F.sum("_w").over(local))
+    totals = parts.groupBy("_pid", *by).agg(F.sum("_w").alias("_pn"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_pn").over(before), F.lit(0))).drop("_pn")
+    return (parts.join(offsets, ["_pid", *by])
+            .withColumn(out, F.col("_local") + F.col("_off"))
+            .drop("_pid", "_w", "_local", "_off"))
+
+
+def ecdf_skew_safe(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",)) -> DataFrame:
+    """W4 / B4 without a per-group sort: counts per distinct value, then
+    :func:`ordered_positions` for the running count and a group total."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_tot"))
+    run = ordered_positions(counts, by, [F.col(value).asc()], weight="n", out="_cum")
+    return run.join(totals, list(by)).select(*by, value, "n", (F.col("_cum") / F.col("_tot")).alias("cdf"))

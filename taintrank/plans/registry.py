@@ -33,7 +33,8 @@ def r6(c):
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() in ("double", "float")
+    """Round every float column to 6 digits (``+ 0.0`` turns -0.0 into 0.0)."""
+    return df.select(*[(r6(f.name) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() in ("double", "float")
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -53,3 +54,524 @@ def k7_dense_topk(spark, sf_dir):
 def m7_dense_metrics(spark, sf_dir):
     run = dense_run(spark, sf_dir).withColumn("name", F.lit("dense"))
     return round_doubles(metrics.evaluate(run, fx.vector_qrels(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- shared derived tables
+from ..functions import text as TX  # noqa: E402
+from ..functions import vectors as V  # noqa: E402
+from ..operators import (compare, distributions, joins, losses, rank, reshape,  # noqa: E402
+                         sampling, schema, scoring, setops)
+from . import contaminate, rerank  # noqa: E402
+
+
+def triples(spark, d):
+    return fx.triples(spark, d)
+
+
+def pairs(spark, d):
+    return reshape.pivot_pairs(triples(spark, d)).select("qid", "docno").distinct()
+
+
+def teacher_scores(spark, d):
+    q, dv = fx.vectors(spark, d)
+    return rerank.vector_scores(pairs(spark, d), q, dv)
+
+
+def student_scores(spark, d):
+    q, dv = fx.vectors(spark, d, 32)
+    return rerank.vector_scores(pairs(spark, d), q, dv)
+
+
+def loss_groups(spark, d):
+    """One row per triple: pred = student [pos, neg], label = teacher [pos, neg] (J6 default 0)."""
+    t = triples(spark, d)
+    s, te = student_scores(spark, d), teacher_scores(spark, d)
+    g = t.withColumnsRenamed({"query_id": "qid"})
+    for side, col in (("a", "doc_id_a"), ("b", "doc_id_b")):
+        g = joins.attach_scores(g.withColumn("docno", F.col(col)), s, as_col=f"p_{side}").drop("docno")
+        g = joins.attach_scores(g.withColumn("docno", F.col(col)), te, as_col=f"l_{side}").drop("docno")
+    return g.select(F.col("qid").alias("query_id"), "doc_id_a", "doc_id_b", "origin",
+                    F.array("p_a", "p_b").alias("pred"), F.array("l_a", "l_b").alias("label"))
+
+
+def bm25_run(spark, d):
+    return retrieval.bm25(fx.queries(spark, d), fx.docs(spark, d))
+
+
+# ---------------------------------------------------------------- P: projections
+@register("p4_binary_relevance")
+def p4_binary_relevance(spark, d):
+    return schema.binarize_relevance(fx.qrels(spark, d))
+
+
+@register("p5_label_split")
+def p5_label_split(spark, d):
+    pos, neg = schema.split_labels(schema.binarize_relevance(fx.qrels(spark, d)))
+    a = pos.groupBy("qid").agg(F.count(F.lit(1)).alias("n_pos"))
+    b = neg.groupBy("qid").agg(F.count(F.lit(1)).alias("n_neg"))
+    return a.join(b, "qid", "full").fillna(0, ["n_pos", "n_neg"])
+
+
+@register("p6_clean_query")
+def p6_clean_query(spark, d):
+    return fx.user_texts(spark, d).select("qid", TX.clean_query("query").alias("query"))
+
+
+@register("p11_pair_text")
+def p11_pair_text(spark, d):
+    """Cross-encoder inputs of the qrels pairs: query cut to 30, doc to 200 tokens."""
+    j = contaminate.judged_with_texts(fx.qrels(spark, d), fx.queries(spark, d), fx.docs(spark, d))
+    return j.select("qid", "docno", F.md5(TX.pair_text("text_query", "text_doc")).alias("text_md5"),
+                    F.size(TX.whitespace_tokens("text_doc")).alias("doc_tokens"))
+
+
+# ---------------------------------------------------------------- J: joins
+@register("j2_judged_texts")
+def j2_judged_texts(spark, d):
+    j = contaminate.judged_with_texts(fx.qrels(spark, d), fx.queries(spark, d), fx.docs(spark, d))
+    return j.select("qid", "docno", "relevance", F.md5("text_query").alias("query_md5"),
+                    F.md5("text_doc").alias("doc_md5"))
+
+
+@register("j3_attach_text_lenient")
+def j3_attach_text_lenient(spark, d):
+    """J3 + J5: page html by the named field; ids without a page get null."""
+    p = reshape.pivot_pairs(triples(spark, d))
+    pages = fx.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("docno"), "html")
+    p = joins.attach_text(p, pages, text_field="html")
+    return p.select("qid", "docno", "pos", F.md5("html").alias("text_md5")).distinct()
+
+
+@register("j4_attach_text_strict")
+def j4_attach_text_strict(spark, d):
+    q = joins.attach_query(fx.qrels(spark, d), fx.queries(spark, d))
+    q = joins.attach_text_strict(q, fx.docs(spark, d))
+    return q.select("qid", "docno", F.length("query").alias("query_len"), F.md5("text").alias("text_md5"))
+
+
+@register("j6_teacher_default")
+def j6_teacher_default(spark, d):
+    p = reshape.pivot_pairs(triples(spark, d))
+    return round_doubles(joins.attach_scores(p, teacher_scores(spark, d)).distinct())
+
+
+@register("j7_match_scores")
+def j7_match_scores(spark, d):
+    return round_doubles(joins.match_scores(student_scores(spark, d), teacher_scores(spark, d)))
+
+
+@register("j9_used_docs")
+def j9_used_docs(spark, d):
+    return joins.used_only(fx.docs(spark, d), pairs(spark, d), "docno").select(
+        "docno", F.md5("text").alias("text_md5"))
+
+
+@register("j11_leaked_triples")
+def j11_leaked_triples(spark, d):
+    return triples(spark, d)
+
+
+@register("j12_queries_without_negatives")
+def j12_queries_without_negatives(spark, d):
+    return contaminate.queries_without_negatives(fx.qrels(spark, d))
+
+
+# ---------------------------------------------------------------- U: set operations
+@register("u1_contaminated_union")
+def u1_contaminated_union(spark, d):
+    t = triples(spark, d)
+    u = contaminate.contaminate(t.where(F.col("origin") == "clean"), t.where(F.col("origin") == "leaked"))
+    return u.groupBy("origin").agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.count_distinct("query_id").alias("n_queries"))
+
+
+@register("g1_triple_stats")
+def g1_triple_stats(spark, d):
+    return contaminate.triple_stats(triples(spark, d))
+
+
+@register("u2_append_samples")
+def u2_append_samples(spark, d):
+    return round_doubles(labelled_scores(spark, d))
+
+
+@register("u3_merge_lookups")
+def u3_merge_lookups(spark, d):
+    m = setops.merge_lookups(fx.lookup_sources(spark, d))
+    return m.select("id", F.md5("text").alias("text_md5"))
+
+
+@register("u4_distinct_ids")
+def u4_distinct_ids(spark, d):
+    return setops.distinct_ids(reshape.pivot_pairs(triples(spark, d)), "docno")
+
+
+# ---------------------------------------------------------------- R: reshape
+@register("r1_pivot_pairs")
+def r1_pivot_pairs(spark, d):
+    t = triples(spark, d)
+    return reshape.pivot_pairs(t).groupBy("qid", "docno", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r2_pivot_with_negatives")
+def r2_pivot_with_negatives(spark, d):
+    mt = fx.multi_negative_triples(spark, d)
+    negs = mt.select(F.col("query_id").alias("qid"), F.col("doc_id_b").alias("docnos")).distinct()
+    return reshape.pivot_with_negatives(mt.select("query_id", "doc_id_a").withColumn(
+        "doc_id_b", F.lit(None)), negs).withColumn("pos", F.col("pos")).groupBy(
+        "qid", "idx", "docno", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r3_explode_score_map")
+def r3_explode_score_map(spark, d):
+    m = reshape.collect_score_map(teacher_scores(spark, d))
+    js = m.select(F.to_json(F.create_map("qid", "scores")).alias("scores"))
+    return round_doubles(reshape.explode_score_map(js))
+
+
+@register("r4_collect_score_map")
+def r4_collect_score_map(spark, d):
+    m = reshape.collect_score_map(teacher_scores(spark, d), max_entries=7)
+    return round_doubles(m.groupBy("qid").agg(
+        F.sum(F.size("scores")).alias("n_docs"),
+        F.sum(V.array_sum(F.map_values("scores"))).alias("score_sum")))
+
+
+@register("r5_assemble_groups")
+def r5_assemble_groups(spark, d):
+    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 2)
+    g = reshape.group_rows(mt, group_size=3)
+    a = reshape.assemble_groups(g, fx.queries(spark, d), fx.docs(spark, d), teacher_scores(spark, d))
+    return round_doubles(a.select("qid", F.array_join("docnos", ",").alias("docnos"),
+                                  F.md5(F.array_join("texts", "|")).alias("texts_md5"),
+                                  V.array_sum("labels").alias("label_sum")))
+
+
+@register("r8_cross_layout")
+def r8_cross_layout(spark, d):
+    g = reshape.group_rows(triples(spark, d).drop("origin"), group_size=2)
+    a = reshape.assemble_groups(g, fx.queries(spark, d), fx.docs(spark, d), teacher_scores(spark, d))
+    c = reshape.cross_layout(a)
+    return round_doubles(c.groupBy("qid", "pos_idx", "docno", "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("r10_pos_pairs")
+def r10_pos_pairs(spark, d):
+    mt = fx.multi_negative_triples(spark, d)
+    g = mt.select("query_id", F.explode(reshape.pos_pairs(
+        F.concat(F.array("doc_id_a"), F.col("doc_id_b")))).alias("pr"))
+    return g.select(F.col("query_id").alias("qid"), F.element_at("pr", 1).alias("doc_id_a"),
+                    F.element_at("pr", 2).alias("doc_id_b"))
+
+
+@register("r11_duo_text")
+def r11_duo_text(spark, d):
+    t = triples(spark, d).withColumnsRenamed({"query_id": "qid"})
+    t = joins.attach_query(t, fx.queries(spark, d))
+    docs = fx.docs(spark, d)
+    t = joins.attach_text_strict(t.withColumn("docno", F.col("doc_id_a")), docs, as_col="ta").drop("docno")
+    t = joins.attach_text_strict(t.withColumn("docno", F.col("doc_id_b")), docs, as_col="tb").drop("docno")
+    return t.select("qid", "doc_id_a", "doc_id_b", F.md5(TX.duo_text("query", "ta", "tb")).alias("line_md5"))
+
+
+# ---------------------------------------------------------------- A: sampling
+@register("a1_sample_docs")
+def a1_sample_docs(spark, d):
+    return sampling.sample_n(fx.docs(spark, d).select("docno"), 100, ["docno"], seed=7)
+
+
+@register("a4_one_negative")
+def a4_one_negative(spark, d):
+    _, neg = schema.split_labels(schema.binarize_relevance(fx.qrels(spark, d)))
+    return contaminate.sampled_negatives(neg)
+
+
+@register("a5_choose_one")
+def a5_choose_one(spark, d):
+    mt = fx.multi_negative_triples(spark, d)
+    salt = F.concat_ws(":", "query_id", "doc_id_a")
+    return mt.select("query_id", "doc_id_a", sampling.choose_one("doc_id_b", 42, salt).alias("doc_id_b"))
+
+
+@register("a6_sample_k")
+def a6_sample_k(spark, d):
+    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 2)
+    salt = F.concat_ws(":", "query_id", "doc_id_a")
+    return mt.select("query_id", "doc_id_a",
+                     F.array_join(sampling.sample_array("doc_id_b", 2, 42, salt), ",").alias("doc_id_b"))
+
+
+# ---------------------------------------------------------------- G: aggregates
+@register("g2_score_summary")
+def g2_score_summary(spark, d):
+    return compare.score_summary(teacher_scores(spark, d))
+
+
+def labelled_scores(spark, d):
+    """Teacher and student scores of the training pairs with ``model_type``."""
+    a = schema.with_label(teacher_scores(spark, d), "teacher")
+    b = schema.with_label(student_scores(spark, d), "student")
+    return setops.append_samples(a, b)
+
+
+@register("g3_moments")
+def g3_moments(spark, d):
+    return round_doubles(compare.moments(labelled_scores(spark, d)))
+
+
+@register("g4_t_test")
+def g4_t_test(spark, d):
+    return round_doubles(compare.t_test_table(labelled_scores(spark, d), "teacher", "student"))
+
+
+@register("g5_kl_divergence")
+def g5_kl_divergence(spark, d):
+    return round_doubles(compare.kl_divergence(student_scores(spark, d), teacher_scores(spark, d)))
+
+
+@register("g5_kl_per_query")
+def g5_kl_per_query(spark, d):
+    return round_doubles(compare.kl_per_query(student_scores(spark, d), teacher_scores(spark, d)))
+
+
+@register("g6_skipped_queries")
+def g6_skipped_queries(spark, d):
+    return round_doubles(compare.skipped_queries(student_scores(spark, d), teacher_scores(spark, d)))
+
+
+# ---------------------------------------------------------------- W: windows
+@register("w1_add_ranks")
+def w1_add_ranks(spark, d):
+    return round_doubles(rank.add_ranks(fx.event_run(spark, d)))
+
+
+@register("w3_top_k")
+def w3_top_k(spark, d):
+    return round_doubles(rank.top_k(fx.event_run(spark, d), 10))
+
+
+@register("w4_ecdf")
+def w4_ecdf(spark, d):
+    return round_doubles(distributions.ecdf(fx.score_sample(spark, d)))
+
+
+@register("w5_ideal_positions")
+def w5_ideal_positions(spark, d):
+    return rank.ideal_positions(fx.qrels(spark, d))
+
+
+@register("w6_running_relevant")
+def w6_running_relevant(spark, d):
+    run = fx.event_run(spark, d).join(fx.event_qrels(spark, d), ["qid", "docno"], "left")
+    rel = F.coalesce(F.col("relevance") >= 1, F.lit(False))
+    run = run.withColumn("_rel", rel.cast("long"))
+    order = [F.col("score").desc(), F.col("docno").desc()]
+    pos = rank.ordered_positions(run, ["qid"], order, out="pos")
+    cum = rank.ordered_positions(pos, ["qid"], order, weight="_rel", out="cum_rel")
+    return cum.select("qid", "docno", "pos", "cum_rel")
+
+
+# ---------------------------------------------------------------- K: retrieval and scoring
+@register("k1_bm25_top100")
+def k1_bm25_top100(spark, d):
+    return round_doubles(bm25_run(spark, d))
+
+
+@register("m7_bm25_metrics")
+def m7_bm25_metrics(spark, d):
+    run = bm25_run(spark, d).withColumn("name", F.lit("bm25"))
+    return round_doubles(metrics.evaluate(run, fx.qrels(spark, d)))
+
+
+@register("k2_cross_rerank")
+def k2_cross_rerank(spark, d):
+    r = rerank.rerank(bm25_run(spark, d), fx.queries(spark, d), fx.docs(spark, d),
+                      factory=scoring.TokenOverlapScorer)
+    return round_doubles(r)
+
+
+@register("k3_duo_logits")
+def k3_duo_logits(spark, d):
+    run = bm25_run(spark, d).select("qid", "docno", F.col("rank").alias("first_rank"))
+    run = joins.attach_text_strict(joins.attach_query(run, fx.queries(spark, d)), fx.docs(spark, d))
+    s = scoring.score_pairs(run, scoring.OverlapLogitsScorer, logits=True, out="logits")
+    s = s.withColumn("score", schema.score_column("logits", "cross"))
+    r = rank.add_ranks(s)
+    return round_doubles(r.select("qid", "docno", F.element_at("logits", 1).alias("logit0"),
+                                  F.element_at("logits", 2).alias("logit1"), "rank"))
+
+
+def _bow_factory():
+    return scoring.HashedBowEncoder(256)
+
+
+@register("k7_bi_rerank")
+def k7_bi_rerank(spark, d):
+    r = rerank.rerank(bm25_run(spark, d), fx.queries(spark, d), fx.docs(spark, d),
+                      bi_factory=_bow_factory)
+    return round_doubles(r)
+
+
+@register("k7_pair_dot")
+def k7_pair_dot(spark, d):
+    return round_doubles(teacher_scores(spark, d))
+
+
+@register("k11_cross_scores")
+def k11_cross_scores(spark, d):
+    return round_doubles(rerank.generate_scores(triples(spark, d), fx.queries(spark, d),
+                                                fx.docs(spark, d), scoring.TokenOverlapScorer))
+
+
+@register("k12_bi_scores")
+def k12_bi_scores(spark, d):
+    return round_doubles(rerank.generate_bi_scores(triples(spark, d), fx.queries(spark, d),
+                                                   fx.docs(spark, d), _bow_factory))
+
+
+# ---------------------------------------------------------------- M: metrics
+@register("m7_event_metrics")
+def m7_event_metrics(spark, d):
+    run = fx.event_run(spark, d).withColumn("name", F.lit("events"))
+    return round_doubles(metrics.evaluate(run, fx.event_qrels(spark, d)))
+
+
+@register("m7_teacher_student_runs")
+def m7_teacher_student_runs(spark, d):
+    t = dense_run(spark, d).withColumn("name", F.lit("teacher"))
+    s = dense_run(spark, d, dims=32).withColumn("name", F.lit("student"))
+    return round_doubles(metrics.evaluate(t.unionByName(s), fx.vector_qrels(spark, d)))
+
+
+@register("g7_per_query_long")
+def g7_per_query_long(spark, d):
+    run = dense_run(spark, d).withColumn("name", F.lit("dense"))
+    pq = metrics.per_query(run, fx.vector_qrels(spark, d))
+    return round_doubles(metrics.to_long(pq))
+
+
+# ---------------------------------------------------------------- L: losses (G=2 triples)
+def _loss_query(name, **args):
+    def q(spark, d):
+        return round_doubles(losses.loss(loss_groups(spark, d), name, **args))
+    return q
+
+
+for _name in ("mse", "margin_mse", "hinge", "clear", "lce", "contrastive", "kl_div", "ranknet",
+              "distill_ranknet", "listnet", "poly1"):
+    _id = {"mse": "l1", "margin_mse": "l2", "hinge": "l3", "clear": "l4", "lce": "l5",
+           "contrastive": "l6", "kl_div": "l7", "ranknet": "l8", "distill_ranknet": "l9",
+           "listnet": "l10", "poly1": "l11"}[_name]
+    register(f"{_id}_{_name}")(_loss_query(_name))
+
+
+@register("l6_contrastive_t2")
+def l6_contrastive_t2(spark, d):
+    return round_doubles(losses.loss(loss_groups(spark, d), "contrastive", temperature=2.0))
+
+
+@register("g8_reduction_sum")
+def g8_reduction_sum(spark, d):
+    return round_doubles(losses.loss(loss_groups(spark, d), "margin_mse", reduction="sum"))
+
+
+@register("l12_cat_wrapper")
+def l12_cat_wrapper(spark, d):
+    g = loss_groups(spark, d).withColumn(
+        "logits", F.transform("pred", lambda x: F.array(F.lit(0.0), x)))
+    g = g.withColumn("cat_pred", losses.cat_pred("logits"))
+    return round_doubles(losses.loss(g, "margin_mse", pred="cat_pred"))
+
+
+@register("l13_dot_wrapper")
+def l13_dot_wrapper(spark, d):
+    q, dv = fx.vectors(spark, d, 32)
+    t = triples(spark, d).select(F.col("query_id").alias("qid"), "doc_id_a", "doc_id_b")
+    t = t.join(q.withColumnRenamed("vec", "query_vec"), "qid")
+    t = t.join(dv.select(F.col("docno").alias("doc_id_a"), F.col("vec").alias("va")), "doc_id_a")
+    t = t.join(dv.select(F.col("docno").alias("doc_id_b"), F.col("vec").alias("vb")), "doc_id_b")
+    te = teacher_scores(spark, d)
+    for side, col in (("a", "doc_id_a"), ("b", "doc_id_b")):
+        t = joins.attach_scores(t.withColumn("docno", F.col(col)), te, as_col=f"l_{side}").drop("docno")
+    g = t.select(losses.dot_pred("query_vec", F.array("va", "vb")).alias("pred"),
+                 F.array("l_a", "l_b").alias("label"))
+    return round_doubles(losses.loss(g, "kl_div"))
+
+
+@register("l14_duo_wrapper")
+def l14_duo_wrapper(spark, d):
+    g = loss_groups(spark, d)
+    lo = losses.loss(g, "contrastive", label=None)
+    mean_score = g.select(F.avg(losses.duo_score("pred"))).scalar()
+    return round_doubles(lo.withColumn("mean_score", mean_score))
+
+
+@register("l15_weighted_loss")
+def l15_weighted_loss(spark, d):
+    return round_doubles(losses.weighted_loss(loss_groups(spark, d), [("margin_mse", 1.0), ("kl_div", 0.5)]))
+
+
+@register("l16_loss_log")
+def l16_loss_log(spark, d):
+    return losses.loss_log(loss_groups(spark, d), "mse", by=["origin"])
+
+
+@register("l7_kl_div_listwise")
+def l7_kl_div_listwise(spark, d):
+    return round_doubles(losses.loss(listwise_groups(spark, d), "kl_div"))
+
+
+@register("l10_listnet_listwise")
+def l10_listnet_listwise(spark, d):
+    return round_doubles(losses.loss(listwise_groups(spark, d), "listnet"))
+
+
+def listwise_groups(spark, d):
+    """F7 groups (positive + all negatives) with student/teacher scores of every doc."""
+    mt = fx.multi_negative_triples(spark, d)
+    q, dv = fx.vectors(spark, d)
+    q32, dv32 = fx.vectors(spark, d, 32)
+    long = mt.select("query_id", "doc_id_a", F.posexplode(
+        F.concat(F.array("doc_id_a"), F.col("doc_id_b"))).alias("i", "docno"))
+    long = long.withColumn("qid", F.col("query_id"))
+    allp = long.select("qid", "docno").distinct()
+    te = rerank.vector_scores(allp, q, dv)
+    st = rerank.vector_scores(allp, q32, dv32)
+    long = joins.attach_scores(long, te, as_col="t")
+    long = joins.attach_scores(long, st, as_col="s")
+    return long.groupBy("query_id", "doc_id_a").agg(
+        F.sort_array(F.collect_list(F.struct("i", "s", "t"))).alias("items")).select(
+        F.col("items.s").alias("pred"), F.col("items.t").alias("label"))
+
+
+@register("v_vector_functions")
+def v_vector_functions(spark, d):
+    g = loss_groups(spark, d)
+    p = F.col("pred")
+    return round_doubles(g.select(
+        "query_id", "doc_id_a",
+        F.element_at(V.minmax_normalize(p), 1).alias("v1_minmax0"),
+        V.residual_pair(p).alias("v2_residual"),
+        F.element_at(V.residual(p), 1).alias("v3_residual"),
+        V.num_positive(p).alias("v7_positive"),
+        F.element_at(V.softmax(p, 2.0), 1).alias("v8_softmax0"),
+        V.class1_prob(p).alias("v9_class1"),
+        V.first_class_prob(p).alias("v10_first"),
+        V.sigmoid(F.element_at(p, 1)).alias("v11_sigmoid"),
+        V.argmax(p).alias("v13_argmax")))
+
+
+# ---------------------------------------------------------------- B: distribution tables
+@register("b1_histogram")
+def b1_histogram(spark, d):
+    return round_doubles(distributions.histogram(fx.score_sample(spark, d)))
+
+
+@register("b2_box_stats")
+def b2_box_stats(spark, d):
+    return round_doubles(distributions.box_stats(fx.score_sample(spark, d)))
+
+
+@register("b3_kde")
+def b3_kde(spark, d):
+    return round_doubles(distributions.kde(fx.score_sample(spark, d)))
