@@ -64,3 +64,19 @@ def attach_vectors(pairs: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame)
 def used_only(table: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Keep rows of ``table`` whose ``key`` occurs in ``pairs`` (semi-join)."""
     return table.join(pairs.select(key), key, "left_semi")
+
+
+# A side is broadcast only after its row count is measured; beyond the
+# bound it stays an ordinary (shuffle / AQE-managed) join input.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when a counting job shows at most ``max_rows`` rows.
+
+    Used for sides that are small by construction but not provably so
+    (query vocabularies, per-query weights, qrels). Costs one job on that
+    side; the big side is then joined map-side without being shuffled.
+    """
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut_lineage
+from .joins import broadcast_if_small
 from .rank import DEFAULT_BUDGET, top_k
 
 # The reference's BM25 parameters.
@@ -28,16 +30,23 @@ SCORE_DIGITS = 9
 
 
 def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """Postings ``term, docno, tf, dl``; restricted to ``vocab`` terms if given.
-
-    Each document row is exploded once; ``dl`` counts all of its tokens even
-    when only query terms are kept. The restriction is a semi-join so AQE
-    can broadcast the (small) query vocabulary after measuring it.
+    """Postings ``term, docno, tf, dl`` plus one ``term = null`` row per document.
+
+    Each document is tokenised exactly once: the token array is exploded
+    with a leading null marker, so the same shuffle output yields the
+    postings of the ``vocab`` terms (when given), the document frequencies
+    and the collection statistics (N, average length) from the marker rows.
+    ``explode_outer`` keeps Catalyst from re-evaluating the tokenizer in an
+    inferred ``size(tokens) > 0`` filter. The vocabulary is joined, not
+    broadcast only after its row count is checked (``broadcast_if_small``).
     """
     toks = docs.select("docno", tokens("text").alias("toks"))
-    exploded = toks.select("docno", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    exploded = toks.select("docno", F.size("toks").alias("dl"), F.explode_outer(
+        F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
     if vocab is not None:
-        exploded = exploded.join(vocab, "term", "left_semi")
+        v = broadcast_if_small(vocab.select("term", F.lit(True).alias("_hit")))
+        exploded = (exploded.join(v, "term", "left")
+                    .where(F.col("term").isNull() | F.col("_hit").isNotNull()).drop("_hit"))
     return exploded.groupBy("term", "docno", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -48,19 +57,28 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     score = sum over query terms of qtf * idf * tf (k1+1) / (tf + k1 (1 - b + b dl/avgdl)),
     idf = ln(1 + (N - n + 0.5) / (n + 0.5)). ``budget`` keeps the top k per query
     (``None`` keeps every matching document).
+
+    Skew: a term in a third of all postings is counted map-side (partial
+    aggregate) for its document frequency and meets the small query-term
+    table through a broadcast or an AQE-split join; per (qid, docno) sums
+    are partial aggregates and the top-k is a ``WindowGroupLimit`` before
+    and after the shuffle.
     """
     qterms = (queries.select("qid", F.explode(tokens("query")).alias("term"))
               .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qterms.select("term").distinct()
-    stats = docs.select(F.size(tokens("text")).alias("dl"))
-    n_docs = stats.select(F.count(F.lit(1)).cast("double")).scalar()
-    avgdl = stats.select(F.avg("dl")).scalar()
-    post = bm25_postings(docs, vocab)
+    # The postings feed four consumers (N, avgdl, df, scores): materialise them
+    # once in the shared checkpoint folder instead of re-tokenising per job.
+    post_all = cut_lineage(bm25_postings(docs, vocab), "bm25_postings")
+    markers = post_all.where(F.col("term").isNull())
+    n_docs = markers.select(F.count(F.lit(1)).cast("double")).scalar()
+    avgdl = markers.select(F.avg("dl")).scalar()
+    post = post_all.where(F.col("term").isNotNull())
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     weights = qterms.join(dfreq, "term").select(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("w"))
-    contrib = post.join(weights, "term").select(
+    contrib = post.join(broadcast_if_small(weights), "term").select(
         "qid", "docno",
         (F.col("w") * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("c"))

@@ -153,8 +153,11 @@ class TokenOverlapScorer:
 
     def __call__(self, queries: Sequence[str], texts: Sequence[str]) -> np.ndarray:
         out = np.empty(len(queries), dtype=np.float64)
+        seen: dict[str, frozenset] = {}  # texts repeat across the queries of a batch
         for i, (q, t) in enumerate(zip(queries, texts)):
-            out[i] = len(set(_word_tokens(q)) & set(_word_tokens(t)))
+            qs = seen.get(q) or seen.setdefault(q, frozenset(_word_tokens(q)))
+            ts = seen.get(t) or seen.setdefault(t, frozenset(_word_tokens(t)))
+            out[i] = len(qs & ts)
         return out
 
 
@@ -176,12 +179,17 @@ class HashedBowEncoder:
 
     def __init__(self, dim: int = 1024):
         self.dim = dim
+        self._buckets: dict[str, int] = {}  # per-task memo of token -> bucket
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        memo = self._buckets
         for i, t in enumerate(texts):
             for tok in _word_tokens(t):
-                out[i, token_bucket(tok, self.dim)] += 1.0
+                b = memo.get(tok)
+                if b is None:
+                    b = memo[tok] = token_bucket(tok, self.dim)
+                out[i, b] += 1.0
         return out
 
 
