@@ -107,7 +107,9 @@ def _topk_batches(batches, qids: np.ndarray, qmat: np.ndarray, k: int):
         dmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
         if dmat.shape[1] != qmat.shape[1]:
             raise ValueError("query and document vectors differ in length")
-        scores = dmat @ qmat.T  # (docs in batch) x (queries)
+        # BLAS sums in a batch-shape dependent order; rounding keeps scores (and ties)
+        # independent of how documents fall into partitions and batches.
+        scores = np.round(dmat @ qmat.T, SCORE_DIGITS)  # (docs in batch) x (queries)
         kk = min(k, scores.shape[0])
         thr = np.partition(scores, scores.shape[0] - kk, axis=0)[scores.shape[0] - kk]
         rows, cols = np.nonzero(scores >= thr)  # top kk per query, ties included
@@ -125,13 +127,18 @@ def _topk_batches(batches, qids: np.ndarray, qmat: np.ndarray, k: int):
                             "score": merged["score"].to_numpy()})
 
 
+def _empty_run() -> pd.DataFrame:
+    return pd.DataFrame({"qid": pd.Series([], dtype=object), "docno": pd.Series([], dtype=object),
+                         "score": pd.Series([], dtype=np.float64)})
+
+
 def _block_topk(k: int):
     def fn(key, qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or dpdf.empty:
-            return pd.DataFrame({"qid": [], "docno": [], "score": []})
+            return _empty_run()
         qmat = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
         out = list(_topk_batches([dpdf[["docno", "vec"]]], qpdf["qid"].to_numpy(), qmat, k))
-        return out[0] if out else pd.DataFrame({"qid": [], "docno": [], "score": []})
+        return out[0] if out else _empty_run()
     return fn
 
 
