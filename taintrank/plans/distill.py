@@ -51,8 +51,7 @@ def _diffs(triples: DataFrame, features: DataFrame) -> DataFrame:
     f = features.select("qid", "docno", "phi")
     a = f.withColumnsRenamed({"docno": "doc_id_a", "phi": "phi_a", "qid": "query_id"})
     b = f.withColumnsRenamed({"docno": "doc_id_b", "phi": "phi_b", "qid": "query_id"})
-    t = triples.select("query_id", "doc_id_a", "doc_id_b")
-    return (t.join(a, ["query_id", "doc_id_a"]).join(b, ["query_id", "doc_id_b"])
+    return (triples.join(a, ["query_id", "doc_id_a"]).join(b, ["query_id", "doc_id_b"])
             .withColumn("diff", F.zip_with("phi_a", "phi_b", lambda x, y: x - y)))
 
 

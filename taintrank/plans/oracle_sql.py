@@ -512,3 +512,16 @@ ORACLE["b3_kde"] = (
 
 for _k, _v in list(ORACLE.items()):
     ORACLE[_k] = _v.replace("round(", "0.0 + round(")
+
+ORACLE.update({
+    "s1_s2_triples_tsv_gzip": _sql("SELECT query_id, doc_id_a, doc_id_b FROM f_triples", "f_triples"),
+    "s5_s6_lookup_json": _sql("SELECT docno AS id, md5(text) AS text_md5 FROM f_docs", "f_docs"),
+    "s9_s10_score_map_json": _sql("SELECT qid, docno, 0.0 + round(score, 6) AS score FROM teacher_scores",
+                                  "teacher_scores"),
+    "s11_score_records_json": _sql("SELECT qid, docno, 0.0 + round(score, 6) AS score FROM student_scores",
+                                   "student_scores"),
+    "s12_s13_trec_run": _sql(
+        "SELECT qid, docno, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS INTEGER) "
+        "AS rank, 0.0 + round(score, 6) AS score, 'taintrank' AS tag FROM f_event_run QUALIFY rank < 10",
+        "f_event_run"),
+})

@@ -575,3 +575,118 @@ def b2_box_stats(spark, d):
 @register("b3_kde")
 def b3_kde(spark, d):
     return round_doubles(distributions.kde(fx.score_sample(spark, d)))
+
+
+# ---------------------------------------------------------------- S: sources / sinks (round trips)
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import jsonio, trec  # noqa: E402
+from ..sources import triples as triple_io  # noqa: E402
+
+
+def _io_path(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for a round trip."""
+    return _os.path.join(ensure_checkpoint_dir(spark), "io", f"{name}-{_uuid.uuid4().hex}")
+
+
+@register("s1_s2_triples_tsv_gzip")
+def s1_s2_triples_tsv_gzip(spark, d):
+    path = _io_path(spark, "triples")
+    triple_io.write_triples(triples(spark, d).drop("origin"), path)
+    return triple_io.read_triples(spark, path)
+
+
+@register("s5_s6_lookup_json")
+def s5_s6_lookup_json(spark, d):
+    path = _io_path(spark, "lookup") + ".jsonl.gz"
+    src = fx.docs(spark, d).select(F.col("docno").alias("id"), "text")
+    jsonio.write_lookup(src, path, rows_per_object=200)
+    return jsonio.read_lookup(spark, path).select("id", F.md5("text").alias("text_md5"))
+
+
+@register("s9_s10_score_map_json")
+def s9_s10_score_map_json(spark, d):
+    path = _io_path(spark, "scores") + ".jsonl"
+    jsonio.write_score_map(teacher_scores(spark, d), path, max_entries=5)
+    return round_doubles(jsonio.read_score_map(spark, path))
+
+
+@register("s11_score_records_json")
+def s11_score_records_json(spark, d):
+    path = _io_path(spark, "records") + ".jsonl"
+    jsonio.write_score_records(student_scores(spark, d), path)
+    return round_doubles(jsonio.read_score_records(spark, path))
+
+
+@register("s12_s13_trec_run")
+def s12_s13_trec_run(spark, d):
+    path = _io_path(spark, "run")
+    trec.write_run(rank.top_k(fx.event_run(spark, d), 10), path, tag="taintrank")
+    back = spark.read.text(path).select(F.split("value", " ").alias("f"))
+    return round_doubles(back.select(
+        F.col("f")[0].alias("qid"), F.col("f")[2].alias("docno"), F.col("f")[3].cast("int").alias("rank"),
+        F.col("f")[4].cast("double").alias("score"), F.col("f")[5].alias("tag")))
+
+
+# ---------------------------------------------------------------- T: distillation on MLlib
+from . import distill, report  # noqa: E402
+
+
+def features(spark, d, dims=None, pairs_df=None):
+    q, dv = fx.vectors(spark, d, dims)
+    p = pairs_df if pairs_df is not None else pairs(spark, d)
+    return distill.pair_features(p, fx.queries(spark, d), fx.docs(spark, d), q, dv)
+
+
+def _coef_frame(spark, model):
+    return spark.createDataFrame([(n, round(float(w), 6)) for n, w in distill.coefficients(model)],
+                                 "feature string, weight double")
+
+
+def _teacher_model(spark, d, arm: str):
+    t = triples(spark, d)
+    if arm == "clean":
+        t = t.where(F.col("origin") == "clean")
+    return distill.train_teacher(t, features(spark, d), reg=0.01)
+
+
+@register("t1_teacher_clean")
+def t1_teacher_clean(spark, d):
+    return _coef_frame(spark, _teacher_model(spark, d, "clean"))
+
+
+@register("t2_teacher_contaminated")
+def t2_teacher_contaminated(spark, d):
+    return _coef_frame(spark, _teacher_model(spark, d, "contaminated"))
+
+
+@register("t3_student_kl")
+def t3_student_kl(spark, d):
+    teacher = distill.apply_linear(features(spark, d), _teacher_model(spark, d, "clean"))
+    t = triples(spark, d).where(F.col("origin") == "clean")
+    return _coef_frame(spark, distill.train_student_kl(t, features(spark, d, 32), teacher, reg=0.01))
+
+
+@register("t4_student_argmax")
+def t4_student_argmax(spark, d):
+    teacher = distill.apply_linear(features(spark, d), _teacher_model(spark, d, "clean"))
+    t = triples(spark, d).where(F.col("origin") == "clean")
+    return _coef_frame(spark, distill.train_student_argmax(t, features(spark, d, 32), teacher, reg=0.01))
+
+
+@register("t5_contamination_report")
+def t5_contamination_report(spark, d):
+    """Teachers trained on clean vs contaminated triples re-rank BM25 top-100;
+    judged on the leaked queries (their qrels entered the contaminated arm)."""
+    cand = bm25_run(spark, d).select("qid", "docno")
+    feats = features(spark, d, pairs_df=cand)
+    runs = None
+    for arm in ("clean", "contaminated"):
+        scored = distill.apply_linear(feats, _teacher_model(spark, d, arm))
+        r = scored.withColumn("name", F.lit("teacher")).withColumn("arm", F.lit(arm))
+        runs = r if runs is None else runs.unionByName(r)
+    leaked = triples(spark, d).where(F.col("origin") == "leaked").select(F.col("query_id").alias("qid"))
+    test_qrels = fx.qrels(spark, d).join(leaked, "qid", "left_semi")
+    return round_doubles(report.metric_report(runs, test_qrels))
