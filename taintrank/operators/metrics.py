@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import ideal_positions, running_count
+from .rank import ideal_positions, ordered_positions, running_count
 
 _MEASURE_RE = re.compile(r"^(AP|nDCG|R|P|RR)(?:\(rel=(\d+)\))?(?:@(\d+))?$")
 _REL_MEASURES = {"AP", "R", "P", "RR"}
@@ -103,8 +103,15 @@ def qrels_stats(qrels: DataFrame, measures: Sequence[Measure]) -> DataFrame:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEASURES,
-              by: Sequence[str] = ("name",)) -> DataFrame:
-    """G7 long-form source: one row per (run, judged query) with a column per measure."""
+              by: Sequence[str] = ("name",), skew_safe: bool = True,
+              slice_rows: int = 1_000_000) -> DataFrame:
+    """G7 long-form source: one row per (run, judged query) with a column per measure.
+
+    ``skew_safe`` numbers the ranking with :func:`rank.ordered_positions`
+    (range partitioning splits a query holding a large share of the run over
+    several tasks) instead of one window per (run, query); the default window
+    is cheaper when run depth is bounded, as it is after a top-k retriever.
+    """
     ms = _measures(measures)
     if "name" in by and "name" not in run.columns:
         run = run.withColumn("name", F.lit("run"))
@@ -112,11 +119,20 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
     qr = qrels.select("qid", "docno", F.col("relevance").cast("int").alias("relevance"))
     judged = run.select(*keys, "docno", F.col("score").cast("double").alias("score")).join(
         qr, ["qid", "docno"], "left")
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("docno").desc())
-    judged = judged.withColumn("pos", F.row_number().over(w))
+    order = [F.col("score").desc(), F.col("docno").desc()]
     rel_levels = sorted({m.rel for m in ms if m.name == "AP"})
-    for r in rel_levels:
-        judged = judged.withColumn(f"_cr{r}", running_count(F.coalesce(F.col("relevance") >= r, F.lit(False)), w))
+    if skew_safe:
+        for r in rel_levels:
+            judged = judged.withColumn(f"_f{r}", F.coalesce(F.col("relevance") >= r, F.lit(False)).cast("long"))
+        judged = ordered_positions(judged, keys, "score", descending=True, tie_order=[F.col("docno").desc()],
+                                   sums=[(None, "pos")] + [(f"_f{r}", f"_cr{r}") for r in rel_levels],
+                                   slice_rows=slice_rows)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        judged = judged.withColumn("pos", F.row_number().over(w))
+        for r in rel_levels:
+            judged = judged.withColumn(
+                f"_cr{r}", running_count(F.coalesce(F.col("relevance") >= r, F.lit(False)), w))
     pos = F.col("pos")
     grade = F.coalesce(F.col("relevance"), F.lit(0))
     gain = F.greatest(grade, F.lit(0)).cast("double")
@@ -155,12 +171,13 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEASURES,
-             by: Sequence[str] = ("name",)) -> DataFrame:
+             by: Sequence[str] = ("name",), skew_safe: bool = True,
+             slice_rows: int = 1_000_000) -> DataFrame:
     """M7: wide table, one row per run, mean of every measure over judged queries."""
     ms = _measures(measures)
     if "name" in by and "name" not in run.columns:
         run = run.withColumn("name", F.lit("run"))
-    pq = per_query(run, qrels, ms, by)
+    pq = per_query(run, qrels, ms, by, skew_safe, slice_rows)
     n_judged = qrels.select(F.count_distinct("qid")).scalar()
     return pq.groupBy(*by).agg(*[(F.sum(m.column) / n_judged).alias(m.column) for m in ms])
 

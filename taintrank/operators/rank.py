@@ -66,31 +66,44 @@ def running_count(flag: Column, order: Window) -> Column:
     return F.sum(flag.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def ordered_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column],
-                      weight: str | None = None, out: str = "pos") -> DataFrame:
-    """Skew-safe running count (or running sum of ``weight``) inside ``by``.
-
-    Equivalent to ``row_number()`` / ``sum(weight)`` over
-    ``partitionBy(by).orderBy(order)`` with an unbounded-preceding frame,
-    but a group holding a third of all rows is not sorted in one task:
-    the rows are range-partitioned on (by, order) so a hot group spans
-    several partitions; each partition numbers its slice, and a small
-    table of per-(partition, group) totals gives every slice its offset.
-    ``order`` must be a total order (end it with a unique key).
+def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool,
+                      tie_order: Sequence[Column] = (), sums: Sequence[tuple[str | None, str]] = ((None, "pos"),),
+                      slice_rows: int = 1_000_000) -> DataFrame:
+    """Skew-safe running counts / running sums inside ``by`` ordered by a
+    numeric ``value`` (then ``tie_order``, which must make the order total).
+
+    Equivalent to ``sum(weight)`` over ``partitionBy(by).orderBy(value, *tie_order)``
+    with an unbounded-preceding frame (``weight`` None counts rows, i.e.
+    ``row_number()``), but no group is sorted in one task: a group with
+    ``n`` rows is cut into ``ceil(n / slice_rows)`` equal-width value
+    slices (a pure function of the data and the group's min/max, so every
+    consumer sees the same slices), each slice runs its own window, and a
+    small per-(group, slice) totals table gives each slice its offset.
+    Equal values always share a slice, so the order is exact; a group whose
+    rows pile onto a single value stays in one slice.
     """
-    w_val = F.lit(1).cast("long") if weight is None else F.col(weight)
-    parts = (df.repartitionByRange(*[F.col(b) for b in by], *order)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_w", w_val))
-    local = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(
+    v = F.col(value).cast("double")
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / F.lit(float(slice_rows))), F.lit(1)))
+    span = F.col("_hi") - F.col("_lo")
+    frac = (F.col("_hi") - v) / span if descending else (v - F.col("_lo")) / span
+    sl = F.when((F.col("_ns") <= 1) | (span == 0), F.lit(0)).otherwise(
+        F.least(F.floor(frac * F.col("_ns")), F.col("_ns") - 1)).cast("long")
+    parts = df.join(stats.select(*by, "_ns", "_lo", "_hi"), list(by)).withColumn("_slice", sl)
+    order = [v.desc() if descending else v.asc(), *tie_order]
+    local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("_local", F.sum("_w").over(local))
-    totals = parts.groupBy("_pid", *by).agg(F.sum("_w").alias("_pn"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_pn").over(before), F.lit(0))).drop("_pn")
-    return (parts.join(offsets, ["_pid", *by])
-            .withColumn(out, F.col("_local") + F.col("_off"))
-            .drop("_pid", "_w", "_local", "_off"))
+    for k, (wname, _) in enumerate(sums):
+        wv = F.lit(1).cast("long") if wname is None else F.col(wname)
+        parts = parts.withColumn(f"_w{k}", wv).withColumn(f"_l{k}", F.sum(f"_w{k}").over(local))
+    totals = parts.groupBy(*by, "_slice").agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in range(len(sums))])
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_slice", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_o{k}")
+                                            for k in range(len(sums))])
+    res = parts.join(offsets, [*by, "_slice"])
+    for k, (_, oname) in enumerate(sums):
+        res = res.withColumn(oname, F.col(f"_l{k}") + F.col(f"_o{k}"))
+    return res.drop("_slice", "_ns", "_lo", "_hi", *[f"_{x}{k}" for k in range(len(sums)) for x in "wlo"])
 
 
 def ecdf_skew_safe(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",)) -> DataFrame:
@@ -98,5 +111,5 @@ def ecdf_skew_safe(df: DataFrame, value: str = "score", by: Sequence[str] = ("mo
     :func:`ordered_positions` for the running count and a group total."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_tot"))
-    run = ordered_positions(counts, by, [F.col(value).asc()], weight="n", out="_cum")
+    run = ordered_positions(counts, by, value, descending=False, sums=[("n", "_cum")])
     return run.join(totals, list(by)).select(*by, value, "n", (F.col("_cum") / F.col("_tot")).alias("cdf"))

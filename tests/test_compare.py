@@ -117,7 +117,8 @@ def test_skew_safe_positions_match_window(spark):
     rows = [("hot", str(i), float(i % 17)) for i in range(3000)] + [("cold", str(i), float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "qid string, docno string, score double")
     order = [F.col("score").desc(), F.col("docno").desc()]
-    got = {(r["qid"], r["docno"]): r["pos"] for r in ordered_positions(df, ["qid"], order).collect()}
+    got = {(r["qid"], r["docno"]): r["pos"] for r in ordered_positions(
+        df, ["qid"], "score", True, [F.col("docno").desc()], slice_rows=100).collect()}
     w = Window.partitionBy("qid").orderBy(*order)
     exp = {(r["qid"], r["docno"]): r["p"] for r in df.withColumn("p", F.row_number().over(w)).collect()}
     assert got == exp
