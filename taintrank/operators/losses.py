@@ -198,3 +198,63 @@ def dot_pred(query_vec: str = "query_vec", doc_vecs: str = "doc_vecs") -> Column
 def duo_score(logits: str = "logits") -> Column:
     """First-class softmax probability (duo score) next to the loss on logits."""
     return V.first_class_prob(logits)
+
+
+# ---------------------------------------------------------------- long-form listwise losses
+
+LONG_FORM = ("kl_div", "listnet", "contrastive", "lce", "mse")
+
+
+def listwise_loss_long(df: DataFrame, name: str, group: Sequence[str], pos: str = "i",
+                       pred: str = "s", label: str | None = "t", temperature: float = 1.0,
+                       reduction: str | None = None) -> DataFrame:
+    """Listwise losses on a *long* table (one row per group element), so a
+    group of any size is never collected into one row or one task.
+
+    The per-group softmax needs only the group's max and sum of exponentials:
+    a partial + final aggregate, joined back on the group key. Supported:
+    ``kl_div``, ``listnet``, ``contrastive`` / ``lce`` (target = first
+    maximum label, position order given by ``pos``), ``mse``. Reductions as in
+    :func:`loss`; ``batchmean`` divides by the number of groups.
+    """
+    if name not in LONG_FORM:
+        raise ValueError(f"Unknown loss for the long form: {name}")
+    reduction = reduction or LOSSES[name][1]
+    if reduction not in REDUCTIONS or reduction == "none":
+        raise ValueError(f"Unknown reduction type: {reduction}")
+    T = temperature if name in ("kl_div", "listnet", "contrastive") else 1.0
+    s = F.col(pred).cast("double") / T
+    t = F.col(label).cast("double") / T if label is not None else None
+    aggs = [F.max(s).alias("_ms")]
+    if t is not None:
+        aggs.append(F.max(t).alias("_mt"))
+    g1 = df.groupBy(*group).agg(*aggs)
+    j = df.join(g1, list(group))
+    aggs2 = [F.sum(F.exp(s - F.col("_ms"))).alias("_zs")]
+    if t is not None:
+        aggs2.append(F.sum(F.exp(t - F.col("_mt"))).alias("_zt"))
+        aggs2.append(F.min_by(F.col(pos), F.struct(-F.col(label).cast("double"), F.col(pos))).alias("_arg"))
+    g2 = j.groupBy(*group, *(["_ms"] + (["_mt"] if t is not None else []))).agg(*aggs2)
+    k = df.join(g2, list(group))
+    lsm = s - F.col("_ms") - F.log(F.col("_zs"))
+    if name == "kl_div":
+        q = F.exp(t - F.col("_mt") - F.log(F.col("_zt")))
+        elem = F.when(q == 0, F.lit(0.0)).otherwise(q * (F.log(q) - lsm))
+    elif name == "listnet":
+        unit = df.select(F.coalesce(F.bool_and((F.col(label) >= 0) & (F.col(label) <= 1)), F.lit(True))).scalar()
+        q = F.exp(t - F.col("_mt") - F.log(F.col("_zt")))
+        k = k.withColumn("_unit_all", unit)
+        elem = -F.when(F.col("_unit_all"), F.col(label).cast("double")).otherwise(q) * lsm
+    elif name in ("contrastive", "lce"):
+        target = F.col("_arg") if label is not None else F.lit(0)
+        elem = F.when(F.col(pos) == target, -lsm)
+    else:  # mse
+        elem = F.pow(F.col(pred).cast("double") - F.col(label).cast("double"), 2)
+    per_group = k.groupBy(*group).agg(F.sum(elem).alias("_sum"), F.count(elem).alias("_n"))
+    if reduction == "sum":
+        out = F.sum("_sum")
+    elif reduction == "batchmean" or name in ("listnet", "contrastive", "lce"):
+        out = F.sum("_sum") / F.count(F.lit(1))
+    else:
+        out = F.sum("_sum") / F.sum("_n")
+    return per_group.agg(out.alias("loss"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, retrieval
@@ -518,30 +518,33 @@ def l16_loss_log(spark, d):
 
 @register("l7_kl_div_listwise")
 def l7_kl_div_listwise(spark, d):
-    return round_doubles(losses.loss(listwise_groups(spark, d), "kl_div"))
+    return round_doubles(losses.listwise_loss_long(listwise_long(spark, d), "kl_div", ["query_id", "doc_id_a"]))
 
 
 @register("l10_listnet_listwise")
 def l10_listnet_listwise(spark, d):
-    return round_doubles(losses.loss(listwise_groups(spark, d), "listnet"))
-
-
-def listwise_groups(spark, d):
-    """F7 groups (positive + all negatives) with student/teacher scores of every doc."""
-    mt = fx.multi_negative_triples(spark, d)
+    return round_doubles(losses.listwise_loss_long(listwise_long(spark, d), "listnet", ["query_id", "doc_id_a"]))
+
+
+def listwise_long(spark, d):
+    """F7 groups in long form: each positive with every negative of its query
+    (positions: positive 0, negatives 1.. in docno order), student ``s`` and
+    teacher ``t`` scores (J6 default 0). No group is collected into a row."""
+    b = schema.binarize_relevance(fx.qrels(spark, d))
+    pos = b.where(F.col("relevance") == 1).select(F.col("qid").alias("query_id"), F.col("docno").alias("doc_id_a"))
+    neg = b.where(F.col("relevance") == 0).select(
+        F.col("qid").alias("query_id"), F.col("docno"),
+        F.row_number().over(Window.partitionBy("qid").orderBy("docno")).alias("i"))
+    long = (pos.select("query_id", "doc_id_a", F.col("doc_id_a").alias("docno"), F.lit(0).alias("i"))
+            .unionByName(pos.join(neg, "query_id").select("query_id", "doc_id_a", "docno", "i")))
+    long = long.join(neg.select("query_id").distinct(), "query_id", "left_semi")  # F7 needs a negative
     q, dv = fx.vectors(spark, d)
     q32, dv32 = fx.vectors(spark, d, 32)
-    long = mt.select("query_id", "doc_id_a", F.posexplode(
-        F.concat(F.array("doc_id_a"), F.col("doc_id_b"))).alias("i", "docno"))
+    allp = long.select(F.col("query_id").alias("qid"), "docno").distinct()
     long = long.withColumn("qid", F.col("query_id"))
-    allp = long.select("qid", "docno").distinct()
-    te = rerank.vector_scores(allp, q, dv)
-    st = rerank.vector_scores(allp, q32, dv32)
-    long = joins.attach_scores(long, te, as_col="t")
-    long = joins.attach_scores(long, st, as_col="s")
-    return long.groupBy("query_id", "doc_id_a").agg(
-        F.sort_array(F.collect_list(F.struct("i", "s", "t"))).alias("items")).select(
-        F.col("items.s").alias("pred"), F.col("items.t").alias("label"))
+    long = joins.attach_scores(long, rerank.vector_scores(allp, q, dv), as_col="t")
+    long = joins.attach_scores(long, rerank.vector_scores(allp, q32, dv32), as_col="s")
+    return long
 
 
 @register("v_vector_functions")

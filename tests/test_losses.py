@@ -123,3 +123,13 @@ def test_wrappers(spark):
     d = spark.createDataFrame([([2.0, 0.0],)], "logits array<double>")
     assert d.select(losses.duo_score()).collect()[0][0] == pytest.approx(sm([2.0, 0.0])[0])
     assert F is not None
+
+
+@pytest.mark.parametrize("name", ["kl_div", "listnet", "contrastive", "mse"])
+def test_long_form_equals_array_form(spark, name):
+    G = [([0.1, 0.4, -0.3, 2.0, 0.0], [2.0, 0.1, 0.0, 0.9, 0.5]), ([1.0, -1.0], [0.0, 3.0]), ([0.5], [1.0])]
+    long = spark.createDataFrame([(g, i, p[i], l[i]) for g, (p, l) in enumerate(G) for i in range(len(p))],
+                                 "g int, i int, s double, t double")
+    a = value(losses.loss(frame(spark, G), name))
+    b = value(losses.listwise_loss_long(long, name, ["g"]))
+    assert b == pytest.approx(a, rel=1e-12)
