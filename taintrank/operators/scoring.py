@@ -151,9 +151,15 @@ def _word_tokens(text: str) -> list[str]:
 class TokenOverlapScorer:
     """Cross scorer: number of distinct query tokens present in the text."""
 
+    def __init__(self, memo_size: int = 50_000):
+        self._seen: dict[str, frozenset] = {}  # a text recurs for every query that retrieved it
+        self._memo_size = memo_size
+
     def __call__(self, queries: Sequence[str], texts: Sequence[str]) -> np.ndarray:
         out = np.empty(len(queries), dtype=np.float64)
-        seen: dict[str, frozenset] = {}  # texts repeat across the queries of a batch
+        seen = self._seen
+        if len(seen) > self._memo_size:
+            seen.clear()
         for i, (q, t) in enumerate(zip(queries, texts)):
             qs = seen.get(q) or seen.setdefault(q, frozenset(_word_tokens(q)))
             ts = seen.get(t) or seen.setdefault(t, frozenset(_word_tokens(t)))
