@@ -693,3 +693,71 @@ def t5_contamination_report(spark, d):
     leaked = triples(spark, d).where(F.col("origin") == "leaked").select(F.col("query_id").alias("qid"))
     test_qrels = fx.qrels(spark, d).join(leaked, "qid", "left_semi")
     return round_doubles(report.metric_report(runs, test_qrels))
+
+
+# ---------------------------------------------------------------- more operator coverage
+from ..sources import profile as profile_io  # noqa: E402
+
+# Fixed values (test rule, not from the reference): linear pooler weights
+# W[r][c] = 0.1 (r + 1) - 0.05 c for a 4 x 8 layer, bias [0.5, -0.5, 0.25, 0].
+LINEAR_W = [[round(0.1 * (r + 1) - 0.05 * c, 10) for c in range(8)] for r in range(4)]
+LINEAR_B = [0.5, -0.5, 0.25, 0.0]
+
+
+def token_states(spark, d):
+    """The 64-d embeddings read as 8 token states of 8 dimensions each."""
+    e = fx.table(spark, d, "embeddings")
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)),
+                         lambda i: F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double")))
+    return e.select(F.col("vec_id").cast("string").alias("id"), states.alias("states"))
+
+
+@register("k8_pooling")
+def k8_pooling(spark, d):
+    t = token_states(spark, d)
+    cls = V.pool("states", "cls")
+    mean = V.pool("states", "mean")
+    return round_doubles(t.select("id", V.array_sum(cls).alias("cls_sum"), V.array_sum(mean).alias("mean_sum"),
+                                  F.element_at(mean, 1).alias("mean_first")))
+
+
+@register("k9_linear_pooler")
+def k9_linear_pooler(spark, d):
+    t = token_states(spark, d)
+    w = F.array(*[F.array(*[F.lit(x) for x in row]) for row in LINEAR_W])
+    b = F.array(*[F.lit(x) for x in LINEAR_B])
+    y = V.linear(w, b, V.pool("states", "cls"))
+    return round_doubles(t.select("id", *[F.element_at(y, r + 1).alias(f"y{r}") for r in range(4)]))
+
+
+@register("k4_encode_queries")
+def k4_encode_queries(spark, d):
+    q = fx.queries(spark, d).select("query")
+    enc = scoring.bi_transform(q, _bow_factory)
+    return round_doubles(enc.select(F.md5("query").alias("query_md5"), V.array_sum("query_vec").alias("n_tokens")))
+
+
+@register("k13_teacher_scores_subset")
+def k13_teacher_scores_subset(spark, d):
+    s = scoring.teacher_scores(scoring.TokenOverlapScorer, pairs=pairs(spark, d), queries=fx.queries(spark, d),
+                               docs=fx.docs(spark, d), subset=50, seed=42)
+    return round_doubles(s.select("qid", "docno", "score"))
+
+
+@register("p2_p3_run_vocabulary")
+def p2_p3_run_vocabulary(spark, d):
+    b = fx.table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
+    r = schema.to_run_vocabulary(schema.ids_to_string(b, "query_id"))
+    return schema.require_columns(r, ["qid", "query"]).select("qid", F.md5("query").alias("query_md5"))
+
+
+@register("r6_listwise_groups")
+def r6_listwise_groups(spark, d):
+    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 3)
+    g = reshape.group_rows(mt, group_size=3, include_positive=False)
+    return g.select("qid", F.array_join("docnos", ",").alias("docnos"))
+
+
+@register("s17_profile")
+def s17_profile(spark, d):
+    return profile_io.profile(fx.qrels(spark, d), ["qid", "docno"])
