@@ -39,6 +39,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -86,3 +87,38 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``taintrank`` importable in the Python workers (as ``--py-files`` would).
+
+    Zips the installed package once per SparkContext and registers it with
+    ``addPyFile``; Spark distributes it to every executor. Needed by the
+    ``mapInPandas`` scorers when the job was not submitted with the package.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="taintrank-pkg-"), "taintrank.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Defaults, shared checkpoint folder and the package on the executors."""
+    apply_defaults(spark)
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
