@@ -178,8 +178,9 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEAS
     if "name" in by and "name" not in run.columns:
         run = run.withColumn("name", F.lit("run"))
     pq = per_query(run, qrels, ms, by, skew_safe, slice_rows)
-    n_judged = qrels.select(F.count_distinct("qid")).scalar()
-    return pq.groupBy(*by).agg(*[(F.sum(m.column) / n_judged).alias(m.column) for m in ms])
+    n_judged = qrels.select(F.count_distinct("qid").cast("double")).scalar()
+    sums = pq.groupBy(*by).agg(*[F.sum(m.column).alias(m.column) for m in ms]).withColumn("_nj", n_judged)
+    return sums.select(*by, *[(F.col(m.column) / F.col("_nj")).alias(m.column) for m in ms])
 
 
 def to_long(per_query_df: DataFrame, measures: Iterable = DEFAULT_MEASURES,

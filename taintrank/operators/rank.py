@@ -22,9 +22,18 @@ def rank_order(df: DataFrame, score: str = "score", tie_keys: Sequence[str] | No
 
 
 def add_ranks(df: DataFrame, by: Sequence[str] = ("qid",), score: str = "score",
-              tie_keys: Sequence[str] | None = None) -> DataFrame:
-    """0-based rank within ``by`` by score descending."""
-    w = Window.partitionBy(*by).orderBy(*rank_order(df, score, tie_keys))
+              tie_keys: Sequence[str] | None = None, skew_safe: bool = False) -> DataFrame:
+    """0-based rank within ``by`` by score descending.
+
+    The plain form is one window per group, right for runs of bounded depth
+    (re-ranked top-k lists). ``skew_safe`` numbers unbounded groups through
+    :func:`ordered_positions` so a hot group is split over value slices.
+    """
+    order = rank_order(df, score, tie_keys)
+    if skew_safe:
+        pos = ordered_positions(df, by, score, descending=True, tie_order=order[1:], sums=[(None, "_pos")])
+        return pos.withColumn("rank", (F.col("_pos") - 1).cast("int")).drop("_pos")
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
 
 

@@ -342,7 +342,7 @@ def g6_skipped_queries(spark, d):
 # ---------------------------------------------------------------- W: windows
 @register("w1_add_ranks")
 def w1_add_ranks(spark, d):
-    return round_doubles(rank.add_ranks(fx.event_run(spark, d)))
+    return round_doubles(rank.add_ranks(fx.event_run(spark, d), skew_safe=True))
 
 
 @register("w3_top_k")
