@@ -217,8 +217,7 @@ def r1_pivot_pairs(spark, d):
 def r2_pivot_with_negatives(spark, d):
     mt = fx.multi_negative_triples(spark, d)
     negs = mt.select(F.col("query_id").alias("qid"), F.col("doc_id_b").alias("docnos")).distinct()
-    return reshape.pivot_with_negatives(mt.select("query_id", "doc_id_a").withColumn(
-        "doc_id_b", F.lit(None)), negs).withColumn("pos", F.col("pos")).groupBy(
+    return reshape.pivot_with_negatives(mt.select("query_id", "doc_id_a"), negs).groupBy(
         "qid", "idx", "docno", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
