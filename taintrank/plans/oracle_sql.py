@@ -509,35 +509,31 @@ ORACLE["b3_kde"] = (
     "SELECT grid.model_type, i, round(gx, 6) AS x, round(sum(c * exp(-0.5 * pow((gx - x) / bw, 2))) / norm, 6) "
     "AS density FROM grid JOIN ce ON grid.model_type = ce.model_type GROUP BY grid.model_type, i, gx, norm")
 
-
-for _k, _v in list(ORACLE.items()):
-    ORACLE[_k] = _v.replace("round(", "0.0 + round(")
-
 ORACLE.update({
     "s1_s2_triples_tsv_gzip": _sql("SELECT query_id, doc_id_a, doc_id_b FROM f_triples", "f_triples"),
     "s5_s6_lookup_json": _sql("SELECT docno AS id, md5(text) AS text_md5 FROM f_docs", "f_docs"),
-    "s9_s10_score_map_json": _sql("SELECT qid, docno, 0.0 + round(score, 6) AS score FROM teacher_scores",
+    "s9_s10_score_map_json": _sql("SELECT qid, docno, round(score, 6) AS score FROM teacher_scores",
                                   "teacher_scores"),
-    "s11_score_records_json": _sql("SELECT qid, docno, 0.0 + round(score, 6) AS score FROM student_scores",
+    "s11_score_records_json": _sql("SELECT qid, docno, round(score, 6) AS score FROM student_scores",
                                    "student_scores"),
     "s12_s13_trec_run": _sql(
         "SELECT qid, docno, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS INTEGER) "
-        "AS rank, 0.0 + round(score, 6) AS score, 'taintrank' AS tag FROM f_event_run QUALIFY rank < 10",
+        "AS rank, round(score, 6) AS score, 'taintrank' AS tag FROM f_event_run QUALIFY rank < 10",
         "f_event_run"),
 })
 
 
 ORACLE.update({
     "k8_pooling": ("SELECT CAST(vec_id AS VARCHAR) AS id, "
-                   "0.0 + round(list_sum(CAST(embedding[1:8] AS DOUBLE[])), 6) AS cls_sum, "
-                   "0.0 + round(list_sum(CAST(embedding AS DOUBLE[])) / 8.0, 6) AS mean_sum, "
-                   "0.0 + round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[9] AS DOUBLE) + CAST(embedding[17] AS DOUBLE) + CAST(embedding[25] AS DOUBLE) + CAST(embedding[33] AS DOUBLE) + CAST(embedding[41] AS DOUBLE) + CAST(embedding[49] AS DOUBLE) + CAST(embedding[57] AS DOUBLE)) / 8.0, 6) AS mean_first FROM embeddings"),
+                   "round(list_sum(CAST(embedding[1:8] AS DOUBLE[])), 6) AS cls_sum, "
+                   "round(list_sum(CAST(embedding AS DOUBLE[])) / 8.0, 6) AS mean_sum, "
+                   "round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[9] AS DOUBLE) + CAST(embedding[17] AS DOUBLE) + CAST(embedding[25] AS DOUBLE) + CAST(embedding[33] AS DOUBLE) + CAST(embedding[41] AS DOUBLE) + CAST(embedding[49] AS DOUBLE) + CAST(embedding[57] AS DOUBLE)) / 8.0, 6) AS mean_first FROM embeddings"),
     "k9_linear_pooler": ("SELECT CAST(vec_id AS VARCHAR) AS id, "
-                         "0.0 + round(0.0 + 0.1 * CAST(embedding[1] AS DOUBLE) + 0.05 * CAST(embedding[2] AS DOUBLE) + 0.0 * CAST(embedding[3] AS DOUBLE) + -0.05 * CAST(embedding[4] AS DOUBLE) + -0.1 * CAST(embedding[5] AS DOUBLE) + -0.15 * CAST(embedding[6] AS DOUBLE) + -0.2 * CAST(embedding[7] AS DOUBLE) + -0.25 * CAST(embedding[8] AS DOUBLE) + 0.5, 6) AS y0, 0.0 + round(0.0 + 0.2 * CAST(embedding[1] AS DOUBLE) + 0.15 * CAST(embedding[2] AS DOUBLE) + 0.1 * CAST(embedding[3] AS DOUBLE) + 0.05 * CAST(embedding[4] AS DOUBLE) + 0.0 * CAST(embedding[5] AS DOUBLE) + -0.05 * CAST(embedding[6] AS DOUBLE) + -0.1 * CAST(embedding[7] AS DOUBLE) + -0.15 * CAST(embedding[8] AS DOUBLE) + -0.5, 6) AS y1, 0.0 + round(0.0 + 0.3 * CAST(embedding[1] AS DOUBLE) + 0.25 * CAST(embedding[2] AS DOUBLE) + 0.2 * CAST(embedding[3] AS DOUBLE) + 0.15 * CAST(embedding[4] AS DOUBLE) + 0.1 * CAST(embedding[5] AS DOUBLE) + 0.05 * CAST(embedding[6] AS DOUBLE) + 0.0 * CAST(embedding[7] AS DOUBLE) + -0.05 * CAST(embedding[8] AS DOUBLE) + 0.25, 6) AS y2, 0.0 + round(0.0 + 0.4 * CAST(embedding[1] AS DOUBLE) + 0.35 * CAST(embedding[2] AS DOUBLE) + 0.3 * CAST(embedding[3] AS DOUBLE) + 0.25 * CAST(embedding[4] AS DOUBLE) + 0.2 * CAST(embedding[5] AS DOUBLE) + 0.15 * CAST(embedding[6] AS DOUBLE) + 0.1 * CAST(embedding[7] AS DOUBLE) + 0.05 * CAST(embedding[8] AS DOUBLE) + 0.0, 6) AS y3 FROM embeddings"),
-    "k4_encode_queries": _sql(f"SELECT md5(query) AS query_md5, 0.0 + round(CAST(len({TOK.format(x='query')}) "
+                         "round(0.0 + 0.1 * CAST(embedding[1] AS DOUBLE) + 0.05 * CAST(embedding[2] AS DOUBLE) + 0.0 * CAST(embedding[3] AS DOUBLE) + -0.05 * CAST(embedding[4] AS DOUBLE) + -0.1 * CAST(embedding[5] AS DOUBLE) + -0.15 * CAST(embedding[6] AS DOUBLE) + -0.2 * CAST(embedding[7] AS DOUBLE) + -0.25 * CAST(embedding[8] AS DOUBLE) + 0.5, 6) AS y0, round(0.0 + 0.2 * CAST(embedding[1] AS DOUBLE) + 0.15 * CAST(embedding[2] AS DOUBLE) + 0.1 * CAST(embedding[3] AS DOUBLE) + 0.05 * CAST(embedding[4] AS DOUBLE) + 0.0 * CAST(embedding[5] AS DOUBLE) + -0.05 * CAST(embedding[6] AS DOUBLE) + -0.1 * CAST(embedding[7] AS DOUBLE) + -0.15 * CAST(embedding[8] AS DOUBLE) + -0.5, 6) AS y1, round(0.0 + 0.3 * CAST(embedding[1] AS DOUBLE) + 0.25 * CAST(embedding[2] AS DOUBLE) + 0.2 * CAST(embedding[3] AS DOUBLE) + 0.15 * CAST(embedding[4] AS DOUBLE) + 0.1 * CAST(embedding[5] AS DOUBLE) + 0.05 * CAST(embedding[6] AS DOUBLE) + 0.0 * CAST(embedding[7] AS DOUBLE) + -0.05 * CAST(embedding[8] AS DOUBLE) + 0.25, 6) AS y2, round(0.0 + 0.4 * CAST(embedding[1] AS DOUBLE) + 0.35 * CAST(embedding[2] AS DOUBLE) + 0.3 * CAST(embedding[3] AS DOUBLE) + 0.25 * CAST(embedding[4] AS DOUBLE) + 0.2 * CAST(embedding[5] AS DOUBLE) + 0.15 * CAST(embedding[6] AS DOUBLE) + 0.1 * CAST(embedding[7] AS DOUBLE) + 0.05 * CAST(embedding[8] AS DOUBLE) + 0.0, 6) AS y3 FROM embeddings"),
+    "k4_encode_queries": _sql(f"SELECT md5(query) AS query_md5, round(CAST(len({TOK.format(x='query')}) "
                               "AS DOUBLE), 6) AS n_tokens FROM (SELECT DISTINCT query FROM f_queries)", "f_queries"),
     "k13_teacher_scores_subset": _sql(
-        f"SELECT qid, docno, 0.0 + round(CAST(len(list_intersect(list_distinct({TOK.format(x='q')}), "
+        f"SELECT qid, docno, round(CAST(len(list_intersect(list_distinct({TOK.format(x='q')}), "
         f"list_distinct({TOK.format(x='t')}))) AS DOUBLE), 6) AS score FROM ("
         "SELECT p.qid, p.docno, coalesce(fq.query, '') AS q, coalesce(fd.text, '') AS t FROM f_pairs p "
         "LEFT JOIN f_queries fq ON p.qid = fq.qid LEFT JOIN f_docs fd ON p.docno = fd.docno "
@@ -551,3 +547,8 @@ ORACLE.update({
     "s17_profile": _sql("SELECT count(*) AS n_rows, count(DISTINCT qid) AS n_distinct_qid, "
                         "count(DISTINCT docno) AS n_distinct_docno FROM f_qrels", "f_qrels"),
 })
+
+
+# ``0.0 + round(x)`` turns a rounded -0.0 into 0.0, as ``registry.round_doubles`` does.
+for _k, _v in list(ORACLE.items()):
+    ORACLE[_k] = _v.replace("round(", "0.0 + round(")

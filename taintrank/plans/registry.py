@@ -7,13 +7,23 @@ Float outputs are rounded to 6 digits so the DuckDB twins in
 
 from __future__ import annotations
 
+import os as _os
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, retrieval
+from ..functions import text as TX
+from ..functions import vectors as V
+from ..operators import (compare, distributions, joins, losses, metrics, rank, reshape, retrieval,
+                         sampling, schema, scoring, setops)
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import jsonio, trec
+from ..sources import profile as profile_io
+from ..sources import triples as triple_io
+from . import contaminate, distill, report, rerank
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -57,11 +67,6 @@ def m7_dense_metrics(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- shared derived tables
-from ..functions import text as TX  # noqa: E402
-from ..functions import vectors as V  # noqa: E402
-from ..operators import (compare, distributions, joins, losses, rank, reshape,  # noqa: E402
-                         sampling, schema, scoring, setops)
-from . import contaminate, rerank  # noqa: E402
 
 
 def triples(spark, d):
@@ -580,12 +585,6 @@ def b3_kde(spark, d):
 
 
 # ---------------------------------------------------------------- S: sources / sinks (round trips)
-import os as _os  # noqa: E402
-import uuid as _uuid  # noqa: E402
-
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import jsonio, trec  # noqa: E402
-from ..sources import triples as triple_io  # noqa: E402
 
 
 def _io_path(spark, name: str) -> str:
@@ -633,7 +632,6 @@ def s12_s13_trec_run(spark, d):
 
 
 # ---------------------------------------------------------------- T: distillation on MLlib
-from . import distill, report  # noqa: E402
 
 
 def features(spark, d, dims=None, pairs_df=None):
@@ -695,7 +693,6 @@ def t5_contamination_report(spark, d):
 
 
 # ---------------------------------------------------------------- more operator coverage
-from ..sources import profile as profile_io  # noqa: E402
 
 # Fixed values (test rule, not from the reference): linear pooler weights
 # W[r][c] = 0.1 (r + 1) - 0.05 c for a 4 x 8 layer, bias [0.5, -0.5, 0.25, 0].
