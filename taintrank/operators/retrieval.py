@@ -47,11 +47,11 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
         v = broadcast_if_small(vocab.select("term", F.lit(True).alias("_hit")))
         exploded = (exploded.join(v, "term", "left")
                     .where(F.col("term").isNull() | F.col("_hit").isNotNull()).drop("_hit"))
-    post = exploded.groupBy("term", "docno", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # Lay the (deduplicated) postings out by document: scoring then sums a
-    # document's term contributions map-side, so only one row per
-    # (query, document) crosses the shuffle.
-    return post.repartition("docno")
+    # One shuffle lays the postings out by document (a document's tokens are
+    # bounded by its length, so no hot key): term frequencies are counted
+    # there, and scoring later sums a document's term contributions map-side,
+    # so only one row per (query, document) crosses the next shuffle.
+    return exploded.repartition("docno").groupBy("term", "docno", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
