@@ -7,10 +7,10 @@ Rules (fixed, documented in the README):
 * the mean runs over the judged queries of the qrels: a judged query a run
   misses counts 0, run queries without judgements are ignored.
 
-Plan shape: run LEFT JOIN qrels (qrels are small; AQE broadcasts them when
-its runtime size check allows) -> one window on (name, qid) -> one
-aggregate on the same keys (no new exchange) -> join per-query qrels
-statistics -> a tiny aggregate per run.
+Plan shape: run LEFT JOIN qrels (broadcast after a row-count check) ->
+positions inside (name, qid) (value slices by default, see
+``rank.ordered_positions``; or one window) -> one aggregate per (name, qid)
+-> join per-query qrels statistics -> a tiny aggregate per run.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
 from .rank import ideal_positions, ordered_positions, running_count
 
 _MEASURE_RE = re.compile(r"^(AP|nDCG|R|P|RR)(?:\(rel=(\d+)\))?(?:@(\d+))?$")
@@ -116,7 +117,9 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
     if "name" in by and "name" not in run.columns:
         run = run.withColumn("name", F.lit("run"))
     keys = list(by) + ["qid"]
-    qr = qrels.select("qid", "docno", F.col("relevance").cast("int").alias("relevance"))
+    # Judgements are small next to runs: broadcast them after a row count so
+    # the run is not shuffled for the join (beyond the bound: a shuffle join).
+    qr = broadcast_if_small(qrels.select("qid", "docno", F.col("relevance").cast("int").alias("relevance")))
     judged = run.select(*keys, "docno", F.col("score").cast("double").alias("score")).join(
         qr, ["qid", "docno"], "left")
     order = [F.col("score").desc(), F.col("docno").desc()]

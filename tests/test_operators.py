@@ -138,3 +138,27 @@ def test_bm25_small(spark):
         return np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
     assert run["a"] == pytest.approx(w(2, 3, 1) + w(1, 3, 2), abs=1e-9)
     assert run["b"] == pytest.approx(w(1, 2, 2), abs=1e-9)
+
+
+def test_empty_inputs(spark):
+    from taintrank.operators import losses, metrics
+    empty_run = spark.createDataFrame([], "qid string, docno string, score double")
+    qrels = spark.createDataFrame([("q1", "a", 1)], "qid string, docno string, relevance int")
+    w = metrics.evaluate(empty_run, qrels).collect()
+    assert w == []  # no run rows: no run name to report
+    pq = metrics.per_query(empty_run, qrels).collect()
+    assert pq == []
+    qv = spark.createDataFrame([], "qid string, vec array<double>")
+    dv = spark.createDataFrame([("d", [1.0])], "docno string, vec array<double>")
+    assert retrieval.dense_retrieve(qv, dv).count() == 0
+    g = spark.createDataFrame([], "pred array<double>, label array<double>")
+    assert losses.loss(g, "mse").collect()[0]["loss"] is None
+    assert rank.top_k(empty_run, 5).count() == 0
+    enc = scoring.encode(spark.createDataFrame([], "text string"), lambda: scoring.HashedBowEncoder(8), "text", "v")
+    assert enc.count() == 0
+
+
+def test_null_text_scores_zero(spark):
+    df = spark.createDataFrame([("q", None), (None, "t")], "query string, text string")
+    out = scoring.score_pairs(df, scoring.TokenOverlapScorer).collect()
+    assert [r["score"] for r in out] == [0.0, 0.0]
