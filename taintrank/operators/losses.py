@@ -258,3 +258,69 @@ def listwise_loss_long(df: DataFrame, name: str, group: Sequence[str], pos: str
     else:
         out = F.sum("_sum") / F.sum("_n")
     return per_group.agg(out.alias("loss"))
+
+
+def shared_negative_loss(positives: DataFrame, negatives: DataFrame, name: str, key: str = "qid",
+                         pred: str = "s", label: str = "t", temperature: float = 1.0,
+                         order: str = "docno") -> DataFrame:
+    """Listwise loss where every positive of a query forms a group with *all*
+    negatives of that query (F7 groups), without materialising positive x
+    negative pairs.
+
+    A group's softmax normaliser is ``exp(x_pos) + sum_neg exp(x_n)``, and the
+    group's loss splits into the positive's own term plus sums over the
+    query's negatives; those sums are one partial + final aggregate per
+    query, joined to the positives. Work is O(#positives + #negatives) and a
+    query with a third of all negatives is reduced map-side. Supports
+    ``kl_div`` (batchmean over groups), ``listnet`` and ``contrastive`` (mean
+    over groups; target = first label maximum, the positive first and the
+    negatives in ``order``), ``mse`` (mean over elements).
+    """
+    if name not in ("kl_div", "listnet", "contrastive", "mse"):
+        raise ValueError(f"Unknown loss for shared negatives: {name}")
+    T = temperature if name != "mse" else 1.0
+    s_n, t_n = F.col(pred).cast("double") / T, F.col(label).cast("double") / T
+    mx = negatives.groupBy(key).agg(F.max(s_n).alias("_ms"), F.max(t_n).alias("_mt"))
+    agg = negatives.join(mx, key).groupBy(key, "_ms", "_mt").agg(
+        F.count(F.lit(1)).alias("_k"),
+        F.sum(F.exp(s_n - F.col("_ms"))).alias("_zs"),
+        F.sum(F.exp(t_n - F.col("_mt"))).alias("_zt"),
+        F.sum(F.exp(t_n - F.col("_mt")) * (t_n - s_n)).alias("_a"),
+        F.sum(s_n).alias("_ss"), F.sum(t_n * s_n).alias("_ts"), F.sum(t_n).alias("_tt"),
+        F.sum(F.exp(t_n - F.col("_mt")) * s_n).alias("_es"),
+        F.sum(F.pow(F.col(pred).cast("double") - F.col(label).cast("double"), 2)).alias("_sq"),
+        F.min_by(s_n, F.struct(-t_n, F.col(order))).alias("_s_arg"),
+        F.bool_and((F.col(label) >= 0) & (F.col(label) <= 1)).alias("_unit"))
+    p = positives.join(agg, key)
+    sp, tp = F.col(pred).cast("double") / T, F.col(label).cast("double") / T
+    # group normalisers, shifted by the group maximum
+    ms = F.greatest(sp, F.col("_ms"))
+    mt = F.greatest(tp, F.col("_mt"))
+    zs = F.exp(sp - ms) + F.col("_zs") * F.exp(F.col("_ms") - ms)
+    zt = F.exp(tp - mt) + F.col("_zt") * F.exp(F.col("_mt") - mt)
+    lzs, lzt = ms + F.log(zs), mt + F.log(zt)
+    lsm_p = sp - lzs
+    if name == "contrastive":
+        target = F.when(tp >= F.col("_mt"), sp).otherwise(F.col("_s_arg"))
+        per, denom = -(target - lzs), F.count(F.lit(1))
+    elif name == "kl_div":
+        qp = F.exp(tp - lzt)
+        own = F.when(qp == 0, F.lit(0.0)).otherwise(qp * ((tp - lzt) - lsm_p))
+        # sum_n q_n (ln q_n - lsm_n) = e^{M_t - lzt} [A + (lzs - lzt) * Z_t]
+        neg = F.exp(F.col("_mt") - lzt) * (F.col("_a") + (lzs - lzt) * F.col("_zt"))
+        per, denom = own + neg, F.count(F.lit(1))
+    elif name == "listnet":
+        unit = positives.select(F.bool_and((F.col(label) >= 0) & (F.col(label) <= 1))).scalar()
+        p = p.withColumn("_all_unit", F.coalesce(unit, F.lit(True)) & F.coalesce(F.col("_unit"), F.lit(True)))
+        all_unit = p.select(F.bool_and("_all_unit")).scalar()
+        p = p.withColumn("_u", all_unit)
+        raw_lab = F.col(label).cast("double")
+        # labels as given: -(l_p lsm_p + sum_n l_n (s_n - lzs))
+        as_given = -(raw_lab * lsm_p + F.col("_ts") * T - lzs * F.col("_tt") * T)
+        # softmaxed labels q = exp(t - lzt): -(q_p lsm_p + e^{M_t - lzt} (sum_n e^{t_n - M_t} s_n - lzs Z_t))
+        soft = -(F.exp(tp - lzt) * lsm_p + F.exp(F.col("_mt") - lzt) * (F.col("_es") - lzs * F.col("_zt")))
+        per, denom = F.when(F.col("_u"), as_given).otherwise(soft), F.count(F.lit(1))
+    else:  # mse over all elements of all groups
+        per = F.pow(F.col(pred).cast("double") - F.col(label).cast("double"), 2) + F.col("_sq")
+        denom = F.sum(F.col("_k") + 1)
+    return p.agg((F.sum(per) / denom).alias("loss"))

@@ -522,33 +522,29 @@ def l16_loss_log(spark, d):
 
 @register("l7_kl_div_listwise")
 def l7_kl_div_listwise(spark, d):
-    return round_doubles(losses.listwise_loss_long(listwise_long(spark, d), "kl_div", ["query_id", "doc_id_a"]))
+    pos, neg = listwise_parts(spark, d)
+    return round_doubles(losses.shared_negative_loss(pos, neg, "kl_div", key="query_id"))
 
 
 @register("l10_listnet_listwise")
 def l10_listnet_listwise(spark, d):
-    return round_doubles(losses.listwise_loss_long(listwise_long(spark, d), "listnet", ["query_id", "doc_id_a"]))
+    pos, neg = listwise_parts(spark, d)
+    return round_doubles(losses.shared_negative_loss(pos, neg, "listnet", key="query_id"))
 
 
-def listwise_long(spark, d):
-    """F7 groups in long form: each positive with every negative of its query
-    (positions: positive 0, negatives 1.. in docno order), student ``s`` and
-    teacher ``t`` scores (J6 default 0). No group is collected into a row."""
+def listwise_parts(spark, d):
+    """F7 groups as (positives, negatives) of each query with student ``s`` and
+    teacher ``t`` scores (J6 default 0); queries without a negative dropped."""
     b = schema.binarize_relevance(fx.qrels(spark, d))
-    pos = b.where(F.col("relevance") == 1).select(F.col("qid").alias("query_id"), F.col("docno").alias("doc_id_a"))
-    neg = b.where(F.col("relevance") == 0).select(
-        F.col("qid").alias("query_id"), F.col("docno"),
-        F.row_number().over(Window.partitionBy("qid").orderBy("docno")).alias("i"))
-    long = (pos.select("query_id", "doc_id_a", F.col("doc_id_a").alias("docno"), F.lit(0).alias("i"))
-            .unionByName(pos.join(neg, "query_id").select("query_id", "doc_id_a", "docno", "i")))
-    long = long.join(neg.select("query_id").distinct(), "query_id", "left_semi")  # F7 needs a negative
     q, dv = fx.vectors(spark, d)
     q32, dv32 = fx.vectors(spark, d, 32)
-    allp = long.select(F.col("query_id").alias("qid"), "docno").distinct()
-    long = long.withColumn("qid", F.col("query_id"))
-    long = joins.attach_scores(long, rerank.vector_scores(allp, q, dv), as_col="t")
-    long = joins.attach_scores(long, rerank.vector_scores(allp, q32, dv32), as_col="s")
-    return long
+    judged = b.where(F.col("relevance").isin(0, 1)).select("qid", "docno", "relevance")
+    judged = joins.attach_scores(judged, rerank.vector_scores(judged, q, dv), as_col="t")
+    judged = joins.attach_scores(judged, rerank.vector_scores(judged, q32, dv32), as_col="s")
+    judged = judged.withColumnRenamed("qid", "query_id")
+    neg = judged.where(F.col("relevance") == 0)
+    pos = judged.where(F.col("relevance") == 1).join(neg.select("query_id").distinct(), "query_id", "left_semi")
+    return pos, neg
 
 
 @register("v_vector_functions")

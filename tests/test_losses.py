@@ -133,3 +133,22 @@ def test_long_form_equals_array_form(spark, name):
     a = value(losses.loss(frame(spark, G), name))
     b = value(losses.listwise_loss_long(long, name, ["g"]))
     assert b == pytest.approx(a, rel=1e-12)
+
+
+@pytest.mark.parametrize("name", ["kl_div", "listnet", "contrastive", "mse"])
+@pytest.mark.parametrize("labels_in_unit", [True, False])
+def test_shared_negatives_equal_explicit_groups(spark, name, labels_in_unit):
+    rng = np.random.default_rng(7)
+    scale = 1.0 if labels_in_unit else 4.0
+    pos = [("q1", "p1", 0.3, 0.9), ("q1", "p2", -1.2, 0.2), ("q2", "p3", 2.0, 0.5)]
+    neg = [("q1", f"n{i}", float(rng.normal()), float(rng.uniform(0, 1) * scale)) for i in range(5)] + \
+          [("q2", "m1", 0.1, 0.4 * scale)]
+    pdf = spark.createDataFrame(pos, "qid string, docno string, s double, t double")
+    ndf = spark.createDataFrame(neg, "qid string, docno string, s double, t double")
+    groups = []
+    for q, _, s, t in pos:
+        ns = [(x[2], x[3]) for x in neg if x[0] == q]
+        groups.append(([s] + [a for a, _ in ns], [t] + [b for _, b in ns]))
+    expected = value(losses.loss(frame(spark, groups), name))
+    got = value(losses.shared_negative_loss(pdf, ndf, name))
+    assert got == pytest.approx(expected, rel=1e-9)
