@@ -93,16 +93,21 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``taintrank`` importable in the Python workers (as ``--py-files`` would).
+    """Make ``taintrank`` importable in local Python workers (as ``--py-files`` would).
 
-    Zips the installed package once per SparkContext and registers it with
-    ``addPyFile``; Spark distributes it to every executor. Needed by the
-    ``mapInPandas`` scorers when the job was not submitted with the package.
+    Local sessions only: zips the package once per SparkContext and registers
+    it with ``addPyFile``. Needed by the ``mapInPandas`` scorers when the
+    session was started without the package on the workers' path.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    if not sc.master.startswith("local"):
+        # On a cluster the package travels with the job (``--py-files`` or an
+        # installed wheel); no driver-local folder is used.
+        _SHIPPED.add(key)
+        return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="taintrank-pkg-"), "taintrank.zip")
