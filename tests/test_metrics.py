@@ -82,3 +82,19 @@ def test_metric_bounds_on_events(spark):
     for k, v in w.items():
         if k != "name":
             assert 0.0 <= v <= 1.0, k
+
+
+def test_skew_safe_equals_window_on_hot_query(spark):
+    import random
+    rnd = random.Random(3)
+    run_rows = [("hot", f"d{i}", float(rnd.randint(0, 300))) for i in range(4000)]
+    run_rows += [(f"q{j}", f"d{i}", float(rnd.random())) for j in range(5) for i in range(30)]
+    qrels_rows = [("hot", f"d{i}", rnd.randint(0, 3)) for i in range(0, 4000, 7)]
+    qrels_rows += [(f"q{j}", f"d{i}", rnd.randint(0, 3)) for j in range(5) for i in range(0, 30, 3)]
+    run = spark.createDataFrame(run_rows, "qid string, docno string, score double")
+    qrels = spark.createDataFrame(qrels_rows, "qid string, docno string, relevance int")
+    a = metrics.evaluate(run, qrels, skew_safe=False).collect()[0].asDict()
+    b = metrics.evaluate(run, qrels, skew_safe=True, slice_rows=97).collect()[0].asDict()
+    for k in a:
+        if k != "name":
+            assert b[k] == pytest.approx(a[k], rel=1e-12), k
