@@ -162,3 +162,32 @@ def test_null_text_scores_zero(spark):
     df = spark.createDataFrame([("q", None), (None, "t")], "query string, text string")
     out = scoring.score_pairs(df, scoring.TokenOverlapScorer).collect()
     assert [r["score"] for r in out] == [0.0, 0.0]
+
+
+def test_scans_read_only_needed_columns(spark):
+    from taintrank.sources import fixtures as fx
+    d = "/root/testdata/sf0.001"
+    plan = retrieval.bm25(fx.queries(spark, d), fx.docs(spark, d))._jdf.queryExecution().executedPlan().toString()
+    plan += fx.qrels(spark, d)._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.split("\n") if "FileScan parquet" in ln or "ReadSchema" in ln]
+    assert scans
+    for ln in scans:
+        for unused in ("lang", "source", "n_chars"):
+            assert unused not in ln, ln
+
+
+def test_bm25_and_kl_repartition_invariant(spark):
+    from taintrank.operators import compare
+    from taintrank.sources import fixtures as fx
+    d = "/root/testdata/sf0.001"
+    q, docs = fx.queries(spark, d), fx.docs(spark, d)
+    base = sorted(map(tuple, retrieval.bm25(q, docs, budget=10).collect()))
+    for n in (1, 7, 50):
+        again = sorted(map(tuple, retrieval.bm25(q.repartition(n), docs.repartition(n), budget=10).collect()))
+        assert again == base
+    s = spark.createDataFrame([(f"q{i % 5}", f"d{i}", float(i % 7) - 2.5) for i in range(200)],
+                              "qid string, docno string, score double")
+    t = s.withColumn("score", F.col("score") * 0.5 + 3.0)
+    k0 = compare.kl_divergence(s, t).collect()[0]["kl"]
+    for n in (1, 7, 50):
+        assert compare.kl_divergence(s.repartition(n), t.repartition(n)).collect()[0]["kl"] == pytest.approx(k0, rel=1e-12)
