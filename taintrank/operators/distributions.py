@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .joins import broadcast_if_small
 from .rank import ecdf_skew_safe
 
 # seaborn's KDE defaults (grid points, cut in bandwidths).
@@ -42,91 +43,59 @@ def histogram(df: DataFrame, value: str = "score", by: str = "model_type",
 
 
 def exact_quantiles(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",),
-                    probs: Sequence[float] = (0.25, 0.5, 0.75), buckets: int = 4096,
-                    collect_limit: int = 50_000, max_rounds: int = 12) -> DataFrame:
-    """Exact linear-interpolated quantiles per group without sorting a group.
-
-    Distributed selection: for every needed order statistic, count values in
-    ``buckets`` equal-width buckets of its current value interval (one
-    aggregate over all targets at once), keep the bucket that holds the
-    rank, repeat. A bucket that is a single value, or has at most
-    ``collect_limit`` rows, is resolved directly. The driver only ever sees
-    bucket counts and at most ``collect_limit`` values per target.
+                    probs: Sequence[float] = (0.25, 0.5, 0.75), buckets: int = 1 << 16,
+                    rounds: int = 2) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, fully distributed.
+
+    Each needed order statistic (ranks floor/ceil of p (n-1)) is a row of a
+    small *target* table holding its current value interval. A round joins
+    the data to the targets, counts values in ``buckets`` equal-width buckets
+    of each interval (one aggregate), and a window over those counts keeps
+    the bucket that holds the rank. After ``rounds`` rounds the remaining
+    rows of each interval (few unless a group is one dense cluster of
+    distinct values) are numbered by a window to pick the exact value. No
+    group's values are gathered into one task or onto the driver.
     Returns ``by..., p, q``.
     """
-    spark = df.sparkSession
-    v = F.col(value)
-    base = df.where(v.isNotNull()).select(*by, v.cast("double").alias("_v"))
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"),
-                                  F.max("_v").alias("hi")).collect()  # one row per group
-    # target: (group key tuple, rank) -> [lo, hi, rank offset below lo]
-    targets: dict[tuple, list] = {}
-    for row in stats:
-        key = tuple(row[b] for b in by)
-        for p in probs:
-            h = p * (row["n"] - 1)
-            for r in {math.floor(h), math.ceil(h)}:
-                targets[(key, r)] = [row["lo"], row["hi"], 0]
-    found: dict[tuple, float] = {}
-    key_fields = [T.StructField(b, base.schema[b].dataType) for b in by]
-    schema = T.StructType(key_fields + [T.StructField("_t", T.LongType()),
-                                        T.StructField("_lo", T.DoubleType()),
-                                        T.StructField("_hi", T.DoubleType())])
-    for _ in range(max_rounds):
-        active = {t: s for t, s in targets.items() if t not in found}
-        if not active:
-            break
-        ids = list(active)
-        for t in ids:
-            lo, hi, _ = active[t]
-            if lo == hi:
-                found[t] = lo
-        ids = [t for t in ids if t not in found]
-        if not ids:
-            break
-        tdf = spark.createDataFrame(
-            [(*t[0], i, active[t][0], active[t][1]) for i, t in enumerate(ids)], schema)
-        inside = base.join(F.broadcast(tdf), list(by)).where(
-            (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    by = list(by)
+    v = F.col(value).cast("double")
+    base = df.where(F.col(value).isNotNull()).select(*by, v.alias("_v"))
+    st = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    wanted = st.select(*by, "_n", "_lo", "_hi", F.explode(ps).alias("p")).withColumn(
+        "_h", F.col("p") * (F.col("_n") - 1))
+    ranks = wanted.select(*by, "_lo", "_hi", F.explode(F.array_distinct(F.array(
+        F.floor("_h").cast("long"), F.ceil("_h").cast("long")))).alias("_r")).distinct()
+    # The target table is re-read from a written table each round: its file
+    # statistics let the planner broadcast it when (and only when) it is small.
+    state = cut_lineage(ranks.select(*by, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_base")),
+                        "quantile_targets")
+    for _ in range(rounds):
+        inside = base.join(state, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = (F.col("_hi") - F.col("_lo")) / buckets
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1)).cast("long")
-        hist = inside.groupBy("_t", bucket.alias("_b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).collect()
-        per: dict[int, list] = {}
-        for h in hist:
-            per.setdefault(h["_t"], []).append((h["_b"], h["c"], h["mn"], h["mx"]))
-        small = []
-        for i, t in enumerate(ids):
-            rank = t[1] - active[t][2]
-            seen = 0
-            for b, c, mn, mx in sorted(per.get(i, [])):
-                if rank < seen + c:
-                    targets[t] = [mn, mx, active[t][2] + seen]
-                    if mn == mx:
-                        found[t] = mn
-                    elif c <= collect_limit:
-                        small.append((i, t))
-                    break
-                seen += c
-        if small:
-            sel = spark.createDataFrame(
-                [(*t[0], i, targets[t][0], targets[t][1]) for i, t in small], schema)
-            vals = base.join(F.broadcast(sel), list(by)).where(
-                (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).groupBy("_t").agg(
-                F.sort_array(F.collect_list("_v")).alias("vs")).collect()  # <= collect_limit each
-            got = {r["_t"]: r["vs"] for r in vals}
-            for i, t in small:
-                found[t] = got[i][t[1] - targets[t][2]]
-    rows = []
-    for row in stats:
-        key = tuple(row[b] for b in by)
-        for p in probs:
-            h = p * (row["n"] - 1)
-            a, b = found[(key, math.floor(h))], found[(key, math.ceil(h))]
-            rows.append((*key, float(p), a + (h - math.floor(h)) * (b - a)))
-    out_schema = T.StructType(key_fields + [T.StructField("p", T.DoubleType()),
-                                            T.StructField("q", T.DoubleType())])
-    return spark.createDataFrame(rows, out_schema)
+        bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
+            F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("long")
+        counts = inside.groupBy(*by, "_r", "_base", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+        w = Window.partitionBy(*by, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("_cum", F.sum("_c").over(w))
+        pos = F.col("_r") - F.col("_base")
+        state = counts.where((pos < F.col("_cum")) & (pos >= F.col("_cum") - F.col("_c"))).select(
+            *by, "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
+            (F.col("_base") + F.col("_cum") - F.col("_c")).alias("_base"))
+        state = cut_lineage(state, "quantile_targets")  # a few rows per group; keeps rounds independent
+        if state.where(F.col("_lo") != F.col("_hi")).isEmpty():
+            break
+    # exact pick inside each remaining interval
+    inside = base.join(state, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    w = Window.partitionBy(*by, "_r").orderBy("_v")
+    picked = (inside.withColumn("_k", F.row_number().over(w) - 1)
+              .where(F.col("_k") == F.col("_r") - F.col("_base")).select(*by, "_r", F.col("_v").alias("_x")))
+    lo = picked.select(*by, F.col("_r").alias("_rl"), F.col("_x").alias("_a"))
+    hi = picked.select(*by, F.col("_r").alias("_rh"), F.col("_x").alias("_b"))
+    out = (wanted.select(*by, "p", "_h", F.floor("_h").cast("long").alias("_rl"), F.ceil("_h").cast("long").alias("_rh"))
+           .join(lo, [*by, "_rl"]).join(hi, [*by, "_rh"]))
+    return out.select(*by, "p", (F.col("_a") + (F.col("_h") - F.col("_rl")) * (F.col("_b") - F.col("_a"))).alias("q"))
 
 
 def box_stats(df: DataFrame, value: str = "score", by: str = "model_type",
@@ -135,7 +104,7 @@ def box_stats(df: DataFrame, value: str = "score", by: str = "model_type",
     q = exact_quantiles(df, value, [by], (0.25, 0.5, 0.75))
     wide = q.groupBy(by).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q")).toDF(by, "q1", "median", "q3")
     v = F.col(value)
-    j = df.join(F.broadcast(wide), by)  # one row per group
+    j = df.join(broadcast_if_small(wide), by)  # one row per group
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
     return j.groupBy(by, "q1", "median", "q3").agg(
@@ -159,7 +128,7 @@ def kde(df: DataFrame, value: str = "score", by: str = "model_type", grid: int =
     width = (F.col("hi") - F.col("lo")) / bins
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((v - F.col("lo")) / width), F.lit(bins - 1))).cast("long")
-    binned = (df.where(F.col(value).isNotNull()).join(F.broadcast(st), by)
+    binned = (df.where(F.col(value).isNotNull()).join(broadcast_if_small(st), by)
               .groupBy(by, idx.alias("b"), "n", "sd", "lo", "hi")
               .agg(F.count(F.lit(1)).alias("c"))
               .withColumn("x", F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / bins))

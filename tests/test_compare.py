@@ -84,7 +84,7 @@ def test_exact_quantiles_with_refinement(spark):
     df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", 1.0), ("h", 2.0)],
                                "model_type string, score double")
     q = {(r["model_type"], r["p"]): r["q"] for r in distributions.exact_quantiles(
-        df, probs=(0.1, 0.25, 0.5, 0.75, 0.99), buckets=8, collect_limit=20).collect()}
+        df, probs=(0.1, 0.25, 0.5, 0.75, 0.99), buckets=8, rounds=2).collect()}
     for p in (0.1, 0.25, 0.5, 0.75, 0.99):
         assert q[("g", p)] == pytest.approx(np.percentile(vals, p * 100), abs=1e-12)
     assert q[("h", 0.5)] == pytest.approx(1.5)
