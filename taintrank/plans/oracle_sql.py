@@ -343,7 +343,8 @@ ORACLE.update({
         "var_samp(score) FILTER (WHERE model_type = 'student') AS v2 FROM sample_ld)", "sample_ld"),
     "g5_kl_divergence": _sql(
         "SELECT round(avg(CASE WHEN s_sum <> 0 AND t_sum <> 0 THEN kl END), 6) AS kl, "
-        "count_if(s_sum <> 0 AND t_sum <> 0) AS n_matched, count_if(s_sum = 0 OR t_sum = 0) AS n_skipped FROM kl_pq",
+        "CAST(count_if(s_sum <> 0 AND t_sum <> 0) AS BIGINT) AS n_matched, "
+        "CAST(count_if(s_sum = 0 OR t_sum = 0) AS BIGINT) AS n_skipped FROM kl_pq",
         "kl_pq"),
     "g5_kl_per_query": _sql(
         "SELECT qid, n_docs, round(s_sum, 6) AS s_sum, round(t_sum, 6) AS t_sum, round(kl, 6) AS kl FROM kl_pq",
@@ -365,8 +366,8 @@ ORACLE.update({
         "SELECT qid, docno, relevance, CAST(row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, docno ASC) "
         "AS INTEGER) AS ipos FROM f_qrels", "f_qrels"),
     "w6_running_relevant": _sql(
-        "SELECT r.qid, r.docno, row_number() OVER w AS pos, sum(CASE WHEN q.relevance >= 1 THEN 1 ELSE 0 END) OVER w "
-        "AS cum_rel FROM f_event_run r LEFT JOIN f_event_qrels q ON r.qid = q.qid AND r.docno = q.docno "
+        "SELECT r.qid, r.docno, row_number() OVER w AS pos, "
+        "CAST(sum(CASE WHEN q.relevance >= 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS cum_rel FROM f_event_run r LEFT JOIN f_event_qrels q ON r.qid = q.qid AND r.docno = q.docno "
         "WINDOW w AS (PARTITION BY r.qid ORDER BY r.score DESC, r.docno DESC ROWS BETWEEN UNBOUNDED PRECEDING AND "
         "CURRENT ROW)", "f_event_run", "f_event_qrels"),
     "k1_bm25_top100": _sql("SELECT qid, docno, round(score, 6) AS score, rank FROM bm25_run", "bm25_run"),
@@ -493,7 +494,7 @@ ORACLE["b2_box_stats"] = (
     "SELECT s.model_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
     "round(min(CASE WHEN score >= q1 - 1.5 * (q3 - q1) THEN score END), 6) AS whisker_lo, "
     "round(max(CASE WHEN score <= q3 + 1.5 * (q3 - q1) THEN score END), 6) AS whisker_hi, "
-    "count_if(score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS n_outliers "
+    "CAST(count_if(score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers "
     "FROM f_sample s JOIN q ON s.model_type = q.model_type GROUP BY s.model_type, q1, median, q3")
 
 ORACLE["b3_kde"] = (
