@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import cut_lineage
-from .joins import broadcast_if_small
+from .joins import BROADCAST_MAX_ROWS, broadcast_if_small
 from .rank import DEFAULT_BUDGET, top_k
 
 # The reference's BM25 parameters.
@@ -29,7 +29,7 @@ BM25_B = 0.75
 SCORE_DIGITS = 9
 
 
-def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None, vocab_rows: int | None = None) -> DataFrame:
     """Postings ``term, docno, tf, dl`` plus one ``term = null`` row per document.
 
     Each document is tokenised exactly once: the token array is exploded
@@ -44,7 +44,9 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     exploded = toks.select("docno", F.size("toks").alias("dl"), F.explode_outer(
         F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
     if vocab is not None:
-        v = broadcast_if_small(vocab.select("term", F.lit(True).alias("_hit")))
+        v = vocab.select("term", F.lit(True).alias("_hit"))
+        v = broadcast_if_small(v) if vocab_rows is None else (
+            F.broadcast(v) if vocab_rows <= BROADCAST_MAX_ROWS else v)
         exploded = (exploded.join(v, "term", "left")
                     .where(F.col("term").isNull() | F.col("_hit").isNotNull()).drop("_hit"))
     # One shuffle lays the postings out by document (a document's tokens are
@@ -71,9 +73,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     qterms = (queries.select("qid", F.explode(tokens("query")).alias("term"))
               .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qterms.select("term").distinct()
+    # One count bounds both small sides: vocabulary and weights have at most
+    # as many rows as (query, term) pairs.
+    n_qterms = qterms.count()
+    small = n_qterms <= BROADCAST_MAX_ROWS
     # The postings feed four consumers (N, avgdl, df, scores): materialise them
     # once in the shared checkpoint folder instead of re-tokenising per job.
-    post_all = cut_lineage(bm25_postings(docs, vocab), "bm25_postings")
+    post_all = cut_lineage(bm25_postings(docs, vocab, n_qterms), "bm25_postings")
     markers = post_all.where(F.col("term").isNull())
     n_docs = markers.select(F.count(F.lit(1)).cast("double")).scalar()
     avgdl = markers.select(F.avg("dl")).scalar()
@@ -82,7 +88,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     weights = qterms.join(dfreq, "term").select(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("w"))
-    contrib = post.join(broadcast_if_small(weights), "term").select(
+    contrib = post.join(F.broadcast(weights) if small else weights, "term").select(
         "qid", "docno",
         (F.col("w") * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("c"))
