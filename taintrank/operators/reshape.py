@@ -91,11 +91,13 @@ def group_rows(triples: DataFrame, group_size: int = 2, seed: int = sampling.DEF
     t = triples.withColumn("gid", F.monotonically_increasing_id()) if "gid" not in triples.columns \
         else triples
     salt = F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id_a").cast("string"))
-    if is_list:
+    if group_size == 1:
+        negs = F.array().cast("array<string>")  # a group of one holds only the positive
+    elif is_list:
         negs = F.transform("doc_id_b", lambda x: x.cast("string"))
         if group_size > 2:
             negs = sampling.sample_array(negs, group_size - 1, seed, salt)
-        elif group_size == 2:
+        else:
             negs = F.array(sampling.choose_one(negs, seed, salt))
     else:
         negs = F.array(F.col("doc_id_b").cast("string"))

@@ -14,14 +14,18 @@ from ..operators.metrics import DEFAULT_MEASURES, with_measure_labels
 RUN_SCHEMA = "qid string, iter string, docno string, rank int, score double, tag string"
 
 
-def read_run(spark: SparkSession, path: str, name_from_file: bool = False) -> DataFrame:
-    """``qid Q0 docno rank score tag`` lines; ``*.trec`` only for directories.
+def read_run(spark: SparkSession, path: str, name_from_file: bool = False,
+             glob: str | None = "*.trec") -> DataFrame:
+    """``qid Q0 docno rank score tag`` lines from the files matching
+    ``glob`` (``None`` reads every file, e.g. one run file with another suffix).
 
     With ``name_from_file`` a ``name`` column holds the file name without the
     ``.trec`` suffix (only the suffix is removed).
     """
-    df = (spark.read.option("sep", " ").option("pathGlobFilter", "*.trec")
-          .schema(RUN_SCHEMA).csv(path))
+    r = spark.read.option("sep", " ").schema(RUN_SCHEMA)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    df = r.csv(path)
     if name_from_file:
         df = df.withColumn("name", F.regexp_replace(F.col("_metadata.file_name"), r"\.trec$", ""))
     return df

@@ -191,3 +191,12 @@ def test_bm25_and_kl_repartition_invariant(spark):
     k0 = compare.kl_divergence(s, t).collect()[0]["kl"]
     for n in (1, 7, 50):
         assert compare.kl_divergence(s.repartition(n), t.repartition(n)).collect()[0]["kl"] == pytest.approx(k0, rel=1e-12)
+
+
+def test_group_rows_sizes(spark):
+    t = spark.createDataFrame([("q", "p", ["n1", "n2", "n3"])], "query_id string, doc_id_a string, doc_id_b array<string>")
+    sizes = {g: reshape.group_rows(t, group_size=g).collect()[0]["docnos"] for g in (1, 2, 3, 4)}
+    assert sizes[1] == ["p"] and len(sizes[2]) == 2 and len(sizes[3]) == 3 and len(sizes[4]) == 4
+    assert sizes[2][0] == "p" and set(sizes[4][1:]) == {"n1", "n2", "n3"}
+    lw = reshape.group_rows(t, group_size=3, include_positive=False).collect()[0]["docnos"]
+    assert len(lw) == 2 and "p" not in lw
