@@ -18,7 +18,7 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import (compare, distributions, joins, losses, metrics, rank, reshape, retrieval,
                          sampling, schema, scoring, setops)
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import jsonio, trec
 from ..sources import profile as profile_io
@@ -631,9 +631,10 @@ def s12_s13_trec_run(spark, d):
 
 
 def features(spark, d, dims=None, pairs_df=None):
+    """Pair features, written once as a table: every fit iterates over them."""
     q, dv = fx.vectors(spark, d, dims)
     p = pairs_df if pairs_df is not None else pairs(spark, d)
-    return distill.pair_features(p, fx.queries(spark, d), fx.docs(spark, d), q, dv)
+    return cut_lineage(distill.pair_features(p, fx.queries(spark, d), fx.docs(spark, d), q, dv), "features")
 
 
 def _coef_frame(spark, model):
@@ -674,15 +675,24 @@ def t4_student_argmax(spark, d):
 
 @register("t5_contamination_report")
 def t5_contamination_report(spark, d):
-    """Teachers trained on clean vs contaminated triples re-rank BM25 top-100;
-    judged on the leaked queries (their qrels entered the contaminated arm)."""
-    cand = bm25_run(spark, d).select("qid", "docno")
-    feats = features(spark, d, pairs_df=cand)
+    """The experiment matrix {clean, contaminated} x {teacher, student}: teachers
+    trained on clean vs contaminated triples, students distilled (KL) from each
+    teacher on the same triples; all re-rank BM25 top-100 and are judged on the
+    leaked queries (their qrels entered the contaminated arm)."""
+    cand = cut_lineage(bm25_run(spark, d).select("qid", "docno"), "candidates")
+    feats_t = features(spark, d, pairs_df=cand)
+    feats_s = features(spark, d, 32, pairs_df=cand)
+    train_t, train_s = features(spark, d), features(spark, d, 32)
     runs = None
     for arm in ("clean", "contaminated"):
-        scored = distill.apply_linear(feats, _teacher_model(spark, d, arm))
-        r = scored.withColumn("name", F.lit("teacher")).withColumn("arm", F.lit(arm))
-        runs = r if runs is None else runs.unionByName(r)
+        t = triples(spark, d)
+        if arm == "clean":
+            t = t.where(F.col("origin") == "clean")
+        teacher = distill.train_teacher(t, train_t, reg=0.01)
+        student = distill.train_student_kl(t, train_s, distill.apply_linear(train_t, teacher), reg=0.01)
+        for name, model, feats in (("teacher", teacher, feats_t), ("student", student, feats_s)):
+            r = distill.apply_linear(feats, model).withColumn("name", F.lit(name)).withColumn("arm", F.lit(arm))
+            runs = r if runs is None else runs.unionByName(r)
     leaked = triples(spark, d).where(F.col("origin") == "leaked").select(F.col("query_id").alias("qid"))
     test_qrels = fx.qrels(spark, d).join(leaked, "qid", "left_semi")
     return round_doubles(report.metric_report(runs, test_qrels))
