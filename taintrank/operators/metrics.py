@@ -156,7 +156,7 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
             aggs[m.column] = F.min(F.when(is_rel & inside, pos))
     per = judged.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
 
-    stats = qrels_stats(qrels, ms)
+    stats = broadcast_if_small(qrels_stats(qrels, ms))  # one row per judged query
     per = per.join(stats, "qid", "inner")
     out = []
     for m in ms:

@@ -98,6 +98,8 @@ def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending:
     frac = (F.col("_hi") - v) / span if descending else (v - F.col("_lo")) / span
     sl = F.when((F.col("_ns") <= 1) | (span == 0), F.lit(0)).otherwise(
         F.least(F.floor(frac * F.col("_ns")), F.col("_ns") - 1)).cast("long")
+    # The per-group table is computed inside the same query; AQE measures it at
+    # runtime and broadcasts it when small, else splits a skewed partition.
     parts = df.join(stats.select(*by, "_ns", "_lo", "_hi"), list(by)).withColumn("_slice", sl)
     order = [v.desc() if descending else v.asc(), *tie_order]
     local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(
