@@ -182,7 +182,10 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEAS
         run = run.withColumn("name", F.lit("run"))
     pq = per_query(run, qrels, ms, by, skew_safe, slice_rows)
     n_judged = qrels.select(F.count_distinct("qid").cast("double")).scalar()
-    sums = pq.groupBy(*by).agg(*[F.sum(m.column).alias(m.column) for m in ms]).withColumn("_nj", n_judged)
+    sums = pq.groupBy(*by).agg(*[F.sum(m.column).alias(m.column) for m in ms])
+    # a run that retrieved no judged query still gets its row of zeros
+    names = run.select(*by).distinct()
+    sums = names.join(sums, list(by), "left").fillna(0.0, [m.column for m in ms]).withColumn("_nj", n_judged)
     return sums.select(*by, *[(F.col(m.column) / F.col("_nj")).alias(m.column) for m in ms])
 
 

@@ -121,9 +121,14 @@ m_pq AS (SELECT {', '.join(f'a.{b}' for b in by)}, a.qid,
 m_nj AS (SELECT count(DISTINCT qid) AS nj FROM {qrels})"""
 
 
-def metric_mean_select(by: Sequence[str] = ("name",)) -> str:
-    cols = ", ".join(f"round(sum({c}) / (SELECT nj FROM m_nj), 6) AS {c}" for c in DEFAULT_COLUMNS)
-    return f"SELECT {', '.join(by)}, {cols} FROM m_pq GROUP BY {', '.join(by)}"
+def metric_mean_select(by: Sequence[str] = ("name",), run: str = "m_run") -> str:
+    """Mean over judged queries; a run without any judged query reports zeros."""
+    keys = ", ".join(by)
+    cols = ", ".join(f"round(coalesce(sum(p.{c}), 0) / (SELECT nj FROM m_nj), 6) AS {c}" for c in DEFAULT_COLUMNS)
+    on = " AND ".join(f"n.{b} = p.{b}" for b in by)
+    sel = ", ".join(f"n.{b}" for b in by)
+    return (f"SELECT {sel}, {cols} FROM (SELECT DISTINCT {keys} FROM {run}) n LEFT JOIN m_pq p ON {on} "
+            f"GROUP BY {sel}")
 
 
 def metrics_query(run_cte_body: str, qrels_cte: str, base_ctes: Sequence[str],
