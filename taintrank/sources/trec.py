@@ -48,6 +48,25 @@ def write_run(run: DataFrame, path: str, tag: str = "taintrank", overwrite: bool
     format_run(r, tag).write.mode("overwrite" if overwrite else "ignore").text(path)
 
 
+def write_runs(runs: DataFrame, path: str, tag: str = "taintrank", overwrite: bool = True) -> None:
+    """S13 for many runs at once: one ``name=<run>/`` folder per run (a single
+    write job partitioned by ``name``), lines in run format."""
+    lines = runs.select("name", F.concat_ws(" ", F.col("qid"), F.lit("Q0"), F.col("docno"),
+                                            F.col("rank").cast("string"), F.col("score").cast("string"),
+                                            F.lit(tag)).alias("value"))
+    (lines.repartition("name").sortWithinPartitions("name", "value").write
+     .mode("overwrite" if overwrite else "ignore").partitionBy("name").text(path))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """S14 for the ``write_runs`` layout: all runs in one scan, ``name`` from the folder."""
+    lines = spark.read.text(path)
+    f = F.split("value", " ")
+    return lines.select(F.col("name").cast("string").alias("name"), f[0].alias("qid"), f[1].alias("iter"),
+                        f[2].alias("docno"), f[3].cast("int").alias("rank"), f[4].cast("double").alias("score"),
+                        f[5].alias("tag"))
+
+
 def write_metrics(wide: DataFrame, path: str, measures=DEFAULT_MEASURES, overwrite: bool = True) -> None:
     """Tab-separated metric table with a header and a fixed column order."""
     (with_measure_labels(wide, measures).coalesce(1).write

@@ -106,3 +106,14 @@ def test_profile_and_collection(spark, tmp_out):
     spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(path)
     c = triples.read_collection(spark, docs=path)
     assert c["docs"].columns == ["docno", "text"] and c["docs"].collect()[0]["docno"] == "1"
+
+
+def test_many_runs_written_and_read_in_one_scan(spark, tmp_out):
+    runs = spark.createDataFrame([("teacher", "q1", "a", 0, 2.0), ("teacher", "q1", "b", 1, 1.0),
+                                  ("student", "q1", "b", 0, 0.5)],
+                                 "name string, qid string, docno string, rank int, score double")
+    path = os.path.join(tmp_out, "runs_layout")
+    trec.write_runs(runs, path)
+    back = trec.read_runs(spark, path)
+    got = sorted((r["name"], r["docno"], r["rank"], r["score"]) for r in back.collect())
+    assert got == [("student", "b", 0, 0.5), ("teacher", "a", 0, 2.0), ("teacher", "b", 1, 1.0)]
