@@ -129,7 +129,7 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
             judged = judged.withColumn(f"_f{r}", F.coalesce(F.col("relevance") >= r, F.lit(False)).cast("long"))
         judged = ordered_positions(judged, keys, "score", descending=True, tie_order=[F.col("docno").desc()],
                                    sums=[(None, "pos")] + [(f"_f{r}", f"_cr{r}") for r in rel_levels],
-                                   slice_rows=slice_rows)
+                                   slice_rows=slice_rows, tie_key=("docno", True))
     else:
         w = Window.partitionBy(*keys).orderBy(*order)
         judged = judged.withColumn("pos", F.row_number().over(w))

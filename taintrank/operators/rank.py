@@ -77,7 +77,7 @@ def running_count(flag: Column, order: Window) -> Column:
 
 def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool,
                       tie_order: Sequence[Column] = (), sums: Sequence[tuple[str | None, str]] = ((None, "pos"),),
-                      slice_rows: int = 1_000_000) -> DataFrame:
+                      slice_rows: int = 1_000_000, tie_key: tuple[str, bool] | None = None) -> DataFrame:
     """Skew-safe running counts / running sums inside ``by`` ordered by a
     numeric ``value`` (then ``tie_order``, which must make the order total).
 
@@ -88,8 +88,11 @@ def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending:
     slices (a pure function of the data and the group's min/max, so every
     consumer sees the same slices), each slice runs its own window, and a
     small per-(group, slice) totals table gives each slice its offset.
-    Equal values always share a slice, so the order is exact; a group whose
-    rows pile onto a single value stays in one slice.
+    Equal values always share a slice, so the order is exact. ``tie_key``
+    (string column, descending?) names the first tie-break key: a slice that
+    still holds more than ``slice_rows`` rows of one single value is cut
+    again by an order-preserving number made of the key's first 7 bytes, so
+    a group piled onto one value is split as well.
     """
     v = F.col(value).cast("double")
     stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
@@ -101,20 +104,39 @@ def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending:
     # The per-group table is computed inside the same query; AQE measures it at
     # runtime and broadcasts it when small, else splits a skewed partition.
     parts = df.join(stats.select(*by, "_ns", "_lo", "_hi"), list(by)).withColumn("_slice", sl)
+    if tie_key is not None:
+        kcol, kdesc = tie_key
+        # big-endian value of the key's first 7 bytes: byte order == numeric order
+        key = F.conv(F.substring(F.rpad(F.hex(F.col(kcol).cast("string")), 14, "0"), 1, 14), 16, 10).cast("long")
+        parts = parts.withColumn("_key", key)
+        per = parts.groupBy(*by, "_slice").agg(
+            F.count(F.lit(1)).alias("_c"), F.min(v).alias("_vmn"), F.max(v).alias("_vmx"),
+            F.min("_key").alias("_kmn"), F.max("_key").alias("_kmx"))
+        split = (F.col("_c") > slice_rows) & (F.col("_vmn") == F.col("_vmx")) & (F.col("_kmx") > F.col("_kmn"))
+        per = per.select(*by, "_slice", "_kmn", "_kmx", F.when(split, F.ceil(F.col("_c") / F.lit(float(slice_rows))))
+                         .otherwise(F.lit(1)).alias("_nsub"))
+        kspan = (F.col("_kmx") - F.col("_kmn")).cast("double")
+        kfrac = ((F.col("_kmx") - F.col("_key")) if kdesc else (F.col("_key") - F.col("_kmn"))).cast("double") / kspan
+        sub = F.when(F.col("_nsub") <= 1, F.lit(0)).otherwise(
+            F.least(F.floor(kfrac * F.col("_nsub")), F.col("_nsub") - 1)).cast("long")
+        parts = (parts.join(per, [*by, "_slice"]).withColumn("_sub", sub)
+                 .drop("_key", "_kmn", "_kmx", "_nsub"))
+    else:
+        parts = parts.withColumn("_sub", F.lit(0).cast("long"))
     order = [v.desc() if descending else v.asc(), *tie_order]
-    local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(
+    local = Window.partitionBy(*by, "_slice", "_sub").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for k, (wname, _) in enumerate(sums):
         wv = F.lit(1).cast("long") if wname is None else F.col(wname)
         parts = parts.withColumn(f"_w{k}", wv).withColumn(f"_l{k}", F.sum(f"_w{k}").over(local))
-    totals = parts.groupBy(*by, "_slice").agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in range(len(sums))])
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_slice", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_o{k}")
-                                            for k in range(len(sums))])
-    res = parts.join(offsets, [*by, "_slice"])
+    totals = parts.groupBy(*by, "_slice", "_sub").agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in range(len(sums))])
+    before = Window.partitionBy(*by).orderBy("_slice", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_slice", "_sub", *[
+        F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(sums))])
+    res = parts.join(offsets, [*by, "_slice", "_sub"])
     for k, (_, oname) in enumerate(sums):
         res = res.withColumn(oname, F.col(f"_l{k}") + F.col(f"_o{k}"))
-    return res.drop("_slice", "_ns", "_lo", "_hi", *[f"_{x}{k}" for k in range(len(sums)) for x in "wlo"])
+    return res.drop("_slice", "_sub", "_ns", "_lo", "_hi", *[f"_{x}{k}" for k in range(len(sums)) for x in "wlo"])
 
 
 def ecdf_skew_safe(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",)) -> DataFrame:

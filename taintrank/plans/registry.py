@@ -371,7 +371,8 @@ def w6_running_relevant(spark, d):
     run = run.withColumn("_rel", rel.cast("long"))
     # small slices so the sf0.01 data already runs through several slices per query
     cum = rank.ordered_positions(run, ["qid"], "score", descending=True, tie_order=[F.col("docno").desc()],
-                                 sums=[(None, "pos"), ("_rel", "cum_rel")], slice_rows=4)
+                                 sums=[(None, "pos"), ("_rel", "cum_rel")], slice_rows=4,
+                                 tie_key=("docno", True))
     return cum.select("qid", "docno", "pos", "cum_rel")
 
 

@@ -122,3 +122,18 @@ def test_skew_safe_positions_match_window(spark):
     w = Window.partitionBy("qid").orderBy(*order)
     exp = {(r["qid"], r["docno"]): r["p"] for r in df.withColumn("p", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_skew_safe_positions_split_a_hot_tie(spark):
+    from pyspark.sql import Window
+    from taintrank.operators.rank import ordered_positions
+    # one query whose 3000 rows share a single score, plus docnos of varying length
+    rows = [("hot", f"{i}", 1.0) for i in range(3000)] + [("hot", f"x{i}", 2.0) for i in range(10)] + \
+        [("cold", "a", 0.5), ("cold", "b", 0.5)]
+    df = spark.createDataFrame(rows, "qid string, docno string, score double")
+    order = [F.col("score").desc(), F.col("docno").desc()]
+    got = ordered_positions(df, ["qid"], "score", True, [F.col("docno").desc()], slice_rows=100,
+                            tie_key=("docno", True))
+    w = Window.partitionBy("qid").orderBy(*order)
+    exp = {(r["qid"], r["docno"]): r["p"] for r in df.withColumn("p", F.row_number().over(w)).collect()}
+    assert {(r["qid"], r["docno"]): r["pos"] for r in got.collect()} == exp
