@@ -88,14 +88,27 @@ def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending:
     slices (a pure function of the data and the group's min/max, so every
     consumer sees the same slices), each slice runs its own window, and a
     small per-(group, slice) totals table gives each slice its offset.
-    Equal values always share a slice, so the order is exact. ``tie_key``
+    When no group exceeds ``slice_rows`` (checked by one aggregate job) the
+    plain per-group window is used. Equal values always share a slice, so the
+    order is exact. ``tie_key``
     (string column, descending?) names the first tie-break key: a slice that
     still holds more than ``slice_rows`` rows of one single value is cut
     again by an order-preserving number made of the key's first 7 bytes, so
     a group piled onto one value is split as well.
     """
     v = F.col(value).cast("double")
+    order = [v.desc() if descending else v.asc(), *tie_order]
     stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    # One small job decides the plan: if no group exceeds ``slice_rows`` a
+    # plain window per group is already bounded, so no slicing is planned.
+    largest = stats.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= slice_rows:
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df
+        for wname, oname in sums:
+            wv = F.lit(1).cast("long") if wname is None else F.col(wname)
+            out = out.withColumn(oname, F.sum(wv).over(whole))
+        return out
     stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / F.lit(float(slice_rows))), F.lit(1)))
     span = F.col("_hi") - F.col("_lo")
     frac = (F.col("_hi") - v) / span if descending else (v - F.col("_lo")) / span
@@ -123,7 +136,6 @@ def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending:
                  .drop("_key", "_kmn", "_kmx", "_nsub"))
     else:
         parts = parts.withColumn("_sub", F.lit(0).cast("long"))
-    order = [v.desc() if descending else v.asc(), *tie_order]
     local = Window.partitionBy(*by, "_slice", "_sub").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for k, (wname, _) in enumerate(sums):
