@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import broadcast_if_small
 from .rank import ideal_positions, ordered_positions, running_count
 
@@ -127,6 +128,9 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
     if skew_safe:
         for r in rel_levels:
             judged = judged.withColumn(f"_f{r}", F.coalesce(F.col("relevance") >= r, F.lit(False)).cast("long"))
+        # The group-size check and the ranking both read the judged run: write it
+        # once (the run may come from an expensive retriever) and read it back.
+        judged = cut_lineage(judged, "judged_run")
         judged = ordered_positions(judged, keys, "score", descending=True, tie_order=[F.col("docno").desc()],
                                    sums=[(None, "pos")] + [(f"_f{r}", f"_cr{r}") for r in rel_levels],
                                    slice_rows=slice_rows, tie_key=("docno", True))
