@@ -89,6 +89,42 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator call, under the shared checkpoint folder.
+
+    ``table`` writes a frame once and reads it back; ``drop`` deletes tables that
+    nothing reads any more (through Hadoop's file system, so any store works).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+        self._count = 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self._count += 1
+        path = os.path.join(self.root, f"{self._count:03d}-{name}")
+        df.write.mode("overwrite").parquet(path)
+        # the schema is known: reading needs no footer job
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables behind ``frames``; only once every reader has finished."""
+        for df in frames:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                delete_path(self.spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lives on."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _SHIPPED: set[int] = set()
 
 
