@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintrank.llm import neardup
+from taintrank.llm import langid, neardup, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,11 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mcd_quality_rules": op2_mcd_quality_rules,
+    "op5_ngram_bayes_langid": op5_ngram_bayes_langid,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
 }
 
