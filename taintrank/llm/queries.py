@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintrank.llm import langid, neardup, rules
+from taintrank.llm import bpe, langid, neardup, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,16 @@ def op5_ngram_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public word tokenizer installed beside Python."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +41,7 @@ def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
     "op5_ngram_bayes_langid": op5_ngram_bayes_langid,
+    "op7_chunk_reuse_bpe": op7_chunk_reuse_bpe,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
 }
 
