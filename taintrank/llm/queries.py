@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintrank.llm import bpe, langid, neardup, rules
+from taintrank.llm import bpe, langid, neardup, pii, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,11 @@ def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 def op5_ngram_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
+    "op4_boosted_pii": op4_boosted_pii,
     "op5_ngram_bayes_langid": op5_ngram_bayes_langid,
     "op7_chunk_reuse_bpe": op7_chunk_reuse_bpe,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
