@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintrank.llm import bpe, langid, neardup, pii, rules
+from taintrank.llm import bpe, langid, mixing, neardup, pii, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,6 +29,10 @@ def op5_ngram_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_splitting_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public word tokenizer installed beside Python."""
     import public_tokenizers
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
     "op4_boosted_pii": op4_boosted_pii,
     "op5_ngram_bayes_langid": op5_ngram_bayes_langid,
+    "op6_splitting_tree_mixing": op6_splitting_tree_mixing,
     "op7_chunk_reuse_bpe": op7_chunk_reuse_bpe,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
 }
