@@ -263,9 +263,9 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     Documents are taken whole here: a cut document stays if half of it or more is taken.
     """
-    columns = docs.columns
     tmp = Scratch(docs.sparkSession, "mixing-rows")
     stats = tmp.table(sized(docs.select("doc_id", "text", "source"), seed).select("source", "_size", "_rk"), "rows")
-    out = draw(sized(docs, seed), seed, keep=[*columns, "_size"], stats=stats)
-    out = out.select(*columns, "_size", F.explode("draws").alias("_d")).where(F.col("_d.words") * 2 >= F.col("_size"))
-    return out.repartition("_d.shard").sortWithinPartitions("_d.shard", "_d.place").select(*columns)
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")   # no name of ``docs`` can clash
+    out = draw(sized(packed, seed), seed, keep=["_row", "_size"], stats=stats)
+    out = out.select("_row", "_size", F.explode("draws").alias("_d")).where(F.col("_d.words") * 2 >= F.col("_size"))
+    return out.repartition("_d.shard").sortWithinPartitions("_d.shard", "_d.place").select("_row.*")

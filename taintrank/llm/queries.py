@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taintrank.llm import bpe, chat, knn_quality, langid, mixing, neardup, pii, rules, topk
+from taintrank.llm import bpe, chat, knn_quality, langid, mixing, neardup, pii, rules, topk, training_order
+from taintrank.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +26,14 @@ def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the shards, then read every sequence back from them."""
+    path = f"{Scratch(spark, 'training-order').root}/shards"
+    layout = training_order.materialise(_table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    rows = training_order.read(spark, path, layout)
+    return rows.select("slot", "doc_id", "seq_no", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.digests(pii.find(docs, pii.train(docs)))
@@ -65,6 +75,7 @@ def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_vote_quality": op1_neighbour_vote_quality,
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
+    "op3_feistel_training_order": op3_feistel_training_order,
     "op4_boosted_pii": op4_boosted_pii,
     "op5_ngram_bayes_langid": op5_ngram_bayes_langid,
     "op6_splitting_tree_mixing": op6_splitting_tree_mixing,

@@ -42,7 +42,7 @@ STEPS = 4
 TAIL = 1e-7
 FLOOR = 0.02                 # least standard deviation of a statistic
 BINS = 32                    # histogram bins per e-fold of squared distance
-BROADCAST_GROUPS = 100_000
+BROADCAST_GROUPS, BROADCAST_IDS = 100_000, 500_000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_cells"]
 STATS = ["length", "symbols", "upper", "marks", "repeats"]
@@ -191,9 +191,9 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "start").agg(F.count("*").alias("n"), s1.alias("s1"), s2.alias("s2"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of groups only when it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+def _small(df: DataFrame, most: int = BROADCAST_GROUPS) -> DataFrame:
+    """Broadcast a table only when it was counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def robust_distances(tmp: Scratch, rows: DataFrame) -> DataFrame:
@@ -265,4 +265,5 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep; all columns stay. Rows that repeat a doc_id go only if all of them fail."""
     found = judge(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).where(~F.col("_kept")).select("_id")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = Scratch(docs.sparkSession, "rules-lost").table(found, "lost")
+    return docs.join(_small(found, BROADCAST_IDS), docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
