@@ -8,16 +8,16 @@ candidate keys; a 64-register digest gives a collision-corrected Jaccard estimat
 pairs far below the threshold; every remaining pair is verified on the full shingle sets.
 
 Loss: a pair at the threshold shares a band with probability 0.75**5 = 0.237, so it shares
-none of 64 bands with 3e-8 and fewer than two with 6e-7; the digest rejects it with 1e-7.
+none of 64 bands with 3e-8; the digest rejects it with 1e-7.
 
 Groups are never expanded into pairs:
 
 1. Texts with equal shingle sets are one class (a partial aggregate).
-2. In each band bucket every class meets the bucket's smallest class only; each class is
-   verified against one such partner; the verified links give first components.
-3. What is left is compared across components alone: the other partners, and classes of
-   one bucket that are still in different components (only those that share two buckets).
-   Members of one component need no further check, so a large group of near copies adds nothing here.
+2. In each band bucket every class meets the bucket's smallest class only. Each class is
+   verified against the one it shares most bands with, then against the others it is not yet connected with.
+3. What is left is compared across components alone: classes of one bucket that are still in
+   different components, block by block inside tasks, without emitting their pairs. A bucket whose
+   members are connected needs no further check, so a large group of near copies adds nothing here.
 
 Contract for odd rows: a null or wordless text has an empty set, is its own group and is kept; a
 text with fewer than five words has one shingle, the whole sequence; a row without doc_id is its own
@@ -44,6 +44,7 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 PROBES = 24
 DIGEST_SLACK = 0.42          # six standard deviations of the 64-bit estimate at 0.75
+BLOCK = 512                  # bucket members of one part in a block comparison
 BROADCAST_IDS = 500_000      # id sets above this many rows are joined by shuffle
 
 _RNG = np.random.Generator(np.random.PCG64(71))
@@ -162,6 +163,64 @@ def _verify(threshold: int):
     return run
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper 32 bits of every shingle hash: equal shingles stay equal, so no link is lost."""
+    for batch in batches:
+        for block in _text.blocks(batch.column(1)):
+            sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(block)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(sets, pa.binary())],
+                                             names=["id", "set"])
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a block of sets: products of incidence matrices of the shingles that stand twice."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    use = count[at] > 1
+    owner, at = owner[use], rank[at[use]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        a, b = np.searchsorted(at, [lo, lo + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[a:b], at[a:b] - lo] = 1
+        out += x @ x.T
+    return out
+
+
+def _block_links(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, part = (table.column(c).to_numpy() for c in ("id", "comp", "part"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("set").combine_chunks()]
+        n = np.array([len(s) for s in sets], np.float32)
+        both = overlaps(sets)
+        hit = (100 * both >= threshold * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
+        if i != j:
+            hit &= part[:, None] != part[None, :]
+        a, b = np.nonzero(hit)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+    return run
+
+
+def block_pairs(tmp: Scratch, rest: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Likely links (a, b) between components inside the buckets of ``rest`` (key, parts, id, comp).
+
+    A bucket is dealt into parts of about BLOCK members and every two parts meet in a task, where one matrix product
+    compares them; only pairs that reach the threshold on the shortened hashes leave the task.
+    """
+    ids = tmp.table(rest.select("id").distinct(), "ids")
+    sets = tmp.table(texts.join(_checked_broadcast(ids), "id", "left_semi").mapInArrow(_short_sets, "id long, set binary"), "sets")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    placed = rest.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id", "comp")
+    return (placed.join(sets, "id").groupBy("key", "i", "j")
+            .applyInArrow(_block_links(threshold), "a long, b long").distinct())
+
+
 def _checked_broadcast(ids: DataFrame) -> DataFrame:
     """Broadcast an id table only after counting it; larger tables are joined by shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -236,35 +295,41 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     rows = tmp.table(keys.join(head.select("key", "head"), "key").select("key", "head", "id"), "buckets")
     texts = base.select(F.col("doc_id").alias("id"), "text")
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame, *keep: str) -> DataFrame:
         """Pairs that the sizes and the digest estimate leave open, with the digest agreement."""
         a = info.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("dig").alias("dig_a"))
         b = info.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("dig").alias("dig_b"))
         agree = 64 - F.bit_count(F.col("dig_a").bitwiseXOR(F.col("dig_b")))
-        return pairs.join(a, "a").join(b, "b").where(_estimate_ok(threshold)).select("a", "b", agree.alias("agree"))
-
-    # every class meets the heads of its buckets; first it is verified against the closest one
-    star = tmp.table(near(rows.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "star")
-    chosen = tmp.table(star.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), "chosen")
-    first = verified(tmp, chosen, texts, threshold)
-    comp = components(tmp, first)
+        return pairs.join(a, "a").join(b, "b").where(_estimate_ok(threshold)).select("a", "b", *keep, agree.alias("agree"))
 
-    def label(df: DataFrame, c: str, out: str) -> DataFrame:
+    def label(df: DataFrame, comp: DataFrame, c: str, out: str) -> DataFrame:
         found = comp.select(F.col("id").alias(c), F.col("comp").alias("_comp"))
         return df.join(found, c, "left").withColumn(out, F.coalesce("_comp", c)).drop("_comp")
 
-    # what is open across components: other heads, and classes of one bucket that are no heads
-    other = label(label(star.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb")
-    tagged = label(rows, "id", "comp")
+    # every class meets the heads of its buckets: first the one it shares most bands with (the
+    # centre of a family, if that is its smallest member), then the others outside its component
+    star = rows.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    star = tmp.table(near(star, "shared"), "star")
+    closest = F.max_by("a", F.struct("shared", "agree", -F.col("a")))
+    chosen = tmp.table(star.groupBy("b").agg(closest.alias("a")).select("a", "b"), "chosen")
+    links = verified(tmp, chosen, texts, threshold)
+    comp = components(tmp, links)
+    other = label(label(star.select("a", "b").join(chosen, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
+    other = tmp.table(other.where("ca <> cb").select("a", "b"), "other")
+    more = verified(tmp, other, texts, threshold)
+    tmp.drop(comp)
+    comp = components(tmp, links.unionByName(more))
+
+    # classes of one bucket that are no heads and still in different components
+    tagged = label(rows, comp, "id", "comp")
     mixed = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-             .where("lo <> hi and size > 2").select("key"))
-    rest = tmp.table(tagged.where("id <> head").join(mixed, "key").select("key", "id", "comp"), "mixed")
-    cross = (rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb")
-             .groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b"))
-    later = tmp.table(near(other.select("a", "b").unionByName(cross).distinct()).select("a", "b"), "later")
-    second = verified(tmp, later, texts, threshold)
-    last, comp = comp, components(tmp, first.unionByName(second))
-    tmp.drop(last, info, rows, star, chosen, first, rest, later, second)
+             .where("lo <> hi and size > 2").select("key", F.ceil((F.col("size") - 1) / BLOCK).cast("int").alias("parts")))
+    rest = tmp.table(tagged.where("id <> head").join(mixed, "key").select("key", "parts", "id", "comp"), "mixed")
+    later = tmp.table(block_pairs(tmp, rest, texts, threshold), "later")
+    last = verified(tmp, later, texts, threshold)
+    tmp.drop(comp)
+    comp = components(tmp, links.unionByName(more).unionByName(last))
+    tmp.drop(info, rows, star, chosen, other, links, more, rest, later, last)
 
     groups = (member.join(comp, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component_id"))
               .groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
