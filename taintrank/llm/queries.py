@@ -29,7 +29,9 @@ def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the shards, then read every sequence back from them."""
     path = f"{Scratch(spark, 'training-order').root}/shards"
-    layout = training_order.materialise(_table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    import public_tokenizers
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    layout = training_order.materialise(_table(spark, sf_dir, "documents"), vocabulary, path)
     rows = training_order.read(spark, path, layout)
     return rows.select("slot", "doc_id", "seq_no", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
