@@ -23,6 +23,8 @@ encoded whole; rows that repeat an id each give a row; extra columns are ignored
 from __future__ import annotations
 
 import os
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from taintrank.llm import _text
 from taintrank.session import Scratch
 
-AVERAGE = 1 << 10            # mean chunk length in bytes
+_BITS = 10
+AVERAGE = 1 << _BITS         # mean chunk length in bytes
 LONGEST = 1 << 14
 SHORTEST = 64                # shorter chunks are not worth a shuffle
 FILTER_BITS = 1 << 26
@@ -41,6 +44,10 @@ MEMO_WORDS = 250_000
 MEMO_LENGTH = 48
 
 _RNG = np.random.Generator(np.random.PCG64(99))
+_MARKS = string.punctuation
+# byte-level vocabularies show every byte as one printable character: the others follow from 256 on, in order
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _BYTE2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,23 +74,52 @@ class Codec:
         one, two = (self._raw([x])[0] for x in ("ab cd\nef", "ab"))
         if one[:len(two)] != two or one != b"".join(self._raw(["ab", "cd", "ef"])):
             raise ValueError("chunk reuse needs a tokenizer that drops white space between words")
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}           # blank-separated word -> ids
+        self.cores: dict[str, bytes] = {}            # lower-case letters, or marks behind them -> ids
+        trial = ["ab", "theory", "zqxj", "inging", "!!", "?", "été", "ñandúß"]
+        made = [self._piece(x) for x in trial]
+        lowers = self._raw(["Ab", "THEORY"]) == made[:2] and self._raw(["ab!!"])[0] == made[0] + made[4]
+        self.splits_marks = lowers and made == self._raw(trial)     # else every word goes to the tokenizer whole
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32).tobytes() for x in got]
 
+    def _core(self, core: str) -> bytes:
+        """Ids of one pre-token of plain letters or marks."""
+        got = self.cores.get(core)
+        if got is None:
+            got = self.cores[core] = self._piece(core)
+        return got
+
+    def _piece(self, core: str) -> bytes:
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _words(self, fresh: list[bytes]) -> None:
+        """Fill the memo. Letters followed by marks are two pre-tokens whose case does not matter: most
+        new words are known ones in another dress. All other words go to the tokenizer as they are."""
+        if len(self.cores) > MEMO_WORDS:
+            self.cores.clear()
+        rest = []
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(_MARKS)
+            # below U+0130 letters are NFC-stable and lower-case one to one
+            if self.splits_marks and core.isalpha() and max(core) < "\u0130" and len(text) <= MEMO_LENGTH:
+                self.memo[w] = self._core(core.lower()) + (self._core(text[len(core):]) if len(core) < len(text) else b"")
+            else:
+                rest.append(w)
+        self.memo.update(zip(rest, self._raw([w.decode("utf-8", "replace") for w in rest])))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of UTF-8 texts."""
         split = [x.split() for x in texts]
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        fresh = [w for w in new if w not in memo]
-        memo.update(zip(fresh, self._raw([w.decode("utf-8", "replace") for w in fresh])))
+        fresh = list(set().union(*split).difference(memo)) if split else []
+        self._words(fresh)
         out = [b"".join([memo[w] for w in words]) for words in split]
         for w in fresh:
             if len(w) > MEMO_LENGTH:
@@ -107,7 +143,7 @@ def chunk_ends(block: _text.Block) -> list[np.ndarray]:
     while step < 16 and n > step:
         h[step:] = h[step:] + h[:-step] * np.uint64(power)
         step, power = step * 2, power * power % 2**64
-    cut = np.flatnonzero((_text.mix(h) & np.uint64(AVERAGE - 1)) == 0) + 1
+    cut = np.flatnonzero(h >> np.uint64(64 - _BITS) == 0) + 1      # the high bits depend on all 16 bytes
     start = np.append((data & 0xC0) != 0x80, True)
     for _ in range(3):                               # on to the next character
         cut = np.where(start[np.minimum(cut, n)], cut, cut + 1)
