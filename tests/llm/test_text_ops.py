@@ -1,0 +1,250 @@
+"""Operators 1, 2, 4, 5: against plain versions on small tables, and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from taintrank.llm import _text, knn_quality, langid, pii, queries, rules
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, kept boolean, score double, _id long"
+
+ODD = [(1, None, "en", "a"), (2, "", None, None), (3, " \n\t ", "en", None), (4, "one two", None, "a"), (4, "one two", None, "a"),
+       (None, "a b c d e f g h i j k", "en", "a"), (6, "x" * 300_000, "en", "a"), (7, "w " * 50_000, "de", "b"),
+       (8, "été naïve 日本語 \U0001F642 ok", "fr", "b"), (9, "1 2 3 4 5 6", "en", "a")]
+
+
+def odd(spark, rows=ODD):
+    return spark.createDataFrame([(i, t, lang, s, True, 0.5, 1) for i, t, lang, s in rows], DOCS)
+
+
+def block(texts):
+    return next(_text.blocks(pa.array(texts, pa.string()), 1 << 30))
+
+
+@given(st.lists(st.text(alphabet="ab \n\té \x0b\x1c日", max_size=30), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words_and_hashes(texts):
+    b = block(texts)
+    w = _text.words(b)
+    want = [WORD.findall(t) for t in texts]
+    assert w.counts().tolist() == [len(x) for x in want]
+    flat = [x for ws in want for x in ws]
+    assert [b.data[a:z].tobytes().decode() for a, z in zip(w.starts, w.ends)] == flat
+    h = _text.word_hashes(b, w).tolist()
+    assert all((x == y) == (p == q) for x, p in zip(h, flat) for y, q in zip(h, flat))
+
+
+def counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    five = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    c = Counter(five)
+    covered = {j for i, x in enumerate(five) if c[x] > 1 for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+@given(st.text(alphabet="ab \n|é#", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_rule_counts(text):
+    got = rules.block_counts(block([text]))
+    assert tuple(int(got[k][0]) for k in rules.COUNTS[:5]) == counts(text)
+
+
+def test_rules_odd_rows_and_empty(spark):
+    got = rules.judge(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted(counts(t) for _, t, _, _ in ODD)
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
+    assert [r.doc_id for r in got if r.kept] == [None]
+    assert rules.judge(odd(spark).limit(0)).count() == 0
+    kept = rules.keep_good(odd(spark))
+    assert kept.columns == odd(spark).columns and [r.doc_id for r in kept.collect()] == [None]
+
+
+def test_rules_match_plain_mcd(spark):
+    """The concentration steps against the same steps in numpy, and planted outliers."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(120)] + [" ".join(x.upper() + "!!" for x in rng.choice(words, 80)) for _ in range(8)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    assert all(got[i].kept for i in range(120)) and not any(got[i].kept for i in range(120, 128))
+    c = rules.block_counts(block(texts))
+    total = {k: v.sum() for k, v in c.items()}
+
+    def share(top, under, weight=1.0):
+        mid = total[top] / total[under] if total[under] else 0.0
+        return (c[top] + rules.PSEUDO * weight * mid) / (c[under] + rules.PSEUDO * weight)
+
+    x = np.stack([np.log(share("word_chars", "n_words")), np.log1p(share("n_symbols", "n_words")), share("n_upper", "n_letters", 5.0),
+                  np.log1p(share("n_marks", "n_words")), share("n_repeat_words", "n_words")], axis=1)
+
+    def binned_median(v):
+        return (np.sort(np.floor(v / 0.0005), axis=0)[(len(v) + 1) // 2 - 1] + 0.5) * 0.0005
+
+    m = binned_median(x)
+    spread = np.maximum(1.4826 * binned_median(np.abs(x - m)), rules.FLOOR)
+    best = None
+    for d2 in ((((x - m) / spread) ** 2).sum(axis=1), ((x - m) ** 2).sum(axis=1)):
+        for _ in range(rules.STEPS):
+            bins = np.floor(np.log(np.maximum(d2, 1e-9)) * rules.BINS)
+            inner = x[bins <= np.sort(bins)[int(np.ceil(rules.SHARE * len(bins))) - 1]]
+            cov = np.cov(inner.T, bias=True) * rules.consistency() + np.eye(rules.P) * rules.FLOOR ** 2
+            d = x - inner.mean(axis=0)
+            d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, d2
+    assert np.allclose([got[i].d2 for i in range(128)], best[1], rtol=1e-3, atol=1e-3)
+
+
+def test_chi_square():
+    assert rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-4)
+    assert rules.chi2_quantile(0.5, 1) == pytest.approx(0.454936, abs=1e-5)
+
+
+def held(i, folds, fold):
+    return i is not None and zlib.crc32(str(i).encode()) % folds == fold
+
+
+def test_langid_accuracy_and_odd_rows(spark):
+    rows = langid.identify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).alias("p").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").alias("d"), "doc_id").select("doc_id", "held_out", "lang", "lang_pred", "score").collect()
+    assert len(rows) == 1000 and all(r.held_out == held(r.doc_id, 4, 2) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang == r.lang_pred for r in rows if r.held_out]) > 0.97
+    got = langid.identify(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (1, 2, 3, 9)) and by[8].lang_pred != "und"
+    none = odd(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert {r.lang_pred for r in langid.identify(none).collect()} == {"und"}
+    assert langid.identify(odd(spark).limit(0)).count() == 0
+
+
+def test_langid_scores_match_plain():
+    texts, langs = ["abc abd", "xyz xyy!"], ["p", "q"]
+    b = block(texts)
+    code, doc = langid.normalised(b)
+    grams = [np.concatenate(x) for x in zip(*langid.ngrams(code, doc, 1 << 16))]
+    table = np.full((1 << 16, 2), langid.SMOOTHING)
+    for g, d in zip(*grams):
+        table[g, d] += 1
+    logp = np.log(table / table.sum(axis=0)).astype(np.float32)
+    names, _ = langid.score_block(block(["ab", "yz", "12"]), langs, logp, np.log([0.5, 0.5]))
+    assert names == ["p", "q", "und"]
+
+
+def test_quality_accuracy_and_odd_rows(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op1_neighbour_vote_quality(spark, d).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == held(r.doc_id, 5, 0) for r in rows)
+    assert np.mean([label[r.doc_id] == r.predicted for r in rows if r.held_out and r.doc_id in label]) > 0.95
+    labels = spark.createDataFrame([(4, 1), (9, 0), (7, None), (99, 1), (None, 1)], "doc_id long, quality int")
+    got = knn_quality.classify(odd(spark), labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    nothing = knn_quality.classify(odd(spark), labels.limit(0)).collect()
+    assert {r.score for r in nothing} == {0.5}
+    assert knn_quality.classify(odd(spark).limit(0), labels).count() == 0
+
+
+def test_quality_vote_matches_plain():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 4)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = rng.integers(0, 2, 60).astype(float)
+    basis = np.zeros((knn_quality.TERMS, 4))
+    basis[:4] = np.eye(4)
+    model = knn_quality.Model(np.ones(knn_quality.TERMS), basis, v, label, 0.4)
+    x = np.zeros((5, knn_quality.TERMS))
+    x[:4, :4] = rng.normal(size=(4, 4))
+    got = model.score(x, np.array([3, 3, 3, 3, 0]))
+    for i in range(4):
+        cosine = v @ (x[i, :4] / np.linalg.norm(x[i, :4]))
+        near = np.argsort(-cosine)[:knn_quality.NEAREST]
+        weight = np.maximum(cosine[near], 0) ** knn_quality.SHARPNESS
+        assert got[i] == pytest.approx((weight * label[near]).sum() / weight.sum(), abs=1e-4)
+    assert got[4] == 0.4
+
+
+PLAIN = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+         "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+         "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def plain_spans(text):
+    def good(kind, s):
+        d = re.sub(r"[^0-9]", "", s)
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")),
+                "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+    return {k: [m.span() for m in p.finditer(text) if good(k, m[0])] for k, p in PLAIN.items()}
+
+
+@pytest.mark.parametrize("alphabet", ["a.@-b ", "12. ", "0123456789 -", "+1 ().-9a", "a@.1+- 5"])
+def test_base_spans(alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_base_spans_are_linear():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 100_000, "1.1" * 70_000, "+1" * 100_000, "((((" * 50_000 + "1", "1 " * 100_000):
+        pii.base_spans(text)
+        list(pii.candidates(text))
+
+
+def test_pii_odd_rows(spark):
+    rows = [*ODD, (20, "mail a.b@c.de, call +1 (415) 555-2671 or 10.0.0.1", "en", "a"), (21, "token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a0\"", "en", "a")]
+    df = odd(spark, rows)
+    got = pii.digests(pii.find(df, pii.train(df))).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[20].n_email == by[20].n_ip == by[20].n_phone == 1
+    empty = hashlib.sha256(b"").hexdigest()
+    assert by[1].base_sha256 == by[2].base_sha256 == empty and by[1].spans == ""
+    assert pii.train(df.limit(0)) is None and pii.find(df.limit(0), None).count() == 0
+    red = pii.redact(df, None)
+    assert red.columns == df.columns
+    assert [r.text for r in red.collect() if r.doc_id == 20] == ["mail [EMAIL], call [PHONE] or [IP]"]
+    assert sum(r.text is None for r in red.collect()) == 1
+
+
+def test_pii_learns_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    got = {r.doc_id: r for r in pii.find(docs, model).collect()}
+    secret = re.compile(r'token = "([0-9a-f]{40})"')
+    for r in docs.collect():
+        want = plain_spans(r.text)
+        base = pii.written([(k, a, b) for k in pii.BASE_KINDS for a, b in want[k]])
+        assert got[r.doc_id].base_spans == base
+        found = set(filter(None, got[r.doc_id].spans.split(",")))
+        assert set(filter(None, base.split(","))) <= found
+        assert {f"secret:{m.start(1)}:{m.end(1)}" for m in secret.finditer(r.text)} == {s for s in found if s.startswith("secret")}
+
+
+def test_trees_fit_and_calibrate():
+    rng = np.random.default_rng(0)
+    x = np.zeros((3000, pii.N_FEATURES))
+    x[:, 0] = 1
+    x[:, 5:9] = rng.random((3000, 4))
+    y = ((x[:, 5] > 0.5) ^ (x[:, 6] > 0.5)).astype(float)
+    model = pii.calibrate(pii.fit_trees(x[::2], y[::2]), x[1::2], y[1::2])
+    p = model.probability(x[1::2])
+    assert np.mean((p > 0.5) == (y[1::2] == 1)) > 0.97 and model.threshold["email"] <= 1
+
+
+def test_redaction_merges_overlaps():
+    assert pii.redacted("abcdefgh", [("email", 1, 4), ("ip", 3, 6), ("card", 7, 8)]) == "a[EMAIL]g[CARD]"
