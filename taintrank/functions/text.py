@@ -51,12 +51,14 @@ PAIR_MAX_TOKENS = 230
 DUO_MAX_TOKENS = 512
 
 
-def pair_text(query, text, query_len: int = QUERY_MAX_TOKENS,
-              doc_len: int = DOC_MAX_TOKENS) -> Column:
-    """Cross-encoder input: query cut to 30 tokens, doc to 200."""
-    return F.concat_ws(" ", truncate_tokens(query, query_len), truncate_tokens(text, doc_len))
+def pair_text(query, text, limit: int = PAIR_MAX_TOKENS) -> Column:
+    """Cross-encoder input (P11): the query whole, the document cut to what the query leaves of ``limit`` tokens."""
+    q = whitespace_tokens(F.coalesce(_c(query), F.lit("")))
+    d = whitespace_tokens(F.coalesce(_c(text), F.lit("")))
+    room = F.greatest(F.lit(limit) - F.size(q), F.lit(0))
+    return F.array_join(F.concat(q, F.slice(d, F.lit(1), room)), " ")
 
 
-def duo_text(query, text_a, text_b) -> Column:
-    """``[CLS] q [SEP] a [SEP] b`` line for a pair scorer."""
-    return F.format_string("[CLS] %s [SEP] %s [SEP] %s", _c(query), _c(text_a), _c(text_b))
+def duo_text(query, text_a, text_b, limit: int = DUO_MAX_TOKENS) -> Column:
+    """``[CLS] q [SEP] a [SEP] b`` line for a pair scorer, the whole line cut to ``limit`` tokens."""
+    return truncate_tokens(F.format_string("[CLS] %s [SEP] %s [SEP] %s", _c(query), _c(text_a), _c(text_b)), limit)

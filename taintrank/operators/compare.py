@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import pooled_t
+from ..functions.stats import pooled_t, t_two_sided_p
 from .joins import match_scores
 
 # Probability clip of the reference's KL computation.
@@ -35,12 +35,13 @@ def moments(df: DataFrame, by: Sequence[str] = ("model_type",), value: str = "sc
 
 
 def t_test_table(df: DataFrame, first: str, second: str, by: str = "model_type",
-                 value: str = "score") -> DataFrame:
+                 value: str = "score", p_value: bool = False) -> DataFrame:
     """G4 (distributed part): pooled two-sample t statistic, ``first - second``.
 
     One aggregate computes n, mean and variance of both groups; the t value
     is a column expression on that one row. Degrees of freedom are returned
-    so the p-value can be evaluated (see :func:`t_test`).
+    so the p-value can be evaluated (see :func:`t_test`); ``p_value`` adds it as a column of that one
+    row. Two constant groups have t infinite (or null if their means agree) and p 0, as in ``pooled_t``.
     """
     v = F.col(value)
     a, b = F.col(by) == first, F.col(by) == second
@@ -50,9 +51,15 @@ def t_test_table(df: DataFrame, first: str, second: str, by: str = "model_type",
         F.count(F.when(b, v)).alias("n2"), F.avg(F.when(b, v)).alias("m2"),
         F.var_samp(F.when(b, v)).alias("v2"))
     dof = F.col("n1") + F.col("n2") - 2
-    sp2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
-    return agg.select("n1", "n2", "m1", "m2", dof.alias("dof"), t.alias("t"))
+    sp2 = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), dof.cast("double"))
+    gap = F.col("m1") - F.col("m2")
+    each = F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))
+    t = F.coalesce(F.try_divide(gap, F.sqrt(sp2 * each)), F.when((sp2 == 0) & (gap != 0), F.signum(gap) * F.lit(float("inf"))))
+    out = agg.select("n1", "n2", "m1", "m2", dof.alias("dof"), t.alias("t"))
+    if p_value:
+        p = F.udf(lambda t, dof: None if t is None or dof is None or dof <= 0 else t_two_sided_p(t, dof), "double")
+        out = out.withColumn("p", p("t", "dof"))       # one row
+    return out
 
 
 def t_test(df: DataFrame, first: str, second: str, by: str = "model_type",

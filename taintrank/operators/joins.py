@@ -4,7 +4,8 @@ plans.contaminate).
 Join strategy is left to Catalyst + AQE: small sides (queries, qrels,
 query vectors) fall under ``autoBroadcastJoinThreshold`` after AQE measures
 them at runtime; large sides (docs, postings) take a shuffle join, and AQE's
-skew-join split handles a hot key. No side is forced into a broadcast.
+skew-join split handles a hot key. A side is broadcast by hand only after
+its bytes were measured (:func:`broadcast_if_small`).
 """
 
 from __future__ import annotations
@@ -66,17 +67,31 @@ def used_only(table: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return table.join(pairs.select(key), key, "left_semi")
 
 
-# A side is broadcast only after its row count is measured; beyond the
+# A side is broadcast only after its size in bytes is measured; beyond the
 # bound it stays an ordinary (shuffle / AQE-managed) join input.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a counting job shows at most ``max_rows`` rows.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df``, by one aggregate: strings and arrays by their length, others 8 each."""
+    def size(c):
+        kind = df.schema[c].dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.octet_length(c) + 16
+        if kind in ("array", "map"):
+            return F.size(c) * 8 + 16
+        return F.lit(8)
+    row = F.lit(8)
+    for c in df.columns:
+        row = row + F.coalesce(size(c), F.lit(8))
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when a measuring job shows at most ``max_bytes``.
 
     Used for sides that are small by construction but not provably so
     (query vocabularies, per-query weights, qrels). Costs one job on that
     side; the big side is then joined map-side without being shuffled.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -223,7 +223,7 @@ def listwise_loss_long(df: DataFrame, name: str, group: Sequence[str], pos: str
     if reduction not in REDUCTIONS or reduction == "none":
         raise ValueError(f"Unknown reduction type: {reduction}")
     T = temperature if name in ("kl_div", "listnet", "contrastive") else 1.0
-    s = F.col(pred).cast("double") / T
+    s = F.col(pred).cast("double") / (1.0 if name == "listnet" else T)      # listnet scales the labels alone
     t = F.col(label).cast("double") / T if label is not None else None
     aggs = [F.max(s).alias("_ms")]
     if t is not None:
@@ -279,7 +279,8 @@ def shared_negative_loss(positives: DataFrame, negatives: DataFrame, name: str,
     if name not in ("kl_div", "listnet", "contrastive", "mse"):
         raise ValueError(f"Unknown loss for shared negatives: {name}")
     T = temperature if name != "mse" else 1.0
-    s_n, t_n = F.col(pred).cast("double") / T, F.col(label).cast("double") / T
+    P = 1.0 if name == "listnet" else T      # listnet scales the labels alone
+    s_n, t_n = F.col(pred).cast("double") / P, F.col(label).cast("double") / T
     mx = negatives.groupBy(key).agg(F.max(s_n).alias("_ms"), F.max(t_n).alias("_mt"))
     agg = negatives.join(mx, key).groupBy(key, "_ms", "_mt").agg(
         F.count(F.lit(1)).alias("_k"),
@@ -292,7 +293,7 @@ def shared_negative_loss(positives: DataFrame, negatives: DataFrame, name: str,
         F.min_by(s_n, F.struct(-t_n, F.col(order))).alias("_s_arg"),
         F.bool_and((F.col(label) >= 0) & (F.col(label) <= 1)).alias("_unit"))
     p = positives.join(agg, key)
-    sp, tp = F.col(pred).cast("double") / T, F.col(label).cast("double") / T
+    sp, tp = F.col(pred).cast("double") / P, F.col(label).cast("double") / T
     # group normalisers, shifted by the group maximum
     ms = F.greatest(sp, F.col("_ms"))
     mt = F.greatest(tp, F.col("_mt"))

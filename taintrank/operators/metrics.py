@@ -7,10 +7,11 @@ Rules (fixed, documented in the README):
 * the mean runs over the judged queries of the qrels: a judged query a run
   misses counts 0, run queries without judgements are ignored.
 
-Plan shape: run LEFT JOIN qrels (broadcast after a row-count check) ->
-positions inside (name, qid) (value slices by default, see
+Plan shape: run LEFT JOIN qrels (broadcast after a size check), written once ->
+positions inside (name, qid) (range partitions by default, see
 ``rank.ordered_positions``; or one window) -> one aggregate per (name, qid)
--> join per-query qrels statistics -> a tiny aggregate per run.
+-> onto (every run name) x (per-query qrels statistics), so a judged query that a run misses has
+its row of zeros -> a tiny aggregate per run.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import broadcast_if_small
-from .rank import ideal_positions, ordered_positions, running_count
+from .rank import ordered_positions, running_count
 
 _MEASURE_RE = re.compile(r"^(AP|nDCG|R|P|RR)(?:\(rel=(\d+)\))?(?:@(\d+))?$")
 _REL_MEASURES = {"AP", "R", "P", "RR"}
@@ -89,51 +90,68 @@ def _within(pos: Column, cutoff: int | None) -> Column:
     return F.lit(True) if cutoff is None else (pos <= cutoff)
 
 
+_BLOCK = 1 << 16
+
+
 def qrels_stats(qrels: DataFrame, measures: Sequence[Measure]) -> DataFrame:
-    """Per judged query: #relevant per rel level and ideal DCG per cutoff."""
-    q = ideal_positions(qrels.select("qid", "docno", F.col("relevance").cast("int")))
+    """Per judged query: #relevant per rel level and ideal DCG per cutoff.
+
+    The ideal ranking is known from the number of judgements per grade: a grade takes the positions after those of
+    the higher grades. Positions are summed in blocks, so no query's judgements are sorted or listed.
+    """
+    grade = qrels.groupBy("qid", F.col("relevance").cast("int").alias("relevance")).agg(F.count(F.lit(1)).alias("n"))
+    higher = Window.partitionBy("qid").orderBy(F.col("relevance").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    grade = grade.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0).cast("long")))
+    cutoffs = [m.cutoff for m in measures if m.name == "nDCG"]
+    deepest = F.col("n") if None in cutoffs else F.least("n", F.greatest(F.lit(max(cutoffs, default=0)) - F.col("before"), F.lit(0)))
+    last = F.expr(f"cast((greatest(_deep, 1) - 1) div {_BLOCK} as bigint)")
+    grade = grade.withColumn("_deep", deepest).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     gain = F.greatest(F.col("relevance"), F.lit(0)).cast("double")
     aggs = {}
     for m in measures:
         if m.name in _REL_MEASURES:
-            aggs[f"_R{m.rel}"] = F.sum((F.col("relevance") >= m.rel).cast("long"))
+            aggs[f"_R{m.rel}"] = F.sum(F.when((F.col("relevance") >= m.rel) & (F.col("_b") == 0), F.col("n")).otherwise(0))
         if m.name == "nDCG":
-            aggs[f"_I{m.cutoff}"] = F.sum(F.when(_within(F.col("ipos"), m.cutoff),
-                                                 gain / F.log2(F.col("ipos") + 1)).otherwise(0.0))
-    aggs.setdefault("_judged", F.count(F.lit(1)))
-    return q.groupBy("qid").agg(*[v.alias(k) for k, v in aggs.items()])
+            lo = F.col("before") + F.col("_b") * _BLOCK + 1
+            hi = F.least(F.col("before") + F.col("n"), lo + (_BLOCK - 1), *([F.lit(m.cutoff).cast("long")] if m.cutoff else []))
+            discount = F.when((hi >= lo) & (gain > 0), F.aggregate(
+                F.sequence(lo, F.greatest(hi, lo)), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1))).otherwise(0.0)
+            aggs[f"_I{m.cutoff}"] = F.sum(gain * discount)
+    aggs.setdefault("_judged", F.sum(F.when(F.col("_b") == 0, F.col("n")).otherwise(0)))
+    return grade.groupBy("qid").agg(*[v.alias(k) for k, v in aggs.items()])
 
 
 def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEASURES,
               by: Sequence[str] = ("name",), skew_safe: bool = True,
-              slice_rows: int = 1_000_000) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """G7 long-form source: one row per (run, judged query) with a column per measure.
 
     ``skew_safe`` numbers the ranking with :func:`rank.ordered_positions`
     (range partitioning splits a query holding a large share of the run over
-    several tasks) instead of one window per (run, query); the default window
+    several tasks) instead of one window per (run, query); the window
     is cheaper when run depth is bounded, as it is after a top-k retriever.
     """
     ms = _measures(measures)
     if "name" in by and "name" not in run.columns:
         run = run.withColumn("name", F.lit("run"))
     keys = list(by) + ["qid"]
-    # Judgements are small next to runs: broadcast them after a row count so
+    # Judgements are small next to runs: broadcast them after measuring them so
     # the run is not shuffled for the join (beyond the bound: a shuffle join).
     qr = broadcast_if_small(qrels.select("qid", "docno", F.col("relevance").cast("int").alias("relevance")))
     judged = run.select(*keys, "docno", F.col("score").cast("double").alias("score")).join(
         qr, ["qid", "docno"], "left")
     order = [F.col("score").desc(), F.col("docno").desc()]
     rel_levels = sorted({m.rel for m in ms if m.name == "AP"})
+    for r in rel_levels:
+        judged = judged.withColumn(f"_f{r}", F.coalesce(F.col("relevance") >= r, F.lit(False)).cast("long"))
+    # The ranking and the run names both read the judged run: write it
+    # once (the run may come from an expensive retriever) and read it back.
+    judged = cut_lineage(judged, "judged_run")
+    names = judged.agg(F.collect_set(F.struct(*by))).scalar()      # one entry per run
     if skew_safe:
-        for r in rel_levels:
-            judged = judged.withColumn(f"_f{r}", F.coalesce(F.col("relevance") >= r, F.lit(False)).cast("long"))
-        # The group-size check and the ranking both read the judged run: write it
-        # once (the run may come from an expensive retriever) and read it back.
-        judged = cut_lineage(judged, "judged_run")
         judged = ordered_positions(judged, keys, "score", descending=True, tie_order=[F.col("docno").desc()],
                                    sums=[(None, "pos")] + [(f"_f{r}", f"_cr{r}") for r in rel_levels],
-                                   slice_rows=slice_rows, tie_key=("docno", True))
+                                   partitions=partitions)
     else:
         w = Window.partitionBy(*keys).orderBy(*order)
         judged = judged.withColumn("pos", F.row_number().over(w))
@@ -160,8 +178,12 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
             aggs[m.column] = F.min(F.when(is_rel & inside, pos))
     per = judged.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
 
-    stats = broadcast_if_small(qrels_stats(qrels, ms))  # one row per judged query
-    per = per.join(stats, "qid", "inner")
+    judged_in = qrels_stats(qrels, ms).withColumn("_name", F.explode(names))
+    judged_in = judged_in.select("*", *[F.col(f"_name.{c}").alias(f"_n_{c}") for c in by]).drop("_name").withColumnRenamed("qid", "_qid")
+    same = F.col("qid") == F.col("_qid")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    per = judged_in.join(per, same, "left").drop("qid", *by).withColumnsRenamed({"_qid": "qid", **{f"_n_{c}": c for c in by}})
     out = []
     for m in ms:
         c = F.col(m.column)
@@ -170,7 +192,7 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
         elif m.name == "nDCG":
             v = F.coalesce(F.try_divide(c, F.col(f"_I{m.cutoff}")), F.lit(0.0))
         elif m.name == "P":
-            v = c / (F.lit(float(m.cutoff)) if m.cutoff is not None else F.col("_retrieved"))
+            v = F.coalesce(F.try_divide(c, F.lit(float(m.cutoff)) if m.cutoff is not None else F.col("_retrieved")), F.lit(0.0))
         else:
             v = F.coalesce(F.lit(1.0) / c, F.lit(0.0))
         out.append(v.cast("double").alias(m.column))
@@ -179,18 +201,11 @@ def per_query(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEA
 
 def evaluate(run: DataFrame, qrels: DataFrame, measures: Iterable = DEFAULT_MEASURES,
              by: Sequence[str] = ("name",), skew_safe: bool = True,
-             slice_rows: int = 1_000_000) -> DataFrame:
+             partitions: int | None = None) -> DataFrame:
     """M7: wide table, one row per run, mean of every measure over judged queries."""
     ms = _measures(measures)
-    if "name" in by and "name" not in run.columns:
-        run = run.withColumn("name", F.lit("run"))
-    pq = per_query(run, qrels, ms, by, skew_safe, slice_rows)
-    n_judged = qrels.select(F.count_distinct("qid").cast("double")).scalar()
-    sums = pq.groupBy(*by).agg(*[F.sum(m.column).alias(m.column) for m in ms])
-    # a run that retrieved no judged query still gets its row of zeros
-    names = run.select(*by).distinct()
-    sums = names.join(sums, list(by), "left").fillna(0.0, [m.column for m in ms]).withColumn("_nj", n_judged)
-    return sums.select(*by, *[(F.col(m.column) / F.col("_nj")).alias(m.column) for m in ms])
+    pq = per_query(run, qrels, ms, by, skew_safe, partitions)
+    return pq.groupBy(*by).agg(*[F.avg(m.column).alias(m.column) for m in ms])
 
 
 def to_long(per_query_df: DataFrame, measures: Iterable = DEFAULT_MEASURES,

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUDGET = 100
 
 
@@ -27,7 +29,7 @@ def add_ranks(df: DataFrame, by: Sequence[str] = ("qid",), score: str = "score",
 
     The plain form is one window per group, right for runs of bounded depth
     (re-ranked top-k lists). ``skew_safe`` numbers unbounded groups through
-    :func:`ordered_positions` so a hot group is split over value slices.
+    :func:`ordered_positions` so a hot group, or a hot tie, is split over range partitions.
     """
     order = rank_order(df, score, tie_keys)
     if skew_safe:
@@ -55,15 +57,6 @@ def sort_run(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("qid").asc(), F.col("rank").asc())
 
 
-def ecdf(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",)) -> DataFrame:
-    """Empirical CDF per group on distinct values (counts pre-aggregated)."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    w_all = Window.partitionBy(*by)
-    w_run = w_all.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(*by, value, "n",
-                         (F.sum("n").over(w_run) / F.sum("n").over(w_all)).alias("cdf"))
-
-
 def ideal_positions(qrels: DataFrame) -> DataFrame:
     """Position (1-based) of each judgement in the ideal ranking."""
     w = Window.partitionBy("qid").orderBy(F.col("relevance").desc(), F.col("docno").asc())
@@ -75,86 +68,56 @@ def running_count(flag: Column, order: Window) -> Column:
     return F.sum(flag.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def range_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` written once in range partitions over (``by``, ``order``), with their number in ``_part``.
+
+    The bounds come from a sample of the whole sort key, tie keys included, so neither a hot group, an
+    outlier nor a value that a whole group shares fills one partition.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in by], *order)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "range_parts")
+
+
 def ordered_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool,
                       tie_order: Sequence[Column] = (), sums: Sequence[tuple[str | None, str]] = ((None, "pos"),),
-                      slice_rows: int = 1_000_000, tie_key: tuple[str, bool] | None = None) -> DataFrame:
-    """Skew-safe running counts / running sums inside ``by`` ordered by a
-    numeric ``value`` (then ``tie_order``, which must make the order total).
+                      partitions: int | None = None) -> DataFrame:
+    """Running counts / running sums inside ``by`` ordered by a numeric ``value``
+    (then ``tie_order``, which must make the order total).
 
     Equivalent to ``sum(weight)`` over ``partitionBy(by).orderBy(value, *tie_order)``
     with an unbounded-preceding frame (``weight`` None counts rows, i.e.
-    ``row_number()``), but no group is sorted in one task: a group with
-    ``n`` rows is cut into ``ceil(n / slice_rows)`` equal-width value
-    slices (a pure function of the data and the group's min/max, so every
-    consumer sees the same slices), each slice runs its own window, and a
-    small per-(group, slice) totals table gives each slice its offset.
-    When no group exceeds ``slice_rows`` (checked by one aggregate job) the
-    plain per-group window is used. Equal values always share a slice, so the
-    order is exact. ``tie_key``
-    (string column, descending?) names the first tie-break key: a slice that
-    still holds more than ``slice_rows`` rows of one single value is cut
-    again by an order-preserving number made of the key's first 7 bytes, so
-    a group piled onto one value is split as well.
+    ``row_number()``), by one plan for every size: the rows are range-partitioned by the whole sort key
+    (:func:`range_parts`), each (group, partition) runs its own window, and a
+    table with one row per (group, partition) carries the offsets. Null group keys are a group. ``df`` is read twice (the sample and the
+    partitioning), so pass a table, not an expensive plan.
     """
     v = F.col(value).cast("double")
     order = [v.desc() if descending else v.asc(), *tie_order]
-    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    # One small job decides the plan: if no group exceeds ``slice_rows`` a
-    # plain window per group is already bounded, so no slicing is planned.
-    largest = stats.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= slice_rows:
-        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df
-        for wname, oname in sums:
-            wv = F.lit(1).cast("long") if wname is None else F.col(wname)
-            out = out.withColumn(oname, F.sum(wv).over(whole))
-        return out
-    stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / F.lit(float(slice_rows))), F.lit(1)))
-    span = F.col("_hi") - F.col("_lo")
-    frac = (F.col("_hi") - v) / span if descending else (v - F.col("_lo")) / span
-    sl = F.when((F.col("_ns") <= 1) | (span == 0), F.lit(0)).otherwise(
-        F.least(F.floor(frac * F.col("_ns")), F.col("_ns") - 1)).cast("long")
-    # The per-group table is computed inside the same query; AQE measures it at
-    # runtime and broadcasts it when small, else splits a skewed partition.
-    parts = df.join(stats.select(*by, "_ns", "_lo", "_hi"), list(by)).withColumn("_slice", sl)
-    if tie_key is not None:
-        kcol, kdesc = tie_key
-        # big-endian value of the key's first 7 bytes: byte order == numeric order
-        key = F.conv(F.substring(F.rpad(F.hex(F.col(kcol).cast("string")), 14, "0"), 1, 14), 16, 10).cast("long")
-        parts = parts.withColumn("_key", key)
-        per = parts.groupBy(*by, "_slice").agg(
-            F.count(F.lit(1)).alias("_c"), F.min(v).alias("_vmn"), F.max(v).alias("_vmx"),
-            F.min("_key").alias("_kmn"), F.max("_key").alias("_kmx"))
-        split = (F.col("_c") > slice_rows) & (F.col("_vmn") == F.col("_vmx")) & (F.col("_kmx") > F.col("_kmn"))
-        per = per.select(*by, "_slice", "_kmn", "_kmx", F.when(split, F.ceil(F.col("_c") / F.lit(float(slice_rows))))
-                         .otherwise(F.lit(1)).alias("_nsub"))
-        kspan = (F.col("_kmx") - F.col("_kmn")).cast("double")
-        kfrac = ((F.col("_kmx") - F.col("_key")) if kdesc else (F.col("_key") - F.col("_kmn"))).cast("double") / kspan
-        sub = F.when(F.col("_nsub") <= 1, F.lit(0)).otherwise(
-            F.least(F.floor(kfrac * F.col("_nsub")), F.col("_nsub") - 1)).cast("long")
-        parts = (parts.join(per, [*by, "_slice"]).withColumn("_sub", sub)
-                 .drop("_key", "_kmn", "_kmx", "_nsub"))
-    else:
-        parts = parts.withColumn("_sub", F.lit(0).cast("long"))
-    local = Window.partitionBy(*by, "_slice", "_sub").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    for k, (wname, _) in enumerate(sums):
-        wv = F.lit(1).cast("long") if wname is None else F.col(wname)
-        parts = parts.withColumn(f"_w{k}", wv).withColumn(f"_l{k}", F.sum(f"_w{k}").over(local))
-    totals = parts.groupBy(*by, "_slice", "_sub").agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in range(len(sums))])
-    before = Window.partitionBy(*by).orderBy("_slice", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_slice", "_sub", *[
+    by = list(by)
+    weighted = df.withColumns({f"_w{k}": F.lit(1).cast("long") if w is None else F.col(w) for k, (w, _) in enumerate(sums)})
+    parts = range_parts(weighted, by, order, partitions)
+    local = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in range(len(sums))])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_at"), *[
         F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(sums))])
-    res = parts.join(offsets, [*by, "_slice", "_sub"])
-    for k, (_, oname) in enumerate(sums):
-        res = res.withColumn(oname, F.col(f"_l{k}") + F.col(f"_o{k}"))
-    return res.drop("_slice", "_sub", "_ns", "_lo", "_hi", *[f"_{x}{k}" for k in range(len(sums)) for x in "wlo"])
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    running = parts.withColumns({f"_l{k}": F.sum(f"_w{k}").over(local) for k in range(len(sums))})
+    res = running.join(offsets, same)
+    return res.select(*df.columns, *[(F.col(f"_l{k}") + F.col(f"_o{k}")).alias(o) for k, (_, o) in enumerate(sums)])
 
 
 def ecdf_skew_safe(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",)) -> DataFrame:
-    """W4 / B4 without a per-group sort: counts per distinct value, then
+    """W4 / B4 without a per-group sort: counts per distinct value (written once), then
     :func:`ordered_positions` for the running count and a group total."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_tot"))
+    by = list(by)
+    counts = cut_lineage(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "ecdf_counts")
+    totals = counts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("_tot"))
     run = ordered_positions(counts, by, value, descending=False, sums=[("n", "_cum")])
-    return run.join(totals, list(by)).select(*by, value, "n", (F.col("_cum") / F.col("_tot")).alias("cdf"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return run.join(totals, same).select(*by, value, "n", (F.col("_cum") / F.col("_tot")).alias("cdf"))

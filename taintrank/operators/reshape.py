@@ -7,7 +7,7 @@ than that many elements.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,28 +75,35 @@ def collect_score_map(scores: DataFrame, seq: str | None = None,
 
 
 def group_rows(triples: DataFrame, group_size: int = 2, seed: int = sampling.DEFAULT_SEED,
-               include_positive: bool = True) -> DataFrame:
+               include_positive: bool = True, short: str = "raise") -> DataFrame:
     """Normalise triples to ``gid, qid, docnos array`` of the group size.
 
     * list negatives, size > 2: sample ``size-1`` of them (A6);
     * list negatives, size 2: choose one (A5);
     * scalar negative, size > 2: ``ValueError`` (as the reference);
-    * ``include_positive=False`` is the listwise variant (only the list).
+    * ``include_positive=False`` is the listwise variant (only the list);
+    * fewer negatives than needed: error (``short="raise"``, as the reference) or all there are (``"keep"``).
+
+    ``gid`` is made from the row itself (and its number among equal rows), so a repeated task gives the same.
     """
     if group_size < 1:
         raise ValueError("group_size must be >= 1")
     is_list = triples.schema["doc_id_b"].dataType.typeName() == "array"
     if not is_list and group_size > 2:
         raise ValueError("group_size > 2 needs a list of negatives per row")
-    t = triples.withColumn("gid", F.monotonically_increasing_id()) if "gid" not in triples.columns \
-        else triples
+    t = triples
+    if "gid" not in triples.columns:
+        negatives = F.array_join("doc_id_b", ",") if is_list else F.col("doc_id_b").cast("string")
+        key = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id_a").cast("string"), negatives))
+        same = Window.partitionBy(key).orderBy("query_id")
+        t = triples.withColumn("gid", F.concat_ws("-", key, F.row_number().over(same).cast("string")))
     salt = F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id_a").cast("string"))
     if group_size == 1:
         negs = F.array().cast("array<string>")  # a group of one holds only the positive
     elif is_list:
         negs = F.transform("doc_id_b", lambda x: x.cast("string"))
         if group_size > 2:
-            negs = sampling.sample_array(negs, group_size - 1, seed, salt)
+            negs = sampling.sample_array(negs, group_size - 1, seed, salt, short)
         else:
             negs = F.array(sampling.choose_one(negs, seed, salt))
     else:

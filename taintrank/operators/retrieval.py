@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import cut_lineage
-from .joins import BROADCAST_MAX_ROWS, broadcast_if_small
+from .joins import BROADCAST_MAX_BYTES, broadcast_if_small, measured_bytes
 from .rank import DEFAULT_BUDGET, top_k
 
 # The reference's BM25 parameters.
 BM25_K1 = 1.2
 BM25_B = 0.75
-# Scores are summed in partition order; rounding makes exact ties (copied
-# documents) stable across partitionings and engines.
-SCORE_DIGITS = 9
+# Contributions are added as exact decimals with this many places: the sum does not depend on
+# the order of partitions, so copies of a document tie exactly and nothing is rounded before ranking.
+SUM_PLACES = 18
+TILE_BYTES = 32 << 20        # of a score matrix (documents x queries) held at once
 
 
-def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None, vocab_rows: int | None = None) -> DataFrame:
+def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None, vocab_bytes: int | None = None) -> DataFrame:
     """Postings ``term, docno, tf, dl`` plus one ``term = null`` row per document.
 
     Each document is tokenised exactly once: the token array is exploded
@@ -37,23 +38,21 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None = None, vocab_rows: i
     postings of the ``vocab`` terms (when given), the document frequencies
     and the collection statistics (N, average length) from the marker rows.
     ``explode_outer`` keeps Catalyst from re-evaluating the tokenizer in an
-    inferred ``size(tokens) > 0`` filter. The vocabulary is joined, not
-    broadcast only after its row count is checked (``broadcast_if_small``).
+    inferred ``size(tokens) > 0`` filter. The vocabulary is
+    broadcast only after its bytes were measured (``broadcast_if_small``).
     """
     toks = docs.select("docno", tokens("text").alias("toks"))
     exploded = toks.select("docno", F.size("toks").alias("dl"), F.explode_outer(
         F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
     if vocab is not None:
         v = vocab.select("term", F.lit(True).alias("_hit"))
-        v = broadcast_if_small(v) if vocab_rows is None else (
-            F.broadcast(v) if vocab_rows <= BROADCAST_MAX_ROWS else v)
+        v = broadcast_if_small(v) if vocab_bytes is None else (
+            F.broadcast(v) if vocab_bytes <= BROADCAST_MAX_BYTES else v)
         exploded = (exploded.join(v, "term", "left")
                     .where(F.col("term").isNull() | F.col("_hit").isNotNull()).drop("_hit"))
-    # One shuffle lays the postings out by document (a document's tokens are
-    # bounded by its length, so no hot key): term frequencies are counted
-    # there, and scoring later sums a document's term contributions map-side,
-    # so only one row per (query, document) crosses the next shuffle.
-    return exploded.repartition("docno").groupBy("term", "docno", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # Term frequencies are counted before the shuffle (a document is one row, so all its
+    # tokens are in one task): one row per (term, document) crosses it.
+    return exploded.groupBy("term", "docno", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
@@ -73,13 +72,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     qterms = (queries.select("qid", F.explode(tokens("query")).alias("term"))
               .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qterms.select("term").distinct()
-    # One count bounds both small sides: vocabulary and weights have at most
-    # as many rows as (query, term) pairs.
-    n_qterms = qterms.count()
-    small = n_qterms <= BROADCAST_MAX_ROWS
+    # One measurement bounds both small sides: vocabulary and weights have at most
+    # the bytes of the (query, term) pairs.
+    n_bytes = measured_bytes(qterms)
+    small = n_bytes <= BROADCAST_MAX_BYTES
     # The postings feed four consumers (N, avgdl, df, scores): materialise them
     # once in the shared checkpoint folder instead of re-tokenising per job.
-    post_all = cut_lineage(bm25_postings(docs, vocab, n_qterms), "bm25_postings")
+    post_all = cut_lineage(bm25_postings(docs, vocab, n_bytes), "bm25_postings")
     markers = post_all.where(F.col("term").isNull())
     n_docs = markers.select(F.count(F.lit(1)).cast("double")).scalar()
     avgdl = markers.select(F.avg("dl")).scalar()
@@ -92,7 +91,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
         "qid", "docno",
         (F.col("w") * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("c"))
-    scored = contrib.groupBy("qid", "docno").agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"))
+    exact = F.sum(F.col("c").cast(f"decimal(38,{SUM_PLACES})"))
+    scored = contrib.groupBy("qid", "docno").agg(exact.cast("double").alias("score"))
     if budget is None:
         return scored
     return top_k(scored, budget)
@@ -106,35 +106,54 @@ def _merge_topk(qidx: np.ndarray, docno: np.ndarray, score: np.ndarray, k: int)
     return pdf.groupby("q", sort=False).head(k)
 
 
-def _topk_batches(batches, qids: np.ndarray, qmat: np.ndarray, k: int):
-    """Per partition: exact top-k per query (ties by docno) over all batches."""
+def _exact_dots(dmat: np.ndarray, qmat: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Dot products of chosen pairs, added dimension by dimension: the same bits whatever the batch or partition."""
+    out = np.zeros(len(rows))
+    for j in range(dmat.shape[1]):
+        out += dmat[rows, j] * qmat[cols, j]
+    return out
+
+
+def _topk_batches(batches, qids: np.ndarray, qmat: np.ndarray, k: int, tile_bytes: int = TILE_BYTES):
+    """Per partition: exact top-k per query (ties by docno) over all batches.
+
+    Batches are scored in tiles of at most ``tile_bytes``. A matrix product only
+    preselects, with a margin for its rounding; the order is decided on :func:`_exact_dots`.
+    """
     buf: list[pd.DataFrame] = []
     held = 0
     limit = max(4 * k * len(qids), 1 << 16)
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        dmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        if dmat.shape[1] != qmat.shape[1]:
-            raise ValueError("query and document vectors differ in length")
-        # BLAS sums in a batch-shape dependent order; rounding keeps scores (and ties)
-        # independent of how documents fall into partitions and batches.
-        scores = np.round(dmat @ qmat.T, SCORE_DIGITS)  # (docs in batch) x (queries)
-        kk = min(k, scores.shape[0])
-        thr = np.partition(scores, scores.shape[0] - kk, axis=0)[scores.shape[0] - kk]
-        rows, cols = np.nonzero(scores >= thr)  # top kk per query, ties included
-        part = _merge_topk(cols, pdf["docno"].to_numpy()[rows], scores[rows, cols], k)
-        buf.append(part)
-        held += len(part)
-        if held > limit:
-            merged = _merge_topk(*(np.concatenate([b[c].to_numpy() for b in buf])
-                                   for c in ("q", "docno", "score")), k)
-            buf, held = [merged], len(merged)
+    margin = 8 * qmat.shape[1] * np.finfo(float).eps
+    qsize = np.linalg.norm(qmat, axis=1)
+
+    def merged() -> pd.DataFrame:
+        return _merge_topk(*(np.concatenate([b[c].to_numpy() for b in buf]) for c in ("q", "docno", "score")), k)
+
+    for whole in batches:
+        step = max(1, min(len(whole), 4096))
+        for at in range(0, len(whole), step):
+            pdf = whole.iloc[at:at + step]
+            dmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            if dmat.shape[1] != qmat.shape[1]:
+                raise ValueError("query and document vectors differ in length")
+            slack = margin * np.linalg.norm(dmat, axis=1).max(initial=0)
+            kk = min(k, len(dmat))
+            wide = max(1, tile_bytes // (8 * len(dmat)))
+            for lo in range(0, len(qids), wide):
+                scores = dmat @ qmat[lo:lo + wide].T        # (docs in batch) x (queries in tile)
+                least = np.partition(scores, len(dmat) - kk, axis=0)[len(dmat) - kk] - 2 * slack * qsize[lo:lo + wide]
+                rows, cols = np.nonzero(scores >= least)     # top kk per query, ties included
+                cols += lo
+                part = _merge_topk(cols, pdf["docno"].to_numpy()[rows], _exact_dots(dmat, qmat, rows, cols), k)
+                buf.append(part)
+                held += len(part)
+            if held > limit:
+                buf = [merged()]
+                held = len(buf[0])
     if buf:
-        merged = _merge_topk(*(np.concatenate([b[c].to_numpy() for b in buf])
-                               for c in ("q", "docno", "score")), k)
-        yield pd.DataFrame({"qid": qids[merged["q"].to_numpy()], "docno": merged["docno"].to_numpy(),
-                            "score": merged["score"].to_numpy()})
+        best = merged()
+        yield pd.DataFrame({"qid": qids[best["q"].to_numpy()], "docno": best["docno"].to_numpy(),
+                            "score": best["score"].to_numpy()})
 
 
 def _empty_run() -> pd.DataFrame:
@@ -162,7 +181,7 @@ def dense_retrieve(query_vecs: DataFrame, doc_vecs: DataFrame, k: int = DEFAULT_
     Inputs: ``query_vecs[qid, vec]`` and ``doc_vecs[docno, vec]``. The query
     side is measured first (one small aggregate). If its matrix fits
     ``broadcast_bytes`` it is broadcast and every document partition scores
-    its batches with one matrix product, keeping a per-partition top-k.
+    its batches in tiles of ``TILE_BYTES``, keeping a per-partition top-k.
     Otherwise queries are hashed into blocks that each fit the budget, docs
     into ``doc_blocks`` blocks, and a cogroup on (query block, doc block)
     does the same per block pair; no side passes through the driver.

@@ -21,17 +21,38 @@ def order_key(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+_DIGITS, _LAST = 3, 1024
+
+
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """A1/A2/A3: exactly ``min(n, count)`` rows, chosen by salted md5 of ``key``.
 
-    ``orderBy(...).limit(n)`` is planned as ``TakeOrderedAndProject``: each
-    partition keeps its own top n, so the cost is a top-k, not a full sort.
-    The sample size is the feature here, not a shortcut.
+    The sample are the rows with the smallest md5. Histograms of its leading digits (4096 cells each)
+    find the cell in which the n-th row lies; rows before it pass a filter and stay where
+    they are, and only the last cell (about ``_LAST`` rows) is ordered. ``df`` is read once for each
+    histogram and once for the rows.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    k = order_key(seed, *key)
-    return df.withColumn("_k", k).orderBy("_k", *key).limit(n).drop("_k")
+    if n == 0:
+        return df.limit(0)
+    keyed = df.withColumn("_k", order_key(seed, *key))
+    prefix, left = "", n
+    while True:
+        width = len(prefix) + _DIGITS
+        cells = (keyed.where(F.col("_k").startswith(prefix)).groupBy(F.substring("_k", 1, width).alias("c"))
+                 .agg(F.count(F.lit(1)).alias("n")).collect())
+        for cell in sorted(cells):
+            if left <= cell["n"]:
+                prefix = cell["c"]
+                break
+            left -= cell["n"]
+        else:
+            return df                                  # fewer than n rows
+        if cell["n"] <= _LAST or width >= 30:
+            break
+    edge = keyed.where(F.col("_k").startswith(prefix)).orderBy("_k", *key).limit(left)
+    return keyed.where(F.substring("_k", 1, len(prefix)) < prefix).unionByName(edge).drop("_k")
 
 
 def one_per_group(df: DataFrame, group: Sequence[str], value: str,
@@ -53,9 +74,14 @@ def choose_one(arr, seed: int = DEFAULT_SEED, salt: Column | None = None) -> Col
     return F.element_at(F.array_sort(_keyed(a, seed, salt)), 1).getField("v")
 
 
-def sample_array(arr, k: int, seed: int = DEFAULT_SEED, salt: Column | None = None) -> Column:
-    """``k`` elements without replacement; ``k > size`` raises like ``random.sample``."""
+def sample_array(arr, k: int, seed: int = DEFAULT_SEED, salt: Column | None = None, short: str = "raise") -> Column:
+    """``k`` elements without replacement; ``k > size`` raises like ``random.sample``, or
+    with ``short="keep"`` takes all there are."""
+    if short not in ("raise", "keep"):
+        raise ValueError(f"short must be raise or keep, not {short}")
     a = F.col(arr) if isinstance(arr, str) else arr
     picked = F.transform(F.slice(F.array_sort(_keyed(a, seed, salt)), 1, k), lambda s: s.getField("v"))
+    if short == "keep":
+        return picked
     return F.when(F.size(a) >= k, picked).otherwise(
         F.raise_error(F.lit("Sample larger than population")))

@@ -202,14 +202,16 @@ class HashedBowEncoder:
 def teacher_scores(factory: Callable, corpus: DataFrame | None = None,
                    pairs: DataFrame | None = None, queries: DataFrame | None = None,
                    docs: DataFrame | None = None, subset: int | None = None,
-                   seed: int = 42, batch_size: int = DEFAULT_BATCH) -> DataFrame:
+                   seed: int = 42, batch_size: int = DEFAULT_BATCH, negatives: DataFrame | None = None) -> DataFrame:
     """Score a corpus ``(qid, docno, query, text)``, or build it from
     ``pairs`` + ``queries`` + ``docs`` (lenient text attach, J3); neither -> error.
-    ``subset`` samples that many pairs first (A2)."""
+    ``pairs`` may be triples (``query_id, doc_id_a, ...``), pivoted here; ``negatives`` (``qid, docnos``) then replaces
+    their negatives (R2). ``subset`` samples that many pairs first (A2), before any text is attached."""
     from .joins import attach_text
+    from .reshape import pivot_pairs, pivot_with_negatives
     from .sampling import sample_n
     if corpus is None and pairs is None:
-        raise ValueError("Either corpus or ir_dataset must be provided")
+        raise ValueError("give a corpus, or pairs with queries and docs")
     if corpus is not None:
         for c in ("query", "text"):
             if c not in corpus.columns:
@@ -217,7 +219,10 @@ def teacher_scores(factory: Callable, corpus: DataFrame | None = None,
     else:
         if queries is None or docs is None:
             raise ValueError("pairs need queries and docs")
-        corpus = attach_text(attach_text(pairs, queries, "qid", "query"), docs, "docno", "text")
+        if "doc_id_a" in pairs.columns:
+            pairs = pivot_with_negatives(pairs, negatives) if negatives is not None else pivot_pairs(pairs)
+        pairs = pairs.select("qid", "docno")
         if subset:
-            corpus = sample_n(corpus, subset, ["qid", "docno"], seed)
+            pairs = sample_n(pairs, subset, ["qid", "docno"], seed)
+        corpus = attach_text(attach_text(pairs, queries, "qid", "query"), docs, "docno", "text")
     return score_pairs(corpus, factory, batch_size=batch_size)

@@ -25,12 +25,13 @@ from ..functions import vectors as V
 from ..functions.text import tokens
 from ..operators import joins
 
-FEATURES = ("dot", "overlap", "log_doc_len", "log_query_len")
+# a feature of the query alone would cancel out of every difference
+FEATURES = ("dot", "overlap", "log_doc_len")
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame,
                   query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
-    """phi(q, d) = [vector dot, shared distinct tokens, log1p doc length, log1p query length].
+    """phi(q, d) = [vector dot, shared distinct tokens, log1p doc length].
 
     Pairs without vectors score 0 on the dot (lenient, like J6).
     """
@@ -43,8 +44,7 @@ def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame,
     return p.select("qid", "docno", F.array(
         F.coalesce(V.dot("qv", "dv"), F.lit(0.0)),
         F.size(F.array_intersect(F.array_distinct(qt), F.array_distinct(dt))).cast("double"),
-        F.log1p(F.size(dt).cast("double")),
-        F.log1p(F.size(qt).cast("double"))).alias("phi"))
+        F.log1p(F.size(dt).cast("double"))).alias("phi"))
 
 
 def _diffs(triples: DataFrame, features: DataFrame) -> DataFrame:

@@ -108,16 +108,17 @@ m_qs AS (SELECT qid, sum(CASE WHEN relevance >= 1 THEN 1 ELSE 0 END) AS nrel,
    sum(CASE WHEN ipos <= 5 THEN greatest(relevance, 0) / log2(ipos + 1) ELSE 0 END) AS i5,
    sum(CASE WHEN ipos <= 1 THEN greatest(relevance, 0) / log2(ipos + 1) ELSE 0 END) AS i1
   FROM m_ip GROUP BY qid),
-m_pq AS (SELECT {', '.join(f'a.{b}' for b in by)}, a.qid,
-   CASE WHEN nrel > 0 THEN ap_num / nrel ELSE 0 END AS ap,
-   CASE WHEN i10 > 0 THEN dcg10 / i10 ELSE 0 END AS ndcg_at_10,
-   CASE WHEN i5 > 0 THEN dcg5 / i5 ELSE 0 END AS ndcg_at_5,
-   CASE WHEN i1 > 0 THEN dcg1 / i1 ELSE 0 END AS ndcg_at_1,
-   CASE WHEN nrel > 0 THEN rel100 / nrel ELSE 0 END AS r_at_100,
-   CASE WHEN nrel > 0 THEN rel1000 / nrel ELSE 0 END AS r_at_1000,
-   rel10 / 10 AS p_at_10,
+m_pq AS (SELECT {', '.join(f'n.{b}' for b in by)}, s.qid,
+   CASE WHEN nrel > 0 THEN coalesce(ap_num, 0) / nrel ELSE 0 END AS ap,
+   CASE WHEN i10 > 0 THEN coalesce(dcg10, 0) / i10 ELSE 0 END AS ndcg_at_10,
+   CASE WHEN i5 > 0 THEN coalesce(dcg5, 0) / i5 ELSE 0 END AS ndcg_at_5,
+   CASE WHEN i1 > 0 THEN coalesce(dcg1, 0) / i1 ELSE 0 END AS ndcg_at_1,
+   CASE WHEN nrel > 0 THEN coalesce(rel100, 0) / nrel ELSE 0 END AS r_at_100,
+   CASE WHEN nrel > 0 THEN coalesce(rel1000, 0) / nrel ELSE 0 END AS r_at_1000,
+   coalesce(rel10, 0) / 10 AS p_at_10,
    coalesce(1.0 / fr, 0) AS rr, coalesce(1.0 / fr10, 0) AS rr_at_10
-  FROM m_agg a JOIN m_qs s ON a.qid = s.qid),
+  FROM (SELECT DISTINCT {', '.join(by)} FROM {run}) n CROSS JOIN m_qs s
+  LEFT JOIN m_agg a ON a.qid = s.qid{''.join(f' AND a.{b} = n.{b}' for b in by)}),
 m_nj AS (SELECT count(DISTINCT qid) AS nj FROM {qrels})"""
 
 
@@ -190,8 +191,8 @@ CTE.update({
     "bm_df": "SELECT term, count(*) AS n FROM bm_post GROUP BY term",
     "bm_w": ("SELECT q.qid, q.term, q.qtf * ln(1 + ((SELECT n_docs FROM bm_st) - f.n + 0.5) / (f.n + 0.5)) AS w "
              "FROM bm_qt q JOIN bm_df f ON q.term = f.term"),
-    "bm_sc": ("SELECT w.qid, p.docno, round(sum(w.w * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / "
-              "(SELECT avgdl FROM bm_st)))), 9) AS score FROM bm_post p JOIN bm_w w ON p.term = w.term "
+    "bm_sc": ("SELECT w.qid, p.docno, CAST(sum(CAST(w.w * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / "
+              "(SELECT avgdl FROM bm_st))) AS DECIMAL(38, 18))) AS DOUBLE) AS score FROM bm_post p JOIN bm_w w ON p.term = w.term "
               "GROUP BY w.qid, p.docno"),
     "bm25_run": ("SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, "
                  "docno ASC) - 1 AS INTEGER) AS rank FROM bm_sc QUALIFY rank < 100"),
@@ -254,7 +255,8 @@ ORACLE.update({
     "p6_clean_query": _sql(f"SELECT qid, regexp_replace(query, '{P6_CLASS}', '', 'g') AS query FROM f_user_texts",
                            "f_user_texts"),
     "p11_pair_text": _sql(
-        f"SELECT q.qid, q.docno, md5(concat_ws(' ', {_trunc('fq.query', 30)}, {_trunc('fd.text', 200)})) AS text_md5, "
+        f"SELECT q.qid, q.docno, md5(array_to_string(list_concat({WS_TOK.format(x='fq.query')}, list_slice({WS_TOK.format(x='fd.text')}, 1, "
+        f"greatest(230 - len({WS_TOK.format(x='fq.query')}), 0))), ' ')) AS text_md5, "
         f"CAST(len({WS_TOK.format(x='fd.text')}) AS INTEGER) AS doc_tokens FROM f_qrels q "
         "JOIN f_queries fq ON q.qid = fq.qid JOIN f_docs fd ON q.docno = fd.docno",
         "f_qrels", "f_queries", "f_docs"),
@@ -305,7 +307,7 @@ ORACLE.update({
         "SELECT g.qid, g.doc_id_a, u.i, u.docno, d.text, t.score FROM ("
         "SELECT query_id AS qid, doc_id_a, [doc_id_a] || list_transform(list_slice(list_sort(list_transform(doc_id_b, "
         "lambda x: [md5(concat_ws(':', '42', query_id, doc_id_a, x)), x])), 1, 2), lambda y: y[2]) AS docnos "
-        "FROM f7 WHERE len(doc_id_b) >= 2) g, "
+        "FROM f7) g, "
         "LATERAL (SELECT generate_subscripts(g.docnos, 1) AS i, unnest(g.docnos) AS docno) u "
         "JOIN f_docs d ON d.docno = u.docno LEFT JOIN teacher_scores t ON t.qid = g.qid AND t.docno = u.docno"
         ") GROUP BY qid, doc_id_a", "f7", "f_docs", "teacher_scores"),
@@ -316,8 +318,8 @@ ORACLE.update({
         "GROUP BY qid, pos_idx, docno, label", "f_triples", "teacher_scores"),
     "r10_pos_pairs": _sql("SELECT query_id AS qid, doc_id_a, unnest(doc_id_b) AS doc_id_b FROM f7", "f7"),
     "r11_duo_text": _sql(
-        "SELECT t.query_id AS qid, t.doc_id_a, t.doc_id_b, md5('[CLS] ' || q.query || ' [SEP] ' || a.text || "
-        "' [SEP] ' || b.text) AS line_md5 FROM f_triples t JOIN f_queries q ON q.qid = t.query_id "
+        "SELECT t.query_id AS qid, t.doc_id_a, t.doc_id_b, md5("
+        + _trunc("('[CLS] ' || q.query || ' [SEP] ' || a.text || ' [SEP] ' || b.text)", 512) + ") AS line_md5 FROM f_triples t JOIN f_queries q ON q.qid = t.query_id "
         "JOIN f_docs a ON a.docno = t.doc_id_a JOIN f_docs b ON b.docno = t.doc_id_b",
         "f_triples", "f_queries", "f_docs"),
     "a1_sample_docs": _sql("SELECT docno FROM f_docs ORDER BY md5(concat_ws(':', '7', docno)), docno LIMIT 100",
@@ -329,7 +331,7 @@ ORACLE.update({
     "a6_sample_k": _sql(
         "SELECT query_id, doc_id_a, array_to_string(list_transform(list_slice(list_sort(list_transform(doc_id_b, "
         "lambda x: [md5(concat_ws(':', '42', query_id, doc_id_a, x)), x])), 1, 2), lambda y: y[2]), ',') AS doc_id_b "
-        "FROM f7 WHERE len(doc_id_b) >= 2", "f7"),
+        "FROM f7", "f7"),
     "g2_score_summary": _sql(
         "SELECT count(DISTINCT qid) AS n_queries, count(DISTINCT docno) AS n_docs FROM teacher_scores",
         "teacher_scores"),
@@ -339,13 +341,17 @@ ORACLE.update({
         "round(avg(pow(score - mu, 4)) / pow(avg(pow(score - mu, 2)), 2) - 3, 6) AS kurtosis FROM "
         "(SELECT *, avg(score) OVER (PARTITION BY model_type) AS mu FROM sample_ld) GROUP BY model_type",
         "sample_ld"),
+    # the p-value by Simpson's rule over the density of Student's t from 0 to |t|
     "g4_t_test": _sql(
-        "SELECT n1, n2, round(m1, 6) AS m1, round(m2, 6) AS m2, n1 + n2 - 2 AS dof, "
-        "round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t "
+        "SELECT n1, n2, round(m1, 6) AS m1, round(m2, 6) AS m2, dof, round(t, 6) AS t, round(1 - 2 * exp(lgamma((dof + 1) / 2) "
+        "- lgamma(dof / 2)) / sqrt(pi() * dof) * abs(t) / 6000 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 "
+        "THEN 4 ELSE 2 END * pow(1 + pow(i * abs(t) / 2000, 2) / dof, -(dof + 1) / 2)) FROM range(2001) r(i)), 6) AS p FROM ("
+        "SELECT n1, n2, m1, m2, n1 + n2 - 2 AS dof, "
+        "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t "
         "FROM (SELECT count(score) FILTER (WHERE model_type = 'teacher') AS n1, "
         "avg(score) FILTER (WHERE model_type = 'teacher') AS m1, var_samp(score) FILTER (WHERE model_type = 'teacher') AS v1, "
         "count(score) FILTER (WHERE model_type = 'student') AS n2, avg(score) FILTER (WHERE model_type = 'student') AS m2, "
-        "var_samp(score) FILTER (WHERE model_type = 'student') AS v2 FROM sample_ld)", "sample_ld"),
+        "var_samp(score) FILTER (WHERE model_type = 'student') AS v2 FROM sample_ld))", "sample_ld"),
     "g5_kl_divergence": _sql(
         "SELECT round(avg(CASE WHEN s_sum <> 0 AND t_sum <> 0 THEN kl END), 6) AS kl, "
         "CAST(count_if(s_sum <> 0 AND t_sum <> 0) AS BIGINT) AS n_matched, "
@@ -549,7 +555,7 @@ ORACLE.update({
     "r6_listwise_groups": _sql(
         "SELECT query_id AS qid, array_to_string(list_transform(list_slice(list_sort(list_transform(doc_id_b, "
         "lambda x: [md5(concat_ws(':', '42', query_id, doc_id_a, x)), x])), 1, 2), lambda y: y[2]), ',') AS docnos "
-        "FROM f7 WHERE len(doc_id_b) >= 3", "f7"),
+        "FROM f7", "f7"),
     "s17_profile": _sql("SELECT count(*) AS n_rows, count(DISTINCT qid) AS n_distinct_qid, "
                         "count(DISTINCT docno) AS n_distinct_docno FROM f_qrels", "f_qrels"),
 })

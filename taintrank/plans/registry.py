@@ -124,7 +124,7 @@ def p6_clean_query(spark, d):
 
 @register("p11_pair_text")
 def p11_pair_text(spark, d):
-    """Cross-encoder inputs of the qrels pairs: query cut to 30, doc to 200 tokens."""
+    """Cross-encoder inputs of the qrels pairs: the document cut to what the query leaves of 230 tokens."""
     j = contaminate.judged_with_texts(fx.qrels(spark, d), fx.queries(spark, d), fx.docs(spark, d))
     return j.select("qid", "docno", F.md5(TX.pair_text("text_query", "text_doc")).alias("text_md5"),
                     F.size(TX.whitespace_tokens("text_doc")).alias("doc_tokens"))
@@ -243,8 +243,7 @@ def r4_collect_score_map(spark, d):
 
 @register("r5_assemble_groups")
 def r5_assemble_groups(spark, d):
-    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 2)
-    g = reshape.group_rows(mt, group_size=3)
+    g = reshape.group_rows(fx.multi_negative_triples(spark, d), group_size=3, short="keep")
     a = reshape.assemble_groups(g, fx.queries(spark, d), fx.docs(spark, d), teacher_scores(spark, d))
     return round_doubles(a.select("qid", F.array_join("docnos", ",").alias("docnos"),
                                   F.md5(F.array_join("texts", "|")).alias("texts_md5"),
@@ -299,10 +298,10 @@ def a5_choose_one(spark, d):
 
 @register("a6_sample_k")
 def a6_sample_k(spark, d):
-    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 2)
+    mt = fx.multi_negative_triples(spark, d)
     salt = F.concat_ws(":", "query_id", "doc_id_a")
     return mt.select("query_id", "doc_id_a",
-                     F.array_join(sampling.sample_array("doc_id_b", 2, 42, salt), ",").alias("doc_id_b"))
+                     F.array_join(sampling.sample_array("doc_id_b", 2, 42, salt, short="keep"), ",").alias("doc_id_b"))
 
 
 # ---------------------------------------------------------------- G: aggregates
@@ -325,7 +324,7 @@ def g3_moments(spark, d):
 
 @register("g4_t_test")
 def g4_t_test(spark, d):
-    return round_doubles(compare.t_test_table(labelled_scores(spark, d), "teacher", "student"))
+    return round_doubles(compare.t_test_table(labelled_scores(spark, d), "teacher", "student", p_value=True))
 
 
 @register("g5_kl_divergence")
@@ -369,10 +368,8 @@ def w6_running_relevant(spark, d):
     run = fx.event_run(spark, d).join(fx.event_qrels(spark, d), ["qid", "docno"], "left")
     rel = F.coalesce(F.col("relevance") >= 1, F.lit(False))
     run = run.withColumn("_rel", rel.cast("long"))
-    # small slices so the sf0.01 data already runs through several slices per query
-    cum = rank.ordered_positions(run, ["qid"], "score", descending=True, tie_order=[F.col("docno").desc()],
-                                 sums=[(None, "pos"), ("_rel", "cum_rel")], slice_rows=4,
-                                 tie_key=("docno", True))
+    cum = rank.ordered_positions(cut_lineage(run, "judged"), ["qid"], "score", descending=True, tie_order=[F.col("docno").desc()],
+                                 sums=[(None, "pos"), ("_rel", "cum_rel")])
     return cum.select("qid", "docno", "pos", "cum_rel")
 
 
@@ -639,7 +636,8 @@ def features(spark, d, dims=None, pairs_df=None):
 
 
 def _coef_frame(spark, model):
-    return spark.createDataFrame([(n, round(float(w), 6)) for n, w in distill.coefficients(model)],
+    # MLlib stops within 1e-7 of the optimum: four digits are the same in any exact solver
+    return spark.createDataFrame([(n, round(float(w), 4) + 0.0) for n, w in distill.coefficients(model)],
                                  "feature string, weight double")
 
 
@@ -756,8 +754,7 @@ def p2_p3_run_vocabulary(spark, d):
 
 @register("r6_listwise_groups")
 def r6_listwise_groups(spark, d):
-    mt = fx.multi_negative_triples(spark, d).where(F.size("doc_id_b") >= 3)
-    g = reshape.group_rows(mt, group_size=3, include_positive=False)
+    g = reshape.group_rows(fx.multi_negative_triples(spark, d), group_size=3, include_positive=False, short="keep")
     return g.select("qid", F.array_join("docnos", ",").alias("docnos"))
 
 

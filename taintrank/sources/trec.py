@@ -50,12 +50,16 @@ def write_run(run: DataFrame, path: str, tag: str = "taintrank", overwrite: bool
 
 def write_runs(runs: DataFrame, path: str, tag: str = "taintrank", overwrite: bool = True) -> None:
     """S13 for many runs at once: one ``name=<run>/`` folder per run (a single
-    write job partitioned by ``name``), lines in run format."""
-    lines = runs.select("name", F.concat_ws(" ", F.col("qid"), F.lit("Q0"), F.col("docno"),
-                                            F.col("rank").cast("string"), F.col("score").cast("string"),
-                                            F.lit(tag)).alias("value"))
-    (lines.repartition("name").sortWithinPartitions("name", "value").write
-     .mode("overwrite" if overwrite else "ignore").partitionBy("name").text(path))
+    write job partitioned by ``name``), lines in run format, ordered by (qid, rank).
+
+    Range partitions over (name, qid, rank): a long run is written by several tasks, as files that follow each other.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = runs.repartitionByRange(n, "name", "qid", "rank").sortWithinPartitions("name", "qid", "rank")
+    lines = ordered.select("name", F.concat_ws(" ", F.col("qid"), F.lit("Q0"), F.col("docno"),
+                                               F.col("rank").cast("string"), F.col("score").cast("string"),
+                                               F.lit(tag)).alias("value"))
+    lines.write.mode("overwrite" if overwrite else "ignore").partitionBy("name").text(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

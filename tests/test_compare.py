@@ -1,5 +1,6 @@
 """KL divergence (G5/G6), moments (G3), t-test (G4), distribution tables."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,29 +112,33 @@ def test_box_histogram_kde_ecdf(spark):
     assert e[-1]["cdf"] == pytest.approx(1.0) and e[0]["cdf"] == pytest.approx(1 / len(vals))
 
 
-def test_skew_safe_positions_match_window(spark):
-    from pyspark.sql import Window
-    from taintrank.operators.rank import ordered_positions
-    rows = [("hot", str(i), float(i % 17)) for i in range(3000)] + [("cold", str(i), float(i)) for i in range(5)]
-    df = spark.createDataFrame(rows, "qid string, docno string, score double")
-    order = [F.col("score").desc(), F.col("docno").desc()]
-    got = {(r["qid"], r["docno"]): r["pos"] for r in ordered_positions(
-        df, ["qid"], "score", True, [F.col("docno").desc()], slice_rows=100).collect()}
-    w = Window.partitionBy("qid").orderBy(*order)
-    exp = {(r["qid"], r["docno"]): r["p"] for r in df.withColumn("p", F.row_number().over(w)).collect()}
-    assert got == exp
+SHAPES = {
+    "hot group and ties": [("hot", str(i), float(i % 17)) for i in range(3000)] + [("cold", str(i), float(i)) for i in range(5)],
+    "one value, ids with a long common prefix": [("hot", f"collection-document-{i:05d}", 1.0) for i in range(3000)] + [("cold", "a", 0.5)],
+    "one outlier": [("hot", str(i), float(i % 1000) / 1000) for i in range(3000)] + [("hot", "far", 1e9)],
+    "null group": [(None, str(i), float(i % 7)) for i in range(2000)] + [("q", str(i), None if i % 5 == 0 else 1.0) for i in range(100)],
+}
 
 
-def test_skew_safe_positions_split_a_hot_tie(spark):
+@pytest.mark.parametrize("shape", SHAPES)
+def test_ordered_positions_match_window_in_bounded_slices(spark, shape):
     from pyspark.sql import Window
-    from taintrank.operators.rank import ordered_positions
-    # one query whose 3000 rows share a single score, plus docnos of varying length
-    rows = [("hot", f"{i}", 1.0) for i in range(3000)] + [("hot", f"x{i}", 2.0) for i in range(10)] + \
-        [("cold", "a", 0.5), ("cold", "b", 0.5)]
-    df = spark.createDataFrame(rows, "qid string, docno string, score double")
+    from taintrank.operators.rank import ordered_positions, range_parts
+    df = spark.createDataFrame(SHAPES[shape], "qid string, docno string, score double").withColumn("w", F.length("docno").cast("long"))
     order = [F.col("score").desc(), F.col("docno").desc()]
-    got = ordered_positions(df, ["qid"], "score", True, [F.col("docno").desc()], slice_rows=100,
-                            tie_key=("docno", True))
+    got = ordered_positions(df, ["qid"], "score", True, [F.col("docno").desc()], sums=[(None, "pos"), ("w", "cum")], partitions=10)
     w = Window.partitionBy("qid").orderBy(*order)
-    exp = {(r["qid"], r["docno"]): r["p"] for r in df.withColumn("p", F.row_number().over(w)).collect()}
-    assert {(r["qid"], r["docno"]): r["pos"] for r in got.collect()} == exp
+    exp = df.withColumn("pos", F.row_number().over(w)).withColumn("cum", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    key = lambda r: (r["qid"] or "", r["docno"], r["pos"], r["cum"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, exp.collect()))
+    largest = range_parts(df, ["qid"], order, 10).groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * df.count() / 10
+
+
+def test_constant_groups(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 4 + [("b", 1.0)] * 3 + [("c", 2.0)] * 3, "model_type string, score double")
+    r = compare.t_test_table(df, "a", "b", p_value=True).collect()[0]
+    assert r["t"] is None and r["p"] is None
+    r = compare.t_test_table(df, "a", "c", p_value=True).collect()[0]
+    assert r["t"] == -math.inf and r["p"] == 0.0 and compare.t_test(df, "a", "c") == (-math.inf, 0.0)
+    assert all(x["density"] is None for x in distributions.kde(df.where("model_type = 'a'")).collect())

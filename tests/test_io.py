@@ -1,5 +1,6 @@
 """Sources and sinks (S1-S17): round trips into fresh temp folders."""
 
+import glob
 import gzip
 import json
 import os
@@ -117,3 +118,15 @@ def test_many_runs_written_and_read_in_one_scan(spark, tmp_out):
     back = trec.read_runs(spark, path)
     got = sorted((r["name"], r["docno"], r["rank"], r["score"]) for r in back.collect())
     assert got == [("student", "b", 0, 0.5), ("teacher", "a", 0, 2.0), ("teacher", "b", 1, 1.0)]
+
+
+def test_many_runs_keep_line_order(spark, tmp_out):
+    rows = [("a", q, f"d{r}", r, 100.0 - r) for q in ("q1", "q2") for r in range(30)] + [("b", "q1", "d0", 0, 1.0)]
+    runs = spark.createDataFrame(rows, "name string, qid string, docno string, rank int, score double").repartition(5)
+    trec.write_runs(runs, tmp_out + "/runs")
+    lines = []
+    for f in sorted(glob.glob(tmp_out + "/runs/name=a/part-*")):
+        with open(f) as fh:
+            lines += [x.split(" ") for x in fh.read().splitlines()]
+    assert [(x[0], int(x[3])) for x in lines] == [(q, r) for q in ("q1", "q2") for r in range(30)]
+    assert trec.read_runs(spark, tmp_out + "/runs").count() == 61

@@ -67,8 +67,8 @@ def test_pivots_and_pairs(spark):
 
 def test_sampling_is_deterministic_and_clamped(spark):
     df = spark.range(50).selectExpr("CAST(id AS STRING) AS k")
-    a = [r["k"] for r in sampling.sample_n(df, 10, ["k"]).collect()]
-    b = [r["k"] for r in sampling.sample_n(df.repartition(7), 10, ["k"]).collect()]
+    a = sorted(r["k"] for r in sampling.sample_n(df, 10, ["k"]).collect())
+    b = sorted(r["k"] for r in sampling.sample_n(df.repartition(7), 10, ["k"]).collect())
     assert a == b and len(a) == 10
     assert sampling.sample_n(df, 500, ["k"]).count() == 50
     arr = spark.createDataFrame([(["a", "b", "c"],)], "x array<string>")
@@ -77,6 +77,32 @@ def test_sampling_is_deterministic_and_clamped(spark):
         arr.select(sampling.sample_array("x", 4)).collect()
 
 
+def test_large_sample_is_exact_and_stays_spread(spark):
+    df = spark.range(20_000).selectExpr("CAST(id AS STRING) AS k").repartition(8)
+    got = sampling.sample_n(df, 7_000, ["k"], seed=3)
+    want = df.orderBy(sampling.order_key(3, "k"), "k").limit(7_000)
+    assert sorted(r["k"] for r in got.collect()) == sorted(r["k"] for r in want.collect())
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 3_000
+    assert sampling.sample_n(df, 0, ["k"]).count() == 0
+
+
+def test_pair_text_cuts_the_document_only(spark):
+    words = lambda n, w: " ".join([w] * n)
+    df = spark.createDataFrame([(words(50, "q"), words(300, "d")), (words(240, "q"), "d d"), (None, "d"), ("q", "")], "q string, t string")
+    got = [r[0].split() for r in df.select(TX.pair_text("q", "t")).collect()]
+    assert [(x.count("q"), x.count("d")) for x in got] == [(50, 180), (240, 0), (0, 1), (1, 0)]
+    line = df.select(TX.duo_text("t", "t", "t").alias("x")).collect()[0]["x"]
+    assert len(line.split()) == 512
+
+
+def test_group_ids_do_not_depend_on_partitions(spark):
+    from taintrank.operators import reshape
+    t = spark.createDataFrame([("q", "a", "b"), ("q", "a", "b"), ("q", "c", "b")], "query_id string, doc_id_a string, doc_id_b string")
+    ids = lambda df: sorted(r["gid"] for r in reshape.group_rows(df).collect())
+    assert ids(t) == ids(t.repartition(5)) and len(set(ids(t))) == 3
+
+
 def test_top_k_plans_window_group_limit(spark):
     run = spark.createDataFrame([("q", str(i), float(i % 5)) for i in range(50)], "qid string, docno string, score double")
     out = rank.top_k(run, 3)

@@ -19,7 +19,7 @@ def test_metrics_bounded_and_plan_independent(spark, run, judged):
     r = spark.createDataFrame(run, "qid string, docno string, score double")
     q = spark.createDataFrame(judged, "qid string, docno string, relevance int")
     a = metrics.evaluate(r, q, skew_safe=False).collect()[0].asDict()
-    b = metrics.evaluate(r.repartition(3), q, skew_safe=True, slice_rows=2).collect()[0].asDict()
+    b = metrics.evaluate(r.repartition(3), q, skew_safe=True, partitions=5).collect()[0].asDict()
     for k, v in a.items():
         if k == "name":
             continue
