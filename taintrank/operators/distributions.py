@@ -44,16 +44,17 @@ def histogram(df: DataFrame, value: str = "score", by: str = "model_type",
 
 def exact_quantiles(df: DataFrame, value: str = "score", by: Sequence[str] = ("model_type",),
                     probs: Sequence[float] = (0.25, 0.5, 0.75), buckets: int = 1 << 16,
-                    rounds: int = 2) -> DataFrame:
+                    last: int = 100_000) -> DataFrame:
     """Exact linear-interpolated quantiles per group, fully distributed.
 
     Each needed order statistic (ranks floor/ceil of p (n-1)) is a row of a
     small *target* table holding its current value interval. A round joins
     the data to the targets, counts values in ``buckets`` equal-width buckets
     of each interval (one aggregate), and a window over those counts keeps
-    the bucket that holds the rank. After ``rounds`` rounds the remaining
-    rows of each interval (few unless a group is one dense cluster of
-    distinct values) are numbered by a window to pick the exact value. No
+    the bucket that holds the rank. An interval of one value is the answer, however many
+    rows share it. Rounds go on until every other interval holds ``last`` rows at
+    most (each round splits its smallest from its largest value); those rows
+    are numbered by a window to pick the exact value. No
     group's values are gathered into one task or onto the driver.
     Returns ``by..., p, q``.
     """
@@ -70,7 +71,7 @@ def exact_quantiles(df: DataFrame, value: str = "score", by: Sequence[str] = ("m
     # statistics let the planner broadcast it when (and only when) it is small.
     state = cut_lineage(ranks.select(*by, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_base")),
                         "quantile_targets")
-    for _ in range(rounds):
+    while True:
         inside = base.join(state, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = (F.col("_hi") - F.col("_lo")) / buckets
         bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
@@ -82,15 +83,18 @@ def exact_quantiles(df: DataFrame, value: str = "score", by: Sequence[str] = ("m
         pos = F.col("_r") - F.col("_base")
         state = counts.where((pos < F.col("_cum")) & (pos >= F.col("_cum") - F.col("_c"))).select(
             *by, "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
-            (F.col("_base") + F.col("_cum") - F.col("_c")).alias("_base"))
+            (F.col("_base") + F.col("_cum") - F.col("_c")).alias("_base"), "_c")
         state = cut_lineage(state, "quantile_targets")  # a few rows per group; keeps rounds independent
-        if state.where(F.col("_lo") != F.col("_hi")).isEmpty():
+        wide = state.where((F.col("_lo") != F.col("_hi")) & (F.col("_c") > last))
+        if wide.isEmpty():
             break
-    # exact pick inside each remaining interval
-    inside = base.join(state, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        state = state.drop("_c")
+    # an interval of one value is the answer; in the others at most ``last`` rows are numbered
+    closed = state.where(F.col("_lo") == F.col("_hi")).select(*by, "_r", F.col("_lo").alias("_x"))
+    inside = base.join(state.where(F.col("_lo") != F.col("_hi")), by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     w = Window.partitionBy(*by, "_r").orderBy("_v")
-    picked = (inside.withColumn("_k", F.row_number().over(w) - 1)
-              .where(F.col("_k") == F.col("_r") - F.col("_base")).select(*by, "_r", F.col("_v").alias("_x")))
+    picked = closed.unionByName(inside.withColumn("_k", F.row_number().over(w) - 1)
+                                .where(F.col("_k") == F.col("_r") - F.col("_base")).select(*by, "_r", F.col("_v").alias("_x")))
     lo = picked.select(*by, F.col("_r").alias("_rl"), F.col("_x").alias("_a"))
     hi = picked.select(*by, F.col("_r").alias("_rh"), F.col("_x").alias("_b"))
     out = (wanted.select(*by, "p", "_h", F.floor("_h").cast("long").alias("_rl"), F.ceil("_h").cast("long").alias("_rh"))

@@ -35,16 +35,18 @@ def _batches(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
 
 
 def score_pairs(df: DataFrame, factory: Callable, query: str = "query", text: str = "text",
-                out: str = "score", batch_size: int = DEFAULT_BATCH, logits: bool = False) -> DataFrame:
+                out: str = "score", batch_size: int = DEFAULT_BATCH, logits: bool = False,
+                keep: Sequence[str] | None = None) -> DataFrame:
     """K2/K3: score every (query, text) row with a cross scorer.
 
     Pass only the columns you need: ``mapInPandas`` hides them from column
-    pruning. ``logits=True`` keeps the model's full output as
+    pruning. ``keep`` names the columns that come back with the score (default all): leave
+    the texts out. ``logits=True`` keeps the model's full output as
     ``array<double>`` (pair / duo scorers, P10).
     """
     out_type = "array<double>" if logits else "double"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-                       + [f"`{out}` {out_type}"])
+    keep = list(df.columns if keep is None else keep)
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` {out_type}"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -57,7 +59,7 @@ def score_pairs(df: DataFrame, factory: Callable, query: str = "query", text: st
             for b in _batches(pdf, batch_size):
                 s = np.asarray(model(b[query].fillna("").tolist(), b[text].fillna("").tolist()),
                                dtype=np.float64)
-                b = b.copy()
+                b = b[keep].copy()
                 b[out] = list(s) if logits else s.reshape(-1)
                 parts.append(b)
             yield pd.concat(parts)
@@ -151,20 +153,10 @@ def _word_tokens(text: str) -> list[str]:
 class TokenOverlapScorer:
     """Cross scorer: number of distinct query tokens present in the text."""
 
-    def __init__(self, memo_size: int = 50_000):
-        self._seen: dict[str, frozenset] = {}  # a text recurs for every query that retrieved it
-        self._memo_size = memo_size
-
     def __call__(self, queries: Sequence[str], texts: Sequence[str]) -> np.ndarray:
-        out = np.empty(len(queries), dtype=np.float64)
-        seen = self._seen
-        if len(seen) > self._memo_size:
-            seen.clear()
-        for i, (q, t) in enumerate(zip(queries, texts)):
-            qs = seen.get(q) or seen.setdefault(q, frozenset(_word_tokens(q)))
-            ts = seen.get(t) or seen.setdefault(t, frozenset(_word_tokens(t)))
-            out[i] = len(qs & ts)
-        return out
+        # a text is tokenised once per batch; nothing outlives the batch
+        seen = {x: frozenset(_word_tokens(x)) for x in {*queries, *texts}}
+        return np.array([len(seen[q] & seen[t]) for q, t in zip(queries, texts)], dtype=np.float64)
 
 
 class OverlapLogitsScorer:

@@ -87,15 +87,31 @@ def student_scores(spark, d):
     return rerank.vector_scores(pairs(spark, d), q, dv)
 
 
+def both_scores(spark, d, of: DataFrame) -> DataFrame:
+    """``qid, docno, s, t`` of the pairs in ``of``: both models in one pass over the vectors, written once."""
+    q, dv = fx.vectors(spark, d)
+    v = joins.attach_vectors(of.select("qid", "docno").distinct(), q, dv)
+    cut = lambda c: F.slice(c, 1, 32)
+    return cut_lineage(v.select("qid", "docno", V.dot(cut("query_vec"), cut("doc_vec")).alias("s"),
+                                V.dot("query_vec", "doc_vec").alias("t")), "scores")
+
+
+def student_and_teacher(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Score tables of the training pairs, both read from one written table."""
+    both = both_scores(spark, d, reshape.pivot_pairs(triples(spark, d)))
+    return both.select("qid", "docno", F.col("s").alias("score")), both.select("qid", "docno", F.col("t").alias("score"))
+
+
 def loss_groups(spark, d):
     """One row per triple: pred = student [pos, neg], label = teacher [pos, neg] (J6 default 0)."""
-    t = triples(spark, d)
-    s, te = student_scores(spark, d), teacher_scores(spark, d)
-    g = t.withColumnsRenamed({"query_id": "qid"})
-    for side, col in (("a", "doc_id_a"), ("b", "doc_id_b")):
-        g = joins.attach_scores(g.withColumn("docno", F.col(col)), s, as_col=f"p_{side}").drop("docno")
-        g = joins.attach_scores(g.withColumn("docno", F.col(col)), te, as_col=f"l_{side}").drop("docno")
-    return g.select(F.col("qid").alias("query_id"), "doc_id_a", "doc_id_b", "origin",
+    t = cut_lineage(triples(spark, d), "triples")
+    both = both_scores(spark, d, reshape.pivot_pairs(t)).withColumnRenamed("qid", "query_id")
+    g = t
+    for side in ("a", "b"):
+        scores = both.select("query_id", F.col("docno").alias(f"doc_id_{side}"), F.col("s").alias(f"p_{side}"), F.col("t").alias(f"l_{side}"))
+        g = g.join(scores, ["query_id", f"doc_id_{side}"], "left")
+    g = g.fillna(0.0, ["p_a", "p_b", "l_a", "l_b"])
+    return g.select("query_id", "doc_id_a", "doc_id_b", "origin",
                     F.array("p_a", "p_b").alias("pred"), F.array("l_a", "l_b").alias("label"))
 
 
@@ -162,7 +178,7 @@ def j6_teacher_default(spark, d):
 
 @register("j7_match_scores")
 def j7_match_scores(spark, d):
-    return round_doubles(joins.match_scores(student_scores(spark, d), teacher_scores(spark, d)))
+    return round_doubles(joins.match_scores(*student_and_teacher(spark, d)))
 
 
 @register("j9_used_docs")
@@ -312,9 +328,8 @@ def g2_score_summary(spark, d):
 
 def labelled_scores(spark, d):
     """Teacher and student scores of the training pairs with ``model_type``."""
-    a = schema.with_label(teacher_scores(spark, d), "teacher")
-    b = schema.with_label(student_scores(spark, d), "student")
-    return setops.append_samples(a, b)
+    student, teacher = student_and_teacher(spark, d)
+    return setops.append_samples(schema.with_label(teacher, "teacher"), schema.with_label(student, "student"))
 
 
 @register("g3_moments")
@@ -329,17 +344,17 @@ def g4_t_test(spark, d):
 
 @register("g5_kl_divergence")
 def g5_kl_divergence(spark, d):
-    return round_doubles(compare.kl_divergence(student_scores(spark, d), teacher_scores(spark, d)))
+    return round_doubles(compare.kl_divergence(*student_and_teacher(spark, d)))
 
 
 @register("g5_kl_per_query")
 def g5_kl_per_query(spark, d):
-    return round_doubles(compare.kl_per_query(student_scores(spark, d), teacher_scores(spark, d)))
+    return round_doubles(compare.kl_per_query(*student_and_teacher(spark, d)))
 
 
 @register("g6_skipped_queries")
 def g6_skipped_queries(spark, d):
-    return round_doubles(compare.skipped_queries(student_scores(spark, d), teacher_scores(spark, d)))
+    return round_doubles(compare.skipped_queries(*student_and_teacher(spark, d)))
 
 
 # ---------------------------------------------------------------- W: windows
@@ -534,12 +549,9 @@ def listwise_parts(spark, d):
     """F7 groups as (positives, negatives) of each query with student ``s`` and
     teacher ``t`` scores (J6 default 0); queries without a negative dropped."""
     b = schema.binarize_relevance(fx.qrels(spark, d))
-    q, dv = fx.vectors(spark, d)
-    q32, dv32 = fx.vectors(spark, d, 32)
     judged = b.where(F.col("relevance").isin(0, 1)).select("qid", "docno", "relevance")
-    judged = joins.attach_scores(judged, rerank.vector_scores(judged, q, dv), as_col="t")
-    judged = joins.attach_scores(judged, rerank.vector_scores(judged, q32, dv32), as_col="s")
-    judged = judged.withColumnRenamed("qid", "query_id")
+    judged = judged.join(both_scores(spark, d, judged), ["qid", "docno"], "left").fillna(0.0, ["s", "t"])
+    judged = cut_lineage(judged.withColumnRenamed("qid", "query_id"), "judged_scores")
     neg = judged.where(F.col("relevance") == 0)
     pos = judged.where(F.col("relevance") == 1).join(neg.select("query_id").distinct(), "query_id", "left_semi")
     return pos, neg

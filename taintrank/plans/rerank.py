@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import joins, reshape, scoring
 from ..operators.rank import add_ranks
+from ..session import cut_lineage
 
 
 def rerank(run: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callable | None = None,
@@ -29,14 +30,21 @@ def rerank(run: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callabl
         raise ValueError("give exactly one of factory (cross) or bi_factory (bi-encoder)")
     cols = ["qid", "docno"] + ([F.col("rank").alias("first_rank")] if "rank" in run.columns else [])
     r = run.select(*cols)
-    r = joins.attach_query(r, queries, strict=True)
-    r = joins.attach_text_strict(r, docs, key="docno", text_field=text_field, as_col="text")
     if factory is not None:
-        scored = scoring.score_pairs(r, factory, batch_size=batch_size)
-        ranked = add_ranks(scored)
+        keys = r.columns
+        r = joins.attach_query(r, queries, strict=True)
+        r = joins.attach_text_strict(r, docs, key="docno", text_field=text_field, as_col="text")
+        scored = scoring.score_pairs(r, factory, batch_size=batch_size, keep=keys)
     else:
-        ranked = scoring.bi_transform(r, bi_factory, batch_size=batch_size)
-    return ranked.select("qid", "docno", "score", "rank")
+        # the candidates are written once; every distinct query and document is encoded once, from its own table
+        r = cut_lineage(r, "candidates")
+        qv = scoring.encode(joins.used_only(queries.select("qid", "query"), r, "qid"), bi_factory, "query", "query_vec", batch_size)
+        d = docs.select("docno", F.col(text_field).alias("text"))
+        dv = scoring.encode(joins.used_only(d, r, "docno"), bi_factory, "text", "doc_vec", batch_size)
+        r = joins.attach_text_strict(r, qv, key="qid", text_field="query_vec")
+        r = joins.attach_text_strict(r, dv, key="docno", text_field="doc_vec")
+        scored = r.withColumn("score", V.dot("query_vec", "doc_vec")).drop("query_vec", "doc_vec")
+    return add_ranks(scored).select("qid", "docno", "score", "rank")
 
 
 def generate_scores(triples: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callable,
@@ -49,7 +57,7 @@ def generate_scores(triples: DataFrame, queries: DataFrame, docs: DataFrame, fac
     pairs = reshape.pivot_pairs(triples).select("qid", "docno").distinct()
     p = joins.attach_text(pairs, queries, key="qid", text_field="query")
     p = joins.attach_text(p, docs, key="docno", text_field="text")
-    return scoring.score_pairs(p, factory, batch_size=batch_size).select("qid", "docno", "score")
+    return scoring.score_pairs(p, factory, batch_size=batch_size, keep=["qid", "docno"])
 
 
 def generate_bi_scores(triples: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callable,

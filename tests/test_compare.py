@@ -85,7 +85,7 @@ def test_exact_quantiles_with_refinement(spark):
     df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", 1.0), ("h", 2.0)],
                                "model_type string, score double")
     q = {(r["model_type"], r["p"]): r["q"] for r in distributions.exact_quantiles(
-        df, probs=(0.1, 0.25, 0.5, 0.75, 0.99), buckets=8, rounds=2).collect()}
+        df, probs=(0.1, 0.25, 0.5, 0.75, 0.99), buckets=8, last=4).collect()}
     for p in (0.1, 0.25, 0.5, 0.75, 0.99):
         assert q[("g", p)] == pytest.approx(np.percentile(vals, p * 100), abs=1e-12)
     assert q[("h", 0.5)] == pytest.approx(1.5)
@@ -142,3 +142,12 @@ def test_constant_groups(spark):
     r = compare.t_test_table(df, "a", "c", p_value=True).collect()[0]
     assert r["t"] == -math.inf and r["p"] == 0.0 and compare.t_test(df, "a", "c") == (-math.inf, 0.0)
     assert all(x["density"] is None for x in distributions.kde(df.where("model_type = 'a'")).collect())
+
+
+def test_quantiles_of_hot_ties_and_outliers(spark):
+    rng = np.random.default_rng(4)
+    vals = np.concatenate([np.zeros(3000), rng.normal(0, 1, 300), [1e12, -1e9]])
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "model_type string, score double")
+    q = {r["p"]: r["q"] for r in distributions.exact_quantiles(df, probs=(0.01, 0.05, 0.5, 0.95, 0.999), buckets=64, last=10).collect()}
+    for p in q:
+        assert q[p] == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)
