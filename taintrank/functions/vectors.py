@@ -105,12 +105,6 @@ def sign(x) -> Column:
     return F.signum(_c(x))
 
 
-def rel_entr(p, q) -> Column:
-    """P * ln(p / q), 0 when p == 0 (inputs are clipped upstream)."""
-    p, q = _c(p), _c(q)
-    return F.when(p == 0, F.lit(0.0)).otherwise(p * F.log(p / q))
-
-
 def argmax(a) -> Column:
     """0-based index of the first maximum."""
     a = _c(a)

@@ -124,7 +124,7 @@ def loss_elements(df: DataFrame, name: str, pred: str = "pred", label: str | Non
     (listnet's label-range flag, a scalar subquery evaluated once).
     """
     if name not in LOSSES:
-        raise ValueError(f"Unknown loss: {name}")
+        raise ValueError(f"no loss named {name}")
     fn, _, needs = LOSSES[name]
     if needs and label is None:
         raise ValueError(f"{name} needs labels")
@@ -148,17 +148,17 @@ def _reduce(elems: Column, reduction: str) -> list[Column]:
         return [s / F.sum(F.size(kept))]
     if reduction == "batchmean":
         return [s / F.count_if(F.size(kept) > 0)]
-    raise ValueError(f"Unknown reduction type: {reduction}")
+    raise ValueError(f"reduction {reduction} is not one of {REDUCTIONS}")
 
 
 def loss(df: DataFrame, name: str, pred: str = "pred", label: str | None = "label",
          reduction: str | None = None, by: Sequence[str] = (), **args) -> DataFrame:
     """L1-L11 + G8: the loss of the whole table (or per ``by`` group, L16)."""
     if name not in LOSSES:
-        raise ValueError(f"Unknown loss: {name}")
+        raise ValueError(f"no loss named {name}")
     reduction = reduction or LOSSES[name][1]
     if reduction not in REDUCTIONS:
-        raise ValueError(f"Unknown reduction type: {reduction}")
+        raise ValueError(f"reduction {reduction} is not one of {REDUCTIONS}")
     df, elems = loss_elements(df, name, pred, label, **args)
     if reduction == "none":
         return df.withColumn("loss", elems)
@@ -218,10 +218,10 @@ def listwise_loss_long(df: DataFrame, name: str, group: Sequence[str], pos: str
     :func:`loss`; ``batchmean`` divides by the number of groups.
     """
     if name not in LONG_FORM:
-        raise ValueError(f"Unknown loss for the long form: {name}")
+        raise ValueError(f"{name} has no long form")
     reduction = reduction or LOSSES[name][1]
     if reduction not in REDUCTIONS or reduction == "none":
-        raise ValueError(f"Unknown reduction type: {reduction}")
+        raise ValueError(f"reduction {reduction} is not one of {REDUCTIONS}")
     T = temperature if name in ("kl_div", "listnet", "contrastive") else 1.0
     s = F.col(pred).cast("double") / (1.0 if name == "listnet" else T)      # listnet scales the labels alone
     t = F.col(label).cast("double") / T if label is not None else None
@@ -277,7 +277,7 @@ def shared_negative_loss(positives: DataFrame, negatives: DataFrame, name: str,
     negatives in ``order``), ``mse`` (mean over elements).
     """
     if name not in ("kl_div", "listnet", "contrastive", "mse"):
-        raise ValueError(f"Unknown loss for shared negatives: {name}")
+        raise ValueError(f"{name} has no form for shared negatives")
     T = temperature if name != "mse" else 1.0
     P = 1.0 if name == "listnet" else T      # listnet scales the labels alone
     s_n, t_n = F.col(pred).cast("double") / P, F.col(label).cast("double") / T

@@ -1,8 +1,8 @@
 """Reshape, array and map operators.
 
-Groups (R5-R10) are one row per training group with array columns; their
-size is bounded by ``group_size``, so collecting a group never gathers more
-than that many elements.
+Groups (R5-R9) are one row per training group with array columns of
+``group_size`` elements. The lists of supplied negatives (R2, R6, R7, R10) are the caller's:
+as long as the caller makes them.
 """
 
 from __future__ import annotations
@@ -54,23 +54,22 @@ def explode_score_map(df: DataFrame, col: str = "scores") -> DataFrame:
             .select("qid", F.explode("docs").alias("docno", "score")))
 
 
-def collect_score_map(scores: DataFrame, seq: str | None = None,
-                      max_entries: int = 100_000) -> DataFrame:
-    """Long (qid, docno, score) -> rows ``qid, scores map<docno, score>``.
+MAP_BUCKETS = 16
+
+
+def collect_score_map(scores: DataFrame, seq: str | None = None, buckets: int = MAP_BUCKETS) -> DataFrame:
+    """Long (qid, docno, score) -> rows ``qid, bucket, scores map<docno, score>``.
 
     A duplicated (qid, docno) keeps the row with the largest ``seq`` (the
-    last written), or the largest score when no order is given. A query
-    with more than ``max_entries`` documents is split over several rows
-    (hash buckets of docno) so no row, and no task, holds an unbounded
-    group; readers merge rows of the same qid (R3 / S9 do).
+    last written), or the largest score when no order is given. One contract for every size: a
+    query's documents are hashed into ``buckets`` rows, so a row is keyed by (qid, bucket) and
+    holds one bucket alone; ``buckets=1`` gives a single map per query. R3 / S9 merge the rows of a qid.
     """
+    if buckets < 1:
+        raise ValueError("buckets must be >= 1")
     order = F.col(seq) if seq else F.col("score")
     dedup = scores.groupBy("qid", "docno").agg(F.max_by("score", order).alias("score"))
-    sizes = dedup.groupBy("qid").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(max_entries))).cast("long").alias("_nb"))
-    bucketed = dedup.join(sizes, "qid").withColumn(
-        "bucket", F.pmod(F.xxhash64("docno"), F.col("_nb")))
-    return bucketed.groupBy("qid", "bucket").agg(
+    return dedup.groupBy("qid", F.pmod(F.xxhash64("docno"), F.lit(buckets)).cast("int").alias("bucket")).agg(
         F.map_from_entries(F.collect_list(F.struct("docno", "score"))).alias("scores"))
 
 

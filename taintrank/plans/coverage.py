@@ -177,6 +177,18 @@ _add("k13_given_negatives", O._sql(
     "JOIN f_queries q ON q.qid = x.qid JOIN f_docs t ON t.docno = x.docno", "f7", "f_queries", "f_docs"))
 
 
+@register("r4_last_wins")
+def r4_last_wins(spark, d):
+    """Repeated (qid, docno) keep the score of the last event."""
+    e = fx.table(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("qid"), (F.col("event_id") % 20).cast("string").alias("docno"),
+                                            F.col("value").cast("double").alias("score"), F.col("event_id").alias("seq"))
+    m = reshape.collect_score_map(e, seq="seq")
+    return round_doubles(m.select("qid", F.explode("scores").alias("docno", "score")))
+
+
+_add("r4_last_wins", "SELECT qid, docno, round(score, 6) AS score FROM (SELECT CAST(user_id % 10 AS VARCHAR) AS qid, CAST(event_id % 20 AS VARCHAR) AS docno, "
+                     "arg_max(CAST(value AS DOUBLE), event_id) AS score FROM events GROUP BY 1, 2)")
+
 # ---------------------------------------------------------------- G, M, B: edge cases
 
 def _graded(spark, d, muted: bool):

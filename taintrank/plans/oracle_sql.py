@@ -34,7 +34,7 @@ CTE = {
                       "CAST(event_id % 4 AS INTEGER) AS relevance FROM events WHERE event_id % 3 = 0"),
     "f_sample": "SELECT l_linestatus AS model_type, CAST(l_extendedprice AS DOUBLE) AS score FROM lineitem",
     "f_user_texts": ("SELECT concat_ws('-', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS qid, "
-                     "text AS query FROM conversations WHERE role = 'user'"),
+                     "text AS query FROM conversations"),
     # dense run (K7 retrieval, top 100, ties by docno ascending)
     "dense_scored": ("SELECT q.qid, d.docno, list_dot_product(q.vec, d.vec) AS score "
                      "FROM f_qvec q CROSS JOIN f_dvec d"),

@@ -251,7 +251,7 @@ def r3_explode_score_map(spark, d):
 
 @register("r4_collect_score_map")
 def r4_collect_score_map(spark, d):
-    m = reshape.collect_score_map(teacher_scores(spark, d), max_entries=7)
+    m = reshape.collect_score_map(teacher_scores(spark, d))
     return round_doubles(m.groupBy("qid").agg(
         F.sum(F.size("scores")).alias("n_docs"),
         F.sum(V.array_sum(F.map_values("scores"))).alias("score_sum")))
@@ -616,7 +616,7 @@ def s5_s6_lookup_json(spark, d):
 @register("s9_s10_score_map_json")
 def s9_s10_score_map_json(spark, d):
     path = _io_path(spark, "scores") + ".jsonl"
-    jsonio.write_score_map(teacher_scores(spark, d), path, max_entries=5)
+    jsonio.write_score_map(teacher_scores(spark, d), path)
     return round_doubles(jsonio.read_score_map(spark, path))
 
 
@@ -684,12 +684,10 @@ def t4_student_argmax(spark, d):
     return _coef_frame(spark, distill.train_student_argmax(t, features(spark, d, 32), teacher, reg=0.01))
 
 
-@register("t5_contamination_report")
-def t5_contamination_report(spark, d):
-    """The experiment matrix {clean, contaminated} x {teacher, student}: teachers
+def experiment_runs(spark, d) -> DataFrame:
+    """The experiment matrix {clean, contaminated} x {teacher, student} as runs ``name, arm, qid, docno, score``: teachers
     trained on clean vs contaminated triples, students distilled (KL) from each
-    teacher on the same triples; all re-rank BM25 top-100 and are judged on the
-    leaked queries (their qrels entered the contaminated arm)."""
+    teacher on the same triples; all re-rank BM25 top-100."""
     cand = cut_lineage(bm25_run(spark, d).select("qid", "docno"), "candidates")
     feats_t = features(spark, d, pairs_df=cand)
     feats_s = features(spark, d, 32, pairs_df=cand)
@@ -704,11 +702,24 @@ def t5_contamination_report(spark, d):
         for name, model, feats in (("teacher", teacher, feats_t), ("student", student, feats_s)):
             r = distill.apply_linear(feats, model).withColumn("name", F.lit(name)).withColumn("arm", F.lit(arm))
             runs = r if runs is None else runs.unionByName(r)
+    return cut_lineage(runs, "experiment")
+
+
+@register("t5_contamination_report")
+def t5_contamination_report(spark, d):
+    """Ranking metrics of the experiment, judged on the leaked queries (their qrels entered the contaminated arm)."""
+    runs = experiment_runs(spark, d)
     leaked = triples(spark, d).where(F.col("origin") == "leaked").select(F.col("query_id").alias("qid"))
     test_qrels = fx.qrels(spark, d).join(leaked, "qid", "left_semi")
     return round_doubles(report.metric_report(runs, test_qrels))
 
 
+@register("t5_arm_statistics")
+def t5_arm_statistics(spark, d):
+    """Per arm KL(student || teacher) and the moments of the teacher's scores, with the t-test between the arms."""
+    return round_doubles(report.arm_statistics(experiment_runs(spark, d)))
+
+
 # ---------------------------------------------------------------- more operator coverage
 
 # Fixed values (test rule, not from the reference): linear pooler weights

@@ -32,6 +32,16 @@ def kl_report(student: DataFrame, teacher: DataFrame) -> DataFrame:
     return compare.kl_divergence(student, teacher, by=("arm",))
 
 
+def arm_statistics(runs: DataFrame) -> DataFrame:
+    """``runs[name, arm, qid, docno, score]`` -> per arm KL (student against teacher), teacher moments, and the pooled
+    t-test of the teacher scores, clean against contaminated (the same ``t`` and ``p`` in both rows)."""
+    teacher, student = runs.where("name = 'teacher'"), runs.where("name = 'student'")
+    test = compare.t_test_table(teacher, CLEAN, CONTAMINATED, by="arm", p_value=True)
+    one = test.select(F.struct("t", "p")).scalar()
+    out = kl_report(student, teacher).join(moment_report(teacher), "arm").withColumn("_test", one)
+    return out.select("*", "_test.t", "_test.p").drop("_test")
+
+
 def moment_report(scores: DataFrame) -> DataFrame:
     """``scores[arm, score]`` -> G3 moments per arm."""
     return compare.moments(scores, by=("arm",))

@@ -119,9 +119,9 @@ def score_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user turns of ``conversations`` as queries to clean."""
+    """all turns of ``conversations`` as query texts to clean."""
     c = table(spark, sf_dir, "conversations")
-    return c.where(F.col("role") == "user").select(
+    return c.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
         F.col("text").alias("query"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.reshape import SCORE_MAP, collect_score_map
+from ..operators.reshape import MAP_BUCKETS, SCORE_MAP, collect_score_map
 
 LOOKUP_MAP = T.MapType(T.StringType(), T.StringType())
 _EXTS = (".json", ".jsonl", ".json.gz", ".jsonl.gz")
@@ -32,7 +32,7 @@ def json_kind(path: str) -> tuple[bool, str | None]:
         return True, None
     if name.endswith(".json"):
         return False, None
-    raise ValueError(f"Unknown file type for {path}")
+    raise ValueError(f"{path}: expected .json or .jsonl, plain or .gz")
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -84,9 +84,9 @@ def read_score_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_score_map(scores: DataFrame, path: str, seq: str | None = None,
-                    max_entries: int = 100_000, mode: str = "overwrite") -> None:
-    """R4 then one ``{qid: {docno: score}}`` line per query (split if huge)."""
-    maps = collect_score_map(scores, seq, max_entries)
+                    buckets: int = MAP_BUCKETS, mode: str = "overwrite") -> None:
+    """R4 then one ``{qid: {docno: score}}`` line per (qid, bucket); ``buckets=1`` writes one line per query."""
+    maps = collect_score_map(scores, seq, buckets)
     out = maps.select(F.to_json(F.create_map(F.col("qid"), F.col("scores"))).alias("value"))
     _, comp = json_kind(path)
     w = out.write.mode(mode)

@@ -66,7 +66,7 @@ def test_lookup_and_score_map(spark, tmp_out):
                                 [("q3", str(i), float(i), 0) for i in range(25)],
                                 "qid string, docno string, score double, seq int")
     out = os.path.join(tmp_out, "maps.jsonl")
-    jsonio.write_score_map(dup, out, seq="seq", max_entries=10)
+    jsonio.write_score_map(dup, out, seq="seq", buckets=10)
     back = {(r["qid"], r["docno"]): r["score"] for r in jsonio.read_score_map(spark, out).collect()}
     assert back[("q1", "a")] == 7.0 and len(back) == 26
     lines = spark.read.text(out).count()

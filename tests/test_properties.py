@@ -13,7 +13,7 @@ qrels = st.lists(st.tuples(st.sampled_from(["q1", "q2", "q4"]), st.sampled_from(
                            st.integers(0, 3)), min_size=1, max_size=15, unique_by=lambda r: (r[0], r[1]))
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(run=runs, judged=qrels)
 def test_metrics_bounded_and_plan_independent(spark, run, judged):
     r = spark.createDataFrame(run, "qid string, docno string, score double")
@@ -27,7 +27,7 @@ def test_metrics_bounded_and_plan_independent(spark, run, judged):
         assert b[k] == pytest.approx(v, abs=1e-12), k
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(run=runs)
 def test_kl_of_identical_maps_is_zero(spark, run):
     s = spark.createDataFrame([(q, d, abs(x) + 1.0) for q, d, x in run], "qid string, docno string, score double")
