@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from taintrank.plans.registry import REGISTRY  # noqa: E402
-from taintrank.session import local_session  # noqa: E402
+from taintrank.session import local_session, release_tables  # noqa: E402
 
 WARMUP_DIR = "/root/testdata/sf0.001"
 
@@ -50,6 +50,7 @@ def main() -> None:
         t0 = time.perf_counter()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        release_tables(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))

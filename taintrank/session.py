@@ -32,7 +32,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g")
+               .config("spark.driver.memory", "8g")
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
@@ -86,9 +86,25 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` and :class:`Scratch` wrote in this process; returns how many.
+
+    A frame that an operator returns still reads its tables, so only the caller knows when they may go: call
+    this after the last action on such frames (``bench.py`` does after each query).
+    """
+    n = len(_TABLES)
+    while _TABLES:
+        delete_path(spark, _TABLES.pop())
+    return n
+
+
 class Scratch:
     """Intermediate tables of one operator call, under the shared checkpoint folder.
 
@@ -108,6 +124,7 @@ class Scratch:
         # the schema is known: reading needs no footer job
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        _TABLES.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -116,6 +133,7 @@ class Scratch:
             path = getattr(df, "_scratch_path", None)
             if path:
                 delete_path(self.spark, path)
+                _TABLES.remove(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

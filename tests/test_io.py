@@ -130,3 +130,14 @@ def test_many_runs_keep_line_order(spark, tmp_out):
             lines += [x.split(" ") for x in fh.read().splitlines()]
     assert [(x[0], int(x[3])) for x in lines] == [(q, r) for q in ("q1", "q2") for r in range(30)]
     assert trec.read_runs(spark, tmp_out + "/runs").count() == 61
+
+
+def test_written_tables_can_be_released(spark):
+    from taintrank.session import Scratch, cut_lineage, release_tables
+    tmp = Scratch(spark, "test")
+    kept, gone = tmp.table(spark.range(5).toDF("x"), "kept"), tmp.table(spark.range(5).toDF("x"), "gone")
+    tmp.drop(gone)
+    assert kept.count() == 5 and cut_lineage(spark.range(3), "cut").count() == 3
+    with pytest.raises(Exception):
+        gone.collect()
+    assert release_tables(spark) >= 2 and release_tables(spark) == 0
