@@ -40,7 +40,7 @@ AVERAGE = 1 << _BITS         # mean chunk length in bytes
 LONGEST = 1 << 14
 SHORTEST = 64                # shorter chunks are not worth a shuffle
 FILTER_BITS = 1 << 26
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 MEMO_LENGTH = 48
 
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -81,6 +81,11 @@ class Codec:
         lowers = self._raw(["Ab", "THEORY"]) == made[:2] and self._raw(["ab!!"])[0] == made[0] + made[4]
         self.splits_marks = lowers and made == self._raw(trial)     # else every word goes to the tokenizer whole
 
+    def forget(self) -> None:
+        """Give the memo back at the end of a task: workers live on and run other stages."""
+        self.memo.clear()
+        self.cores.clear()
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32).tobytes() for x in got]
@@ -196,7 +201,7 @@ def _chunks(block: _text.Block):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in _text.blocks(batch.column(0), 4 << 20):
+        for block in _text.blocks(batch.column(0)):
             _, start, end, h = _chunks(block)
             value, n = np.unique(h[end - start >= SHORTEST], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -288,6 +293,7 @@ def _pieces(path: str, shared):
                      pa.array(is_shared), pa.array(key1), pa.array(key2), pa.array(text, pa.binary())]
                     + [pa.array(c, t) for c, t in zip(zip(*edges), _EDGE_TYPES)],
                     names=["doc_id", "tag", "piece", "shared", "h1", "h2", "chunk", *_EDGE_NAMES])
+        codec.forget()
     return run
 
 
@@ -298,6 +304,7 @@ def _encode_chunks(path: str):
             edges = _edges(codec, batch.column(2).to_pylist())
             columns = list(zip(*edges)) if edges else [()] * 5
             yield _text.replace_columns(batch, ["h1", "h2"], {n: pa.array(c, t) for n, c, t in zip(_EDGE_NAMES, columns, _EDGE_TYPES)})
+        codec.forget()
     return run
 
 
@@ -348,6 +355,7 @@ def _assemble(path: str):
                 pieces[row[2]] = row[3:]
         if key is not None:
             yield done()
+        codec.forget()
     return run
 
 
@@ -364,6 +372,7 @@ def _direct(path: str, shared):
                 at = np.flatnonzero(plain)
                 texts = [block.data[block.offsets[i]:block.offsets[i + 1]].tobytes() for i in at.tolist()]
                 yield _rows(ids.take(pa.array(block.lo + at)), codec.encode(texts), codec)
+        codec.forget()
     return run
 
 
