@@ -58,7 +58,7 @@ class Block:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[Block]:
     """Cut a string column into blocks of about ``max_bytes`` (at least one document each); null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

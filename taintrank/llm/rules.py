@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,21 +143,23 @@ def consistency(share: float = SHARE, df: int = P) -> float:
     return share / chi2_cdf(chi2_quantile(share, df), df + 2)
 
 
-def _invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Moments of each (group, start) to mean, inverse covariance and log determinant."""
     scale = consistency()
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            s1, s2 = np.array(row.s1, float), np.array(row.s2, float)
-            mean = s1 / row.n
+    for batch in batches:
+        means, inverses, dets = [], [], []
+        for n, s1, s2 in zip(*(batch.column(c).to_pylist() for c in ("n", "s1", "s2"))):
+            mean = np.array(s1, float) / n
             cov = np.zeros((P, P))
             cov[np.triu_indices(P)] = s2
             cov = cov + np.triu(cov, 1).T
-            cov = (cov / row.n - np.outer(mean, mean)) * scale + np.eye(P) * FLOOR ** 2
-            _, logdet = np.linalg.slogdet(cov)
-            out.append((row.g, row.start, np.round(mean, 12).tolist(), np.round(np.linalg.inv(cov), 9).ravel().tolist(), float(logdet)))
-        yield pd.DataFrame(out, columns=["g", "start", "mean", "inv", "logdet"])
+            cov = (cov / n - np.outer(mean, mean)) * scale + np.eye(P) * FLOOR ** 2
+            means.append(np.round(mean, 12).tolist())
+            inverses.append(np.round(np.linalg.inv(cov), 9).ravel().tolist())
+            dets.append(float(np.linalg.slogdet(cov)[1]))
+        numbers = pa.list_(pa.float64())
+        yield _text.replace_columns(batch, ["g", "start"], {"mean": pa.array(means, numbers), "inv": pa.array(inverses, numbers),
+                                                            "logdet": pa.array(dets, pa.float64())})
 
 
 _PARAMS = "g long, start int, mean array<double>, inv array<double>, logdet double"
@@ -224,7 +225,7 @@ def robust_distances(tmp: Scratch, rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         cut = tmp.table(_cut(current, tmp), "cut")
         inner = current.join(_small(cut), ["g", "start"]).where("bin <= cut")
-        last, params = params, tmp.table(_moments(inner).mapInPandas(_invert, _PARAMS), "params")
+        last, params = params, tmp.table(_moments(inner).mapInArrow(_invert, _PARAMS), "params")
         current = _binned(both.join(_small(params), ["g", "start"]), _distance())
         tmp.drop(cut, *([last] if last is not None else []))
     best = params.groupBy("g").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("p"))
