@@ -59,8 +59,8 @@ def sort_run(df: DataFrame) -> DataFrame:
 
 def ideal_positions(qrels: DataFrame) -> DataFrame:
     """Position (1-based) of each judgement in the ideal ranking."""
-    w = Window.partitionBy("qid").orderBy(F.col("relevance").desc(), F.col("docno").asc())
-    return qrels.withColumn("ipos", F.row_number().over(w))
+    pos = ordered_positions(qrels, ["qid"], "relevance", True, [F.col("docno").asc()], sums=[(None, "ipos")])
+    return pos.withColumn("ipos", F.col("ipos").cast("int"))
 
 
 def running_count(flag: Column, order: Window) -> Column:

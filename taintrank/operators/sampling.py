@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
@@ -62,6 +62,19 @@ def one_per_group(df: DataFrame, group: Sequence[str], value: str,
     return df.groupBy(*group).agg(F.min_by(F.col(value), k).alias(alias or value))
 
 
+def sample_pairs(positives: DataFrame, negatives: DataFrame, k: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """A5 (k = 1) and A6 on long rows: ``k`` negatives for each positive, ``query_id, doc_id_a, doc_id_b, idx``.
+
+    ``positives[query_id, doc_id_a]`` and ``negatives[query_id, doc_id_b]`` meet by query; the smallest salted md5 keys stay.
+    The filter on the row number is a group limit, so each task drops all but k candidates of a positive before
+    the shuffle, and no list of a query's negatives is ever formed. The choice equals :func:`sample_array` with the
+    salt ``query_id:doc_id_a``.
+    """
+    j = positives.select("query_id", "doc_id_a").distinct().join(negatives.select("query_id", "doc_id_b"), "query_id")
+    w = Window.partitionBy("query_id", "doc_id_a").orderBy(order_key(seed, "query_id", "doc_id_a", "doc_id_b"), "doc_id_b")
+    return j.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k)
+
+
 def _keyed(arr: Column, seed: int, salt: Column | None) -> Column:
     salt = F.lit("") if salt is None else salt.cast("string")
     return F.transform(arr, lambda x: F.struct(

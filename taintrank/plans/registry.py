@@ -11,7 +11,7 @@ import os as _os
 import uuid as _uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -307,17 +307,14 @@ def a4_one_negative(spark, d):
 
 @register("a5_choose_one")
 def a5_choose_one(spark, d):
-    mt = fx.multi_negative_triples(spark, d)
-    salt = F.concat_ws(":", "query_id", "doc_id_a")
-    return mt.select("query_id", "doc_id_a", sampling.choose_one("doc_id_b", 42, salt).alias("doc_id_b"))
+    return sampling.sample_pairs(*fx.positives_and_negatives(spark, d), k=1).drop("idx")
 
 
 @register("a6_sample_k")
 def a6_sample_k(spark, d):
-    mt = fx.multi_negative_triples(spark, d)
-    salt = F.concat_ws(":", "query_id", "doc_id_a")
-    return mt.select("query_id", "doc_id_a",
-                     F.array_join(sampling.sample_array("doc_id_b", 2, 42, salt, short="keep"), ",").alias("doc_id_b"))
+    chosen = sampling.sample_pairs(*fx.positives_and_negatives(spark, d), k=2)
+    two = F.transform(F.sort_array(F.collect_list(F.struct("idx", "doc_id_b"))), lambda x: x["doc_id_b"])
+    return chosen.groupBy("query_id", "doc_id_a").agg(F.array_join(two, ",").alias("doc_id_b"))
 
 
 # ---------------------------------------------------------------- G: aggregates

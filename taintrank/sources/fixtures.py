@@ -84,6 +84,14 @@ def triples(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
                         .otherwise(F.lit("leaked")))
 
 
+def positives_and_negatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """F7 as long rows: ``query_id, doc_id_a`` of the positives, ``query_id, doc_id_b`` of the negatives."""
+    b = binarize_relevance(qrels(spark, sf_dir))
+    pick = lambda grade, name: b.where(F.col("relevance") == grade).select(
+        F.col("qid").alias("query_id"), F.col("docno").alias(name))
+    return pick(1, "doc_id_a"), pick(0, "doc_id_b")
+
+
 def multi_negative_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """per query, every positive with the sorted list of all negatives."""
     b = binarize_relevance(qrels(spark, sf_dir))
@@ -136,5 +144,5 @@ def lookup_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 __all__ = ["table", "queries", "docs", "qrels", "vectors", "vector_qrels", "triples",
-           "multi_negative_triples", "event_run", "event_qrels", "score_sample", "user_texts",
+           "multi_negative_triples", "positives_and_negatives", "event_run", "event_qrels", "score_sample", "user_texts",
            "lookup_sources", "n_queries", "sampling"]

@@ -87,6 +87,19 @@ def test_large_sample_is_exact_and_stays_spread(spark):
     assert sampling.sample_n(df, 0, ["k"]).count() == 0
 
 
+def test_long_samples_equal_list_samples(spark):
+    pos = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "a"), ("s", "z")], "query_id string, doc_id_a string")
+    neg = spark.createDataFrame([("q", str(i)) for i in range(40)] + [("r", "7")], "query_id string, doc_id_b string")
+    lists = pos.join(neg.groupBy("query_id").agg(F.collect_list("doc_id_b").alias("x")), "query_id")
+    salt = F.concat_ws(":", "query_id", "doc_id_a")
+    want = {(r[0], r[1]): r[2] for r in lists.select("query_id", "doc_id_a", sampling.sample_array("x", 3, 42, salt, short="keep")).collect()}
+    got = {}
+    for r in sorted(sampling.sample_pairs(pos, neg, 3).collect(), key=lambda r: r["idx"]):
+        got.setdefault((r["query_id"], r["doc_id_a"]), []).append(r["doc_id_b"])
+    assert got == want
+    assert "WindowGroupLimit" in sampling.sample_pairs(pos, neg, 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pair_text_cuts_the_document_only(spark):
     words = lambda n, w: " ".join([w] * n)
     df = spark.createDataFrame([(words(50, "q"), words(300, "d")), (words(240, "q"), "d d"), (None, "d"), ("q", "")], "q string, t string")
