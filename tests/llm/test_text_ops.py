@@ -248,3 +248,40 @@ def test_trees_fit_and_calibrate():
 
 def test_redaction_merges_overlaps():
     assert pii.redacted("abcdefgh", [("email", 1, 4), ("ip", 3, 6), ("card", 7, 8)]) == "a[EMAIL]g[CARD]"
+
+
+def found_in(text, model=None):
+    return {(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), model)}
+
+
+PRIVATE = [("call (415) 555-2671 now", "phone", "(415) 555-2671"), ("x 555-123-4567.", "phone", "555-123-4567"), ("Tel: 030 1234567", "phone", "030 1234567"),
+           ("paid by 378282246310005 today", "card", "378282246310005"), ("Amex 3782 822463 10005", "card", "3782 822463 10005"),
+           ("write to john [at] example [dot] com", "email", "john [at] example [dot] com"), ("john(at)mail.example.com", "email", "john(at)mail.example.com"),
+           ("ask john.d at mail dot example dot com please", "email", "john.d at mail dot example dot com"),
+           ("josé@exämple.de", "email", "josé@exämple.de"), ("me@example[dot]org", "email", "me@example[dot]org")]
+
+
+@pytest.mark.parametrize("text,kind,span", PRIVATE)
+def test_pii_finds_what_base_patterns_miss(text, kind, span):
+    assert not any(pii.base_spans(text).values()) and found_in(text) == {(kind, span)}
+
+
+def test_pii_leaves_plain_numbers():
+    for text in ("look at the dot in the picture", "call 12.05.2020", "id 1234567890123", "9870157079875996 and 2123465659789240", "x" * 40 + " 030 1234567",
+                 "a4111111111111111b", "hash 9f4111111111111111", "user@host", "v1.2.3.4567"):
+        assert not found_in(text), text
+
+
+def test_pii_adds_with_trees_and_redacts(spark):
+    """The trees are fitted on a corpus of which the cases are a small part."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    cases = spark.createDataFrame([(-1 - i, text) for i, (text, _, _) in enumerate(PRIVATE)], "doc_id long, text string")
+    rows = docs.unionByName(cases)
+    got = {r.doc_id: r.text for r in pii.redact(rows, pii.train(rows)).where("doc_id < 0").collect()}
+    assert got == {-1 - i: text.replace(span, f"[{kind.upper()}]") for i, (text, kind, span) in enumerate(PRIVATE)}
+
+
+def test_trees_do_not_see_phone_cues():
+    a, b = "Tel: 030 1234567", "  x: 030 1234567"
+    assert pii.features(a, "phone", 5, 16) == pii.features(b, "phone", 5, 16)
+    assert pii.weak_label(a, "phone", 5, 16) and not pii.weak_label(b, "phone", 5, 16)
