@@ -103,6 +103,22 @@ def test_registers_estimate_jaccard():
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_digest_keeps_short_pairs(spark):
+    """Sets of 4 and 3 shingles, 3 of them shared, are links at 0.75; the digest test must let all of them through."""
+    rng = np.random.default_rng(6)
+    rows, apart = [], []
+    for _ in range(3000):
+        pool = rng.integers(0, 2**64, 4, dtype=np.uint64)
+        a, b = (neardup.digest(neardup.registers(np.sort(x))) for x in (pool, pool[:3]))
+        rows.append((4, 3, a, b))
+        apart.append(((a ^ b) & (2**64 - 1)).bit_count())
+    pairs = spark.createDataFrame(rows, "n_a long, n_b long, dig_a long, dig_b long")
+    assert pairs.where(neardup._estimate_ok(75)).count() == len(rows)
+    assert max(apart) <= 24                      # the estimate alone keeps them too
+    one = neardup.digest(neardup.registers(rng.integers(0, 2**64, 1, dtype=np.uint64)))
+    assert 16 <= (one & (2**64 - 1)).bit_count() <= 48   # equal registers at other places give other bits
+
+
 def test_block_overlaps():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint32) for _ in range(30)]
