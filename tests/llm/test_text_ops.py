@@ -285,3 +285,29 @@ def test_trees_do_not_see_phone_cues():
     a, b = "Tel: 030 1234567", "  x: 030 1234567"
     assert pii.features(a, "phone", 5, 16) == pii.features(b, "phone", 5, 16)
     assert pii.weak_label(a, "phone", 5, 16) and not pii.weak_label(b, "phone", 5, 16)
+
+
+@pytest.mark.parametrize("text,kind,spans", [
+    ("4111 1111 1111 1111 4012 8888 8888 1881", "card", ["4111 1111 1111 1111", "4012 8888 8888 1881"]),
+    ("555-123-4567 555-987-6543", "phone", ["555-123-4567", "555-987-6543"]),
+    ("12 4111-1111-1111-1111 2024-01-31 19.99", "card", ["4111-1111-1111-1111"]),
+    ("Tel: 030 1234567 2024-01-31", "phone", ["030 1234567"]),
+    ("7 " * 100 + "(415) 555-2671 " + "8 " * 100, "phone", ["(415) 555-2671"])])
+def test_pii_looks_inside_number_runs(text, kind, spans):
+    assert not any(pii.base_spans(text).values()) and found_in(text) == {(kind, s) for s in spans}
+    assert pii.redacted(text, pii.added_spans(text, pii.base_spans(text), None)).count(f"[{kind.upper()}]") == len(spans)
+
+
+def test_windows_are_all_group_windows():
+    rng = random.Random(9)
+    for _ in range(300):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 3, 4, 7, 16, 20]))) for _ in range(rng.randint(1, 30))]
+        text, at = " ".join(groups), [0]
+        for g in groups:
+            at.append(at[-1] + len(g) + 1)
+        want = Counter()
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups) + 1):
+                n = sum(map(len, groups[i:j]))
+                want.update([(k, at[i], at[j] - 1) for k, lo, hi in (("card", 13, 19), ("phone", 7, 15)) if lo <= n <= hi])
+        assert Counter(c for c in pii.candidates(text) if c[0] in ("card", "phone")) == want
