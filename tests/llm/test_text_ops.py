@@ -311,3 +311,11 @@ def test_windows_are_all_group_windows():
                 n = sum(map(len, groups[i:j]))
                 want.update([(k, at[i], at[j] - 1) for k, lo, hi in (("card", 13, 19), ("phone", 7, 15)) if lo <= n <= hi])
         assert Counter(c for c in pii.candidates(text) if c[0] in ("card", "phone")) == want
+
+
+def test_candidates_reach_their_natural_ends():
+    token = "k" * 600 + "1" + "z" * 50
+    assert ("secret", 4, 4 + len(token)) in list(pii.candidates(f'x ="{token}"'))
+    for mail in ("ö" * 90 + "@exämple.de", "ö" + "a" * 5 + "@" + "ä." * 150 + "de", "n" * 80 + " [at] " + "h" * 60 + " [dot] com"):
+        text = f"<{mail}> to"
+        assert ("email", 1, 1 + len(mail)) in list(pii.candidates(text)) and found_in(text) == {("email", mail)}
