@@ -126,6 +126,17 @@ def test_block_overlaps():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
 
 
+def test_block_links_allow_for_collisions():
+    """A pair exactly at the threshold whose shortened hashes collide inside both sets must leave the task."""
+    rng = np.random.default_rng(8)
+    short = np.sort(rng.choice(2**31, 100, replace=False).astype(np.uint32))
+    short[1] = short[0]                                  # two of the shared shingles have one short hash
+    sets = [short, short[:75]]
+    table = pa.table({"id": [1, 2], "comp": [1, 2], "part": [0, 0], "i": [0, 0], "j": [0, 0],
+                      "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+    assert neardup._block_links(75)(table).to_pylist() == [{"a": 1, "b": 2}]
+
+
 # ---------------------------------------------------------------- mixing
 
 def plain_targets(size):
