@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintrank.llm import bpe, chat, knn_quality, langid, mixing, neardup, pii, rules, topk, training_order
+from taintrank.llm import bpe, chat, knn_quality, langid, merkle, mixing, neardup, pii, rules, topk, training_order
 from taintrank.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,6 +74,11 @@ def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_sha_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build(_table(spark, sf_dir, "documents"), replace={"text": merkle.tampered_text()})
+    return merkle.fold(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_vote_quality": op1_neighbour_vote_quality,
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
@@ -85,8 +90,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_branch_and_bound_topk": op8_branch_and_bound_topk,
     "op9_event_sourced_chat": op9_event_sourced_chat,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
+    "op11_sha_midstate_manifest": op11_sha_midstate_manifest,
 }
 
+
+def _crc32(s: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a string, a bit at a time."""
+    eight = f"flatten(list_transform(range(1, length({s}) + 1), lambda i: [CAST(ascii(substr({s}, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295], {eight}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
 ORACLE: dict[str, str] = {
     "op8_branch_and_bound_topk": """
 WITH v AS (
@@ -127,5 +147,39 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+""",
+    "op11_sha_midstate_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+l AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k, sha256({_LEAF} || {_field("text")}) AS leaf,
+         sha256({_LEAF} || {_field("other")}) AS new FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, new) - 1 AS pos, row_number() OVER () AS rid FROM l),
+up(k, lvl, idx, digest, n) AS (
+  SELECT k, 0, pos, leaf, count(*) OVER (PARTITION BY k) FROM p
+  UNION ALL SELECT k, lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY k, lvl, idx // 3, n),
+sub AS (SELECT k, digest, row_number() OVER (ORDER BY k) - 1 AS pos FROM up WHERE n = 1),
+high(lvl, idx, digest, n) AS (
+  SELECT 0, pos, digest, count(*) OVER () FROM sub
+  UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, idx // 3, n),
+run AS (SELECT k, lvl, idx // 3 AS parent, list(digest ORDER BY idx) AS ds FROM up WHERE n > 1 GROUP BY 1, 2, 3),
+toprun AS (SELECT lvl, idx // 3 AS parent, list(digest ORDER BY idx) AS ds FROM high WHERE n > 1 GROUP BY 1, 2),
+f(rid, k, lvl, idx, digest, proof) AS (
+  SELECT rid, k, 0, pos, new, '' FROM p
+  UNION ALL SELECT rid, f.k, f.lvl + 1, idx // 3,
+    sha256(array_to_string(ds[1:idx % 3], '') || digest || array_to_string(ds[idx % 3 + 2:], '')),
+    proof || array_to_string(ds[1:idx % 3], '') || array_to_string(ds[idx % 3 + 2:], '')
+  FROM f JOIN run ON run.k = f.k AND run.lvl = f.lvl AND run.parent = idx // 3),
+low AS (SELECT rid, max(lvl) AS lvl, arg_max(digest, lvl) AS digest, arg_max(proof, lvl) AS proof, any_value(k) AS k FROM f GROUP BY rid),
+g(rid, lvl, idx, digest, proof) AS (
+  SELECT rid, 0, sub.pos, low.digest, proof FROM low JOIN sub ON sub.k = low.k
+  UNION ALL SELECT rid, g.lvl + 1, idx // 3,
+    sha256(array_to_string(ds[1:idx % 3], '') || digest || array_to_string(ds[idx % 3 + 2:], '')),
+    proof || array_to_string(ds[1:idx % 3], '') || array_to_string(ds[idx % 3 + 2:], '')
+  FROM g JOIN toprun ON toprun.lvl = g.lvl AND toprun.parent = idx // 3),
+whole AS (SELECT rid, arg_max(digest, lvl) AS folded, arg_max(proof, lvl) AS proof FROM g GROUP BY rid)
+SELECT p.doc_id, p.leaf, sub.digest AS subroot, high.digest AS root, sha256(whole.proof) AS proof_sha256,
+       whole.folded AS folded_root, whole.folded = high.digest AS verified
+FROM p JOIN sub ON sub.k = p.k JOIN whole ON whole.rid = p.rid JOIN high ON high.n = 1
 """,
 }
