@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintrank.llm import bpe, chat, knn_quality, langid, merkle, mixing, neardup, pii, rules, topk, training_order
+from taintrank.llm import bpe, chat, knn_quality, langid, merkle, mixing, neardup, pii, rules, simhash, topk, training_order
 from taintrank.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,6 +79,10 @@ def op11_sha_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fold(manifest)
 
 
+def op12_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_vote_quality": op1_neighbour_vote_quality,
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_event_sourced_chat": op9_event_sourced_chat,
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
     "op11_sha_midstate_manifest": op11_sha_midstate_manifest,
+    "op12_bktree_simhash": op12_bktree_simhash,
 }
 
 
