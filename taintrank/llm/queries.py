@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintrank.llm import bpe, chat, knn_quality, langid, merkle, mixing, neardup, pii, rules, simhash, topk, training_order
+from taintrank.llm import bpe, chat, knn_quality, langid, merkle, mixing, neardup, pii, prefix_trie, rules, simhash, topk, training_order
 from taintrank.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +83,10 @@ def op12_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_splitter_skeleton_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_vote_quality": op1_neighbour_vote_quality,
     "op2_mcd_quality_rules": op2_mcd_quality_rules,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hyperminhash_neardup": op10_hyperminhash_neardup,
     "op11_sha_midstate_manifest": op11_sha_midstate_manifest,
     "op12_bktree_simhash": op12_bktree_simhash,
+    "op13_splitter_skeleton_trie": op13_splitter_skeleton_trie,
 }
 
 
@@ -186,5 +191,30 @@ whole AS (SELECT rid, arg_max(digest, lvl) AS folded, arg_max(proof, lvl) AS pro
 SELECT p.doc_id, p.leaf, sub.digest AS subroot, high.digest AS root, sha256(whole.proof) AS proof_sha256,
        whole.folded AS folded_root, whole.folded = high.digest AS verified
 FROM p JOIN sub ON sub.k = p.k JOIN whole ON whole.rid = p.rid JOIN high ON high.n = 1
+""",
+    "op13_splitter_skeleton_trie": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) - 1 AS pos FROM t),
+c AS (SELECT DISTINCT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, key, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, key, words FROM c JOIN o ON o.conv_id = c.conv_id AND pos >= h),
+m AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM m GROUP BY path, depth),
+kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path),
+below AS (
+  SELECT a.path, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, count(*) FILTER (kids.path IS NULL) AS n_leaves
+  FROM node a JOIN node b ON starts_with(b.path, a.path) LEFT JOIN kids ON kids.path = b.path GROUP BY a.path)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM node LEFT JOIN node up ON node.depth > 0 AND up.path = left(node.path, length(node.path) - 32)
+LEFT JOIN kids ON kids.path = node.path LEFT JOIN ends ON ends.path = node.path JOIN below ON below.path = node.path
 """,
 }
