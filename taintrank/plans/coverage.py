@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, distributions, losses, metrics, rank, reshape, sampling, schema, scoring
-from ..session import cut_lineage
+from ..operators import losses, metrics, rank, reshape, sampling, schema, scoring
 from ..sources import fixtures as fx
 from ..sources import trec
 from ..sources import triples as triple_io
 from . import oracle_sql as O
-from .registry import _io_path, dense_run, listwise_parts, loss_groups, register, round_doubles, triples
+from .registry import _io_path, listwise_parts, loss_groups, register, round_doubles, triples
 
 
 def _add(name: str, sql: str) -> None:
@@ -191,33 +190,15 @@ _add("r4_last_wins", "SELECT qid, docno, round(score, 6) AS score FROM (SELECT C
 
 # ---------------------------------------------------------------- G, M, B: edge cases
 
-def _graded(spark, d, muted: bool):
-    """The judgements as scores; ``muted`` silences every second query, so its scores add up to 0."""
-    r = fx.qrels(spark, d)
-    on = F.col("qid").cast("long") % 2 if muted else F.lit(1)
-    return r.select("qid", "docno", (F.col("relevance") * on).cast("double").alias("score"))
-
-
-@register("g6_zero_sum_queries")
-def g6_zero_sum_queries(spark, d):
-    return round_doubles(compare.skipped_queries(_graded(spark, d, True), _graded(spark, d, False)))
-
-
-_add("g6_zero_sum_queries", O._sql(
-    "SELECT qid, round(s, 6) AS s_sum, round(t, 6) AS t_sum FROM (SELECT qid, CAST(sum(relevance * (CAST(qid AS BIGINT) % 2)) AS DOUBLE) AS s, "
-    "CAST(sum(relevance) AS DOUBLE) AS t FROM f_qrels GROUP BY qid) WHERE s = 0 OR t = 0", "f_qrels"))
-
-
 @register("g7_missing_queries")
 def g7_missing_queries(spark, d):
-    """A run that retrieved nothing for every second judged query: those rows are zeros."""
-    run = dense_run(spark, d).where(F.col("qid").cast("long") % 2 == 0).withColumn("name", F.lit("half"))
-    pq = metrics.per_query(run, fx.vector_qrels(spark, d))
-    return round_doubles(pq)
+    """The event run against the judgements of the vector queries, most of which it lacks: those rows are zeros."""
+    run = fx.event_run(spark, d).withColumn("name", F.lit("events"))
+    return round_doubles(metrics.per_query(run, fx.vector_qrels(spark, d)))
 
 
-_add("g7_missing_queries", O.with_ctes("", "dense_run", "f_vqrels").rstrip()
-     + ",\nm_run AS (SELECT 'half' AS name, qid, docno, score FROM dense_run WHERE CAST(qid AS BIGINT) % 2 = 0),"
+_add("g7_missing_queries", O.with_ctes("", "f_event_run", "f_vqrels").rstrip()
+     + ",\nm_run AS (SELECT 'events' AS name, qid, docno, score FROM f_event_run),"
      + O.metric_ctes("m_run", "f_vqrels") + "\nSELECT name, qid, "
      + ", ".join(f"round({c}, 6) AS {c}" for c in O.DEFAULT_COLUMNS) + " FROM m_pq")
 
@@ -241,52 +222,6 @@ _add("m6_parsed_measures", O._sql(
     "FROM f_event_run r LEFT JOIN f_event_qrels q ON q.qid = r.qid AND q.docno = r.docno) GROUP BY qid) a ON a.qid = s.qid",
     "f_event_run", "f_event_qrels"))
 
-# fixed test rules: what each hard case of W1 / W6 does to the event run
-HARD = {
-    "w1_null_group": ("CASE WHEN CAST(qid AS BIGINT) % 5 = 0 THEN NULL ELSE qid END", "score", "docno"),
-    "w1_outlier": ("'all'", "CASE WHEN docno = '7' THEN 1e9 ELSE score END", "docno"),
-    "w1_one_value": ("'all'", "CAST(1 AS DOUBLE)", "'collection-document-' || docno"),
-}
-
-
-def _hard_case(name: str):
-    qid, score, docno = HARD[name]
-
-    def query(spark, d):
-        run = fx.event_run(spark, d).select(F.expr(qid).alias("qid"), F.expr(docno).alias("docno"), F.expr(score).cast("double").alias("score"))
-        return rank.ordered_positions(cut_lineage(run, "hard"), ["qid"], "score", True, [F.col("docno").desc()]).select("qid", "docno", "pos")
-    query.__doc__ = f"Positions when qid is {qid}, score {score} and docno {docno}."
-    return query
-
-
-for _name, (_q, _s, _n) in HARD.items():
-    register(_name)(_hard_case(_name))
-    _add(_name, O._sql(f"SELECT qid, docno, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno DESC) AS pos FROM ("
-                       f"SELECT {_q} AS qid, {_n} AS docno, {_s} AS score FROM f_event_run)", "f_event_run"))
-
-
-@register("b3_kde_constant")
-def b3_kde_constant(spark, d):
-    """A group of one value has no bandwidth: every density is null."""
-    one = fx.score_sample(spark, d).withColumn("score", F.when(F.col("model_type") == "O", F.lit(5.0)).otherwise(F.col("score")))
-    return round_doubles(distributions.kde(one).where("model_type = 'O'"))
-
-
-_add("b3_kde_constant", "SELECT 'O' AS model_type, CAST(i AS INTEGER) AS i, CAST(5 AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS density FROM range(200) r(i)")
-
-
-@register("g4_constant_groups")
-def g4_constant_groups(spark, d):
-    """Two groups without variance and with equal means: t and p are null."""
-    s = fx.score_sample(spark, d).withColumn("score", F.lit(1.0))
-    return round_doubles(compare.t_test_table(s, "O", "F", p_value=True))
-
-
-_add("g4_constant_groups", O._sql(
-    "SELECT n1, n2, CAST(1 AS DOUBLE) AS m1, CAST(1 AS DOUBLE) AS m2, n1 + n2 - 2 AS dof, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS p "
-    "FROM (SELECT count(*) FILTER (WHERE model_type = 'O') AS n1, count(*) FILTER (WHERE model_type = 'F') AS n2 FROM f_sample)", "f_sample"))
-
-
 # ---------------------------------------------------------------- L: temperature
 
 @register("l10_listnet_t2")

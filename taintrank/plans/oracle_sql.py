@@ -528,6 +528,12 @@ ORACLE.update({
                                   "teacher_scores"),
     "s11_score_records_json": _sql("SELECT qid, docno, round(score, 6) AS score FROM student_scores",
                                    "student_scores"),
+    "s5_s6_lookup_document": _sql("SELECT docno AS id, md5(text) AS text_md5 FROM f_docs", "f_docs"),
+    "s5_s6_lookup_document_gz": _sql("SELECT docno AS id, md5(text) AS text_md5 FROM f_docs", "f_docs"),
+    "s9_s10_score_map_document": _sql("SELECT qid, docno, round(score, 6) AS score FROM teacher_scores",
+                                      "teacher_scores"),
+    "s7_s8_records_document": _sql("SELECT qid, docno, round(score, 6) AS score FROM student_scores",
+                                   "student_scores"),
     "s12_s13_trec_run": _sql(
         "SELECT qid, docno, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS INTEGER) "
         "AS rank, round(score, 6) AS score, 'taintrank' AS tag FROM f_event_run QUALIFY rank < 10",

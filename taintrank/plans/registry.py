@@ -617,6 +617,35 @@ def s9_s10_score_map_json(spark, d):
     return round_doubles(jsonio.read_score_map(spark, path))
 
 
+def _lookup_document(ext: str):
+    def query(spark, d):
+        path = _io_path(spark, "lookup") + ext
+        jsonio.write_lookup(fx.docs(spark, d).select(F.col("docno").alias("id"), "text"), path)
+        return jsonio.read_lookup(spark, path).select("id", F.md5("text").alias("text_md5"))
+    query.__doc__ = f"S5, S6: the texts as one ``{ext}`` object, read back in file splits."
+    return query
+
+
+register("s5_s6_lookup_document")(_lookup_document(".json"))
+register("s5_s6_lookup_document_gz")(_lookup_document(".json.gz"))
+
+
+@register("s9_s10_score_map_document")
+def s9_s10_score_map_document(spark, d):
+    """Teacher scores as one nested ``.json`` object, read back in file splits."""
+    path = _io_path(spark, "scores") + ".json"
+    jsonio.write_score_map(teacher_scores(spark, d), path)
+    return round_doubles(jsonio.read_score_map(spark, path))
+
+
+@register("s7_s8_records_document")
+def s7_s8_records_document(spark, d):
+    """Student scores as one ``.json.gz`` array of records, read back."""
+    path = _io_path(spark, "records") + ".json.gz"
+    jsonio.write_score_records(student_scores(spark, d), path)
+    return round_doubles(jsonio.read_score_records(spark, path))
+
+
 @register("s11_score_records_json")
 def s11_score_records_json(spark, d):
     path = _io_path(spark, "records") + ".jsonl"
