@@ -407,8 +407,7 @@ def k2_cross_rerank(spark, d):
 @register("k3_duo_logits")
 def k3_duo_logits(spark, d):
     run = bm25_run(spark, d).select("qid", "docno", F.col("rank").alias("first_rank"))
-    run = joins.attach_text_strict(joins.attach_query(run, fx.queries(spark, d)), fx.docs(spark, d))
-    s = scoring.score_pairs(run, scoring.OverlapLogitsScorer, logits=True, out="logits")
+    s = scoring.score_by_document(run, fx.queries(spark, d), fx.docs(spark, d), scoring.OverlapLogitsScorer, logits=True, out="logits")
     s = s.withColumn("score", schema.score_column("logits", "cross"))
     r = rank.add_ranks(s)
     return round_doubles(r.select("qid", "docno", F.element_at("logits", 1).alias("logit0"),

@@ -1,8 +1,7 @@
 """E1 re-ranking and score generation.
 
-Shuffles: the run is joined to queries (small, broadcast by AQE) and to
-docs (shuffle join on docno after the run prunes them), scored in Python
-only if a Python scorer is given, and ranked with one window on qid.
+Shuffles: the run is grouped by document and joined to the texts, so a text moves and is
+sent to Python once however many queries ask for it; scores are ranked with one window on qid.
 """
 
 from __future__ import annotations
@@ -31,10 +30,7 @@ def rerank(run: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callabl
     cols = ["qid", "docno"] + ([F.col("rank").alias("first_rank")] if "rank" in run.columns else [])
     r = run.select(*cols)
     if factory is not None:
-        keys = r.columns
-        r = joins.attach_query(r, queries, strict=True)
-        r = joins.attach_text_strict(r, docs, key="docno", text_field=text_field, as_col="text")
-        scored = scoring.score_pairs(r, factory, batch_size=batch_size, keep=keys)
+        scored = scoring.score_by_document(r, queries, docs, factory, batch_size=batch_size, text_field=text_field)
     else:
         # the candidates are written once; every distinct query and document is encoded once, from its own table
         r = cut_lineage(r, "candidates")
@@ -55,9 +51,7 @@ def generate_scores(triples: DataFrame, queries: DataFrame, docs: DataFrame, fac
     ``sources.jsonio.write_score_map`` (R4 + S10).
     """
     pairs = reshape.pivot_pairs(triples).select("qid", "docno").distinct()
-    p = joins.attach_text(pairs, queries, key="qid", text_field="query")
-    p = joins.attach_text(p, docs, key="docno", text_field="text")
-    return scoring.score_pairs(p, factory, batch_size=batch_size, keep=["qid", "docno"])
+    return scoring.score_by_document(pairs, queries, docs, factory, batch_size=batch_size, strict=False)
 
 
 def generate_bi_scores(triples: DataFrame, queries: DataFrame, docs: DataFrame, factory: Callable,
