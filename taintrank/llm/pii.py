@@ -3,19 +3,23 @@
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. High-recall
 generators then propose overlapping spans: anything around an ``@`` or a spelled-out "at ... dot", dotted
 numbers, all windows of digit groups inside runs with separators (read as card and as phone) and long mixed tokens (secrets).
-Every candidate gets format features (lengths, character shares, entropy, separators, check digit) and context features
-(neighbouring characters, quotes, assignment signs, cue words). Boosted trees learn from a
-sample of at most ``SAMPLE`` candidates outside the base spans, drawn by hash over all texts; a candidate's weak label is
-1 if there is evidence for it that does not come from the base patterns: a form of its own (spelled-out address with a plausible host,
-issuer prefix and check digit of 13 to 19 digits, area code notation) or a cue (a phone word before a number, a leading plus, an assignment
-to a cue word). Phone cues are hidden from the trees, so that they learn the form of such numbers. Half of the sample fits the trees, the other half
+A candidate may contain base spans of its kind (then it adds the wider span beside them), but not cut into one.
+Every candidate gets format features (lengths, character shares, entropy, separators, check digit, issuer prefix, date form, neighbouring digits) and context
+features (neighbouring characters, quotes, assignment signs, cue words), and one of evidence: a form of its own kind (spelled-out address with a
+plausible host, issuer prefix and check digit of 13 to 19 digits, area code notation, a public token prefix) or a cue (a phone word before a number, a leading
+plus, an assignment to a cue word), else unknown.
+
+Boosted trees alone decide what is added. They learn from at most ``SAMPLE`` candidates, drawn by hash over all texts, and from those of ``PRACTICE`` made-up
+lines (:func:`practice`), so that rare notations and hard negatives are known on every corpus. Labels are weak: 1 for base spans
+and for evidence, else 0 (dates, versions, table cells, failing check digits, parts of numbers). Each sampled 1 is learned from twice, once with its evidence
+hidden, so that the trees know the form of personal data that nothing announces. Half of the sample fits the trees, the other half
 calibrates them (Platt) and sets each kind's threshold: the smallest probability, ``LEAST`` or more, above which
-at least ``PRECISION`` of the labels are 1 (a kind without such a range adds nothing). Candidates with evidence are added first, forms
-before cues and the longest first, then those over their threshold, the likeliest first, where they overlap no span that is already there.
+at least ``PRECISION`` of the labels are 1, hidden copies included; a kind of fewer than ``FEW`` calibration rows takes the threshold of all kinds together. Where chosen
+candidates overlap each other, those with evidence come first, forms before cues and the longest first, then the likeliest.
 
 Contract for odd rows: null text is empty; empty texts have no spans and the digest of the empty string;
-texts of any length are read whole (all patterns are linear); a corpus without candidates, or with labels of one
-kind only, has no trees and adds only candidates with evidence; ties in probability go to the earlier, then longer span; repeated rows give equal results; extra columns are
+texts of any length are read whole (all patterns are linear); a corpus without candidates is judged by what the practice lines taught;
+ties in probability go to the earlier, then longer span; repeated rows give equal results; extra columns are
 ignored by :func:`find` and kept by :func:`redact`; an empty table gives an empty result.
 """
 
@@ -24,9 +28,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain as _chain
 from itertools import islice
 
 import numpy as np
@@ -40,6 +47,9 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 SAMPLE = 20_000              # bound of the training sample
 LEAST, PRECISION = 0.9, 0.98
+PRACTICE = 6000              # made-up lines
+FEW = 50                     # calibration rows below which a kind takes the pooled threshold
+HIDDEN = -1.0                # evidence that is absent or hidden
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 CHUNK = 4096                 # candidates of one text whose features are held at once
 CUES = {
@@ -73,6 +83,9 @@ _PHONE_WORD = re.compile(r"(?<![^\W\d_])(?:tel|telephone|telefon|phone|mobile|ce
 _ISSUER = re.compile(r"4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}"
                      r"|3(?:0[0-5]|[689][0-9])[0-9]{11}|35[0-9]{14}|(?:5[06-8]|6[0-9])[0-9]{11,17}")
 _CARD_GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}([\x20-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{6}\1[0-9]{4,5})")
+# fixed values: public prefixes of access tokens
+_PREFIXED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35}")
+_WORDY = re.compile(r"[\w.'-]+")
 _TIED_LEFT, _TIED_RIGHT = re.compile(r"(?:[0-9][.-]{1,3}|\w)\Z"), re.compile(r"[.-]{1,3}[0-9]|\w")
 _MORE_LEFT, _MORE_RIGHT = re.compile(r"[0-9][\x20().-]{0,3}\Z"), re.compile(r"[\x20().-]{0,3}[0-9]")
 _NUMERIC = np.zeros(256, bool)
@@ -184,29 +197,34 @@ def cue(text: str, kind: str, lo: int) -> int:
     return int(any(re.search(rf"(?<![a-z]){re.escape(w)}", near) for w in CUES[kind]))
 
 
-def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
-    s = text[lo:min(hi, lo + 512)]
+def features(text: str, kind: str, lo: int, hi: int, known: float = HIDDEN) -> list[float]:
+    """Format and context of a candidate; ``known`` is its evidence, if any is to be seen."""
+    s = text[lo:hi]
     n = len(s)
     digits = _digits(s)
     letters = sum(c.isalpha() for c in s)
     upper = sum(c.isupper() for c in s)
     hexes = sum(c in "0123456789abcdefABCDEF" for c in s)
-    seen = [s.count(c) for c in set(s)]
+    seen = Counter(s).values()
     entropy = -sum(k / n * math.log2(k / n) for k in seen)
     before, after = text[lo - 1:lo], text[hi:hi + 1]
     left, right = text[max(0, lo - 20):lo], text[hi:hi + 20]
     around = left + right
-    groups = re.findall(r"[0-9]+", s)
+    groups = _GROUP.findall(s)
     tail = s.rpartition("@")[2]
     host = s.rpartition(".")[2]
+    number = kind in ("card", "phone")
     return [
-        *(float(kind == k) for k in KINDS), hi - lo, len(digits), len(digits) / n, letters / n, upper / n, hexes / n,
+        *(float(kind == k) for k in KINDS), n, len(digits), len(digits) / n, letters / n, upper / n, hexes / n,
         entropy, len(seen) / n, s.count("."), s.count("-"), s.count(" "), s.count("("), float(s[:1] == "+" and kind != "phone"), float("@" in s),
         float("." in tail[1:-1]), len(host), float(host.isalpha()), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         max((int(g[-6:]) for g in groups), default=0), float(luhn(digits)) if digits else 0.0,
         float(before.isspace() or not before), float(after.isspace() or not after), float(before in "\"'"), float(after in "\"'"),
         float(left.rstrip(" \"'")[-1:] in ("=", ":")), float(before.isalnum()), float(after.isalnum()),
-        sum(c.isdigit() for c in around) / 40, float("|" in around), cue(text, kind, lo) if kind != "phone" else 0]
+        sum(c.isdigit() for c in around) / 40, float("|" in around), cue(text, kind, lo) if kind != "phone" else 0,
+        float(number and bool(_TIED_LEFT.search(left[-4:]) or _TIED_RIGHT.match(right))), float(number and bool(_MORE_LEFT.search(left[-4:]))),
+        float(number and bool(_MORE_RIGHT.match(right))), float(number and bool(_DATE.fullmatch(s))), float(kind == "card" and bool(_ISSUER.fullmatch(digits))),
+        float(groups[0][:1] == "0") if groups else 0.0, known]
 
 
 N_FEATURES = len(features("a", "email", 0, 1))
@@ -231,7 +249,7 @@ def evidence(text: str, kind: str, lo: int, hi: int) -> int:
     s = text[lo:hi]
     if kind == "secret":
         signed = text[max(0, lo - 3):lo].rstrip(" \"'")[-1:] in ("=", ":")
-        return int(signed and cue(text, kind, lo))
+        return 2 * bool(_PREFIXED.fullmatch(s)) or int(signed and cue(text, kind, lo))
     if kind == "email":
         return _email_evidence(s)
     if kind == "ip":
@@ -249,8 +267,9 @@ def evidence(text: str, kind: str, lo: int, hi: int) -> int:
     return int(s.lstrip("(")[:1] == "+" and len(_digits(s)) >= 8 or bool(_PHONE_WORD.search(text[max(0, lo - 32):lo])))
 
 
-def weak_label(text: str, kind: str, lo: int, hi: int) -> int:
-    return int(evidence(text, kind, lo, hi) > 0)
+def shown(level: int) -> float:
+    """Evidence as the trees see it."""
+    return float(level) if level else HIDDEN
 
 
 # ------------------------------------------------------------------ boosted trees
@@ -326,26 +345,34 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
     for _ in range(50):                                   # Newton steps of the two-parameter logistic fit
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
         w = p * (1 - p) + 1e-9
-        grad = np.array([((target - p) * m).sum() - 1e-3 * (a - 1), (target - p).sum() - 1e-3 * b])
-        hess = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
+        grad = np.array([((target - p) * m).sum() - (a - 1), (target - p).sum() - b])       # a ridge keeps separable labels finite
+        hess = np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 1]])
         step = np.linalg.solve(hess, grad)
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
     model.platt = (float(max(a, 1e-3)), float(b))
     p = model.probability(x)
+    pooled = _threshold(p, y)
     for k, kind in enumerate(KINDS):
         own = x[:, k] == 1
-        order = np.argsort(-p[own], kind="stable")
-        hit = y[own][order].cumsum() / np.arange(1, own.sum() + 1)
-        high = p[own][order]
-        good = np.flatnonzero((hit >= PRECISION) & (high >= LEAST))
-        # half-way to the next candidate, or LEAST where all above it are precise
-        below = float(high[good[-1] + 1]) if len(good) and good[-1] + 1 < len(high) else 0.0
-        model.threshold[kind] = max(LEAST, (float(high[good[-1]]) + below) / 2 if below >= LEAST else LEAST) if len(good) else 2.0
+        model.threshold[kind] = _threshold(p[own], y[own]) if own.sum() >= FEW else pooled
     return model
 
 
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The smallest probability from LEAST on above which PRECISION of the labels are 1; above 1 if there is none."""
+    order = np.lexsort((y, -p))                          # of equal probability, the zeros first
+    high = p[order]
+    hit = y[order].cumsum() / np.arange(1, len(p) + 1)
+    good = np.flatnonzero((hit >= PRECISION) & (high >= LEAST))
+    if not len(good):
+        return 2.0
+    # half-way to the next row, or LEAST where all above it are precise
+    below = float(high[good[-1] + 1]) if good[-1] + 1 < len(high) else 0.0
+    return max(LEAST, (float(high[good[-1]]) + below) / 2 if below >= LEAST else LEAST)
+
+
 # ------------------------------------------------------------------ Spark
 
 def _lettered(block: _text.Block) -> np.ndarray:
@@ -375,46 +402,134 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, x, y = [], [], []
             for i in _picked(block):
                 text = block.text(i)
-                for kind, lo, hi in free_candidates(text):
-                    own = hashlib.blake2b(f"{ids[block.lo + i].as_py()}:{kind}:{lo}".encode(), digest_size=8).digest()
+                for (kind, lo, hi), row, label in labelled(text):
+                    own = hashlib.blake2b(f"{ids[block.lo + i].as_py()}:{kind}:{lo}:{hi}".encode(), digest_size=8).digest()
                     key.append(int.from_bytes(own, "little", signed=True))
-                    x.append(features(text, kind, lo, hi))
-                    y.append(weak_label(text, kind, lo, hi))
+                    x.append(row)
+                    y.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())],
                                              names=["key", "x", "y"])
 
 
-def train(docs: DataFrame) -> Trees | None:
-    """The trees of a corpus, or None if its candidates give nothing to learn."""
+def practice(lines: int = PRACTICE, seed: int = 11) -> Iterator[str]:
+    """Short texts with personal data in many notations, announced or not, and with what only looks like it."""
+    rng = random.Random(seed)
+    pick, letters = rng.choice, "abcdefghijklmnopqrstuvwxyz"
+    num = lambda n: "".join(pick("0123456789") for _ in range(n))
+    word = lambda: "".join(pick(letters) for _ in range(rng.randint(2, 9)))
+    area = lambda: pick("23456789") + num(2)
+
+    def checked(prefix: str, n: int) -> str:
+        body = prefix + num(n - 1 - len(prefix))
+        return next(body + d for d in "0123456789" if luhn(body + d))
+
+    def phone() -> str:
+        return pick([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"0{num(2)} {num(7)}", f"0{num(3)} {num(6)}", f"0{num(3)}/{num(6)}",
+                     f"+{num(2)} {num(3)} {num(6)}", f"0{num(2)}-{num(8)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{area()}.{num(3)}.{num(4)}"])
+
+    def card() -> str:
+        c = pick([checked("4", 16), checked("51", 16), checked("55", 16), checked("37", 15), checked("6011", 16), "4" + num(15), num(16), "37" + num(13)])
+        if len(c) == 15:
+            return pick([c, f"{c[:4]} {c[4:10]} {c[10:]}"])
+        return pick([c, *(s.join(c[i:i + 4] for i in range(0, 16, 4)) for s in " -")])
+
+    def email() -> str:
+        who, host, end = pick([word(), f"{word()}.{word()}", word() + "é" + word(), f"ü{word()}"]), pick([word(), f"{word()}.{word()}", word() + "ä"]), pick(["com", "org", "de", "io"])
+        plain = host.replace("ä", "")
+        return pick([f"{who}@{host}.{end}", f"{who} [at] {plain} [dot] {end}", f"{who}(at){plain}.{end}", f"{who} at {plain} dot {pick(['com', 'org', 'net'])}", f"{who}@{plain}[dot]{end}"])
+
+    def token() -> str:
+        return pick(["".join(pick("0123456789abcdef") for _ in range(pick([32, 40, 64]))), "".join(pick(letters + letters.upper() + "0123456789") for _ in range(rng.randint(16, 48)))])
+
+    def other() -> str:
+        d, m, y = rng.randint(1, 28), rng.randint(1, 12), rng.randint(1950, 2040)
+        return pick([f"{d:02d}.{m:02d}.{y}", f"{y}-{m:02d}-{d:02d}", f"{d}-{m}-{y}", f"{y}-{m:02d}-{d:02d} {num(2)}.{num(2)}", " ".join(num(rng.randint(1, 3)) for _ in range(rng.randint(4, 14))),
+                     f"{num(1)}.{num(1)}.{num(2)}.{num(4)}", f"{num(1)}.{num(2)}.{num(1)}.{num(1)}.{num(1)}", num(rng.randint(7, 19)), f"{num(3)}.{num(2)} {num(4)}.{num(2)} {num(2)}.{num(2)}",
+                     f"{word()}@{word()}", f"look at the dot in {word()}", f"{word()} at {word()} dot {word()} {word()}", token(), f"{word()}_{word()}_{word()}_{num(2)}", f"a{num(16)}",
+                     f"{num(2)}|{num(3)}|{num(4)}", f"{num(1)},{num(3)},{num(3)}", f"({num(4)}) {num(3)}-{num(3)}", f"{num(4)}-{num(4)}"])
+
+    said = {"phone": ["Tel:", "call", "phone", "fax:", "mobile", "hotline", "dial"], "card": ["card", "visa", "credit card:"], "email": ["mail", "contact", "write to"],
+            "secret": ["token =", 'key = "', "password:", "api_key=", 'secret: "'], "ip": ["host", "server"]}
+    make = {"phone": phone, "card": card, "email": email, "secret": token, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))}
+    for _ in range(lines):
+        if rng.random() < 0.45:
+            middle = other()
+            lead = pick([word(), "", f"{word()} {word()}", pick(pick(list(said.values())))])
+        else:
+            kind = pick(list(make))
+            middle = make[kind]()
+            if kind in ("phone", "card") and rng.random() < 0.3:         # inside a longer run of numbers
+                run = lambda: pick([" ".join(num(1) for _ in range(rng.randint(2, 12))), other(), make[kind]()])
+                middle = pick([f"{run()} {middle}", f"{middle} {run()}", f"{run()} {middle} {run()}"])
+            lead = pick(said[kind]) if rng.random() < 0.7 else pick([word(), ""])
+        tail = pick(["", ".", f" {word()}", f", {word()}", " " + other(), '"' if lead.endswith('"') else ""])
+        yield f"{lead}{'' if lead.endswith(('=', chr(34))) or not lead else ' '}{middle}{tail}"
+
+
+def labelled(text: str) -> Iterator[tuple[tuple[str, int, int], list[float], int]]:
+    """Candidates and base spans of a text with their features and weak labels."""
+    base = base_spans(text)
+    known = {(k, lo, hi) for k in BASE_KINDS for lo, hi in base[k]}
+    for c in _chain(free_candidates(text, base), sorted(known)):
+        level = evidence(text, *c)
+        yield c, features(text, *c, shown(level)), int(level > 0 or c in known)
+
+
+def with_hidden(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, and every 1 whose evidence shows once more with it hidden."""
+    again = x[(y == 1) & (x[:, -1] != HIDDEN)].copy()
+    again[:, -1] = HIDDEN
+    return np.concatenate([x, again]), np.concatenate([y, np.ones(len(again))])
+
+
+def train(docs: DataFrame) -> Trees:
+    """The trees for a corpus."""
     rows = (docs.select("doc_id", "text").mapInArrow(_sample, "key long, x array<double>, y int")
             .orderBy("key", "x", "y").limit(SAMPLE).toArrow())
-    y = rows.column("y").to_numpy().astype(float)
-    if len(y) < 40 or len(set(y[::2])) < 2:
-        return None
-    x = np.array(rows.column("x").to_pylist(), float)
-    return calibrate(fit_trees(x[::2], y[::2]), x[1::2], y[1::2])
+    made = [(row, label) for text in practice() for _, row, label in labelled(text)]
+    x = np.array(rows.column("x").to_pylist() + [row for row, _ in made], float)
+    y = np.array(rows.column("y").to_pylist() + [label for _, label in made], float)
+    return calibrate(fit_trees(*with_hidden(x[::2], y[::2])), *with_hidden(x[1::2], y[1::2]))
 
 
 def free_candidates(text: str, base: dict[str, list[tuple[int, int]]] | None = None) -> Iterator[tuple[str, int, int]]:
-    """Candidates that overlap no base span, made and tested ``CHUNK`` at a time."""
+    """Candidates that cut into no base span, made and tested ``CHUNK`` at a time."""
     taken = None
+    base = base or base_spans(text)
     rest = candidates(text)
     while found := list(islice(rest, CHUNK)):
         if taken is None:
-            taken = sorted(s for spans in (base or base_spans(text)).values() for s in spans)
-        yield from _outside(found, taken) if taken else found
+            taken = sorted(s for spans in base.values() for s in spans)
+        if not taken:
+            yield from found
+            continue
+        outside = _outside(found, taken)
+        yield from outside
+        yield from (c for c in found if c[0] in BASE_KINDS and base[c[0]] and _wider(text, c, base[c[0]], taken))
+
+
+def _wider(text: str, c: tuple[str, int, int], own: list[tuple[int, int]], taken: list[tuple[int, int]]) -> bool:
+    """Whether a candidate extends one base span of its kind by more of the same word, and meets no other."""
+    kind, lo, hi = c
+    at = bisect.bisect_right(own, (lo, math.inf)) - 1
+    inside = next((s for s in own[max(at, 0):at + 2] if lo <= s[0] and s[1] <= hi and s != (lo, hi)), None)
+    if inside is None or not all(_WORDY.fullmatch(x) for x in (text[lo:inside[0]], text[inside[1]:hi]) if x):
+        return False
+    first = bisect.bisect_left(taken, inside)
+    near = taken[max(0, first - 4):first] + taken[first + 1:first + 5]
+    return all(b <= lo or a >= hi for a, b in near)
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], model: Trees | None) -> list[tuple[str, int, int]]:
-    order: list[tuple] = []                               # (evidence, probability, span): evidence first, then the likeliest
+    """What the trees choose; none without trees. Chosen spans do not overlap each other."""
+    if model is None:
+        return []
+    order: list[tuple] = []                               # (evidence, length or probability, span)
     rest = free_candidates(text, base)
     while found := list(islice(rest, CHUNK)):
         known = [evidence(text, *c) for c in found]
-        order += [(-e, c[1] - c[2], c[1], -c[2], c[0]) for e, c in zip(known, found) if e]
-        found = [c for e, c in zip(known, found) if not e and model is not None and model.threshold.get(c[0], 2.0) <= 1]
-        if found:
-            p = model.probability(np.array([features(text, *c) for c in found])).tolist()
-            order += [(0, -q, c[1], -c[2], c[0]) for q, c in zip(p, found) if q >= model.threshold[c[0]]]
+        p = model.probability(np.array([features(text, *c, shown(e)) for c, e in zip(found, known)])).tolist()
+        order += [(-e, c[1] - c[2] if e else 0, -q, c[1], -c[2], c[0]) for c, e, q in zip(found, known, p) if q >= model.threshold[c[0]]]
     order.sort()
     out: list[tuple[str, int, int]] = []
     used: list[tuple[int, int]] = []
