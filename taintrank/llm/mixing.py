@@ -3,8 +3,8 @@
 Targets share all words by the sources' weights; a source stops at ``MOST`` times its size and the excess is shared again (water
 filling, solved in one pass over the sources in order of size per weight). A target is whole epochs plus a rest.
 
-* A document's place in its source's permutation is a 60-bit keyed hash; its top bits (at most ``BLOCK_BITS``)
-  name its block, so blocks are disjoint and permuted. An epoch takes every block once; the rest takes blocks in a keyed
+* A document's place in its source's permutation is a 60-bit keyed hash; its top bits
+  name its block of about ``BLOCK_DOCS`` documents, at every size of a source, so blocks are disjoint and permuted. An epoch takes every block once; the rest takes blocks in a keyed
   order until the next would pass it. That block is cut by its documents' hashes: a histogram of
   the next bits finds the cell that holds the cut, four times, down to one hash.
 * Every source so has an exact quota of block draws. A binary tree splits the vector of quotas among
@@ -13,8 +13,8 @@ filling, solved in one pass over the sources in order of size per weight). A tar
   running sums deal each source's draws out as disjoint ranges.
 * Inside a shard documents are ordered by another keyed hash.
 
-No window or aggregate holds more than a source's blocks (4096) or one histogram level. Everything is keyed by hashes
-of the rows, so reruns agree.
+Blocks and draws are numbered by range partitions, so a large source's are split; a histogram level holds at most 4096 cells a source. One row
+holds the quotas of all sources. Everything is keyed by hashes of the rows, so reruns agree.
 
 Contract for odd rows: null text has size 0 and is never taken; a null source is a source of its own, last in
 order; repeated rows share a hash and share what falls on it; a source without words has target 0; extra columns stay in
@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from taintrank.operators.rank import ordered_positions
 from taintrank.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 WEIGHTS = (1, 2, 3)
 SHARD_WORDS = 1 << 20
-BLOCK_BITS, BLOCK_DOCS = 12, 64
+BLOCK_DOCS = 64
 BITS = 60
 LEVELS = (24, 36, 48, 60)
 BROADCAST_ROWS = 300_000
@@ -163,7 +164,7 @@ def targets(rows: DataFrame) -> DataFrame:
     s = s.withColumn("epochs", F.when(some, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
     s = s.withColumn("rest", F.when(some, take - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0)).cast("long"))
     bits = F.ceil(F.log2(F.greatest(F.col("docs") / BLOCK_DOCS, F.lit(1.0)))).cast("int")
-    return s.withColumn("bits", F.least(bits, F.lit(BLOCK_BITS))).select(
+    return s.withColumn("bits", F.least(bits, F.lit(LEVELS[-1]))).select(
         "source", "sid", "docs", "source_size", "target", "epochs", "rest", "bits")
 
 
@@ -188,17 +189,19 @@ def plan(rows: DataFrame, seed: int, tmp: Scratch) -> tuple[DataFrame, DataFrame
                                                         rows["source"].eqNullSafe(F.col("t.source"))).select("sid", "bits", "rest", "epochs", "_size", "_rk")
     block = placed.groupBy("sid", "bits", "rest", "epochs", _block().alias("cell")).agg(F.sum("_size").alias("words"))
     block = block.withColumn("perm", F.xxhash64(F.lit(seed), F.lit("rest"), "sid", "cell"))
-    block = tmp.table(_first_over(block, ["perm", "cell"]), "blocks")
+    block = tmp.table(block.withColumn("_perm", F.col("perm").cast("double")), "cells")
+    block = tmp.table(ordered_positions(block, ["sid"], "_perm", False, [F.col("perm").asc(), F.col("cell").asc()], sums=[("words", "cum")]).drop("_perm"), "blocks")
     cut = block.where("cum > rest and cum - words <= rest and words > 0")
     edge = tmp.table(cut.select("sid", F.col("cell").alias("pre"), F.col("bits").alias("have"), (F.col("rest") - F.col("cum") + F.col("words")).alias("left")), "edge")
     first = edge.select("sid", F.col("pre").alias("cut_block"))
     narrow = placed.select("sid", "_size", "_rk")
     for want in LEVELS:
         inside = narrow.join(_small(edge), "sid").where(F.expr(f"shiftrightunsigned(_rk, {BITS} - have)") == F.col("pre"))
-        cell = inside.groupBy("sid", "left", F.shiftrightunsigned("_rk", BITS - want).alias("cell")).agg(
+        inside = inside.withColumn("want", F.greatest("have", F.lit(want)))       # a block may be narrower than the level
+        cell = inside.groupBy("sid", "left", "want", F.expr(f"shiftrightunsigned(_rk, {BITS} - want)").alias("cell")).agg(
             F.sum("_size").alias("words"), F.count("*").alias("n"))
         cell = _first_over(cell, ["cell"]).where("cum > left and cum - words <= left and words > 0")
-        last, edge = edge, tmp.table(cell.select("sid", F.col("cell").alias("pre"), F.lit(want).alias("have"),
+        last, edge = edge, tmp.table(cell.select("sid", F.col("cell").alias("pre"), F.col("want").alias("have"),
                                                  (F.col("left") - F.col("cum") + F.col("words")).alias("left"), "n"), "edge")
     cuts = edge.select("sid", F.col("pre").alias("cut_rk"), F.expr("left div n").alias("cut_take")).join(first, "sid")
     sources = tmp.table(source.join(cuts, "sid", "left"), "sources")
@@ -213,8 +216,10 @@ def plan(rows: DataFrame, seed: int, tmp: Scratch) -> tuple[DataFrame, DataFrame
             .otherwise(F.array().cast("array<struct<epoch:bigint,part:string>>")),
             F.when(F.col("rest_part").isNotNull(), F.array(F.struct(F.col("epochs").alias("epoch"), F.col("rest_part").alias("part"))))
             .otherwise(F.array().cast("array<struct<epoch:bigint,part:string>>")))).alias("d")).select("sid", "cell", "d.epoch", "d.part")
-    order = W.partitionBy("sid").orderBy("epoch", F.xxhash64(F.lit(seed), F.lit("deal"), "sid", "epoch", "cell"), "cell")
-    draws = tmp.table(draws.withColumn("at", F.row_number().over(order).cast("long") - 1), "draws")
+    draws = tmp.table(draws.withColumn("_deal", F.xxhash64(F.lit(seed), F.lit("deal"), "sid", "epoch", "cell")).withColumn("_epoch", F.col("epoch").cast("double")), "draws")
+    order = [F.col("epoch").asc(), F.col("_deal").asc(), F.col("cell").asc()]
+    placed_draws = ordered_positions(draws, ["sid"], "_epoch", False, order, sums=[(None, "at")])
+    draws = tmp.table(placed_draws.select("sid", "cell", "epoch", "part", (F.col("at") - 1).alias("at")), "dealing")
     quota = source.select("sid").join(draws.groupBy("sid").agg(F.count("*").alias("q")), "sid", "left")
     root = quota.agg(F.transform(F.array_sort(F.collect_list(F.struct("sid", F.coalesce("q", F.lit(0)).cast("long").alias("q")))),
                                  lambda x: x["q"]).alias("quotas"))

@@ -185,6 +185,22 @@ def test_mixing_targets_and_taken(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_blocks_follow_the_size_of_a_source(spark, monkeypatch):
+    """A source of far more than 4096 blocks: exact totals, and shards of like size."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 16)
+    n = 400_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 5 as int))").alias("text"),
+                               F.when(F.col("id") % 50 == 0, "small").otherwise("large").alias("source"))
+    tmp = Scratch(spark, "test")
+    rows = tmp.table(mixing.sized(df, 17).drop("text"), "rows")
+    assert mixing.targets(rows).where("source = 'large'").first()["bits"] == 13
+    drawn = tmp.table(mixing.draw(rows, 17).select("source", "_size", "target", F.explode("draws").alias("d")), "drawn")
+    for r in drawn.groupBy("source").agg(F.sum("d.words").alias("w"), F.max("target").alias("t")).collect():
+        assert abs(r.w - r.t) <= 1
+    shards = [r.w for r in drawn.groupBy("d.shard").agg(F.sum("d.words").alias("w")).collect()]
+    assert len(shards) == 32 and max(shards) < 1.2 * sum(shards) / len(shards)
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.taken(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.taken for r in got if r["size"] == 0} == {0}
