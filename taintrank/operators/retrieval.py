@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -98,6 +98,97 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     return top_k(scored, budget)
 
 
+RARE = 8                     # postings of rare terms that set the threshold, per result
+TAIL = 0.3                   # share of the threshold that the terms left for the second pass may add
+
+
+class MaxScore:
+    """K1 with pruning: the top ``budget`` of :func:`bm25`, to the last digit, from fewer contributions.
+
+    Contributions do not depend on the query but for a weight, so a term's largest one bounds what it can add.
+
+    1. Threshold: the rarest terms of each query name documents; these are scored in full, and the score of the
+       ``budget``-th best is a floor that the results cannot fall below (0 where there are fewer).
+    2. Terms are sorted by bound. The weakest, whose bounds add up to at most ``TAIL`` of the floor, are left out
+       (these are the common words, with most of the postings); only the others are summed per document, and a document stays
+       if its sum and the bounds left out reach the floor.
+    3. The few documents that stay get what the left-out terms add, by (docno, term) lookups.
+
+    It pays where postings are long and queries short; on whole texts as queries the floor is a small share of all bounds, and
+    :func:`bm25` is the better plan. ``work`` counts the contributions summed, against those of :func:`bm25`.
+    """
+
+    def __init__(self, queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B, budget: int = DEFAULT_BUDGET):
+        qterms = cut_lineage(queries.select("qid", F.explode(tokens("query")).alias("term"))
+                             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "query_terms")
+        n_bytes = measured_bytes(qterms)
+        self.budget, self._small = budget, n_bytes <= BROADCAST_MAX_BYTES
+        post_all = cut_lineage(bm25_postings(docs, qterms.select("term").distinct(), n_bytes), "bm25_postings")
+        markers = post_all.where(F.col("term").isNull())
+        n_docs, avgdl = markers.agg(F.count(F.lit(1)).cast("double"), F.avg("dl")).first()
+        # the query's weight comes first in bm25(), so both factors of a contribution are kept apart
+        length = F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)
+        self._gain = lambda w: w * F.col("tf") * (k1 + 1) / length
+        self._post = post_all.where(F.col("term").isNotNull())
+        stats = self._post.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("tf") * (k1 + 1) / length).alias("most"))
+        weighted = qterms.join(stats, "term").withColumn("w", F.col("qtf") * F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+        # a query's terms are one window: bounded by the length of its text
+        by_rare, by_bound = Window.partitionBy("qid").orderBy("n", "term"), Window.partitionBy("qid").orderBy("bound", "term")
+        bound = (F.col("w") * F.col("most") * (1 + 1e-9)).alias("bound")
+        weighted = weighted.select("qid", "term", "n", "w", bound)
+        upto = Window.unboundedPreceding
+        self._terms = cut_lineage(weighted.withColumn("before", F.coalesce(F.sum("n").over(by_rare.rowsBetween(upto, -1)), F.lit(0)))
+                                  .withColumn("below", F.sum("bound").over(by_bound.rowsBetween(upto, 0))), "bm25_terms")
+        self._plan()
+
+    def _hint(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self._small else df
+
+    def _sums(self, contributions: DataFrame) -> DataFrame:
+        return contributions.groupBy("qid", "docno").agg(F.sum(self._gain(F.col("w")).cast(f"decimal(38,{SUM_PLACES})")).alias("sum"))
+
+    def _of_terms(self, terms: DataFrame) -> DataFrame:
+        return self._sums(self._post.join(self._hint(terms.select("qid", "term", "w")), "term"))
+
+    def _lookups(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """What ``terms`` add to (qid, docno) pairs."""
+        asked = pairs.select("qid", "docno").join(self._hint(terms.select("qid", "term", "w")), "qid")
+        return self._sums(asked.join(self._post, ["docno", "term"]))
+
+    def _plan(self) -> None:
+        rare = self._terms.where(F.col("before") < RARE * self.budget)
+        named = top_k(self._of_terms(rare).select("qid", "docno", F.col("sum").alias("score")), self.budget).select("qid", "docno")
+        full = self._lookups(named, self._terms)
+        floor = full.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.min("sum").cast("double").alias("floor")).where(F.col("_n") >= self.budget)
+        # a hair below, for the bounds are doubles
+        floor = floor.select("qid", (F.col("floor") * (1 - 1e-9)).alias("floor"))
+        self.terms = cut_lineage(self._terms.join(floor, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+                                 .withColumn("tail", F.col("below") <= F.col("floor") * TAIL), "bm25_split")
+
+    def run(self) -> DataFrame:
+        """qid, docno, score, rank."""
+        head, tail = self.terms.where(~F.col("tail")), self.terms.where("tail")
+        left = self.terms.groupBy("qid").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("tail"), F.col("bound"))), F.lit(0.0)).alias("left"))
+        kept = self._of_terms(head).join(self._hint(left), "qid").where(F.col("sum").cast("double") + F.col("left") >= F.col("floor"))
+        self.kept = cut_lineage(kept.select("qid", "docno", "sum"), "bm25_kept")
+        more = self._lookups(self.kept, tail).withColumnRenamed("sum", "_more")
+        both = self.kept.join(more, ["qid", "docno"], "left")
+        zero = F.lit(0).cast(f"decimal(38,{SUM_PLACES})")
+        score = (F.col("sum") + F.coalesce("_more", zero)).cast(f"decimal(38,{SUM_PLACES})").cast("double")
+        return top_k(both.select("qid", "docno", score.alias("score")), self.budget)
+
+    def work(self) -> dict[str, int]:
+        """Contributions summed by both passes and (after :meth:`run`) looked up, and those that :func:`bm25` would sum."""
+        t = self.terms.agg(F.sum("n"), F.sum(F.when(~F.col("tail"), F.col("n"))), F.sum(F.when(F.col("before") < RARE * self.budget, F.col("n")))).first()
+        looked = self.kept.join(self._hint(self.terms.where("tail").select("qid", "term")), "qid").join(self._post, ["docno", "term"]).count()
+        return {"all": t[0] or 0, "summed": (t[1] or 0) + (t[2] or 0) + looked}
+
+
+def bm25_maxscore(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """K1 by :class:`MaxScore`."""
+    return MaxScore(queries, docs, k1, b, budget).run()
+
+
 # ---------------------------------------------------------------- dense top-k
 
 def _merge_topk(qidx: np.ndarray, docno: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:

@@ -391,6 +391,12 @@ def k1_bm25_top100(spark, d):
     return round_doubles(bm25_run(spark, d))
 
 
+@register("k1_maxscore_top100")
+def k1_maxscore_top100(spark, d):
+    """K1 with upper bounds: the same rows from fewer contributions."""
+    return round_doubles(retrieval.bm25_maxscore(fx.queries(spark, d), fx.docs(spark, d)))
+
+
 @register("m7_bm25_metrics")
 def m7_bm25_metrics(spark, d):
     run = bm25_run(spark, d).withColumn("name", F.lit("bm25"))
