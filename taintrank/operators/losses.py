@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
+from .rank import ordered_positions
 
 REDUCTIONS = ("none", "mean", "sum", "batchmean")
 
@@ -260,6 +262,57 @@ def listwise_loss_long(df: DataFrame, name: str, group: Sequence[str], pos: str
     return per_group.agg(out.alias("loss"))
 
 
+PAIRWISE_LONG = ("ranknet", "distill_ranknet")
+TILE = 512                   # elements of a group in one tile
+
+
+def pairwise_loss_long(df: DataFrame, name: str, group: Sequence[str], order: Sequence[Column], pred: str = "s",
+                       label: str | None = "t", base_margin: float = 300.0, increment_margin: float = 100.0,
+                       reduction: str | None = None, tile: int = TILE) -> DataFrame:
+    """L8 and L9 on a *long* table (one row per group element), for groups of any size.
+
+    Elements are numbered in ``order`` (which must make it total) by range partitions and cut into tiles; two tiles of a group meet under the key (group, tile, tile), so a
+    hot group is spread over the square of its tiles and no row or key holds more than ``tile`` elements of a side. The pairs of two
+    tiles are summed as they are met. Pairs and reductions as in :func:`loss`: every element with each later one, for L9 those whose first label is larger.
+    """
+    if name not in PAIRWISE_LONG:
+        raise ValueError(f"{name} is not one of {PAIRWISE_LONG}")
+    reduction = reduction or LOSSES[name][1]
+    if reduction not in REDUCTIONS or reduction == "none":
+        raise ValueError(f"reduction {reduction} is not one of {REDUCTIONS}")
+    group = list(group)
+    if name == "distill_ranknet" and label is None:
+        raise ValueError("distill_ranknet needs a label")
+    lab = F.lit(0.0) if label is None else F.col(label).cast("double")
+    names = [c for c in df.columns if c not in ("_zero", "_p", "_l")]
+    rows = cut_lineage(df.select(*names, F.lit(0.0).alias("_zero"), F.col(pred).cast("double").alias("_p"), lab.alias("_l")), "elements")
+    at = ordered_positions(rows, group, "_zero", False, order, sums=[(None, "_at")])
+    at = cut_lineage(at.select(*group, "_at", "_p", "_l", F.floor((F.col("_at") - 1) / tile).alias("_tile")), "tiles")
+    tiles = at.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)]).agg((F.max("_tile") + 1).alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    placed = at.join(tiles, same)
+    keys = [F.struct(*group).alias("_group")]
+    first = placed.select(*keys, F.col("_tile").alias("_a"), F.explode(F.sequence("_tile", F.col("_n") - 1)).alias("_b"), F.col("_at").alias("i"),
+                          F.col("_p").alias("pi"), F.col("_l").alias("li"))
+    second = placed.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_tile")).alias("_a"), F.col("_tile").alias("_b"), F.col("_at").alias("j"),
+                           F.col("_p").alias("pj"), F.col("_l").alias("lj"))
+    null_safe = lambda d: d.withColumn("_group", F.to_json("_group", {"ignoreNullFields": "false"}))
+    pairs = null_safe(first).join(null_safe(second), ["_group", "_a", "_b"]).where("i < j")
+    x = F.col("pi") - F.col("pj")
+    if name == "ranknet":
+        t = ((F.col("i") == 1) & (F.col("j") == 2) if label is None else F.col("li") > F.col("lj")).cast("double")
+        elem = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
+    else:
+        pairs = pairs.where("li > lj")
+        elem = x + (F.col("li") - F.col("lj") - 1) * increment_margin + base_margin
+    if reduction == "batchmean":
+        # one row per group that has a pair
+        return pairs.groupBy("_group").agg(F.sum(elem).alias("_s")).agg((F.sum("_s") / F.count(F.lit(1))).alias("loss"))
+    return pairs.agg((F.sum(elem) if reduction == "sum" else F.sum(elem) / F.count(elem)).alias("loss"))
+
+
 def shared_negative_loss(positives: DataFrame, negatives: DataFrame, name: str, key: str = "qid",
                          pred: str = "s", label: str = "t", temperature: float = 1.0,
                          order: str = "docno") -> DataFrame:

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .rank import ordered_positions
+
 DEFAULT_SEED = 42
 
 
@@ -75,6 +78,27 @@ def sample_pairs(positives: DataFrame, negatives: DataFrame, k: int, seed: int =
     return j.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k)
 
 
+def sample_pairs_ring(positives: DataFrame, negatives: DataFrame, k: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """A5 (k = 1) and A6 without positives x negatives: ``query_id, doc_id_a, doc_id_b, idx``, ``k`` distinct negatives for each positive.
+
+    A query's negatives are permuted once (salted md5 order, numbered by range partitions, so a hot query is split); a
+    positive takes ``k`` consecutive ones of that ring from an offset of its own (salted md5). The work is one sort of the negatives and k lookups a
+    positive by (query, number). Repeated rows count once; a positive with fewer than ``k`` negatives takes them all. Another choice than :func:`sample_pairs`:
+    positives of a query share one permutation.
+    """
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    negs = negatives.select("query_id", "doc_id_b").distinct().withColumn("_key", order_key(seed, "query_id", "doc_id_b"))
+    negs = cut_lineage(negs.withColumn("_num", F.conv(F.substring("_key", 1, 12), 16, 10).cast("double")), "negatives")
+    ring = ordered_positions(negs, ["query_id"], "_num", False, [F.col("_key").asc(), F.col("doc_id_b").asc()], sums=[(None, "_at")])
+    size = negs.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.conv(F.substring(order_key(seed, F.lit("offset"), "query_id", "doc_id_a"), 1, 15), 16, 10).cast("long")
+    picks = positives.select("query_id", "doc_id_a").distinct().join(size, "query_id").select(
+        "query_id", "doc_id_a", "_n", offset.alias("_from"), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k).cast("long"), "_n"))).alias("idx"))
+    picks = picks.withColumn("_at", (F.col("_from") + F.col("idx") - 1) % F.col("_n") + 1)
+    return picks.join(ring.select("query_id", "_at", "doc_id_b"), ["query_id", "_at"]).select("query_id", "doc_id_a", "doc_id_b", "idx")
+
+
 def _keyed(arr: Column, seed: int, salt: Column | None) -> Column:
     salt = F.lit("") if salt is None else salt.cast("string")
     return F.transform(arr, lambda x: F.struct(

@@ -237,6 +237,17 @@ def _sql(body: str, *ctes: str) -> str:
     return with_ctes(body, *ctes)
 
 
+def _pairs_sql(expr: str, where: str = "") -> str:
+    """The mean over all pairs of judged documents of a query, in docno order."""
+    part = lambda q, d: (f"SELECT q.qid, d.docno, list_dot_product(q.vec, d.vec) AS score FROM (SELECT DISTINCT query_id AS qid, docno FROM lw_long) p "
+                         f"JOIN {q} q ON p.qid = q.qid JOIN {d} d ON p.docno = d.docno")
+    e = ("(SELECT l.query_id, l.docno, coalesce(s.score, 0.0) AS s, coalesce(t.score, 0.0) AS t FROM (SELECT DISTINCT query_id, docno FROM lw_long) l "
+         f"LEFT JOIN ({part('f_qvec32', 'f_dvec32')}) s ON s.qid = l.query_id AND s.docno = l.docno "
+         f"LEFT JOIN ({part('f_qvec', 'f_dvec')}) t ON t.qid = l.query_id AND t.docno = l.docno)")
+    return with_ctes(f"SELECT round(avg({expr}), 6) AS loss FROM {e} a JOIN {e} b ON a.query_id = b.query_id AND a.docno < b.docno {where}",
+                     "lw_long", "lw_sc")
+
+
 def _losses_sql(expr: str, denom: str = "count(*)", where: str = "") -> str:
     w = f" WHERE {where}" if where else ""
     return _sql(f"SELECT round(sum({expr}) / {denom}, 6) AS loss FROM lgz{w}", "lgz")
@@ -474,6 +485,15 @@ ORACLE.update({
         "SELECT round(avg(g), 6) AS loss FROM (SELECT query_id, doc_id_a, -sum(CASE WHEN f THEN t ELSE q END * lsm) AS g "
         "FROM lw_z, (SELECT coalesce(bool_and(t >= 0 AND t <= 1), true) AS f FROM lw_sc) GROUP BY query_id, doc_id_a)",
         "lw_z", "lw_sc"),
+    "l8_ranknet_long": _pairs_sql(
+        "greatest(a.s - b.s, 0.0) - (a.s - b.s) * (CASE WHEN a.t > b.t THEN 1.0 ELSE 0.0 END) + ln(1 + exp(-abs(a.s - b.s)))"),
+    "l9_distill_ranknet_long": _pairs_sql("(a.s - b.s) + (a.t - b.t - 1) * 100.0 + 300.0", "WHERE a.t > b.t"),
+    "a6_sample_ring": _sql(
+        "SELECT p.query_id, p.doc_id_a, n.doc_id_b, idx FROM (SELECT *, CAST('0x' || left(md5('42:offset:' || query_id || ':' || doc_id_a), 15) AS BIGINT) AS f "
+        "FROM (SELECT DISTINCT query_id, doc_id_a FROM f7)) p JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, "
+        "row_number() OVER (PARTITION BY query_id ORDER BY md5('42:' || query_id || ':' || doc_id_b)) AS at "
+        "FROM (SELECT DISTINCT query_id, unnest(doc_id_b) AS doc_id_b FROM f7)) n ON n.query_id = p.query_id "
+        "JOIN (SELECT unnest(range(1, 4)) AS idx) k ON idx <= n.n AND n.at = (f + idx - 1) % n.n + 1", "f7"),
     "v_vector_functions": _sql(
         "SELECT query_id, doc_id_a, round((p0 - least(p0, p1)) / (greatest(p0, p1) - least(p0, p1) + 1e-10), 6) "
         "AS v1_minmax0, round(p0 - p1, 6) AS v2_residual, round(p0 - p1, 6) AS v3_residual, "

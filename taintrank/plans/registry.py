@@ -317,6 +317,12 @@ def a6_sample_k(spark, d):
     return chosen.groupBy("query_id", "doc_id_a").agg(F.array_join(two, ",").alias("doc_id_b"))
 
 
+@register("a6_sample_ring")
+def a6_sample_ring(spark, d):
+    """A6 by one permutation a query and an offset a positive."""
+    return sampling.sample_pairs_ring(*fx.positives_and_negatives(spark, d), k=3)
+
+
 # ---------------------------------------------------------------- G: aggregates
 @register("g2_score_summary")
 def g2_score_summary(spark, d):
@@ -547,6 +553,22 @@ def l10_listnet_listwise(spark, d):
     return round_doubles(losses.shared_negative_loss(pos, neg, "listnet", key="query_id"))
 
 
+def _judged_scores(spark, d):
+    pos, neg = listwise_parts(spark, d)
+    return pos.unionByName(neg)
+
+
+@register("l8_ranknet_long")
+def l8_ranknet_long(spark, d):
+    """L8 over all judged documents of a query, in docno order, one row each."""
+    return round_doubles(losses.pairwise_loss_long(_judged_scores(spark, d), "ranknet", ["query_id"], [F.col("docno").asc()]))
+
+
+@register("l9_distill_ranknet_long")
+def l9_distill_ranknet_long(spark, d):
+    return round_doubles(losses.pairwise_loss_long(_judged_scores(spark, d), "distill_ranknet", ["query_id"], [F.col("docno").asc()]))
+
+
 def listwise_parts(spark, d):
     """F7 groups as (positives, negatives) of each query with student ``s`` and
     teacher ``t`` scores (J6 default 0); queries without a negative dropped."""
