@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import cut_lineage
 from .rank import ordered_positions
+from .sampling import DEFAULT_SEED, order_key
 
 REDUCTIONS = ("none", "mean", "sum", "batchmean")
 
@@ -202,6 +203,35 @@ def duo_score(logits: str = "logits") -> Column:
     return V.first_class_prob(logits)
 
 
+def training_order(df: DataFrame, keys: Sequence[str], batch_size: int, accumulation: int = 1, epochs: int = 1,
+                   seed: int = DEFAULT_SEED) -> DataFrame:
+    """The rows of ``df`` once per epoch with ``epoch``, ``micro`` (micro-batch in the epoch) and ``step`` (global optimiser step, from 0).
+
+    An epoch's order is the salted md5 of its number and ``keys``, numbered by range partitions. A step takes ``accumulation`` micro-batches of
+    ``batch_size`` rows; an epoch's last ones may be short.
+    """
+    rows = df.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
+    rows = rows.withColumn("_key", order_key(seed, "epoch", *keys)).withColumn("_num", F.conv(F.substring("_key", 1, 12), 16, 10).cast("double"))
+    rows = cut_lineage(rows, "epochs")
+    placed = ordered_positions(rows, ["epoch"], "_num", False, [F.col("_key").asc()], sums=[(None, "_at")])
+    n = rows.where("epoch = 0").select(F.count(F.lit(1))).scalar()
+    steps = F.ceil(F.ceil(n / F.lit(batch_size)) / F.lit(accumulation)).cast("long")
+    micro = F.floor((F.col("_at") - 1) / batch_size)
+    return placed.withColumn("micro", micro).withColumn("step", F.col("epoch") * steps + F.floor(F.col("micro") / accumulation)).drop("_key", "_num", "_at")
+
+
+def step_log(df: DataFrame, name: str, keys: Sequence[str], batch_size: int, accumulation: int = 1, log_every: int = 500, epochs: int = 1,
+             seed: int = DEFAULT_SEED, pred: str = "pred", label: str | None = "label", **args) -> DataFrame:
+    """``window, n_steps, loss``, the loss log of a training run over ``df``: per ``log_every`` global steps the sum of the
+    micro-batch losses (mean reduction) by steps and accumulation, rounded to 4 digits. The last window may be short."""
+    rows, elems = loss_elements(training_order(df, keys, batch_size, accumulation, epochs, seed), name, pred, label, **args)
+    (mean,) = _reduce(elems, "mean")
+    micro = rows.groupBy("epoch", "micro", "step").agg(mean.alias("_loss"))
+    window = F.floor(F.col("step") / log_every).alias("window")
+    out = micro.groupBy(window).agg(F.sum("_loss").alias("_sum"), (F.max("step") - F.min("step") + 1).alias("n_steps"))
+    return out.select("window", "n_steps", F.round(F.col("_sum") / F.col("n_steps") / accumulation, 4).alias("loss"))
+
+
 # ---------------------------------------------------------------- long-form listwise losses
 
 LONG_FORM = ("kl_div", "listnet", "contrastive", "lce", "mse")

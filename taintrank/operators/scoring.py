@@ -241,6 +241,17 @@ def bi_transform(df: DataFrame, query_factory: Callable | None = None,
     return add_ranks(df.withColumn("score", V.dot("query_vec", "doc_vec")))
 
 
+def in_batch_scores(batches: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
+    """V6, two-dimensional form: ``batch, qid, docno, score`` of every query of a batch against every document of it.
+
+    ``batches[batch, qid, docnos]``: the groups of each batch. A batch is a join key, so the output is bounded by the size
+    of a batch squared times the group size. Each distinct query and document of a batch counts once; ids without a vector are dropped (J8).
+    """
+    q = batches.select("batch", "qid").distinct().join(query_vecs.select("qid", F.col("vec").alias("_q")), "qid")
+    d = batches.select("batch", F.explode("docnos").alias("docno")).distinct().join(doc_vecs.select("docno", F.col("vec").alias("_d")), "docno")
+    return q.join(d, "batch").select("batch", "qid", "docno", V.dot("_q", "_d").alias("score"))
+
+
 def chain(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """``a >> b`` as one function for ``DataFrame.transform``."""
     def run(df: DataFrame) -> DataFrame:

@@ -237,6 +237,10 @@ def _sql(body: str, *ctes: str) -> str:
     return with_ctes(body, *ctes)
 
 
+_EPOCH_KEY = "md5('42:' || epoch || ':' || query_id || ':' || doc_id_a || ':' || doc_id_b || ':' || origin)"
+_BATCHES = (f"SELECT *, (row_number() OVER (ORDER BY {_EPOCH_KEY}) - 1) // 8 AS batch FROM (SELECT *, 0 AS epoch FROM f_triples)")
+
+
 def _pairs_sql(expr: str, where: str = "") -> str:
     """The mean over all pairs of judged documents of a query, in docno order."""
     part = lambda q, d: (f"SELECT q.qid, d.docno, list_dot_product(q.vec, d.vec) AS score FROM (SELECT DISTINCT query_id AS qid, docno FROM lw_long) p "
@@ -478,6 +482,15 @@ ORACLE.update({
     "l16_loss_log": _sql(
         "SELECT origin, round(sum(pow(p0 - l0, 2) + pow(p1 - l1, 2)) / (2 * count(*)), 4) AS loss FROM lg "
         "GROUP BY origin", "lg"),
+    "l16_step_log": _sql(
+        "SELECT step // 5 AS window, max(step) - min(step) + 1 AS n_steps, round(sum(loss) / (max(step) - min(step) + 1) / 2, 4) AS loss FROM ("
+        "SELECT epoch, micro, epoch * CAST(ceil(ceil(any_value(n) / 8.0) / 2) AS BIGINT) + micro // 2 AS step, sum(sq) / (2 * count(*)) AS loss FROM ("
+        "SELECT epoch, pow(p0 - l0, 2) + pow(p1 - l1, 2) AS sq, count(*) OVER (PARTITION BY epoch) AS n, (row_number() OVER (PARTITION BY epoch ORDER BY "
+        f"{_EPOCH_KEY}) - 1) // 8 AS micro FROM (SELECT *, unnest([0, 1]) AS epoch FROM lg)) GROUP BY epoch, micro) GROUP BY 1", "lg"),
+    "v6_in_batch_scores": _sql(
+        "SELECT q.batch, q.qid, d.docno, round(list_dot_product(a.vec, b.vec), 6) AS score FROM (SELECT DISTINCT batch, query_id AS qid FROM "
+        f"({_BATCHES})) q JOIN (SELECT DISTINCT batch, unnest([doc_id_a, doc_id_b]) AS docno FROM ({_BATCHES})) d ON q.batch = d.batch "
+        "JOIN f_qvec a ON a.qid = q.qid JOIN f_dvec b ON b.docno = d.docno", "f_triples", "f_qvec", "f_dvec"),
     "l7_kl_div_listwise": _sql(
         "SELECT round(sum(CASE WHEN q = 0 THEN 0.0 ELSE q * (ln(q) - lsm) END) / "
         "(SELECT count(*) FROM f7), 6) AS loss FROM lw_z", "lw_z", "f7"),

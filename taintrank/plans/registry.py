@@ -541,6 +541,23 @@ def l16_loss_log(spark, d):
     return losses.loss_log(loss_groups(spark, d), "mse", by=["origin"])
 
 
+ORDER_KEYS = ("query_id", "doc_id_a", "doc_id_b", "origin")
+
+
+@register("l16_step_log")
+def l16_step_log(spark, d):
+    """The log of two epochs, batches of 8, two micro-batches a step, a line every 5 steps."""
+    return losses.step_log(loss_groups(spark, d), "mse", ORDER_KEYS, 8, accumulation=2, log_every=5, epochs=2)
+
+
+@register("v6_in_batch_scores")
+def v6_in_batch_scores(spark, d):
+    """V6: the queries of each training batch against all documents of the batch."""
+    order = losses.training_order(triples(spark, d), ORDER_KEYS, 8)
+    batches = order.select(F.col("micro").alias("batch"), F.col("query_id").alias("qid"), F.array("doc_id_a", "doc_id_b").alias("docnos"))
+    return round_doubles(scoring.in_batch_scores(batches, *fx.vectors(spark, d)))
+
+
 @register("l7_kl_div_listwise")
 def l7_kl_div_listwise(spark, d):
     pos, neg = listwise_parts(spark, d)

@@ -56,3 +56,29 @@ def test_ring_gives_distinct_negatives(spark):
     assert len(spread) > 150 and max(spread.values()) < 6 * math.ceil(1200 / 200)
     other = sampling.sample_pairs_ring(p, n, 4, seed=7).collect()
     assert sorted(map(tuple, other)) != sorted(map(tuple, got))
+
+
+def test_training_order_and_log(spark):
+    rows = [(str(i), [float(i), 0.0], [0.0, 1.0]) for i in range(53)]
+    df = spark.createDataFrame(rows, "id string, pred array<double>, label array<double>")
+    order = losses.training_order(df, ["id"], 4, accumulation=3, epochs=2).collect()
+    per = Counter((r.epoch, r.micro) for r in order)
+    assert len(order) == 106 and sorted(per.values()) == [1, 1] + [4] * 26
+    assert all(r.step == r.epoch * 5 + r.micro // 3 for r in order) and {r.step for r in order} == set(range(10))
+    first = [sorted(r.id for r in order if (r.epoch, r.micro) == (e, 0)) for e in (0, 1)]
+    assert first[0] != first[1]                            # epochs are shuffled apart
+    want = defaultdict(float)
+    for (e, m), n in per.items():
+        own = [r for r in order if (r.epoch, r.micro) == (e, m)]
+        want[own[0].step // 4] += sum(r.pred[0] ** 2 + 1 for r in own) / (2 * n)
+    got = {r.window: (r.n_steps, r.loss) for r in losses.step_log(df, "mse", ["id"], 4, accumulation=3, log_every=4, epochs=2).collect()}
+    assert got == {w: (n, pytest.approx(want[w] / n / 3, abs=1e-4)) for w, n in ((0, 4), (1, 4), (2, 2))}
+
+
+def test_in_batch_scores(spark):
+    from taintrank.operators import scoring
+    b = spark.createDataFrame([(0, "q1", ["a", "b"]), (0, "q2", ["b", "x"]), (1, "q1", ["c"])], "batch long, qid string, docnos array<string>")
+    q = spark.createDataFrame([("q1", [1.0, 2.0]), ("q2", [0.0, 1.0])], "qid string, vec array<double>")
+    d = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0, 0.0]), ("c", [0.0, 3.0])], "docno string, vec array<double>")
+    got = {(r.batch, r.qid, r.docno): r.score for r in scoring.in_batch_scores(b, q, d).collect()}
+    assert got == {(0, "q1", "a"): 3.0, (0, "q1", "b"): 2.0, (0, "q2", "a"): 1.0, (0, "q2", "b"): 0.0, (1, "q1", "c"): 6.0}
