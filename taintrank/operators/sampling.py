@@ -78,6 +78,14 @@ def sample_pairs(positives: DataFrame, negatives: DataFrame, k: int, seed: int =
     return j.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k)
 
 
+def ring(negatives: DataFrame, seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """(``query_id, doc_id_b, _at``: a query's distinct negatives numbered from 1 in salted md5 order, by range partitions; the table behind it)."""
+    negs = negatives.select("query_id", "doc_id_b").distinct().withColumn("_key", order_key(seed, "query_id", "doc_id_b"))
+    negs = cut_lineage(negs.withColumn("_num", F.conv(F.substring("_key", 1, 12), 16, 10).cast("double")), "negatives")
+    turns = ordered_positions(negs, ["query_id"], "_num", False, [F.col("_key").asc(), F.col("doc_id_b").asc()], sums=[(None, "_at")])
+    return turns, negs
+
+
 def sample_pairs_ring(positives: DataFrame, negatives: DataFrame, k: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """A5 (k = 1) and A6 without positives x negatives: ``query_id, doc_id_a, doc_id_b, idx``, ``k`` distinct negatives for each positive.
 
@@ -88,15 +96,13 @@ def sample_pairs_ring(positives: DataFrame, negatives: DataFrame, k: int, seed:
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    negs = negatives.select("query_id", "doc_id_b").distinct().withColumn("_key", order_key(seed, "query_id", "doc_id_b"))
-    negs = cut_lineage(negs.withColumn("_num", F.conv(F.substring("_key", 1, 12), 16, 10).cast("double")), "negatives")
-    ring = ordered_positions(negs, ["query_id"], "_num", False, [F.col("_key").asc(), F.col("doc_id_b").asc()], sums=[(None, "_at")])
+    turns, negs = ring(negatives, seed)
     size = negs.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     offset = F.conv(F.substring(order_key(seed, F.lit("offset"), "query_id", "doc_id_a"), 1, 15), 16, 10).cast("long")
     picks = positives.select("query_id", "doc_id_a").distinct().join(size, "query_id").select(
         "query_id", "doc_id_a", "_n", offset.alias("_from"), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k).cast("long"), "_n"))).alias("idx"))
     picks = picks.withColumn("_at", (F.col("_from") + F.col("idx") - 1) % F.col("_n") + 1)
-    return picks.join(ring.select("query_id", "_at", "doc_id_b"), ["query_id", "_at"]).select("query_id", "doc_id_a", "doc_id_b", "idx")
+    return picks.join(turns.select("query_id", "_at", "doc_id_b"), ["query_id", "_at"]).select("query_id", "doc_id_a", "doc_id_b", "idx")
 
 
 def _keyed(arr: Column, seed: int, salt: Column | None) -> Column:

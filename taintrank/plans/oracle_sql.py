@@ -237,6 +237,14 @@ def _sql(body: str, *ctes: str) -> str:
     return with_ctes(body, *ctes)
 
 
+# R5, R6 and R10 on long rows: the positives, and two negatives each from the ring
+_LONG_POS = ("SELECT md5(qid || ':' || docno) AS gid, qid, 0 AS pos_idx, docno FROM (SELECT DISTINCT qid, docno FROM f_binary WHERE relevance = 1)")
+_LONG_NEG = (
+    "SELECT md5(p.query_id || ':' || p.doc_id_a) AS gid, p.query_id AS qid, CAST({at} AS INTEGER) AS pos_idx, n.doc_id_b AS docno "
+    "FROM (SELECT *, CAST('0x' || left(md5('42:offset:' || query_id || ':' || doc_id_a), 15) AS BIGINT) AS f FROM (SELECT DISTINCT query_id, doc_id_a FROM f7)) p "
+    "JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY md5('42:' || query_id || ':' || doc_id_b)) AS at "
+    "FROM (SELECT DISTINCT query_id, unnest(doc_id_b) AS doc_id_b FROM f7)) n ON n.query_id = p.query_id "
+    "JOIN (SELECT unnest(range(1, 3)) AS idx) k ON idx <= n.n AND n.at = (f + idx - 1) % n.n + 1")
 _EPOCH_KEY = "md5('42:' || epoch || ':' || query_id || ':' || doc_id_a || ':' || doc_id_b || ':' || origin)"
 _BATCHES = (f"SELECT *, (row_number() OVER (ORDER BY {_EPOCH_KEY}) - 1) // 8 AS batch FROM (SELECT *, 0 AS epoch FROM f_triples)")
 
@@ -507,6 +515,20 @@ ORACLE.update({
         "row_number() OVER (PARTITION BY query_id ORDER BY md5('42:' || query_id || ':' || doc_id_b)) AS at "
         "FROM (SELECT DISTINCT query_id, unnest(doc_id_b) AS doc_id_b FROM f7)) n ON n.query_id = p.query_id "
         "JOIN (SELECT unnest(range(1, 4)) AS idx) k ON idx <= n.n AND n.at = (f + idx - 1) % n.n + 1", "f7"),
+    "r2_pivot_long": _sql(
+        "SELECT qid, CAST(idx AS INTEGER) AS idx, docno, CAST(pos AS INTEGER) AS pos, count(*) AS n FROM ("
+        "SELECT query_id AS qid, 0 AS idx, doc_id_a AS docno, 1 AS pos FROM f7 UNION ALL "
+        "SELECT f7.query_id, n.at, n.docno, NULL FROM f7 JOIN (SELECT query_id, doc_id_b AS docno, row_number() OVER (PARTITION BY query_id ORDER BY "
+        "md5('42:' || query_id || ':' || doc_id_b)) AS at FROM (SELECT DISTINCT query_id, unnest(doc_id_b) AS doc_id_b FROM f7)) n USING (query_id)) "
+        "GROUP BY qid, idx, docno, pos", "f7"),
+    "r5_groups_long": _sql(
+        f"SELECT gid, g.qid, pos_idx, g.docno, md5(q.query) AS query_md5, md5(d.text) AS text_md5, round(coalesce(t.score, 0.0), 6) AS label "
+        f"FROM ({_LONG_POS} UNION ALL {_LONG_NEG.format(at='idx')}) g JOIN f_queries q USING (qid) JOIN f_docs d USING (docno) "
+        "LEFT JOIN teacher_scores t ON t.qid = g.qid AND t.docno = g.docno", "f7", "f_binary", "f_queries", "f_docs", "teacher_scores"),
+    "r6_listwise_long": _sql(_LONG_NEG.format(at="idx - 1"), "f7"),
+    "r10_pairs_long": _sql(
+        f"SELECT gid, qid, pos_idx AS idx, positive, docno AS negative FROM ({_LONG_NEG.format(at='idx')}) "
+        f"JOIN (SELECT gid, docno AS positive FROM ({_LONG_POS})) USING (gid)", "f7", "f_binary"),
     "v_vector_functions": _sql(
         "SELECT query_id, doc_id_a, round((p0 - least(p0, p1)) / (greatest(p0, p1) - least(p0, p1) + 1e-10), 6) "
         "AS v1_minmax0, round(p0 - p1, 6) AS v2_residual, round(p0 - p1, 6) AS v3_residual, "

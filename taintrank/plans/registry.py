@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import (compare, distributions, joins, losses, metrics, rank, reshape, retrieval,
+from ..operators import (compare, distributions, joins, long_groups, losses, metrics, rank, reshape, retrieval,
                          sampling, schema, scoring, setops)
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
@@ -242,6 +242,36 @@ def r2_pivot_with_negatives(spark, d):
         "qid", "idx", "docno", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("r2_pivot_long")
+def r2_pivot_long(spark, d):
+    """R2 from one row per negative."""
+    pos, neg = fx.positives_and_negatives(spark, d)
+    have = neg.select("query_id").distinct()
+    return long_groups.pivot_with_negatives(pos.join(have, "query_id", "left_semi"), cut_lineage(long_groups.numbered_negatives(neg), "numbered")).groupBy(
+        "qid", "idx", "docno", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def long_rows(spark, d, **kw):
+    return long_groups.groups(*fx.positives_and_negatives(spark, d), group_size=3, short="keep", **kw)
+
+
+@register("r5_groups_long")
+def r5_groups_long(spark, d):
+    """R5 without arrays: the rows of each group with query, text and teacher score; every positive has a group."""
+    a = long_groups.assemble(long_rows(spark, d), fx.queries(spark, d), fx.docs(spark, d), teacher_scores(spark, d))
+    return round_doubles(a.select("gid", "qid", "pos_idx", "docno", F.md5("query").alias("query_md5"), F.md5("text").alias("text_md5"), "label"))
+
+
+@register("r6_listwise_long")
+def r6_listwise_long(spark, d):
+    return long_rows(spark, d, include_positive=False)
+
+
+@register("r10_pairs_long")
+def r10_pairs_long(spark, d):
+    return long_groups.pos_pairs(cut_lineage(long_rows(spark, d), "groups"))
+
+
 @register("r3_explode_score_map")
 def r3_explode_score_map(spark, d):
     m = reshape.collect_score_map(teacher_scores(spark, d))
