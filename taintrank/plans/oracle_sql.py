@@ -431,6 +431,22 @@ ORACLE.update({
         "SELECT p.qid, p.docno, round(CAST(coalesce(sum(qb.c * db.c), 0) AS DOUBLE), 6) AS score FROM f_pairs p "
         "LEFT JOIN q_bow qb ON qb.qid = p.qid LEFT JOIN d_bow db ON db.docno = p.docno AND db.b = qb.b "
         "GROUP BY p.qid, p.docno", "f_pairs", "q_bow", "d_bow"),
+    "k5_vector_store": _sql(
+        "SELECT p.qid, p.docno, round(CAST(coalesce(sum(qb.c * db.c), 0) AS DOUBLE), 6) AS score, 0 AS encoded_again FROM f_pairs p "
+        "LEFT JOIN q_bow qb ON qb.qid = p.qid LEFT JOIN d_bow db ON db.docno = p.docno AND db.b = qb.b "
+        "GROUP BY p.qid, p.docno", "f_pairs", "q_bow", "d_bow"),
+    "j8_bucketed_scores": _sql("SELECT qid, docno, round(score, 6) AS score, md5(text) AS text_md5 FROM teacher_scores JOIN f_docs USING (docno)",
+                               "teacher_scores", "f_docs"),
+    # the pooler: row j of W is ((b + j) % 5 - 2) / 2 over the buckets b; its bias by j
+    "t6_saved_pipeline": _sql(
+        f"SELECT p.qid, p.docno, CAST(len(list_intersect(list_distinct({TOK.format(x='q.query')}), list_distinct({TOK.format(x='d.text')}))) AS DOUBLE) AS cross, "
+        "round(s.score, 6) AS score FROM f_pairs p JOIN f_queries q ON p.qid = q.qid JOIN f_docs d ON p.docno = d.docno JOIN ("
+        "SELECT p.qid, p.docno, CAST(sum((coalesce(x.v, 0) + j.bias) * (coalesce(y.v, 0) + j.bias)) AS DOUBLE) AS score FROM f_pairs p "
+        "CROSS JOIN (VALUES (0, 0.5), (1, -0.5), (2, 0.25), (3, 0.0)) j(j, bias) "
+        "LEFT JOIN (SELECT qid, j, sum(c * ((b + j) % 5 - 2.0) / 2.0) AS v FROM q_bow, (SELECT unnest(range(4)) AS j) GROUP BY qid, j) x ON x.qid = p.qid AND x.j = j.j "
+        "LEFT JOIN (SELECT docno, j, sum(c * ((b + j) % 5 - 2.0) / 2.0) AS v FROM d_bow, (SELECT unnest(range(4)) AS j) GROUP BY docno, j) y "
+        "ON y.docno = p.docno AND y.j = j.j GROUP BY p.qid, p.docno) s ON s.qid = p.qid AND s.docno = p.docno",
+        "f_pairs", "f_queries", "f_docs", "q_bow", "d_bow"),
     "m7_event_metrics": metrics_query("SELECT 'events' AS name, qid, docno, score FROM f_event_run", "f_event_qrels",
                                       ["f_event_run", "f_event_qrels"]),
     "m7_teacher_student_runs": metrics_query(

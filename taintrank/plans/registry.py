@@ -11,16 +11,17 @@ import os as _os
 import uuid as _uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import (compare, distributions, joins, long_groups, losses, metrics, rank, reshape, retrieval,
-                         sampling, schema, scoring, setops)
+                         sampling, schema, scoring, setops, stages, vector_store)
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources import jsonio, trec
+from ..sources import bucketed, jsonio, trec
 from ..sources import profile as profile_io
 from ..sources import triples as triple_io
 from . import contaminate, distill, report, rerank
@@ -456,8 +457,11 @@ def k3_duo_logits(spark, d):
                                   F.element_at("logits", 2).alias("logit1"), "rank"))
 
 
+BOW_DIM = 256
+
+
 def _bow_factory():
-    return scoring.HashedBowEncoder(256)
+    return scoring.HashedBowEncoder(BOW_DIM)
 
 
 @register("k7_bi_rerank")
@@ -484,6 +488,49 @@ def k12_bi_scores(spark, d):
                                                    fx.docs(spark, d), _bow_factory))
 
 
+@register("k5_vector_store")
+def k5_vector_store(spark, d):
+    """K4, K5 and K12 over a store: all texts in two waves, then all again (nothing is encoded), then scores from the stored vectors."""
+    q, docs, p = fx.queries(spark, d), fx.docs(spark, d), cut_lineage(pairs(spark, d), "pairs")
+    store = vector_store.VectorStore(spark, _io_path(spark, "vectors"))
+    texts = docs.select("text").unionByName(q.select(F.col("query").alias("text")))
+    store.add(texts, _bow_factory, waves=2)
+    again = store.add(texts, _bow_factory)
+    qv = store.attach(joins.used_only(q.select("qid", "query"), p, "qid"), "query").select("qid", "vec")
+    dv = store.attach(joins.used_only(docs.select("docno", "text"), p, "docno")).select("docno", "vec")
+    return round_doubles(rerank.vector_scores(p, qv, dv).withColumn("encoded_again", F.lit(again)))
+
+
+@register("j8_bucketed_scores")
+def j8_bucketed_scores(spark, d):
+    """J8 and J4 on bucketed tables: vectors and texts by docno in place, only the pairs are dealt to them."""
+    q, dv = fx.vectors(spark, d)
+    docs = fx.docs(spark, d).select("docno", "text")
+    n = bucketed.bucket_count(joins.measured_bytes(dv) + joins.measured_bytes(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tag = _uuid.uuid4().hex
+    vec_table = bucketed.write_bucketed(dv, f"vectors_{tag}", "docno", _io_path(spark, "bucketed"), n)
+    text_table = bucketed.write_bucketed(docs, f"texts_{tag}", "docno", _io_path(spark, "bucketed"), n)
+    scored = rerank.vector_scores(pairs(spark, d), q, vec_table)
+    return round_doubles(joins.attach_text_strict(scored, text_table).select("qid", "docno", "score", F.md5("text").alias("text_md5")))
+
+
+POOL = [[((i + j) % 5 - 2) / 2.0 for i in range(BOW_DIM)] for j in range(4)]
+POOL_BIAS = [0.5, -0.5, 0.25, 0.0]
+
+
+@register("t6_saved_pipeline")
+def t6_saved_pipeline(spark, d):
+    """Cross scorer, bi-encoder and pooler saved with their configuration as one pipeline, loaded, and applied to the training pairs."""
+    base = "taintrank.operators.scoring"
+    model = PipelineModel([stages.CrossScorer(model=f"{base}:TokenOverlapScorer", outputCol="cross"),
+                           *stages.bi_encoder(f"{base}:HashedBowEncoder", {"dim": BOW_DIM}, weights=POOL, bias=POOL_BIAS)])
+    path = _io_path(spark, "pipeline")
+    model.write().overwrite().save(path)
+    p = joins.attach_query(pairs(spark, d), fx.queries(spark, d))
+    rows = joins.attach_text_strict(p, fx.docs(spark, d)).select("qid", "docno", "query", "text")
+    return round_doubles(PipelineModel.load(path).transform(rows).select("qid", "docno", "cross", "score"))
+
+
 # ---------------------------------------------------------------- M: metrics
 @register("m7_event_metrics")
 def m7_event_metrics(spark, d):
