@@ -98,6 +98,29 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM
     return top_k(scored, budget)
 
 
+def bm25_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """K1 for given pairs: ``qid, docno, score`` of each distinct (qid, docno) of ``pairs``, equal to :func:`bm25`, 0 where no term is shared.
+
+    Statistics are those of all ``docs``; only postings of the asked documents meet the asked (docno, term), so the work is pairs
+    times the terms of their query, whatever else the terms occur in. No other pair is scored and nothing is ranked.
+    """
+    wanted = cut_lineage(pairs.select("qid", "docno").distinct(), "bm25_pairs")
+    asked = queries.join(wanted.select("qid"), "qid", "left_semi")
+    qterms = cut_lineage(asked.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "query_terms")
+    n_bytes = measured_bytes(qterms)
+    post_all = cut_lineage(bm25_postings(docs, qterms.select("term").distinct(), n_bytes), "bm25_postings")
+    n_docs, avgdl = post_all.where(F.col("term").isNull()).agg(F.count(F.lit(1)).cast("double"), F.avg("dl")).first()
+    post = post_all.where(F.col("term").isNotNull())
+    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    w = (F.col("qtf") * F.log(1 + (F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("w")
+    weights = qterms.join(dfreq, "term").select("qid", "term", w)
+    keys = wanted.join(F.broadcast(weights) if n_bytes <= BROADCAST_MAX_BYTES else weights, "qid")
+    near = post.join(wanted.select("docno"), "docno", "left_semi")
+    gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    sums = keys.join(near, ["docno", "term"]).groupBy("qid", "docno").agg(F.sum(gain.cast(f"decimal(38,{SUM_PLACES})")).cast("double").alias("score"))
+    return wanted.join(sums, ["qid", "docno"], "left").fillna(0.0, ["score"])
+
+
 RARE = 8                     # postings of rare terms that set the threshold, per result
 TAIL = 0.3                   # share of the threshold that the terms left for the second pass may add
 

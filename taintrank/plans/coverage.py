@@ -250,28 +250,35 @@ _add("l10_listnet_listwise_t2", O._sql(
 O.CTE.update({
     "t_feat": (f"SELECT p.qid, p.docno, coalesce(list_dot_product(q.vec, d.vec), 0.0) AS x0, coalesce(list_dot_product(q32.vec, d32.vec), 0.0) AS s0, "
                f"CAST(len(list_intersect(list_distinct({O.TOK.format(x='fq.query')}), list_distinct({O.TOK.format(x='fd.text')}))) AS DOUBLE) AS x1, "
-               f"ln(1 + CAST(len({O.TOK.format(x='fd.text')}) AS DOUBLE)) AS x2 FROM f_pairs p JOIN f_queries fq ON fq.qid = p.qid "
-               "JOIN f_docs fd ON fd.docno = p.docno LEFT JOIN f_qvec q ON q.qid = p.qid LEFT JOIN f_dvec d ON d.docno = p.docno "
+               f"ln(1 + CAST(len({O.TOK.format(x='fd.text')}) AS DOUBLE)) AS x2, coalesce(k.score, 0.0) AS x3 FROM f_pairs p JOIN f_queries fq ON fq.qid = p.qid "
+               "JOIN f_docs fd ON fd.docno = p.docno LEFT JOIN bm_sc k ON k.qid = p.qid AND k.docno = p.docno LEFT JOIN f_qvec q ON q.qid = p.qid LEFT JOIN f_dvec d ON d.docno = p.docno "
                "LEFT JOIN f_qvec32 q32 ON q32.qid = p.qid LEFT JOIN f_dvec32 d32 ON d32.docno = p.docno"),
-    "t_diff": ("SELECT t.origin, a.x0 - b.x0 AS d0, a.s0 - b.s0 AS e0, a.x1 - b.x1 AS d1, a.x2 - b.x2 AS d2 FROM f_triples t "
+    "t_diff": ("SELECT t.origin, a.x0 - b.x0 AS d0, a.s0 - b.s0 AS e0, a.x1 - b.x1 AS d1, a.x2 - b.x2 AS d2, a.x3 - b.x3 AS d3 FROM f_triples t "
                "JOIN t_feat a ON a.qid = t.query_id AND a.docno = t.doc_id_a JOIN t_feat b ON b.qid = t.query_id AND b.docno = t.doc_id_b"),
 })
 O._ORDER[:] = list(O.CTE)
 
 
 def _newton(name: str, rows: str, steps: int = 25, reg: float = 0.01) -> str:
-    """CTEs ``{name}_0 .. {name}_w``: Newton steps of the soft-label logistic regression on ``rows`` (d0, d1, d2, y)."""
-    out = [f"{name}_r AS MATERIALIZED ({rows})", f"""{name}_i(i, b0, b1, b2) AS (
-  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
-  SELECT i + 1, b0 - (g0 * (h11 * h22 - h12 * h12) - g1 * (h01 * h22 - h02 * h12) + g2 * (h01 * h12 - h02 * h11)) / det,
-         b1 - (-g0 * (h01 * h22 - h12 * h02) + g1 * (h00 * h22 - h02 * h02) - g2 * (h00 * h12 - h02 * h01)) / det,
-         b2 - (g0 * (h01 * h12 - h11 * h02) - g1 * (h00 * h12 - h01 * h02) + g2 * (h00 * h11 - h01 * h01)) / det FROM (
-    SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
-      SELECT i, b0, b1, b2, avg((p - y) * d0) + {reg} * b0 AS g0, avg((p - y) * d1) + {reg} * b1 AS g1, avg((p - y) * d2) + {reg} * b2 AS g2,
-             avg(p * (1 - p) * d0 * d0) + {reg} AS h00, avg(p * (1 - p) * d1 * d1) + {reg} AS h11, avg(p * (1 - p) * d2 * d2) + {reg} AS h22,
-             avg(p * (1 - p) * d0 * d1) AS h01, avg(p * (1 - p) * d0 * d2) AS h02, avg(p * (1 - p) * d1 * d2) AS h12 FROM (
-        SELECT *, 1 / (1 + exp(-(b0 * d0 + b1 * d1 + b2 * d2))) AS p FROM {name}_i, {name}_r WHERE i < {steps}) GROUP BY i, b0, b1, b2)))""",
-           f"{name}_w AS (SELECT b0, b1, b2 FROM {name}_i WHERE i = {steps})"]
+    """CTEs ``{name}_i``, ``{name}_w``: Newton steps of the soft-label logistic regression on ``rows`` (d0 to d3, y).
+
+    The 4 x 4 system is solved by blocks: ``i..`` is the inverse of the first three rows and columns, ``u`` and ``v`` its products with
+    the gradient and with the last column, and ``z`` the last component.
+    """
+    grad = ", ".join(f"avg((p - y) * d{j}) + {reg} * b{j} AS g{j}" for j in range(4))
+    hess = ", ".join(f"avg(p * (1 - p) * d{j} * d{k})" + (f" + {reg}" if j == k else "") + f" AS h{j}{k}" for j in range(4) for k in range(j, 4))
+    inverse = ("(h11 * h22 - h12 * h12) / det AS i00, (h02 * h12 - h01 * h22) / det AS i01, (h01 * h12 - h02 * h11) / det AS i02, "
+               "(h00 * h22 - h02 * h02) / det AS i11, (h01 * h02 - h00 * h12) / det AS i12, (h00 * h11 - h01 * h01) / det AS i22")
+    rows_of = (("i00", "i01", "i02"), ("i01", "i11", "i12"), ("i02", "i12", "i22"))
+    parts = ", ".join(f"{r[0]} * g0 + {r[1]} * g1 + {r[2]} * g2 AS u{j}, {r[0]} * h03 + {r[1]} * h13 + {r[2]} * h23 AS v{j}" for j, r in enumerate(rows_of))
+    out = [f"{name}_r AS MATERIALIZED ({rows})", f"""{name}_i(i, b0, b1, b2, b3) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+  SELECT i + 1, b0 - u0 + v0 * z, b1 - u1 + v1 * z, b2 - u2 + v2 * z, b3 - z FROM (
+    SELECT *, (g3 - h03 * u0 - h13 * u1 - h23 * u2) / (h33 - h03 * v0 - h13 * v1 - h23 * v2) AS z FROM (SELECT *, {parts} FROM (SELECT *, {inverse} FROM (
+      SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+        SELECT i, b0, b1, b2, b3, {grad}, {hess} FROM (
+          SELECT *, 1 / (1 + exp(-(b0 * d0 + b1 * d1 + b2 * d2 + b3 * d3))) AS p FROM {name}_i, {name}_r WHERE i < {steps}) GROUP BY i, b0, b1, b2, b3))))))""",
+           f"{name}_w AS (SELECT b0, b1, b2, b3 FROM {name}_i WHERE i = {steps})"]
     return ",\n".join(out)
 
 
@@ -279,13 +286,13 @@ def _fit_sql(*stages: tuple[str, str]) -> str:
     head = O.with_ctes("", "t_diff").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
     last = stages[-1][0]
     return (head + ",\n" + ",\n".join(_newton(n, r) for n, r in stages)
-            + f"\nSELECT feature, round(weight, 4) AS weight FROM (SELECT unnest(['dot', 'overlap', 'log_doc_len']) AS feature, "
-              f"unnest([b0, b1, b2]) AS weight FROM {last}_w)")
+            + f"\nSELECT feature, round(weight, 4) AS weight FROM (SELECT unnest(['dot', 'overlap', 'log_doc_len', 'k1']) AS feature, "
+              f"unnest([b0, b1, b2, b3]) AS weight FROM {last}_w)")
 
 
 _CLEAN, _ALL = "WHERE origin = 'clean'", ""
-_HARD = "SELECT d0, d1, d2, 1 AS y FROM t_diff {}"
-_SOFT = "SELECT e0 AS d0, d1, d2, {} AS y FROM (SELECT *, b0 * d0 + b1 * d1 + b2 * d2 AS gap FROM t_diff, t_w WHERE origin = 'clean')"
+_HARD = "SELECT d0, d1, d2, d3, 1 AS y FROM t_diff {}"
+_SOFT = "SELECT e0 AS d0, d1, d2, d3, {} AS y FROM (SELECT *, b0 * d0 + b1 * d1 + b2 * d2 + b3 * d3 AS gap FROM t_diff, t_w WHERE origin = 'clean')"
 _add("t1_teacher_clean", _fit_sql(("t", _HARD.format(_CLEAN))))
 _add("t2_teacher_contaminated", _fit_sql(("t", _HARD.format(_ALL))))
 _add("t3_student_kl", _fit_sql(("t", _HARD.format(_CLEAN)), ("s", _SOFT.format("1 / (1 + exp(-gap))"))))

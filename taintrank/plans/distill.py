@@ -23,19 +23,22 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import tokens
-from ..operators import joins
+from ..operators import joins, retrieval
 
 # a feature of the query alone would cancel out of every difference
-FEATURES = ("dot", "overlap", "log_doc_len")
+FEATURES = ("dot", "overlap", "log_doc_len", "k1")
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame,
-                  query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
-    """phi(q, d) = [vector dot, shared distinct tokens, log1p doc length].
+                  query_vecs: DataFrame, doc_vecs: DataFrame, k1: DataFrame | None = None) -> DataFrame:
+    """phi(q, d) = [vector dot, shared distinct tokens, log1p doc length, BM25].
 
-    Pairs without vectors score 0 on the dot (lenient, like J6).
+    Pairs without vectors score 0 on the dot (lenient, like J6). ``k1[qid, docno, score]`` are BM25 scores of the pairs where they
+    are known already (a pair that is not there scores 0); else they come from :func:`retrieval.bm25_pairs` over all ``docs``.
     """
     p = pairs.select("qid", "docno").distinct()
+    k1 = retrieval.bm25_pairs(p, queries, docs) if k1 is None else k1
+    p = joins.attach_scores(p, k1, as_col="k1")
     p = joins.attach_text(p, queries, "qid", "query")
     p = joins.attach_text(p, docs, "docno", "text")
     p = (p.join(query_vecs.select("qid", F.col("vec").alias("qv")), "qid", "left")
@@ -44,7 +47,7 @@ def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame,
     return p.select("qid", "docno", F.array(
         F.coalesce(V.dot("qv", "dv"), F.lit(0.0)),
         F.size(F.array_intersect(F.array_distinct(qt), F.array_distinct(dt))).cast("double"),
-        F.log1p(F.size(dt).cast("double"))).alias("phi"))
+        F.log1p(F.size(dt).cast("double")), F.col("k1")).alias("phi"))
 
 
 def _diffs(triples: DataFrame, features: DataFrame) -> DataFrame:

@@ -405,6 +405,7 @@ ORACLE.update({
         "WINDOW w AS (PARTITION BY r.qid ORDER BY r.score DESC, r.docno DESC ROWS BETWEEN UNBOUNDED PRECEDING AND "
         "CURRENT ROW)", "f_event_run", "f_event_qrels"),
     "k1_bm25_top100": _sql("SELECT qid, docno, round(score, 6) AS score, rank FROM bm25_run", "bm25_run"),
+    "k1_given_pairs": _sql("SELECT qid, docno, round(coalesce(b.score, 0.0), 6) AS score FROM f_pairs LEFT JOIN bm_sc b USING (qid, docno)", "f_pairs", "bm_sc"),
     "k1_maxscore_top100": _sql("SELECT qid, docno, round(score, 6) AS score, rank FROM bm25_run", "bm25_run"),
     "m7_bm25_metrics": metrics_query("SELECT 'bm25' AS name, qid, docno, score FROM bm25_run", "f_qrels",
                                      ["bm25_run", "f_qrels"]),

@@ -428,6 +428,12 @@ def k1_bm25_top100(spark, d):
     return round_doubles(bm25_run(spark, d))
 
 
+@register("k1_given_pairs")
+def k1_given_pairs(spark, d):
+    """BM25 of the training pairs, without a top-k."""
+    return round_doubles(k1_scores(spark, d))
+
+
 @register("k1_maxscore_top100")
 def k1_maxscore_top100(spark, d):
     """K1 with upper bounds: the same rows from fewer contributions."""
@@ -787,11 +793,17 @@ def s12_s13_trec_run(spark, d):
 # ---------------------------------------------------------------- T: distillation on MLlib
 
 
-def features(spark, d, dims=None, pairs_df=None):
+def k1_scores(spark, d, pairs_df=None):
+    """BM25 of the pairs, written once for teacher and student features."""
+    p = pairs_df if pairs_df is not None else pairs(spark, d)
+    return cut_lineage(retrieval.bm25_pairs(p, fx.queries(spark, d), fx.docs(spark, d)), "k1")
+
+
+def features(spark, d, dims=None, pairs_df=None, k1=None):
     """Pair features, written once as a table: every fit iterates over them."""
     q, dv = fx.vectors(spark, d, dims)
     p = pairs_df if pairs_df is not None else pairs(spark, d)
-    return cut_lineage(distill.pair_features(p, fx.queries(spark, d), fx.docs(spark, d), q, dv), "features")
+    return cut_lineage(distill.pair_features(p, fx.queries(spark, d), fx.docs(spark, d), q, dv, k1), "features")
 
 
 def _coef_frame(spark, model):
@@ -800,11 +812,11 @@ def _coef_frame(spark, model):
                                  "feature string, weight double")
 
 
-def _teacher_model(spark, d, arm: str):
+def _teacher_model(spark, d, arm: str, feats=None):
     t = triples(spark, d)
     if arm == "clean":
         t = t.where(F.col("origin") == "clean")
-    return distill.train_teacher(t, features(spark, d), reg=0.01)
+    return distill.train_teacher(t, features(spark, d) if feats is None else feats, reg=0.01)
 
 
 @register("t1_teacher_clean")
@@ -819,26 +831,32 @@ def t2_teacher_contaminated(spark, d):
 
 @register("t3_student_kl")
 def t3_student_kl(spark, d):
-    teacher = distill.apply_linear(features(spark, d), _teacher_model(spark, d, "clean"))
+    k1 = k1_scores(spark, d)
+    feats = features(spark, d, k1=k1)
+    teacher = distill.apply_linear(feats, _teacher_model(spark, d, "clean", feats))
     t = triples(spark, d).where(F.col("origin") == "clean")
-    return _coef_frame(spark, distill.train_student_kl(t, features(spark, d, 32), teacher, reg=0.01))
+    return _coef_frame(spark, distill.train_student_kl(t, features(spark, d, 32, k1=k1), teacher, reg=0.01))
 
 
 @register("t4_student_argmax")
 def t4_student_argmax(spark, d):
-    teacher = distill.apply_linear(features(spark, d), _teacher_model(spark, d, "clean"))
+    k1 = k1_scores(spark, d)
+    feats = features(spark, d, k1=k1)
+    teacher = distill.apply_linear(feats, _teacher_model(spark, d, "clean", feats))
     t = triples(spark, d).where(F.col("origin") == "clean")
-    return _coef_frame(spark, distill.train_student_argmax(t, features(spark, d, 32), teacher, reg=0.01))
+    return _coef_frame(spark, distill.train_student_argmax(t, features(spark, d, 32, k1=k1), teacher, reg=0.01))
 
 
 def experiment_runs(spark, d) -> DataFrame:
     """The experiment matrix {clean, contaminated} x {teacher, student} as runs ``name, arm, qid, docno, score``: teachers
     trained on clean vs contaminated triples, students distilled (KL) from each
     teacher on the same triples; all re-rank BM25 top-100."""
-    cand = cut_lineage(bm25_run(spark, d).select("qid", "docno"), "candidates")
-    feats_t = features(spark, d, pairs_df=cand)
-    feats_s = features(spark, d, 32, pairs_df=cand)
-    train_t, train_s = features(spark, d), features(spark, d, 32)
+    first = cut_lineage(bm25_run(spark, d).select("qid", "docno", "score"), "candidates")
+    cand = first.select("qid", "docno")
+    feats_t = features(spark, d, pairs_df=cand, k1=first)
+    feats_s = features(spark, d, 32, pairs_df=cand, k1=first)
+    k1 = k1_scores(spark, d)
+    train_t, train_s = features(spark, d, k1=k1), features(spark, d, 32, k1=k1)
     runs = None
     for arm in ("clean", "contaminated"):
         t = triples(spark, d)
