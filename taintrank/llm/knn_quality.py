@@ -8,8 +8,8 @@ with all of them is one blocked matrix product, and its ``NEAREST`` neighbours v
 
 Contract for odd rows: null and empty texts, and every text when nothing is labelled, get the
 mean label (0.5 without labels); labels that are null, or whose id has no text, are not
-learned from; ties in similarity go to the first labelled row in hash order; repeated rows are scored each; extra
-columns are ignored; an empty table gives an empty result.
+learned from; cosines count to ``PLACES`` decimals, ties go to the first labelled row in hash order, so a score does not depend on
+the partitions; repeated rows are scored each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ RANK = 48
 NEAREST = 31
 SHARPNESS = 8
 CUT = 0.3
+PLACES = 6                   # decimals of a cosine; sums in another order differ far behind them
 PIECE = 512                  # documents per matrix product
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -82,6 +83,14 @@ def _pieces(block: _text.Block) -> Iterator[_text.Block]:
         yield _text.Block(block.lo + a, block.lo + b, block.data[lo:hi], block.offsets[a:b + 1] - lo)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row, ascending; the first of equal values."""
+    last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+    above, equal = cosine > last, cosine == last
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(cosine), k)
+
+
 @dataclass
 class Model:
     rarity: np.ndarray
@@ -93,15 +102,14 @@ class Model:
     def embed(self, shares: np.ndarray) -> np.ndarray:
         v = (shares * self.rarity) @ self.basis
         size = np.linalg.norm(v, axis=1, keepdims=True)
-        return (v / np.where(size > 1e-12, size, 1)).astype(np.float32)
+        return v / np.where(size > 1e-12, size, 1)
 
     def score(self, shares: np.ndarray, words: np.ndarray) -> np.ndarray:
         if not len(self.label):
             return np.full(len(words), self.mean)
-        cosine = self.embed(shares) @ self.vectors.T
-        k = min(NEAREST, len(self.label))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** SHARPNESS
+        cosine = np.round(self.embed(shares) @ self.vectors.T, PLACES)
+        near = nearest(cosine, min(NEAREST, len(self.label)))
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS
         total = weight.sum(axis=1)
         vote = (weight * self.label[near]).sum(axis=1) / np.where(total > 0, total, 1)
         return np.where((words > 0) & (total > 0), np.clip(vote, 0, 1), self.mean)
@@ -130,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     got = rows.orderBy("key", "quality", "at", "share").limit(SAMPLE).toArrow()
     n = got.num_rows
     if not n:
-        return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     x = np.zeros((n, TERMS))
     at, share = got.column("at").combine_chunks(), got.column("share").combine_chunks()
     owner = np.repeat(np.arange(n), np.diff(at.offsets.to_numpy()))
@@ -140,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x *= rarity
     values, vectors = np.linalg.eigh(x.T @ x)
     basis = vectors[:, ::-1][:, :min(RANK, n)]
-    model = Model(rarity, basis, np.zeros((0, 1), np.float32), label, float(label.mean()))
+    model = Model(rarity, basis, np.zeros((0, 1)), label, float(label.mean()))
     model.vectors = model.embed(x / rarity)
     return model
 

@@ -173,7 +173,7 @@ def test_quality_vote_matches_plain():
     got = model.score(x, np.array([3, 3, 3, 3, 0]))
     for i in range(4):
         cosine = v @ (x[i, :4] / np.linalg.norm(x[i, :4]))
-        near = np.argsort(-cosine)[:knn_quality.NEAREST]
+        near = np.argsort(-cosine, kind='stable')[:knn_quality.NEAREST]
         weight = np.maximum(cosine[near], 0) ** knn_quality.SHARPNESS
         assert got[i] == pytest.approx((weight * label[near]).sum() / weight.sum(), abs=1e-4)
     assert got[4] == 0.4
@@ -384,3 +384,21 @@ def test_candidates_reach_their_natural_ends(trees):
     for mail in ("ö" * 90 + "@exämple.de", "ö" + "a" * 5 + "@" + "ä." * 150 + "de", "n" * 80 + " [at] " + "h" * 60 + " [dot] com"):
         text = f"<{mail}> to"
         assert ("email", 1, 1 + len(mail)) in list(pii.candidates(text)) and found_in(text, trees) <= {("email", mail)}
+
+
+def test_nearest_takes_the_first_of_equal_cosines():
+    rng = np.random.default_rng(5)
+    for n, k in ((2000, 31), (31, 31), (40, 1)):
+        cosine = np.round(rng.normal(size=(50, n)), 1)
+        cosine[0] = 0.5
+        want = np.sort(np.argsort(-cosine, axis=1, kind="stable")[:, :k], axis=1)
+        assert (knn_quality.nearest(cosine, k) == want).all()
+    assert knn_quality.nearest(np.full((1, 2000), 0.25), 31).tolist() == [list(range(31))]
+
+
+def test_quality_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one = sorted((r.doc_id, r.score, r.predicted) for r in knn_quality.classify(docs.repartition(1), labels).collect())
+    many = sorted((r.doc_id, r.score, r.predicted) for r in knn_quality.classify(docs.repartition(7, "doc_id"), labels).collect())
+    assert one == many and len(one) == docs.count()
