@@ -298,3 +298,29 @@ _add("t2_teacher_contaminated", _fit_sql(("t", _HARD.format(_ALL))))
 _add("t3_student_kl", _fit_sql(("t", _HARD.format(_CLEAN)), ("s", _SOFT.format("1 / (1 + exp(-gap))"))))
 _add("t4_student_argmax", _fit_sql(("t", _HARD.format(_CLEAN)), ("s", _SOFT.format("CASE WHEN gap >= 0 THEN 1 ELSE 0 END"))))
 
+
+
+# T5: the four fits, their scores of the BM25 candidates, and the metrics of the runs
+O.CTE["c_feat"] = O.CTE["t_feat"].replace("FROM f_pairs p", "FROM bm25_run p")
+O.CTE["t5_qrels"] = "SELECT qid, docno, relevance FROM f_qrels WHERE qid IN (SELECT query_id FROM f_triples WHERE origin = 'leaked')"
+O._ORDER[:] = list(O.CTE)
+
+
+def _report_sql() -> str:
+    head = O.with_ctes("", "t_diff", "c_feat", "t5_qrels").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    fits, runs = [], []
+    for arm, tag, where in (("clean", "c", _CLEAN), ("contaminated", "a", _ALL)):
+        soft = _SOFT.format("1 / (1 + exp(-gap))").replace("t_w WHERE origin = 'clean'", f"t{tag}_w {where}")
+        fits += [_newton(f"t{tag}", _HARD.format(where)), _newton(f"s{tag}", soft)]
+        for name, side, x0 in (("teacher", "t", "x0"), ("student", "s", "s0")):
+            runs.append(f"SELECT '{name}' AS name, '{arm}' AS arm, qid, docno, b0 * {x0} + b1 * x1 + b2 * x2 + b3 * x3 AS score FROM c_feat, {side}{tag}_w")
+    by = ("name", "arm")
+    wide = O.metric_mean_select(by).replace("round(coalesce(sum", "(coalesce(sum").replace(", 6) AS", ") AS")
+    cols = O.DEFAULT_COLUMNS
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    delta = ", ".join(f"round(max({c}) FILTER (WHERE arm = 'clean') - max({c}) FILTER (WHERE arm = 'contaminated'), 6) AS {c}" for c in cols)
+    return (head + ",\n" + ",\n".join(fits) + ",\nm_run AS MATERIALIZED (" + " UNION ALL ".join(runs) + ")," + O.metric_ctes("m_run", "t5_qrels", by)
+            + f",\nwide AS MATERIALIZED ({wide})\nSELECT name, arm, {rounded} FROM wide UNION ALL SELECT name, 'delta', {delta} FROM wide GROUP BY name")
+
+
+_add("t5_contamination_report", _report_sql())
