@@ -67,7 +67,7 @@ def op9_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.reconstruct(chat.messages(rows)))
+    return chat.reconstructed_digests(chat.streamed(rows))
 
 
 def op10_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

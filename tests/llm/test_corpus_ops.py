@@ -401,6 +401,52 @@ def test_chat_edit_far_back(spark):
     assert chat.parse(first[0].formatted) == [("user", "new")]
 
 
+def test_chat_split_conversations(spark, monkeypatch):
+    """Split conversations give the same turns and digests as whole ones, whatever ties, repeats and null ids they hold."""
+    rng = random.Random(6)
+    log = []
+    for c, n in ((1, 900), (2, 40), (None, 300), (3, 5)):
+        for i in range(n):
+            seq, m = rng.randrange(n // 3 + 1), f"m{rng.randrange(n // 2 + 1)}"
+            kind = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", "other", None])
+            log.append((c, seq, kind, m, rng.choice(["user", "assistant", None]), rng.choice(["same " * 30 + str(i % 3), "a", "", None, "</s>\\"]), 0))
+        log += log[-7:]
+    df = spark.createDataFrame(log, EVENTS).repartition(5)
+
+    def both():
+        turns = sorted(map(repr, chat.reconstruct(df).collect()))
+        told = sorted(map(repr, chat.reconstructed_digests(df).collect()))
+        assert told == sorted(map(repr, chat.digests(chat.reconstruct(df)).collect()))
+        return turns, told
+
+    whole = both()
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")                     # tables are small here: keep the range partitions apart
+    try:
+        for bound in (0, 100):
+            monkeypatch.setattr(chat, "HOT", bound)
+            assert both() == whole
+        assert chat.reconstructed_digests(df.limit(0)).count() == 0
+        parts = chat._split(df.where("conv_id = 1").na.fill(""), chat.Scratch(spark, "test"))
+        turns = {f.rsplit("/", 1)[0] for f in parts.inputFiles() if "-turns" in f}
+        sizes = [r["count"] for r in spark.read.parquet(*turns).groupBy("part").count().collect()]
+        assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
+    finally:
+        spark.conf.set(coalesce, "true")
+
+
+def test_chat_streamed_log(spark, tmp_path):
+    rows = [(1, 0, "user", "é" * 600), (1, 1, "assistant", "x\n" * 500), (1, 1, "assistant", "x\n" * 500), (1, None, "assistant", None),
+            (1, 2, None, None), (None, 0, "assistant", "\U0001f600" * 513)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/c")
+    log = chat.streamed(spark.read.parquet(f"{tmp_path}/c"))
+    assert log.where("kind = 'delta'").count() == 2 * 4 + 0 + 3
+    got = defaultdict(list)
+    for r in sorted(chat.reconstruct(log).collect(), key=lambda r: r.turn_no):
+        got[r.conv_id] += chat.parse(r.formatted)
+    assert got == {1: [("assistant", ""), rows[0][2:], rows[1][2:], rows[1][2:], ("", "")], None: [rows[5][2:]]}
+
+
 def test_chat_escape_round_trip():
     rng = random.Random(1)
     parts = ["<", "|", "im_start", "|>", "\\", ".", "<s>", "</s>", "[", "/", "INST", "]", "<|im_end|>", "\n", "n", "SYS", "<<", ">>", "é"]
