@@ -192,7 +192,9 @@ def streamed(conversations: DataFrame) -> DataFrame:
     said = F.coalesce("text", F.lit(""))
     parts = F.when(F.col("role") == "assistant", F.concat(F.array(F.lit("")), F.regexp_extract_all(said, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
                    ).otherwise(F.array(said))
-    rows = conversations.select("conv_id", "turn", "role", F.monotonically_increasing_id().cast("string").alias("message"), F.posexplode(parts).alias("part", "text"))
+    # numbered before the texts are cut: all events of a row name one message
+    rows = conversations.select("conv_id", "turn", "role", F.monotonically_increasing_id().cast("string").alias("message"), parts.alias("parts"))
+    rows = rows.select("conv_id", "turn", "role", "message", F.posexplode("parts").alias("part", "text"))
     return rows.select("conv_id", F.struct("turn", "part").alias("seq"), F.when(F.col("part") == 0, "message").otherwise("delta").alias("kind"),
                        "message", "role", "text")
 
