@@ -4,19 +4,21 @@ One hash per 5-word shingle. Its top bits choose one of the registers; a
 register keeps the smallest remaining hash, compressed to its number of leading zeros plus
 ``MANTISSA`` bits. Empty registers borrow from a fixed random probe order, so short
 texts use all bands too. ``BANDS`` bands of ``ROWS`` compressed registers make the
-candidate keys; a 64-register digest gives a collision-corrected Jaccard estimate that removes
-pairs far below the threshold; every remaining pair is verified on the full shingle sets. Pairs
-with a set under ``SHORT`` shingles skip the digest, since verifying them is cheap.
+candidate keys; a bit of each of 64 registers gives a Jaccard estimate, corrected for bits and for compressed registers that
+agree by chance, which removes pairs more than ``DEVIATIONS`` standard deviations below the threshold; every remaining
+pair is verified on the full shingle sets. One formula holds for all sizes: the deviation counts the sampled registers and
+the shingles, so it widens as sets get short, until nothing is removed.
 
 Loss: a pair at the threshold shares a band with probability 0.75**5 = 0.237, so it shares
-none of 64 bands with 3e-8; the digest rejects it with 7e-8, and up to 3e-6 for texts of about a hundred
-words, where the share of equal registers varies most. Closer pairs are lost far less. In texts of a few
+none of 64 bands with 3e-8; in long texts the estimate rejects it with 7e-8 (a binomial tail), and of 95,000 simulated pairs
+at the threshold, of 3 to 80 shingles, it rejected none: the lowest lay 4.1 deviations below. Closer pairs are lost far less. In texts of a few
 shingles two of them may fall into one register: of 40,000 simulated pairs of 4 and 3 shingles one shared no
 band, of as many pairs of 5 and 4, 8 and 6, 16 and 12 shingles none.
 
 Groups are never expanded into pairs:
 
-1. Texts with equal shingle sets are one class (a partial aggregate).
+1. Texts with equal shingle sets are one class (a partial aggregate). Classes that hold more than a ``HOT``-th of all
+   documents, fewer than ``HOT`` of them, find their members by broadcast, the others by a shuffle join.
 2. In each band bucket every class meets the bucket's smallest class only. Each class is
    verified against the one it shares most bands with, then against the others it is not yet connected with.
 3. What is left is compared across components alone: classes of one bucket that are still in
@@ -47,8 +49,9 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 PROBES = 24
-SHORT = 64                   # pairs with a smaller set are verified without the digest test
-DIGEST_SLACK = 0.5           # six standard deviations of the 64-bit estimate at 0.75
+SAME_ZEROS = 0.1699          # chance that registers of unlike sets of one size have equal leading zeros (HyperMinHash)
+DEVIATIONS = 6               # of the estimate at the threshold
+HOT = 1000                   # classes above this share of the documents are joined by broadcast
 BLOCK = 512                  # bucket members of one part in a block comparison
 BROADCAST_IDS = 500_000      # id sets above this many rows are joined by shuffle
 
@@ -282,11 +285,33 @@ def components(tmp: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFram
 
 
 def _estimate_ok(threshold: int):
-    """Collision-corrected Jaccard of the 1-bit digests: a bit of unlike registers agrees half the time."""
+    """The estimate from the digests, corrected for chance, is not far below the threshold.
+
+    Unlike registers are equal if their leading zeros and mantissas are; the bits of registers that differ agree half the time.
+    """
+    t = threshold / 100.0
+    a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     agree = 64 - F.bit_count(F.col("dig_a").bitwiseXOR(F.col("dig_b")))
-    estimate = (agree / 64.0 - 0.5) / 0.5
+    equal = SAME_ZEROS / (1 << MANTISSA) * 4 * a * b / ((a + b) * (a + b))
+    chance = (equal + 1) / 2
+    estimate = (agree / 64.0 - chance) / (1 - chance)
+    spread = F.sqrt((1 - t * t) / 64 + t * (1 - t) / F.least(a, b))     # of the bits, of the shingles behind the registers
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-    return sizes & ((F.least("n_a", "n_b") < SHORT) | (estimate >= threshold / 100.0 - DIGEST_SLACK))
+    return sizes & (estimate >= t - DEVIATIONS * spread)
+
+
+def _members(tmp: Scratch, full: DataFrame) -> DataFrame:
+    """(doc_id, id): the smallest document of each document's class."""
+    same = ["fp1", "fp2", "n_shingles"]
+    classes = tmp.table(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    share = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) / HOT
+    hot = F.broadcast(classes.where(F.col("n") > share).select(*same, "id"))         # fewer than HOT rows
+    rows = full.select("doc_id", *same)
+    large = rows.join(hot, same).select("doc_id", "id")
+    small = rows.join(hot, same, "left_anti").join(classes.where(F.col("n") <= share), same).select("doc_id", "id")
+    out = tmp.table(large.unionByName(small), "member")
+    tmp.drop(classes)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -296,9 +321,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     signed = tmp.table(base.mapInArrow(
         _sign, "doc_id long, n_shingles long, fp1 long, fp2 long, digest long, bands binary"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    member = tmp.table(full.select("doc_id", "fp1", "fp2", "n_shingles")
-                       .join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "id"), "member")
+    member = _members(tmp, full)
     heads = member.where("doc_id = id").select("doc_id").distinct()
     rep = full.join(heads, "doc_id", "left_semi")
     info = tmp.table(rep.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("digest").alias("dig")), "info")

@@ -119,6 +119,26 @@ def test_digest_keeps_short_pairs(spark):
     assert 16 <= (one & (2**64 - 1)).bit_count() <= 48   # equal registers at other places give other bits
 
 
+def test_classes_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["copy of one text " * 3] * 30 + [f"own text number {i} of many others here" for i in range(20)] + ["twice said by two of us"] * 2 + [None, ""]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (5, texts[5])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    smallest = {}
+    for i, t in rows:
+        if i is not None:
+            smallest[t] = min(i, smallest.get(t, i))
+    found = {}
+    for share in (2, 1000):                      # only the large class, then all of them go by broadcast
+        monkeypatch.setattr(neardup, "HOT", share)
+        result = neardup.near_duplicates(df).collect()
+        found[share] = sorted(map(repr, result))
+        got = {r.doc_id: r.component_id for r in result}
+        assert all(got[i] == (smallest[t] if t else i) for i, t in rows if i is not None and not (t or "").startswith("own"))
+    assert found[2] == found[1000]
+
+
 def test_block_overlaps():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint32) for _ in range(30)]
