@@ -72,6 +72,17 @@ def used_only(table: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 BROADCAST_MAX_BYTES = 64 << 20
 
 
+PAIRS = 4 << 20              # rows that a task makes of a join by a key that many rows share
+
+
+def parts_for(left: DataFrame, sizes: DataFrame, key: str, rows: int = PAIRS) -> int:
+    """Into how many parts to deal ``left`` so that its join with ``sizes[key, _n]`` rows a key makes about ``rows`` rows in each, however few its own rows are."""
+    spark = left.sparkSession
+    made = left.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).join(sizes, key).agg(F.sum(F.col("_m") * F.col("_n"))).first()[0] or 0
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-int(made) // rows))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all values of ``df``, by one aggregate: strings and arrays by their length, others 8 each."""
     def size(c):

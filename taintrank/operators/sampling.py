@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .joins import BROADCAST_MAX_BYTES, measured_bytes, parts_for
 from .rank import ordered_positions
 
 DEFAULT_SEED = 42
@@ -65,17 +66,30 @@ def one_per_group(df: DataFrame, group: Sequence[str], value: str,
     return df.groupBy(*group).agg(F.min_by(F.col(value), k).alias(alias or value))
 
 
+CHUNK = 512                  # negatives of a query that meet a positive at once
+
+
 def sample_pairs(positives: DataFrame, negatives: DataFrame, k: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """A5 (k = 1) and A6 on long rows: ``k`` negatives for each positive, ``query_id, doc_id_a, doc_id_b, idx``.
 
     ``positives[query_id, doc_id_a]`` and ``negatives[query_id, doc_id_b]`` meet by query; the smallest salted md5 keys stay.
-    The filter on the row number is a group limit, so each task drops all but k candidates of a positive before
-    the shuffle, and no list of a query's negatives is ever formed. The choice equals :func:`sample_array` with the
-    salt ``query_id:doc_id_a``.
+    Every pair has its key, so the work is positives x negatives; no pair is a row. The negatives of a query are dealt into lists of
+    about ``CHUNK``, a positive meets these lists in its task, keeps the k smallest keys of each, and the best of these stay.
+    Positives are dealt by the number of their pairs. The choice equals :func:`sample_array` with the salt ``query_id:doc_id_a``.
     """
-    j = positives.select("query_id", "doc_id_a").distinct().join(negatives.select("query_id", "doc_id_b"), "query_id")
-    w = Window.partitionBy("query_id", "doc_id_a").orderBy(order_key(seed, "query_id", "doc_id_a", "doc_id_b"), "doc_id_b")
-    return j.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k)
+    pos, neg = positives.select("query_id", "doc_id_a"), negatives.select("query_id", "doc_id_b").where(F.col("query_id").isNotNull())
+    sizes = cut_lineage(neg.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "negative_counts")
+    chunk = F.pmod(F.xxhash64("doc_id_b", F.lit(3)), F.ceil(F.col("_n") / CHUNK)).alias("_chunk")
+    lists = cut_lineage(neg.join(sizes, "query_id").groupBy("query_id", chunk).agg(F.collect_list(F.struct("doc_id_b")).alias("_list")), "negative_lists")
+    parts = parts_for(pos, sizes, "query_id")
+    if measured_bytes(neg) <= BROADCAST_MAX_BYTES:
+        lists = F.broadcast(lists)
+    j = pos.repartition(parts, "query_id", "doc_id_a").distinct().join(lists.drop("_chunk"), "query_id")
+    keyed = F.transform("_list", lambda x: F.struct(order_key(seed, "query_id", "doc_id_a", x["doc_id_b"]).alias("_key"), x["doc_id_b"].alias("doc_id_b")))
+    least = F.array(F.array_min(keyed)) if k == 1 else F.slice(F.sort_array(keyed), 1, k)
+    found = j.select("query_id", "doc_id_a", F.explode(least).alias("_x")).select("query_id", "doc_id_a", "_x.doc_id_b", "_x._key")
+    w = Window.partitionBy("query_id", "doc_id_a").orderBy("_key", "doc_id_b")
+    return found.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k).drop("_key")
 
 
 def ring(negatives: DataFrame, seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:

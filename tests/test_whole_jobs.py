@@ -65,3 +65,21 @@ def test_bm25_sums_are_bounded_by_tiles(spark):
         assert len(t.q) <= 40
     t.cut()
     assert sorted(t.d) == ["29-197", "29-198", "29-199"]
+
+
+def test_samples_make_no_row_per_pair(spark):
+    """The choice of all pairs' keys, with null and repeated ids and more negatives than one list holds."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from taintrank.operators import sampling
+    pos = spark.createDataFrame([("q", f"p{i % 20}") for i in range(25)] + [("q", None), ("r", "a"), ("s", "none"), (None, "x")], "query_id string, doc_id_a string")
+    neg = spark.createDataFrame([("q", f"n{i % 1100}") for i in range(1300)] + [("q", None), ("r", "b"), (None, "y"), ("t", "z")], "query_id string, doc_id_b string")
+    pairs = pos.distinct().join(neg, "query_id")
+    w = Window.partitionBy("query_id", "doc_id_a").orderBy(sampling.order_key(42, "query_id", "doc_id_a", "doc_id_b"), "doc_id_b")
+    for k in (1, 3):
+        want = pairs.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k)
+        got = sampling.sample_pairs(pos, neg, k)
+        assert got.columns == want.columns and _lines(got.collect()) == _lines(want.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "_list" in plan and "WindowGroupLimit" in plan
