@@ -83,3 +83,47 @@ def test_samples_make_no_row_per_pair(spark):
         assert got.columns == want.columns and _lines(got.collect()) == _lines(want.collect())
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "_list" in plan and "WindowGroupLimit" in plan
+
+
+def test_r10_is_dealt_by_its_pairs(spark, tmp_path):
+    """One small file of labels makes many pairs: more than one task makes them."""
+    from pyspark.sql import functions as F
+
+    from taintrank.operators import joins
+    from taintrank.plans.registry import r10_pos_pairs
+    spark.createDataFrame([(0, "x"), (1, "y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, i // 2 % 2, 0) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    found = r10_pos_pairs(spark, str(tmp_path))
+    assert found.count() == found.distinct().count() == 2 * 50 * 50
+    assert len(found.select(F.spark_partition_id().alias("p")).distinct().collect()) > 1
+    left = spark.createDataFrame([("a",)] * 30 + [("b",)], "k string")
+    sizes = spark.createDataFrame([("a", 100), ("b", 1)], "k string, _n long")
+    assert joins.parts_for(left, sizes, "k", 10) == 301
+
+
+def test_k13_scores_a_pair_once(spark):
+    import numpy as np
+
+    from taintrank.operators import scoring
+
+    class Counter:
+        """Every scored row gets another number."""
+
+        def __init__(self):
+            self.n = 0
+
+        def __call__(self, queries, texts):
+            self.n += len(texts)
+            return np.arange(self.n - len(texts), self.n, dtype=np.float64)
+
+    triples = spark.createDataFrame([("q", f"p{i % 30}", "x") for i in range(40)], "query_id string, doc_id_a string, doc_id_b string")
+    negatives = spark.createDataFrame([("q", ["n1", "n2", "n2"])], "qid string, docnos array<string>")
+    queries = spark.createDataFrame([("q", "w")], "qid string, query string")
+    docs = spark.createDataFrame([("n1", "a"), ("n2", "b"), ("p0", "c")], "docno string, text string")
+    rows = scoring.teacher_scores(Counter, pairs=triples, negatives=negatives, queries=queries, docs=docs).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.docno, []).append((r.qid, r.query, r.text, r.score))
+    assert len(found["n1"]) == 40 and len(found["n2"]) == 80 and len(found["p0"]) == 2 and len(rows) == 160
+    assert all(len(set(v)) == 1 for v in found.values())
