@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sampling
-from .joins import attach_scores, attach_text_strict
+from .joins import BROADCAST_MAX_BYTES, attach_scores, attach_text_strict, parts_for
 
 SCORE_MAP = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
 
@@ -33,6 +33,11 @@ def pivot_with_negatives(triples: DataFrame, negatives: DataFrame) -> DataFrame:
     t = triples.select(F.col("query_id").cast("string").alias("qid"),
                        F.col("doc_id_a").cast("string").alias("doc_id_a"))
     n = negatives.select("qid", F.col("docnos"), F.lit(True).alias("_hit"))
+    sizes = negatives.groupBy("qid").agg(F.sum(F.size("docnos")).alias("_n"), F.sum(
+        F.aggregate("docnos", F.lit(16).cast("long"), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0)))).alias("_bytes"))
+    if (sizes.agg(F.sum("_bytes")).first()[0] or 0) <= BROADCAST_MAX_BYTES:
+        # a triple is small and makes a row per negative: dealt by these, in ranges so that a task has few queries
+        t, n = t.repartitionByRange(parts_for(t, sizes, "qid"), "qid", "doc_id_a"), F.broadcast(n)
     j = t.join(n, "qid", "left")
     negs = F.when(F.col("_hit").isNull(),
                   F.raise_error(F.concat(F.lit("no negatives for query "), F.col("qid")))) \

@@ -328,6 +328,7 @@ def teacher_scores(factory: Callable, corpus: DataFrame | None = None,
                    seed: int = 42, batch_size: int = DEFAULT_BATCH, negatives: DataFrame | None = None) -> DataFrame:
     """Score a corpus ``(qid, docno, query, text)``, or build it from
     ``pairs`` + ``queries`` + ``docs`` (lenient text attach, J3); neither -> error.
+    A pair that comes many times is scored once and its row repeated.
     ``pairs`` may be triples (``query_id, doc_id_a, ...``), pivoted here; ``negatives`` (``qid, docnos``) then replaces
     their negatives (R2). ``subset`` samples that many pairs first (A2), before any text is attached."""
     from .joins import attach_text
@@ -347,5 +348,8 @@ def teacher_scores(factory: Callable, corpus: DataFrame | None = None,
         pairs = pairs.select("qid", "docno")
         if subset:
             pairs = sample_n(pairs, subset, ["qid", "docno"], seed)
-        corpus = attach_text(attach_text(pairs, queries, "qid", "query"), docs, "docno", "text")
+        pairs = pairs.groupBy("qid", "docno").agg(F.count(F.lit(1)).alias("_times"))
+        corpus = attach_text(attach_text(pairs, queries, "qid", "query"), docs, "docno", "text").select("docno", "qid", "query", "text", "_times")
+        scored = score_pairs(corpus, factory, batch_size=batch_size)
+        return scored.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_times", "_time")
     return score_pairs(corpus, factory, batch_size=batch_size)
