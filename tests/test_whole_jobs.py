@@ -29,6 +29,14 @@ def test_g7_judges_the_dense_run(spark, tables):
     assert rows["events", "2"].ap == rows["events", "3"].ap == 0.0 < rows["events", "0"].ap
 
 
+def test_g7_with_null_vectors(spark, tables):
+    from taintrank.plans.coverage import g7_missing_queries
+    rows = [(0, None), (1, [1.0, None, 0.0]), (2, [1.0, 1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), *[(i, [1.0, 2.0, 3.0]) for i in range(5, 12)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{tables}/embeddings.parquet")
+    found = {(r["name"], r["qid"]): r.r_at_100 for r in g7_missing_queries(spark, tables).collect()}
+    assert found["dense", "0"] == found["dense", "1"] == 0.0 and found["dense", "2"] == found["dense", "3"] == 1.0
+
+
 def _lines(rows):
     return sorted(map(tuple, rows), key=repr)
 
