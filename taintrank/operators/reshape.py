@@ -160,6 +160,9 @@ def bi_layout(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pos_pairs(a) -> Column:
     """``[p, n1, n2, ..] -> [[p, n1], [p, n2], ..]`` (empty for size 1)."""
     arr = F.col(a) if isinstance(a, str) else a
-    head = F.element_at(arr, 1)
-    rest = F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
-    return F.transform(rest, lambda x: F.array(head, x))
+
+    def pairs(whole: Column) -> Column:
+        rest = F.slice(whole, 2, F.greatest(F.size(whole) - 1, F.lit(0)))
+        return F.transform(rest, lambda x: F.array(F.element_at(whole, 1), x))
+    # bound as a variable, the list is made once a row and not again for every element
+    return F.element_at(F.transform(F.array(arr), pairs), 1)

@@ -97,7 +97,7 @@ def test_r10_is_dealt_by_its_pairs(spark, tmp_path):
     """One small file of labels makes many pairs: more than one task makes them."""
     from pyspark.sql import functions as F
 
-    from taintrank.operators import joins
+    from taintrank.operators import joins, reshape
     from taintrank.plans.registry import r10_pos_pairs
     spark.createDataFrame([(0, "x"), (1, "y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(i, i // 2 % 2, 0) for i in range(200)]
@@ -105,6 +105,11 @@ def test_r10_is_dealt_by_its_pairs(spark, tmp_path):
     found = r10_pos_pairs(spark, str(tmp_path))
     assert found.count() == found.distinct().count() == 2 * 50 * 50
     assert len(found.select(F.spark_partition_id().alias("p")).distinct().collect()) > 1
+    made = spark.createDataFrame([("p", ["n", "m"]), ("p", []), (None, ["n"]), ("p", None)], "a string, b array<string>").select(
+        reshape.pos_pairs(F.concat(F.array("a"), "b")).alias("x"))
+    assert [r.x for r in made.collect()] == [[["p", "n"], ["p", "m"]], [], [[None, "n"]], None]
+    made = spark.range(3).select(reshape.pos_pairs(F.concat(F.array(F.col("id")), F.sequence(F.col("id"), F.lit(9)))).alias("x"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 1
     left = spark.createDataFrame([("a",)] * 30 + [("b",)], "k string")
     sizes = spark.createDataFrame([("a", 100), ("b", 1)], "k string, _n long")
     assert joins.parts_for(left, sizes, "k", 10) == 301
