@@ -3,7 +3,7 @@
 Names decide the form. ``.jsonl`` is a folder of JSON lines, written and read in parallel: the form for large tables.
 ``.json`` is one document in one file: an array of records, ``{id: text}`` or ``{qid: {docno: score}}``. It is read
 in splits at any size (:mod:`.jsonobject`), whoever wrote it and however it is indented, and written as one valid document. ``.gz``
-behind either compresses; a compressed document is streamed by one task.
+behind either compresses; a compressed document is written as many gzip members in one file and read in splits (:mod:`.blockgzip`), other writers' by one task.
 """
 
 from __future__ import annotations

@@ -1,15 +1,15 @@
 """One JSON document of any size as rows, and rows as one JSON document.
 
 Reading: Spark's text source cuts the files at every quote, so a document without a line end is split like any
-other, a ``.gz`` one is streamed, and any store that Spark reads will do. Three scans, one driver row per
-file split:
+other, and any store that Spark reads will do. A ``.gz`` one as written here is cut too (:mod:`.blockgzip`); other gzip is one stream, read by one task.
+Three scans, one driver row per file split:
 
 1. per split, the number of quotes that no backslash escapes and the change of depth; running sums say whether a split starts inside a string, and how deep;
 2. per split, the text before its first and after its last safe point (a comma that ends a member): what stands between
    two splits' safe points is glued and read on its own. Files of one split skip this scan;
 3. the members between the safe points, a bounded number of pieces of text at a time.
 
-Writing: Spark writes the members in parallel; then the parts are joined into one file through a fixed buffer of the file system's client. One
+Writing: Spark writes (and compresses) the members in parallel; then the parts are joined into one file through a fixed buffer of the file system's client. One
 file has one writer, so tables beyond what one stream should carry belong in ``.jsonl``.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, delete_path
+from . import blockgzip
 
 _STRUCTURE = re.compile(r"[{}\[\],]")
 _OUT = "file string, block long, key string, raw string"
@@ -246,7 +247,9 @@ def members(spark: SparkSession, path: str, wanted: int | None = None) -> DataFr
     ``wanted`` 1 takes the members of the top-level container, 2 those of each of its members (``key`` is the outer member's, as
     JSON text), None the records: the members of a top-level array, or every top-level value.
     """
-    segments = _segments(spark, path)
+    segments = blockgzip.in_splits(spark, path)
+    if segments is None:
+        segments = _segments(spark, path)
     layout = Layout(segments)
     if wanted is None:
         wanted = 1 if layout.first <= {"[", ""} else 0
@@ -296,21 +299,26 @@ def write_document(lines: DataFrame, path: str, opening: str, closing: str, skip
             return
         raise FileExistsError(path)
     parts = f"{path.rstrip('/')}-parts-{uuid.uuid4().hex}"
-    lines.write.text(parts)
+    if compress:
+        skip = blockgzip.write_members(lines, parts, skip)
+    else:
+        lines.write.text(parts)
     names = sorted(s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)) if s.getLen())
     names = [n for n in names if n.startswith("part-")]
     fs.delete(target, True)
     out = fs.create(target)
-    if compress:
-        out = jvm.java.util.zip.GZIPOutputStream(out, 1 << 16)
-    out.write(bytearray((opening if names else opening[:1] + closing[-1:]).encode()))
+    before, after = (opening if names else opening[:1] + closing[-1:]).encode(), (closing if names else "").encode()
+    if compress:                                            # every part ends with the header of the member behind it; an empty member ends the file
+        header = blockgzip.HEADER
+        before = header + blockgzip.member(before) + header
+        after = (blockgzip.member(after) + header if after else b"") + blockgzip.member(b"")
+    out.write(bytearray(before))
     for k, name in enumerate(names):
         source = fs.open(jvm.org.apache.hadoop.fs.Path(f"{parts}/{name}"))
         if k == 0:
             source.seek(skip)
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
         source.close()
-    if names:
-        out.write(bytearray(closing.encode()))
+    out.write(bytearray(after))
     out.close()
     delete_path(spark, parts)
